@@ -100,7 +100,7 @@ class _Writer:
     def __init__(self, store: Store):
         self.fs, self.folder = store.open()
         self.fs.create_dir(self.folder, recursive=True)
-        self.level = zstandard.ZstdCompressor(level=3)
+        self.level = zstandard.ZstdCompressor(level=3, write_content_size=True)
         self.name = ""
         self._reset()
 
@@ -229,8 +229,8 @@ def read_bundles(spark: SparkSession, folder: str, index: DataFrame) -> DataFram
         for batch in batches:
             for k in range(batch.num_rows):
                 bundle = batch.column("content")[k].as_py()
-                for start, packed, size in frames_of(bundle):
-                    data, at, rows = plain.decompress(bundle[start : start + packed], size), 0, []
+                for start, packed, _ in frames_of(bundle):
+                    data, at, rows = plain.decompressobj().decompress(bundle[start : start + packed]), 0, []
                     while at < len(data):
                         headers, block, at = parse(data, at)
                         bare = lambda x: x[len("<urn:page:") : -1] if x else None
@@ -252,6 +252,6 @@ def read_record(store: Store, entry: dict) -> tuple[dict[str, str], bytes]:
     fs, folder = store.open()
     with fs.open_input_file(posixpath.join(folder, entry["bundle"])) as file:
         file.seek(entry["frame_start"])
-        data = zstandard.ZstdDecompressor().decompress(file.read(entry["frame_size"]))
+        data = zstandard.ZstdDecompressor().decompressobj().decompress(file.read(entry["frame_size"]))
     headers, block, _ = parse(data, entry["offset"])
     return headers, block
