@@ -132,7 +132,8 @@ class _Writer:
     def end_bundle(self) -> None:
         if self.frames:
             self.packed.write(seek_table(self.frames))
-            with self.fs.open_output_stream(posixpath.join(self.folder, self.name)) as out:
+            # The name must not lead pyarrow to compress once more.
+            with self.fs.open_output_stream(posixpath.join(self.folder, self.name), compression=None) as out:
                 out.write(self.packed.getvalue())
         self.name = ""
         self._reset()
