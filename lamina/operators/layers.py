@@ -8,13 +8,16 @@ windows and joins on doc_id need no other shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_DOC = Window.partitionBy("doc_id").orderBy("n")
 ROWS_PER_PAGE = 40
 
 
+def _by_doc() -> WindowSpec:
+    return Window.partitionBy("doc_id").orderBy("n")
+
+
 def spread(docs: DataFrame) -> DataFrame:
     """(doc_id, symbols), dealt out by doc_id."""
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("symbols")).repartition("doc_id")
@@ -23,7 +26,7 @@ def spread(docs: DataFrame) -> DataFrame:
 def _parts(docs: DataFrame, parts: Column, gap: int) -> DataFrame:
     """The elements of an array with their places in the text; ``gap`` characters stand between two."""
     exploded = docs.select("doc_id", F.posexplode(parts).alias("n", "text"))
-    before = F.sum(F.length("text") + gap).over(BY_DOC) - F.length("text") - gap
+    before = F.sum(F.length("text") + gap).over(_by_doc()) - F.length("text") - gap
     return exploded.withColumn("start", before).withColumn("end", before + F.length("text"))
 
 
@@ -31,16 +34,16 @@ def tokens(docs: DataFrame) -> DataFrame:
     """Maximal runs of non-space characters: doc_id, pos, start, end, text."""
     parts = _parts(docs, F.regexp_extract_all("symbols", F.lit(r"(\S+|\s+)"), F.lit(1)), 0)
     words = parts.where(~F.col("text").rlike(r"^\s"))
-    return words.select("doc_id", (F.row_number().over(BY_DOC) - 1).cast("bigint").alias("pos"), "start", "end", "text")
+    return words.select("doc_id", (F.row_number().over(_by_doc()) - 1).cast("bigint").alias("pos"), "start", "end", "text")
 
 
 def split_tokens(docs: DataFrame) -> DataFrame:
     """Runs of letters and digits, and every other non-space character by itself, with the cluster they stand in."""
     parts = _parts(docs, F.regexp_extract_all("symbols", F.lit(r"(\w+|[^\w\s]|\s+)"), F.lit(1)), 0)
     space = F.col("text").rlike(r"^\s")
-    marked = parts.withColumn("cluster", F.sum(F.when(space, 1).otherwise(0)).over(BY_DOC)).where(~space)
+    marked = parts.withColumn("cluster", F.sum(F.when(space, 1).otherwise(0)).over(_by_doc())).where(~space)
     return marked.select(
-        "doc_id", (F.row_number().over(BY_DOC) - 1).cast("bigint").alias("pos"), "start", "end", "text", "cluster"
+        "doc_id", (F.row_number().over(_by_doc()) - 1).cast("bigint").alias("pos"), "start", "end", "text", "cluster"
     )
 
 
@@ -72,7 +75,7 @@ def _trimmed(parts: DataFrame) -> DataFrame:
     bare = bare.withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", "")).where("text <> ''")
     start = F.col("start") + F.col("lead")
     return bare.select(
-        "doc_id", (F.row_number().over(BY_DOC) - 1).cast("bigint").alias("pos"), start.alias("start"),
+        "doc_id", (F.row_number().over(_by_doc()) - 1).cast("bigint").alias("pos"), start.alias("start"),
         (start + F.length("text")).alias("end"), "text",
     )
 
