@@ -8,12 +8,9 @@ Jaccard similarity. Bands of four coordinates propose candidates. Documents with
 same set are one node from the start.
 
 In a bucket no list of all pairs is made. Every member is compared with a leader, the
-smallest. As long as a bucket has members that are not known to be connected, each of
-those outside its largest component leads in turn, twice as many in every round, and
-meets the members of the other components, until all are connected or every pair of
-different components has been compared. So no link between the candidates is lost, and
-groups of copies, which are connected after the first round, cost one comparison for
-each member and bucket.
+smallest, and groups of copies are mostly connected by that. In the buckets that are
+not, the members outside the largest component are compared with all others, in blocks
+of bounded size that give nothing but links. So no link between candidates is lost.
 """
 
 from __future__ import annotations
@@ -23,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.common import cut, join_groups, raw_texts, slices
@@ -31,6 +28,8 @@ from lamina.llm.common import cut, join_groups, raw_texts, slices
 T, ROWS = 128, 4
 BANDS = T // ROWS
 SHINGLE = 5
+#: Nodes of a block; a task holds the sets of two.
+BLOCK = 256
 PERCENT = 75
 #: Nodes of documents without an id get numbers from here on, above those of all others.
 NO_ID = 1 << 62
@@ -192,6 +191,70 @@ def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
     return known.join(mixed.select("bucket"), "bucket", "left_semi")
 
 
+def _blockwise_links(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between members of a bucket (bucket, node, label) with different labels.
+
+    The members outside a bucket's largest component are its queries, and meet all of its
+    members. Both are dealt into blocks of about ``BLOCK`` nodes; a task gets the sets of
+    one block of either kind, never a bucket as a whole, and makes no pairs but links.
+    """
+    size = left.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    main = size.groupBy("bucket").agg(
+        F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("outside")
+    )
+    placed = left.join(main, "bucket").select(
+        "bucket", "node", "label", (F.col("label") != F.col("main")).alias("asks"),
+        F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil(F.col("outside") / BLOCK).alias("query_blocks"),
+    )
+    at = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    asks_at = F.pmod(F.xxhash64("node", F.lit(1)), F.col("query_blocks"))
+    placed = placed.select("*", at.alias("at"), asks_at.alias("asks_at"))
+    answers = placed.select(
+        "bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("query_blocks") - 1)).alias("q"), F.col("at").alias("m"), "node", "label",
+        "asks", "asks_at",
+    ).select("bucket", "q", "m", "node", "label", (F.col("asks") & (F.col("q") == F.col("asks_at"))).alias("query"), F.lit(True).alias("member"))
+    queries = placed.where("asks").select(
+        "bucket", F.col("asks_at").alias("q"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("m"), "node", "label", "at"
+    ).where("m <> at").select("bucket", "q", "m", "node", "label", F.lit(True).alias("query"), F.lit(False).alias("member"))
+    rows = answers.unionByName(queries).join(sets, "node")
+
+    def find(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
+        query = np.flatnonzero(table.column("query").to_numpy(zero_copy_only=False))
+        member = np.flatnonzero(table.column("member").to_numpy(zero_copy_only=False))
+        lists = table.column("shingles").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        flat = lists.flatten().to_numpy()
+        owner = np.repeat(np.arange(len(node)), sizes)
+        _, column, n = np.unique(flat, return_inverse=True, return_counts=True)
+        shared = n[column] > 1
+        column, owner = np.unique(column[shared], return_inverse=True)[1], owner[shared]
+        met = np.zeros((len(query), len(member)), np.float32)
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        place_q, place_m = np.full(len(node), -1), np.full(len(node), -1)
+        place_q[query], place_m[member] = np.arange(len(query)), np.arange(len(member))
+        width = 2048
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            lo, hi = np.searchsorted(column, [first, first + width])
+            c, o = column[lo:hi] - first, owner[lo:hi]
+            a, b = np.zeros((len(query), width), np.float32), np.zeros((len(member), width), np.float32)
+            in_q, in_m = place_q[o] >= 0, place_m[o] >= 0
+            a[place_q[o[in_q]], c[in_q]] = 1
+            b[place_m[o[in_m]], c[in_m]] = 1
+            met += a @ b.T
+        union = sizes[query][:, None] + sizes[member][None] - met
+        i, j = np.nonzero((met * 100 >= union * PERCENT) & (label[query][:, None] != label[member][None]))
+        # One link from a query to each component says all.
+        _, once = np.unique(np.c_[i, label[member][j]], axis=0, return_index=True)
+        x, y = node[query][i[once]], node[member][j[once]]
+        return pa.table({"a": pa.array(np.maximum(x, y), pa.int64()), "b": pa.array(np.minimum(x, y), pa.int64())})
+
+    return rows.groupBy("bucket", "q", "m").applyInArrow(find, "a long, b long").distinct()
+
+
 def mark_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id, n_shingles, component_id, kept.
 
@@ -222,30 +285,12 @@ def mark_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     sets = cut(_sets(docs, "id", "text", wanted.select("node", F.col("node").alias("id"))))
     links = _linked(star, sets)
     labels = components(links)
-    left = cut(_unresolved(members.select("bucket", "node"), labels))
-    done: DataFrame | None = None
-    leaders = 1
-    while not left.isEmpty():
-        leaders *= 2
-        # Leaders come from outside the bucket's largest component.
-        size = left.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-        largest = size.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-        outside = left.join(largest, "bucket").where("label <> main").drop("main")
-        if done is not None:
-            outside = outside.join(done, ["bucket", "node"], "left_anti")
-        order = Window.partitionBy("bucket").orderBy(F.xxhash64("bucket", "node"), "node")
-        chosen = cut(outside.withColumn("r", F.row_number().over(order)).where(F.col("r") <= leaders)
-                     .select("bucket", F.col("node").alias("lead"), F.col("label").alias("lead_label")))
-        if chosen.isEmpty():
-            break
-        met = left.join(chosen, "bucket").where("label <> lead_label")
-        pairs = met.select(F.greatest("lead", "node").alias("b"), F.least("lead", "node").alias("a")).distinct()
-        new = cut(_linked(pairs, sets))
-        led = chosen.select("bucket", F.col("lead").alias("node"))
-        done = cut(led if done is None else done.unionByName(led))
+    # What has led was compared with its whole bucket, so only the others are left in it.
+    left = cut(_unresolved(members.where("node <> first").select("bucket", "node"), labels))
+    new = cut(_blockwise_links(left, sets))
+    if not new.isEmpty():
         # Labels of labels: only components that a new link joins change.
-        at = labels.select("node", "label")
-        ends = new.join(at.toDF("a", "la"), "a", "left").join(at.toDF("b", "lb"), "b", "left")
+        ends = new.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")
         joined = components(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
         moved = joined.toDF("label", "to")
         fresh = joined.join(labels, "node", "left_anti")
@@ -253,7 +298,6 @@ def mark_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
             labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
             .unionByName(fresh.select("node", "label"))
         )
-        left = cut(_unresolved(left.select("bucket", "node"), labels))
     named = groups.join(labels, "node", "left").select(
         "high", "low", "copies", F.coalesce("label", "node").alias("label")
     )
