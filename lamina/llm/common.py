@@ -88,10 +88,10 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     hot = groups.where(F.col(size) * HOT_GROUPS > F.lit(total)).select(
         *keys, *[F.col(c).alias(f"__hot_{c}") for c in extra], F.lit(True).alias("__hot")
     )
-    rest = groups.where(F.col(size) * HOT_GROUPS <= F.lit(total)).withColumn("__rest", F.lit(True))
-    marked = rows.join(F.broadcast(hot), keys, "left")
-    settled = marked.where("__hot").select(
-        *rows.columns, *[F.col(f"__hot_{c}").alias(c) for c in extra]
-    )
-    others = marked.where("__hot is null").select(*rows.columns).join(rest, keys, "left").select(*rows.columns, *extra)
-    return settled.unionByName(others)
+    rest = groups.where(F.col(size) * HOT_GROUPS <= F.lit(total)).withColumn("__apart", F.lit(0).cast("long"))
+    # Rows of hot keys are settled by the broadcast. They meet nothing in the shuffle, and
+    # a part of the key of their own spreads them over it.
+    own = F.when(F.col("__hot"), F.xxhash64(*rows.columns).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("long"))
+    marked = rows.join(F.broadcast(hot), keys, "left").withColumn("__apart", own)
+    joined = marked.join(rest, [*keys, "__apart"], "left")
+    return joined.select(*rows.columns, *[F.coalesce(f"__hot_{c}", c).alias(c) for c in extra])

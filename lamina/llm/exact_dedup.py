@@ -33,14 +33,14 @@ def _slot(digest: Column, k: int, bits: int) -> Column:
     return F.pmod(F.xxhash64(digest, F.lit(k)), F.lit(bits))
 
 
-def repeat_filter(digests: DataFrame, column: str, bits: int) -> DataFrame:
-    """(page, map) of the slots that two rows or more reach; at most ``bits`` bits in all."""
+def repeat_filter(digests: DataFrame, column: str, bits: int, least: int = 2) -> DataFrame:
+    """(page, map) of the slots that ``least`` rows or more reach; at most ``bits`` bits in all."""
     slots = digests.select(
         F.explode(F.array(*[_slot(F.col(column), k, bits) for k in range(HASHES)])).alias("slot")
     )
     # A row that reaches one slot by both of its hashes counts twice there, which only
     # lets that row through to the exact comparison.
-    twice = slots.groupBy("slot").agg(F.count("*").alias("n")).where("n > 1")
+    twice = slots.groupBy("slot").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return twice.groupBy(F.shiftright("slot", 15).alias("page")).agg(
         F.bitmap_construct_agg((F.col("slot") % PAGE_BITS)).alias("map")
     )
@@ -52,15 +52,15 @@ def _has_bit(bitmap: Column, slot: Column) -> Column:
     return F.coalesce(F.getbit(byte, (position % 8).cast("int")) == 1, F.lit(False))
 
 
-def _tested(hashed: DataFrame, seen: DataFrame, bits: int) -> DataFrame:
-    """``hashed`` with ``__maybe``: whether another row may have the same ``__sha``."""
-    tested, maybe = hashed, F.lit(True)
+def tested(hashed: DataFrame, seen: DataFrame, bits: int, column: str = "__sha") -> DataFrame:
+    """``hashed`` with ``__maybe``: whether all slots of the column are in the filter."""
+    out, maybe = hashed, F.lit(True)
     for k in range(HASHES):
         pages = F.broadcast(seen.select(F.col("page").alias(f"__page{k}"), F.col("map").alias(f"__map{k}")))
-        slot = _slot(F.col("__sha"), k, bits)
-        tested = tested.join(pages, F.shiftright(slot, 15) == F.col(f"__page{k}"), "left")
+        slot = _slot(F.col(column), k, bits)
+        out = out.join(pages, F.shiftright(slot, 15) == F.col(f"__page{k}"), "left")
         maybe = maybe & _has_bit(F.col(f"__map{k}"), slot)
-    return tested.select(*hashed.columns, maybe.alias("__maybe"))
+    return out.select(*hashed.columns, maybe.alias("__maybe"))
 
 
 def _digest(text_col: str) -> Column:
@@ -73,11 +73,11 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     total = digests.count()
     bits = filter_bits(total)
     seen = cut(repeat_filter(digests, "__sha", bits))
-    tested = _tested(digests, seen, bits)
-    repeated = tested.where("__maybe").drop("__maybe")
+    found = tested(digests, seen, bits)
+    repeated = found.where("__maybe").drop("__maybe")
     groups = cut(repeated.groupBy("__sha").agg(F.max("__id").alias("__keep"), F.count("*").alias("__n")))
     together = join_groups(repeated, groups, ["__sha"], "__n", total)
-    alone = tested.where(~F.col("__maybe")).select(
+    alone = found.where(~F.col("__maybe")).select(
         *digests.columns, F.col("__id").alias("__keep"), F.lit(1).cast("long").alias("__n")
     )
     return alone.unionByName(together), seen, bits
@@ -116,10 +116,10 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = docs.select(
         *[F.col(c).alias(n) for c, n in named.items()], F.unhex(_digest(text_col)).alias("__sha")
     )
-    tested = _tested(rows, seen, bits)
-    kept = tested.where("__maybe").join(
+    found = tested(rows, seen, bits)
+    kept = found.where("__maybe").join(
         losers,
         F.col(named[id_col]).eqNullSafe(F.col("__lost")) & (F.col("__sha") == F.col("__lost_sha")),
         "left_anti",
     )
-    return tested.where(~F.col("__maybe")).unionByName(kept).select(*[F.col(n).alias(c) for c, n in named.items()])
+    return found.where(~F.col("__maybe")).unionByName(kept).select(*[F.col(n).alias(c) for c, n in named.items()])

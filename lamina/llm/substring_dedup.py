@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.llm.common import cut, join_groups, raw_texts, slices
+from lamina.llm.exact_dedup import filter_bits, repeat_filter, tested
 
 #: Bytes that the hash looks back on.
 REACH = 32
@@ -126,15 +127,17 @@ def repeated_passages(
     two rows with one id and one text count as one. An empty table gives an empty result.
     """
     chunks = chunk(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    place = F.struct("id", "nth")
+    counts = cut(chunks.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1"))
+    sums = counts.agg(F.count("*").alias("digests"), F.sum("n").alias("rows")).first()
+    # Only chunks that the filter of repeated digests lets through are shuffled.
+    bits = filter_bits(sums["digests"])
+    seen = cut(repeat_filter(counts, "digest", bits, least=1))
+    maybe = cut(tested(chunks, seen, bits, "digest").where("__maybe").drop("__maybe"))
     groups = cut(
-        chunks.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
-        .where("first <> last")
-        .select("digest", F.col("first.id").alias("first_id"), F.col("first.nth").alias("first_nth"), "n")
+        maybe.groupBy("digest").agg(F.min(F.struct("id", "nth")).alias("first"), F.count("*").alias("n"))
+        .where("n > 1").select("digest", F.col("first.id").alias("first_id"), F.col("first.nth").alias("first_nth"), "n")
     )
-    total = int(groups.agg(F.sum("n")).first()[0] or 0)
-    # Chunks without a copy leave here; the rest are joined with their group.
-    copies = join_groups(chunks, groups, ["digest"], "n", max(total, 1)).where(
+    copies = join_groups(maybe, groups, ["digest"], "n", max(sums["rows"] or 0, 1)).where(
         "first_id is not null and not (id = first_id and nth = first_nth)"
     )
     order = Window.partitionBy("id").orderBy("nth")
@@ -169,11 +172,9 @@ def remove_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id"
             out.append(b"".join([*kept, raw[last:]]).decode())
         return pd.Series(out, dtype=object)
 
-    changed = joined.where("__spans is not null").withColumn(
-        "__text", without(F.col(text_col), F.col("__spans.start"), F.col("__spans.size"))
-    )
-    columns = [F.col("__text").alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return changed.select(*columns).unionByName(joined.where("__spans is null").select(*docs.columns))
+    # One pass over the join: its two sides apart would shuffle the texts twice.
+    cleaned = without(F.col(text_col), F.col("__spans.start"), F.col("__spans.size"))
+    return joined.select(*[cleaned.alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 
 def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
