@@ -54,7 +54,7 @@ def test_exact_drop_keeps_columns(spark):
 def test_filter_lets_every_repeat_through(spark):
     rows = spark.range(500).select((F.col("id") % 400).cast("string").alias("d"))
     seen = exact_dedup.repeat_filter(rows, "d", exact_dedup.PAGE_BITS)
-    tested = exact_dedup._tested(rows.withColumnRenamed("d", "__sha"), seen, exact_dedup.PAGE_BITS).collect()
+    tested = exact_dedup.tested(rows.withColumnRenamed("d", "__sha"), seen, exact_dedup.PAGE_BITS).collect()
     maybe = {r["__sha"] for r in tested if r["__maybe"]}
     assert maybe >= {str(i) for i in range(100)} and len(maybe) < 130
 
@@ -228,8 +228,8 @@ def test_kneser_ney_is_the_textbook_s(spark):
     rng = random.Random(9)
     texts = ["".join(rng.choice("aab c") for _ in range(80)) for _ in range(6)] + ["Xyz q", ""]
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
-    frame = perplexity.kneser_ney(perplexity.count_grams(docs, "lang", "text")).toPandas()
-    arrays = perplexity.Arrays(["en"], frame)
+    model = perplexity.kneser_ney(perplexity.count_grams(docs, "lang", "text"))
+    arrays = perplexity.Arrays(["en"], perplexity.packed(model, ["en"]))
     truth = kneser_ney_truth(texts, perplexity.ORDER)
     keys, _ = perplexity.grams([*texts, "abz qq", "new stuff"])
     split = lambda k: tuple(int(k) >> (perplexity.BITS * b) & (perplexity.CLASSES - 1) for b in range(perplexity.ORDER - 1, -1, -1))
