@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.llm.common import cut, join_groups, slices, texts
@@ -27,6 +27,10 @@ ORDER, BITS = 5, 12
 CLASSES = 1 << BITS
 #: Bound of one broadcast: 16 bytes a gram, so 40 MB.
 MOST_ENTRIES = 2_500_000
+#: Grams of the highest level in a partition; the tables of the model are dealt by it, not by the partitions of the texts.
+PART_GRAMS = 100_000
+#: Discounts, a row a language, are broadcast up to here and shuffled beyond.
+MOST_LANGUAGES = 4096
 #: How far a band reaches beyond the 5th and 95th percentile, in distances from the median.
 REACH = 1.5
 SPACE = re.compile(r"\s+")
@@ -84,16 +88,19 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     """(lang, level, gram, logp, logb): log-probability of each gram's last character, back-off of it as a context.
 
     ``level`` is the number of characters. Interpolated modified Kneser-Ney: the highest
-    level uses counts, the others numbers of different characters in front.
+    level uses counts, the others numbers of different characters in front. A context has
+    at most ``CLASSES`` grams, so windows over contexts are small.
     """
-    levels = {ORDER: cut(counts)}
+    counts = cut(counts)
+    parts = -(-counts.count() // PART_GRAMS) or 1
+    few = counts.select("lang").distinct().count() <= MOST_LANGUAGES
+    levels = {ORDER: counts.coalesce(parts)}
     for level in range(ORDER - 1, 0, -1):
         short = F.col("gram").bitwiseAND(F.lit((1 << (BITS * level)) - 1))
-        levels[level] = cut(levels[level + 1].groupBy("lang", short.alias("gram")).agg(F.count("*").alias("n")))
+        levels[level] = cut(levels[level + 1].groupBy("lang", short.alias("gram")).agg(F.count("*").alias("n")).coalesce(parts))
     tables, lower = [], None
     for level in range(1, ORDER + 1):
-        grams_ = levels[level].withColumn("context", F.shiftright("gram", BITS))
-        shape = grams_.groupBy("lang").agg(*[F.count_if(F.col("n") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
+        shape = levels[level].groupBy("lang").agg(*[F.count_if(F.col("n") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
         y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
 
         def discount(k: int, y=y):
@@ -101,16 +108,15 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
             return F.when((usual > 0) & (usual < k), usual).otherwise(F.lit(0.5 * k)).alias(f"d{k}")
 
         shape = shape.select("lang", discount(1), discount(2), discount(3))
-        contexts = grams_.groupBy("lang", "context").agg(
-            F.sum("n").alias("all"), *[F.count_if(F.col("n") == k).alias(f"m{k}") for k in (1, 2)],
-            F.count_if(F.col("n") >= 3).alias("m3"),
-        )
-        contexts = contexts.join(shape, "lang").select(
-            "lang", "context", "all", "d1", "d2", "d3",
-            ((F.col("d1") * F.col("m1") + F.col("d2") * F.col("m2") + F.col("d3") * F.col("m3")) / F.col("all")).alias("back"),
-        )
         taken = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        own = grams_.join(contexts, ["lang", "context"]).withColumn("own", (F.col("n") - taken) / F.col("all"))
+        context = Window.partitionBy("lang", "context")
+        own = (
+            levels[level].join(F.broadcast(shape) if few else shape, "lang")
+            .select("lang", "gram", F.shiftright("gram", BITS).alias("context"), "n", taken.alias("taken"))
+            .withColumn("all", F.sum("n").over(context)).withColumn("back", F.sum("taken").over(context) / F.col("all"))
+            .withColumn("own", (F.col("n") - F.col("taken")) / F.col("all"))
+            .withColumn("leads", F.col("gram") == F.min("gram").over(context))
+        )
         if lower is None:
             made = own.withColumn("p", F.col("own") + F.col("back") / CLASSES)
         else:
@@ -118,16 +124,19 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
             made = own.withColumn("short", short).join(
                 lower.select("lang", F.col("gram").alias("short"), F.col("p").alias("q")), ["lang", "short"]
             ).withColumn("p", F.col("own") + F.col("back") * F.col("q"))
-        made = cut(made.select("lang", "gram", "p"))
-        tables.append(made.select("lang", F.lit(level).alias("level"), "gram", F.log("p").alias("logp"), F.lit(None).cast("double").alias("logb")))
+        lower = cut(made.select("lang", "gram", "p", F.when(F.col("leads"), F.col("back")).alias("back")).coalesce(parts))
+        none = F.lit(None).cast("double")
+        tables.append(lower.select("lang", F.lit(level).alias("level"), "gram", F.log("p").alias("logp"), none.alias("logb")))
         # Contexts of this level are grams of the one below, kept under their own number.
-        tables.append(contexts.select("lang", F.lit(level - 1).alias("level"), F.col("context").alias("gram"),
-                                      F.lit(None).cast("double").alias("logp"), F.log("back").alias("logb")))
-        lower = made
+        tables.append(
+            lower.where("back is not null").select(
+                "lang", F.lit(level - 1).alias("level"), F.shiftright("gram", BITS).alias("gram"), none.alias("logp"), F.log("back").alias("logb")
+            )
+        )
     rows = tables[0]
     for t in tables[1:]:
         rows = rows.unionByName(t)
-    return rows.groupBy("lang", "level", "gram").agg(F.max("logp").alias("logp"), F.max("logb").alias("logb"))
+    return rows.groupBy("lang", "level", "gram").agg(F.max("logp").alias("logp"), F.max("logb").alias("logb")).coalesce(parts)
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
