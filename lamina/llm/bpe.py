@@ -30,7 +30,7 @@ LOWER_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N
 #: A border between a non-space and a space is always one between words.
 RUNS = re.compile(r"\s*\S+|\s+")
 #: Spans kept per worker before the older half of them is dropped.
-CACHE = 300_000
+CACHE = 100_000
 NONE = -1
 FAR = np.int64(1) << 40
 #: Not a byte of UTF-8.
@@ -309,7 +309,7 @@ def encode_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
-        for part in slices(batches, "text", 2 << 20):
+        for part in slices(batches, "text"):
             ids = bpe.encode(texts(part, "text"))
             columns = [part.column("id"), pa.array(ids, pa.binary())]
             names = [id_col, "ids"]

@@ -90,7 +90,7 @@ def chunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 1 << 20):
+        for part in slices(batches, "text", 1 << 19):
             texts = raw_texts(part, "text")
             owner, nth, starts, sizes, words, digests = [], [], [], [], [], []
             for row, (text, ends) in enumerate(zip(texts, cut_points(texts), strict=True)):
