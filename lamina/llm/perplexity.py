@@ -1,20 +1,25 @@
 """Quality rules and perplexity bands of a modified Kneser-Ney model.
 
-The model is over characters: grams of ``ORDER`` characters are counted by Spark over
-all documents of a language, and discounts, continuation counts and back-off weights
-are made of the counts with joins and sums. Tasks look grams up in arrays sorted by
-hash. The model of a large corpus is split into shards by the last character of the
-context, each of at most ``MOST_ENTRIES`` grams, and texts are scored shard by shard:
-all that one character needs stands in one shard, so the sums are the same as with one.
+The model is over characters: grams of ``ORDER`` symbols are counted by Spark over the
+distinct texts of a language that pass the rules, and discounts, continuation counts and
+back-off weights are made of the counts with joins and sums. Texts are dealt into two
+folds by their hash, each fold has a model, and a text is scored by that of the other: no
+text and none of its copies teaches the model that judges it.
+
+Tasks look grams up in arrays sorted by hash. Models stand in shards of at most
+``MOST_ENTRIES`` grams, and a text is scored by the shard that holds its model. A model
+larger than a shard is split by the last symbol of the context, and its texts are scored
+shard by shard: all that one symbol needs stands in one shard, so the sums are the same.
 
 A document is rejected if its mean log-perplexity lies outside the band of its language;
-the bands come from the quantiles of all documents of the language that pass the rules.
+the bands come from the median and the quartiles of the distinct texts that pass the
+rules, which junk that makes up a tenth of a language hardly moves.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,25 +36,35 @@ MOST_ENTRIES = 2_500_000
 PART_GRAMS = 100_000
 #: Discounts, a row a language, are broadcast up to here and shuffled beyond.
 MOST_LANGUAGES = 4096
-#: How far a band reaches beyond the 5th and 95th percentile, in distances from the median.
-REACH = 1.5
+#: How far a band reaches from the median, in distances of the quartiles from it; 2.7 sigma for normal values.
+REACH = 4.0
+#: Distinct texts that pass the rules, from which a language has a band.
+LEAST_TEXTS = 20
+#: Code points from here on are two symbols: the first says which 2048 code points, and is no symbol of any other.
+WIDE = 3072
 SPACE = re.compile(r"\s+")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 WINDOW = 8
 
 
 def classes(text: str) -> np.ndarray:
-    """A 12-bit class for each character, lower-cased, white space as one space; 0 stands before a text.
+    """The 12-bit symbols of a text, lower-cased, white space as one space; 0 stands before a text.
 
-    Code points below 3072 have a class of their own, others share 1024 by a hash.
+    Code points below ``WIDE`` are a symbol, all others two, so no two texts share symbols.
     """
     points = np.frombuffer(SPACE.sub(" ", text.lower()).encode("utf-32-le", "replace"), "<u4").astype(np.int64)
-    folded = 3072 + ((points * 2654435761 >> 12) & 1023)
-    return np.where(points < 3072, np.maximum(points, 1), folded)
+    wide = points >= WIDE
+    if not wide.any():
+        return np.maximum(points, 1)
+    ends = np.cumsum(1 + wide)
+    out = np.empty(ends[-1], np.int64)
+    out[ends - 1] = np.where(wide, (points & 2047) + 1, np.maximum(points, 1))
+    out[ends[wide] - 2] = WIDE + (points[wide] >> 11)
+    return out
 
 
 def grams(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The gram that ends at each character of each text, and the number of characters of each."""
+    """The gram that ends at each symbol of each text, and the number of symbols of each."""
     parts = [classes(t) for t in batch]
     sizes = np.array([len(p) for p in parts], np.int64)
     gap = np.zeros(ORDER - 1, np.int64)
@@ -65,15 +80,15 @@ def grams(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return key[inside], sizes
 
 
-def count_grams(docs: DataFrame, lang: str, text: str) -> DataFrame:
-    """(lang, gram, n) over all texts."""
+def count_grams(docs: DataFrame, lang: str, text: str, counts: Callable[[str], bool] = lambda text: True) -> DataFrame:
+    """(lang, gram, n) over all texts that count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             languages = np.array(part.column("lang").to_pylist(), object)
             batch = np.array(texts(part, "text"), object)
             for language in dict.fromkeys(languages):
-                keys, _ = grams(list(batch[languages == language]))
+                keys, _ = grams([t for t in batch[languages == language] if counts(t)])
                 found, n = np.unique(keys, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([language] * len(found), pa.string()), pa.array(found), pa.array(n.astype(np.int64))],
@@ -207,43 +222,58 @@ class Arrays:
         return out
 
 
+def repeated_words(words: list[bytes]) -> int:
+    """Words that lie in a run of ``WINDOW`` words which occurs twice."""
+    if len(words) < WINDOW:
+        return 0
+    number: dict[bytes, int] = {}
+    ids = [number.setdefault(w, len(number)) for w in words]
+    if len(number) == len(words):
+        return 0
+    windows = np.lib.stride_tricks.sliding_window_view(np.array(ids, np.int32), WINDOW)
+    # A window whose words are all unique in the text can't occur twice.
+    common = (np.bincount(ids) > 1)[windows].all(1)
+    spots = np.flatnonzero(common)
+    if len(spots) < 2:
+        return 0
+    _, back, n = np.unique(
+        np.ascontiguousarray(windows[spots]).view(f"V{4 * WINDOW}").ravel(), return_inverse=True, return_counts=True
+    )
+    covered = np.zeros(len(words) + 1, np.int64)
+    twice = spots[n[back] > 1]
+    np.add.at(covered, twice, 1)
+    np.add.at(covered, twice + WINDOW, -1)
+    return int((np.cumsum(covered[:-1]) > 0).sum())
+
+
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     words = text.encode().split()
     points = len(text) - sum(map(text.count, " \t\n\x0b\x0c\r"))
     lines = [x for x in text.split("\n") if x.strip(" \t\x0b\x0c\r")]
-    repeated = 0
-    if len(words) >= WINDOW:
-        number: dict[bytes, int] = {}
-        ids = [number.setdefault(w, len(number)) for w in words]
-        if len(number) < len(words):
-            windows = np.lib.stride_tricks.sliding_window_view(np.array(ids, np.int32), WINDOW)
-            # A window whose words are all unique in the text can't occur twice.
-            common = (np.bincount(ids) > 1)[windows].all(1)
-            spots = np.flatnonzero(common)
-            if len(spots) > 1:
-                _, back, n = np.unique(
-                    np.ascontiguousarray(windows[spots]).view(f"V{4 * WINDOW}").ravel(), return_inverse=True, return_counts=True
-                )
-                covered = np.zeros(len(words) + 1, np.int64)
-                twice = spots[n[back] > 1]
-                np.add.at(covered, twice, 1)
-                np.add.at(covered, twice + WINDOW, -1)
-                repeated = int((np.cumsum(covered[:-1]) > 0).sum())
-    return len(words), points, len(SYMBOLS.findall(text)), len(lines) - len(set(lines)), repeated
-
-
-def _shards(model: DataFrame) -> list[list[int]]:
-    """Last characters of contexts, in groups of at most ``MOST_ENTRIES`` grams where one alone isn't more."""
-    sizes = _routed(model).groupBy("route").count().collect()  # at most 4096 rows
-    out: list[list[int]] = [[]]
-    room = MOST_ENTRIES
-    for r in sorted(sizes, key=lambda r: -r["count"]):
-        if r["count"] > room and out[-1]:
-            out.append([])
+    return len(words), points, len(SYMBOLS.findall(text)), len(lines) - len(set(lines)), repeated_words(words)
+
+
+def _shards(model: DataFrame) -> list[tuple[list[str], list[int] | None]]:
+    """Languages of each shard; one that is too large stands in several, each with some last symbols of contexts."""
+    sizes = {r["lang"]: r["count"] for r in model.groupBy("lang").count().collect()}
+    out: list[tuple[list[str], list[int] | None]] = []
+    room = 0
+    for lang in sorted((x for x in sizes if sizes[x] <= MOST_ENTRIES), key=lambda x: (-sizes[x], x)):
+        if sizes[lang] > room:
+            out.append(([], None))
             room = MOST_ENTRIES
-        out[-1].append(r["route"])
-        room -= r["count"]
+        out[-1][0].append(lang)
+        room -= sizes[lang]
+    for lang in sorted(x for x in sizes if sizes[x] > MOST_ENTRIES):
+        routes = _routed(model.where(F.col("lang") == lang)).groupBy("route").count().collect()  # at most 4096 rows
+        room = 0
+        for r in sorted(routes, key=lambda r: (-r["count"], r["route"])):
+            if r["count"] > room:
+                out.append(([lang], []))
+                room = MOST_ENTRIES
+            out[-1][1].append(r["route"])
+            room -= r["count"]
     return out
 
 
@@ -256,32 +286,20 @@ def _routed(model: DataFrame) -> DataFrame:
     return as_gram.unionByName(as_context)
 
 
-def score(docs: DataFrame, model: DataFrame, carry: list[str], lang: str, text: str, with_base: bool = True) -> DataFrame:
+def score(docs: DataFrame, model: DataFrame, carry: list[str], lang: str, text: str) -> DataFrame:
     """``carry``, the base counts, and the sum of log-probabilities and characters of each text."""
     spark = docs.sparkSession
-    # Grams of one character and the empty context: at most 4097 for a language.
+    # Grams of one symbol and the empty context: at most 4097 for a language.
     roots = model.where("level = 0 or (level = 1 and logp is not null)").withColumn("logb", F.when(F.col("level") == 0, F.col("logb")))
-    languages = sorted(r[0] for r in model.select("lang").distinct().collect())
     kinds = [docs.schema[c].dataType.simpleString() for c in carry]
     head = ", ".join(f"__k{i} {k}" for i, k in enumerate(kinds))
     base = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-    shards = _shards(model)
+    names = [f"__k{i}" for i in range(len(carry))] + ["__row"] + [x.split()[0] for x in base.split(", ")] + ["total", "chars"]
     rows = docs.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(carry)], F.col(lang).alias("lang"), F.col(text).alias("text"))
-    if len(shards) > 1:
-        rows = rows.withColumn("__row", F.xxhash64(*[f"__k{i}" for i in range(len(carry))], "lang", "text"))
-    else:
-        rows = rows.withColumn("__row", F.lit(0).cast("long"))
-    parts = None
-    for number, routes in enumerate(shards):
-        chosen = _routed(model).where(F.col("route").isin(routes)).drop("route").unionByName(roots) if len(shards) > 1 else model
-        arrays = spark.sparkContext.broadcast(Arrays(languages, packed(chosen, languages)))
-        owned = np.zeros(CLASSES, bool)
-        owned[routes] = True
-        owned = owned if len(shards) > 1 else np.ones(CLASSES, bool)
-        if number == 0 and len(shards) > 1:
-            owned[list(set(range(CLASSES)) - {r for s in shards for r in s})] = True
+    rows = rows.withColumn("__row", F.xxhash64(*[f"__k{i}" for i in range(len(carry))], "lang", "text"))
 
-        def run(batches: Iterator[pa.RecordBatch], arrays=arrays, owned=owned) -> Iterator[pa.RecordBatch]:
+    def scored(rows: DataFrame, arrays, owned: np.ndarray, with_base: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in slices(batches, "text"):
                 batch = texts(part, "text")
                 languages_ = np.array(part.column("lang").to_pylist(), object)
@@ -293,26 +311,57 @@ def score(docs: DataFrame, model: DataFrame, carry: list[str], lang: str, text:
                     logp = arrays.value.log_probability(language, found)
                     logp[~owned[(found >> BITS) & (CLASSES - 1)]] = 0
                     sums = np.r_[0, np.cumsum(logp[back])]
+                    # The first symbols of wide characters are none of their own.
+                    points = np.r_[0, np.cumsum((keys & (CLASSES - 1)) < WIDE)]
                     ends = np.cumsum(sizes)
-                    total[rows_], n[rows_] = sums[ends] - sums[ends - sizes], sizes
-                counts = list(zip(*map(base_counts, batch), strict=True))
-                columns = [part.column(f"__k{i}") for i in range(len(carry))] + [part.column("__row")]
+                    total[rows_], n[rows_] = sums[ends] - sums[ends - sizes], points[ends] - points[ends - sizes]
+                counts = zip(*map(base_counts, batch), strict=True) if with_base else [[0] * len(batch)] * 5
+                columns = [part.column(x) for x in names[: len(carry) + 1]]
                 columns += [pa.array(c, pa.int64()) for c in counts] + [pa.array(total), pa.array(n)]
-                names = [f"__k{i}" for i in range(len(carry))] + ["__row"] + [x.split()[0] for x in base.split(", ")] + ["total", "chars"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-        got = rows.mapInArrow(run, f"{head}, __row long, {base}, total double, chars long")
-        parts = got if parts is None else parts.unionByName(got)
-    if len(shards) > 1:
+        return rows.mapInArrow(run, f"{head}, __row long, {base}, total double, chars long")
+
+    every = np.ones(CLASSES, bool)
+    whole, split, met = [], {}, []
+    for languages, routes in _shards(model):
+        chosen = model.where(F.col("lang").isin(languages))
+        if routes is not None:
+            chosen = _routed(chosen).where(F.col("route").isin(routes)).drop("route").unionByName(roots.where(F.col("lang").isin(languages)))
+            # A gram that stands here both as a gram and as a context is one entry.
+            chosen = chosen.groupBy("lang", "level", "gram").agg(F.max("logp").alias("logp"), F.max("logb").alias("logb"))
+        arrays = spark.sparkContext.broadcast(Arrays(languages, packed(chosen, languages)))
+        own = rows.where(F.col("lang").isin(languages))
+        met += languages
+        if routes is None:
+            whole.append(scored(own, arrays, every, True))
+            continue
+        owned = np.zeros(CLASSES, bool)
+        owned[routes] = True
+        split.setdefault(languages[0], []).append((own, arrays, owned))
+    # Texts whose language has no model get the same probability for each symbol.
+    none = spark.sparkContext.broadcast(Arrays([], []))
+    whole.append(scored(rows.where(~F.col("lang").isin(met)) if met else rows, none, every, True))
+    for shards in split.values():
+        # Contexts that the model doesn't have are settled by the roots, in the first shard.
+        shards[0][2][~np.any([owned for _, _, owned in shards], axis=0)] = True
+        parts = None
+        for k, (own, arrays, owned) in enumerate(shards):
+            got = scored(own, arrays, owned, k == 0)
+            parts = got if parts is None else parts.unionByName(got)
         # Rows that are alike in everything have alike sums, so each counts the copies once for all shards.
-        keys = [c for c in parts.columns if c != "total"]
-        parts = parts.groupBy(*keys).agg(F.sum("total").alias("total"), F.count("*").alias("__copies"))
+        keys = [*names[: len(carry) + 1], "chars"]
+        parts = parts.groupBy(*keys).agg(
+            F.sum("total").alias("total"), *[F.max(x).alias(x) for x in names[len(carry) + 1 : -2]], F.count("*").alias("__copies")
+        )
         parts = parts.withColumn("__copies", (F.col("__copies") / len(shards)).cast("int")).withColumn(
             "total", F.col("total") / F.col("__copies")
-        ).withColumn("__each", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copies", "__each")
-    return parts.select(
-        *[F.col(f"__k{i}").alias(c) for i, c in enumerate(carry)], *[x.split()[0] for x in base.split(", ")], "total", "chars"
-    )
+        ).withColumn("__each", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+        whole.append(parts.select(*names))
+    parts = whole[0]
+    for got in whole[1:]:
+        parts = parts.unionByName(got)
+    return parts.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(carry)], *names[len(carry) + 1 :])
 
 
 def judge_quality(
@@ -322,24 +371,35 @@ def judge_quality(
 
     Words are runs outside ASCII white space. A null text has no words and fails the
     rules, as every text of fewer than ``least_words`` words does. A null language is a
-    language of its own. Languages whose documents all fail the rules have no band, and
-    nothing more to reject. Null and repeated ids are judged as any others; an empty
-    table gives an empty result; other columns are ignored.
+    language of its own. Languages with fewer than ``LEAST_TEXTS`` distinct texts that pass
+    the rules have no band, and nothing more to reject. Null and repeated ids are judged as
+    any others; an empty table gives an empty result; other columns are ignored.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
-    model = cut(kneser_ney(count_grams(docs, "lang", "text")))
-    scored = score(docs, model, ["id", "lang"], "lang", "text")
+    docs = docs.withColumn("of", F.xxhash64("text"))
+    fold = F.pmod("of", F.lit(2))
+
+    def counts(text: str) -> bool:
+        words = text.encode().split()
+        return len(words) >= least_words and repeated_words(words) * 100 <= len(words) * most_repeated
+
+    taught = docs.select(F.concat(fold.cast("string"), "lang").alias("lang"), "text").distinct()
+    model = cut(kneser_ney(count_grams(taught, "lang", "text", counts)))
+    judged_by = docs.withColumn("by", F.concat((1 - fold).cast("string"), "lang"))
+    scored = score(judged_by, model, ["id", "lang", "of"], "by", "text")
     failed = (F.col("n_words") < least_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * most_repeated)
     rows = cut(
         scored.withColumn("base_failed", failed).withColumn("log_perplexity", F.when(F.col("chars") > 0, -F.col("total") / F.col("chars")))
     )
-    bands = rows.groupBy("lang").agg(
-        F.count("*").alias("n"), F.percentile_approx(F.when(~F.col("base_failed"), F.col("log_perplexity")), [0.05, 0.5, 0.95], 10_000).alias("q")
-    )
-    low = F.col("q")[0] - REACH * (F.col("q")[1] - F.col("q")[0])
-    high = F.col("q")[2] + REACH * (F.col("q")[2] - F.col("q")[1])
-    bands = cut(bands.select("lang", "n", low.alias("low"), high.alias("high")))
-    judged = join_groups(rows, bands, ["lang"], "n", rows.count())
+    distinct = rows.where(~F.col("base_failed")).groupBy("lang", "of").agg(F.min("log_perplexity").alias("log_perplexity"))
+    quartiles = distinct.groupBy("lang").agg(
+        F.count("*").alias("texts"), F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000).alias("q")
+    ).where(F.col("texts") >= LEAST_TEXTS)
+    low = F.col("q")[1] - REACH * (F.col("q")[1] - F.col("q")[0])
+    high = F.col("q")[1] + REACH * (F.col("q")[2] - F.col("q")[1])
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    bands = cut(sizes.join(quartiles, "lang", "left").select("lang", "n", low.alias("low"), high.alias("high")))
+    judged = join_groups(rows.drop("of"), bands, ["lang"], "n", rows.count())
     outside = F.coalesce((F.col("log_perplexity") < F.col("low")) | (F.col("log_perplexity") > F.col("high")), F.lit(False))
     return judged.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

@@ -290,3 +290,32 @@ def test_registered_queries_have_the_contract_s_columns(spark):
     for name, columns in want.items():
         df = queries.queries()[name](spark, data)
         assert set(columns.split()) <= set(df.columns) and df.count() > 0
+
+
+def clean_and_junk(letters, joined=" ", seed=11):
+    """300 texts of a vocabulary, 33 of random letters, and 33 copies of one more."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(2, 8)))
+    vocabulary = [word() for _ in range(300)]
+    clean = [" ".join(joined.join(rng.choice(vocabulary) for _ in range(4)) for _ in range(rng.randint(40, 80))) for _ in range(300)]
+    junk = [" ".join(joined.join(word() for _ in range(4)) for _ in range(rng.randint(40, 80))) for _ in range(33)]
+    return clean, junk, [" ".join(joined.join(word() for _ in range(4)) for _ in range(60))] * 33
+
+
+@pytest.mark.parametrize("letters, joined", [("abcdefghijklmnopqrstuvwxyz", " "), ("".join(map(chr, range(0x4E00, 0x5600))), "")])
+def test_junk_of_a_tenth_of_a_language_is_rejected(spark, letters, joined):
+    clean, junk, copies = clean_and_junk(letters, joined)
+    rows = [(i, t, "xx") for i, t in enumerate([*clean, *junk, *copies])]
+    got = {r.doc_id: r for r in perplexity.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(got) == len(rows) and not any(r.base_failed for r in got.values())
+    kept = [got[i].kept for i in range(len(rows))]
+    assert sum(kept[: len(clean)]) >= 0.95 * len(clean)
+    assert not any(kept[len(clean) :])
+
+
+def test_no_two_characters_share_symbols():
+    points = [p for p in range(1, 0x110000) if not 0xD800 <= p < 0xE000 and chr(p).lower() == chr(p) and not chr(p).isspace()]
+    symbols = perplexity.classes("".join(map(chr, points)))
+    assert symbols.min() >= 1 and symbols.max() < perplexity.CLASSES
+    single = [tuple(perplexity.classes(chr(p)).tolist()) for p in points[::97]]
+    assert len(set(single)) == len(single) and sum(map(len, single)) == len(np.concatenate([perplexity.classes(chr(p)) for p in points[::97]]))
