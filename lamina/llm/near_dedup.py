@@ -31,8 +31,6 @@ SHINGLE = 5
 #: Nodes of a block; a task holds the sets of two.
 BLOCK = 256
 PERCENT = 75
-#: Nodes of documents without an id get numbers from here on, above those of all others.
-NO_ID = 1 << 62
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -101,12 +99,12 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 low.append((digest & ((1 << 64) - 1)) - (1 << 63))
                 keys.append(bands(sketch(shingles)).tobytes() if len(shingles) else None)
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(keys, pa.binary())],
-                names=["id", "n", "high", "low", "keys"],
+                [part.column("id"), part.column("at"), pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(keys, pa.binary())],
+                names=["id", "at", "n", "high", "low", "keys"],
             )
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n long, high long, low long, keys binary")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("at"))
+    return rows.mapInArrow(run, f"id {kind}, at long, n long, high long, low long, keys binary")
 
 
 def _exploded(rows: DataFrame) -> DataFrame:
@@ -124,7 +122,7 @@ def _exploded(rows: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame) -> DataFrame:
-    """(node, shingles) of the nodes asked for; the texts are read again, and only these move."""
+    """(node, shingles) of the nodes (node, id, at) asked for; the texts are read again, and only these move."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -133,8 +131,9 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame) -> Data
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got)))
             yield pa.RecordBatch.from_arrays([part.column("node"), lists], names=["node", "shingles"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(nodes, "id")
-    # Rows that repeat an id hold the same set, or the node stands for the first of them.
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("__at"))
+    rows = rows.join(nodes, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__at") == F.col("at")))
+    # Rows that repeat an id and a text hold the same set.
     return rows.select("node", "text").mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
@@ -255,34 +254,27 @@ def _blockwise_links(left: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.groupBy("bucket", "q", "m").applyInArrow(find, "a long, b long").distinct()
 
 
-def mark_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: its id, n_shingles, component_id, kept.
+def _settled(docs: DataFrame) -> DataFrame:
+    """(id, at, n, lead) of every row of ``docs`` (id, text).
 
-    A text is lower-cased in A-Z and split at ASCII white space; its set has the distinct
-    runs of five words, or the whole sequence if it has fewer. Documents are linked if
-    100 * intersection >= 75 * union; those without words are linked with none, and have
-    n_shingles 0 and themselves as component. component_id is the smallest id that links
-    reach, and kept says whether it is the row's own. Rows that repeat an id are marked
-    alike if they repeat the text; an id with several texts stands for the first of them
-    in links. A row without an id is linked with those of the same set only: it takes
-    their component, or null if none of them has an id, and is then kept. An empty table
-    gives an empty result; other columns are ignored.
+    ``at`` is the hash of the text; with the id it names the row. ``lead`` has the id and
+    ``at`` of the first row of the component, rows without an id last; null without words.
     """
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sketched = cut(_sketched(docs, "id", "text"))
     total = sketched.count()
     filled = sketched.where("n > 0")
-    stand_in = F.xxhash64("high", "low").bitwiseAND(F.lit(NO_ID - 1)).bitwiseOR(F.lit(NO_ID))
+    # A set is a node, named by half of its digest, so an id may stand for any number of them.
     groups = cut(
-        filled.groupBy("high", "low").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-        .withColumn("node", F.coalesce(F.col("rep").cast("long"), stand_in))
+        filled.groupBy("high", "low").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "at")).alias("own"), F.count("*").alias("copies"))
+        .withColumn("node", F.col("high"))
     )
-    leading = groups.where("rep is not null").select("high", "low", F.col("rep").alias("id"), "node")
-    first = filled.join(leading, ["high", "low", "id"]).select("node", "keys").dropDuplicates(["node"])
+    leading = groups.select("node", F.col("own.id").alias("own_id"), F.col("own.at").alias("own_at"))
+    of_own = (F.col("high") == F.col("node")) & F.col("id").eqNullSafe(F.col("own_id")) & (F.col("at") == F.col("own_at"))
+    first = filled.join(leading, of_own).select("node", "keys").dropDuplicates(["node"])
     members = cut(_buckets(_exploded(first)))
     star = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     wanted = members.select("node").distinct()
-    sets = cut(_sets(docs, "id", "text", wanted.select("node", F.col("node").alias("id"))))
+    sets = cut(_sets(docs, "id", "text", leading.toDF("node", "id", "at").join(wanted, "node")))
     links = _linked(star, sets)
     labels = components(links)
     # What has led was compared with its whole bucket, so only the others are left in it.
@@ -298,14 +290,30 @@ def mark_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
             labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
             .unionByName(fresh.select("node", "label"))
         )
-    named = groups.join(labels, "node", "left").select(
-        "high", "low", "copies", F.coalesce("label", "node").alias("label")
-    )
-    settled = join_groups(filled.select("id", "n", "high", "low"), named, ["high", "low"], "copies", total)
-    component = F.when(F.col("label") < NO_ID, F.col("label")).cast(docs.schema["id"].dataType)
-    out = settled.select("id", "n", component.alias("component"))
-    empty = sketched.where("n = 0").select("id", "n", F.col("id").alias("component"))
-    return out.unionByName(empty).select(
+    labelled = cut(groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    leads = labelled.groupBy("label").agg(F.min("own").alias("lead"), F.count("*").alias("sets"))
+    named = join_groups(labelled.select("high", "low", "copies", "label"), leads.where("sets > 1"), ["label"], "sets", total)
+    named = named.join(labelled.select("high", "low", "own"), ["high", "low"]).select("high", "low", "copies", F.coalesce("lead", "own").alias("lead"))
+    settled = join_groups(filled.select("id", "at", "n", "high", "low"), named, ["high", "low"], "copies", total)
+    empty = sketched.where("n = 0").select("id", "at", "n")
+    return settled.select("id", "at", "n", "lead").unionByName(empty, allowMissingColumns=True)
+
+
+def mark_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: its id, n_shingles, component_id, kept.
+
+    A text is lower-cased in A-Z and split at ASCII white space; its set has the distinct
+    runs of five words, or the whole sequence if it has fewer. Documents are linked if
+    100 * intersection >= 75 * union; those without words are linked with none, and have
+    n_shingles 0 and themselves as component. component_id is the smallest id that links
+    reach, and kept says whether it is the row's own. Rows are linked by their texts, so
+    rows that repeat an id are marked apart if their texts differ. Rows without an id are
+    linked as any others; their component is null if none in it has an id, and they are
+    then kept. An empty table gives an empty result; other columns are ignored.
+    """
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    marked = _settled(docs).withColumn("component", F.when(F.col("n") > 0, F.col("lead.id")).otherwise(F.col("id")))
+    return marked.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.col("component").alias("component_id"),
@@ -314,7 +322,14 @@ def mark_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id."""
-    marked = mark_near_duplicates(docs, id_col, text_col)
-    lost = marked.where(~F.col("kept")).select(F.col(id_col).alias("__lost")).distinct()
-    return docs.join(lost, docs[id_col].eqNullSafe(F.col("__lost")), "left_anti")
+    """``docs`` with one row of each component: one with the smallest id, whatever ids repeat or are null."""
+    rows = cut(_settled(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))))
+    leads = F.col("id").eqNullSafe(F.col("lead.id")) & (F.col("at") == F.col("lead.at"))
+    lost = rows.where((F.col("n") > 0) & ~leads).select(F.col("id").alias("__lost"), F.col("at").alias("__at")).distinct()
+    same = docs[id_col].eqNullSafe(F.col("__lost")) & (F.xxhash64(docs[text_col]) == F.col("__at"))
+    kept = docs.join(lost, same, "left_anti")
+    # Rows alike in id and text, of which the join above keeps all or none.
+    alike = cut(rows.where((F.col("n") > 0) & leads).groupBy("id", "at").count().where("count > 1").select(F.col("id").alias("__lost"), F.col("at").alias("__at")))
+    if alike.isEmpty():
+        return kept
+    return kept.join(alike, same, "left_anti").unionByName(kept.join(alike, same, "left_semi").dropDuplicates([id_col, text_col]))

@@ -86,7 +86,10 @@ def _letter(text: bytes, at: int) -> int:
 
 
 def chunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, nth, start, size, words, digest) of every chunk; starts and sizes in bytes of UTF-8."""
+    """(id, key, nth, start, size, words, digest) of every chunk; starts and sizes in bytes of UTF-8.
+
+    ``key`` is the column ``__key`` of ``docs``, which tells rows with one id apart, or 0.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,14 +108,15 @@ def chunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                     digests.append(xxhash.xxh3_64_intdigest(piece) - (1 << 63))
                     last = end
             yield pa.RecordBatch.from_arrays(
-                [part.column("id").take(pa.array(owner, pa.int64()))]
+                [part.column(c).take(pa.array(owner, pa.int64())) for c in ("id", "key")]
                 + [pa.array(c, pa.int32()) for c in (nth, starts, sizes, words)]
                 + [pa.array(digests, pa.int64())],
-                names=["id", "nth", "start", "size", "words", "digest"],
+                names=["id", "key", "nth", "start", "size", "words", "digest"],
             )
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, nth int, start int, size int, words int, digest long")
+    key = F.col("__key") if "__key" in docs.columns else F.lit(0).cast("long")
+    rows = docs.select(F.col(id_col).alias("id"), key.alias("key"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, key long, nth int, start int, size int, words int, digest long")
 
 
 def repeated_passages(
@@ -122,11 +126,20 @@ def repeated_passages(
 
     ``start`` and ``size`` count bytes of UTF-8; ``first_ids`` has the ids that hold the
     first occurrences of its chunks. Null and empty texts have no passages. Rows without
-    an id are left alone, and their chunks don't count as occurrences; rows that repeat
-    an id are told apart by nothing, so ids must be unique for all passages to be found:
-    two rows with one id and one text count as one. An empty table gives an empty result.
+    an id are left alone, and their chunks don't count as occurrences. Rows that repeat an
+    id are told apart by their texts; two rows with one id and one text count as one. An
+    empty table gives an empty result.
     """
-    chunks = chunk(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
+    return _passages(docs, id_col, text_col, least_words).drop("__key")
+
+
+def _passages(docs: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
+    """The passages, and in ``__key`` the hash of their text, or 0 where no id repeats."""
+    docs = docs.where(F.col(id_col).isNotNull())
+    # The hash goes with every chunk, so only where it is needed.
+    unique = docs.groupBy(id_col).count().where("count > 1").isEmpty()
+    docs = docs.select(id_col, text_col, (F.lit(0).cast("long") if unique else F.xxhash64(text_col)).alias("__key"))
+    chunks = chunk(docs, id_col, text_col)
     counts = cut(chunks.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1"))
     sums = counts.agg(F.count("*").alias("digests"), F.sum("n").alias("rows")).first()
     # Only chunks that the filter of repeated digests lets through are shuffled.
@@ -134,27 +147,32 @@ def repeated_passages(
     seen = cut(repeat_filter(counts, "digest", bits, least=1))
     maybe = cut(tested(chunks, seen, bits, "digest").where("__maybe").drop("__maybe"))
     groups = cut(
-        maybe.groupBy("digest").agg(F.min(F.struct("id", "nth")).alias("first"), F.count("*").alias("n"))
-        .where("n > 1").select("digest", F.col("first.id").alias("first_id"), F.col("first.nth").alias("first_nth"), "n")
+        maybe.groupBy("digest").agg(F.min(F.struct("id", "key", "nth")).alias("first"), F.count("*").alias("n"))
+        .where("n > 1").select("digest", F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key"), F.col("first.nth").alias("first_nth"), "n")
     )
     copies = join_groups(maybe, groups, ["digest"], "n", max(sums["rows"] or 0, 1)).where(
-        "first_id is not null and not (id = first_id and nth = first_nth)"
+        "first_id is not null and not (id = first_id and key = first_key and nth = first_nth)"
     )
-    order = Window.partitionBy("id").orderBy("nth")
-    runs = copies.dropDuplicates(["id", "nth"]).withColumn("run", F.col("nth") - F.row_number().over(order))
-    found = runs.groupBy("id", "run").agg(
+    order = Window.partitionBy("id", "key").orderBy("nth")
+    runs = copies.dropDuplicates(["id", "key", "nth"]).withColumn("run", F.col("nth") - F.row_number().over(order))
+    found = runs.groupBy("id", "key", "run").agg(
         F.min("start").alias("start"), F.sum("size").cast("int").alias("size"), F.sum("words").cast("int").alias("words"),
         F.array_sort(F.collect_set("first_id")).alias("first_ids"),
     )
-    return found.where(F.col("words") >= least_words).select(F.col("id").alias(id_col), "start", "size", "words", "first_ids")
+    return found.where(F.col("words") >= least_words).select(F.col("id").alias(id_col), "start", "size", "words", "first_ids", F.col("key").alias("__key"))
 
 
 def remove_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the passages cut out of their texts; other columns stay as they are."""
-    spans = passages.groupBy(F.col(id_col).alias("__id")).agg(
+    """``docs`` with the passages cut out of their texts; other columns stay as they are.
+
+    ``__key`` of the passages, if it is there and not 0, is the hash of the text that they belong to.
+    """
+    key = F.col("__key") if "__key" in passages.columns else F.lit(0).cast("long")
+    spans = passages.groupBy(F.col(id_col).alias("__id"), key.alias("__of")).agg(
         F.array_sort(F.collect_list(F.struct("start", "size"))).alias("__spans")
     )
-    joined = docs.join(spans, docs[id_col] == F.col("__id"), "left")
+    own = (F.col("__of") == 0) | (F.col("__of") == F.xxhash64(docs[text_col]))
+    joined = docs.join(spans, (docs[id_col] == F.col("__id")) & own, "left")
 
     @F.pandas_udf("string")
     def without(text, starts, sizes):
@@ -162,7 +180,7 @@ def remove_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id"
 
         out = []
         for t, begins, lengths in zip(text, starts, sizes, strict=True):
-            if begins is None:
+            if begins is None or t is None:
                 out.append(t)
                 continue
             raw, last, kept = t.encode(), 0, []
@@ -178,4 +196,4 @@ def remove_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id"
 
 
 def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return remove_passages(docs, cut(repeated_passages(docs, id_col, text_col)), id_col, text_col)
+    return remove_passages(docs, cut(_passages(docs, id_col, text_col, LEAST_WORDS)), id_col, text_col)

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lamina.llm import exact_dedup, near_dedup, perplexity, queries, warc
+from lamina.llm import exact_dedup, near_dedup, perplexity, queries, substring_dedup, warc
 from lamina.llm.common import join_groups
 
 SCHEMA = "doc_id long, text string, keep_id long, n long, id string"
@@ -319,3 +319,31 @@ def test_no_two_characters_share_symbols():
     assert symbols.min() >= 1 and symbols.max() < perplexity.CLASSES
     single = [tuple(perplexity.classes(chr(p)).tolist()) for p in points[::97]]
     assert len(set(single)) == len(single) and sum(map(len, single)) == len(np.concatenate([perplexity.classes(chr(p)) for p in points[::97]]))
+
+
+def test_near_copies_with_repeated_ids(spark):
+    rng = random.Random(21)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(60))
+    near = lambda t: t + " one more"
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(5, a), (3, b), (5, near(b)), (7, c), (7, c), (7, near(c)), (None, d), (None, near(d)), (None, near(a)), (8, None), (8, e), (9, ""), (9, e)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.text) for r in near_dedup.drop_near_duplicates(docs).collect())
+    left = {t: [r for r in got.elements() if r[1] in (t, near(t))] for t in (a, b, c, d, e)}
+    assert left[a] == [(5, a)] and left[b] == [(3, b)] and left[e] == [(8, e)]
+    assert [r[0] for r in left[c]] == [7] and [r[0] for r in left[d]] == [None]
+    assert sum(got.values()) == 7 and got[8, None] == got[9, ""] == 1
+
+
+def test_passages_of_repeated_ids(spark):
+    rng = random.Random(22)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghé") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    passage, own = words(60), words(90)
+    rows = [(1, f"{words(20)} {passage} {words(20)}"), (2, own), (2, f"{words(20)} {passage} {words(20)}"), (2, None), (3, "é")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring_dedup.drop_repeated_passages(docs).collect()
+    assert len(got) == len(rows)
+    texts = {r.text for r in got}
+    assert {rows[0][1], own, None, "é"} <= texts
+    (rest,) = texts - {rows[0][1], own, None, "é"}
+    assert rest.split()[:18] == rows[2][1].split()[:18] and len(rest.split()) < 75
