@@ -11,6 +11,8 @@ logistic model makes one probability of the weighed matches of a document.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,11 +30,42 @@ REPORTING = frozenset(
     "said says say quote quoted quotes wrote writes called term word dijo dice cita palabra llamado"
     " dit disait cite citation mot sagte sagt zitat zitiert wort nannte".split()
 )
-QUOTES = re.compile(r"[\"“”«»„]([^\"“”«»„\n]{1,200})[\"“”«»„]|^>[^\n]*", re.MULTILINE)
+#: Quotation marks and ends of paragraphs, and which open marks a mark closes.
+MARK = re.compile(r"[\"“”«»„]|\n[^\S\n]*\n")
+CLOSES = {'"': '"„', "“": "„", "”": "“„”", "«": "»", "»": "«»"}
+QUOTED_LINE = re.compile(r"^>[^\n]*", re.MULTILINE)
 WORD = re.compile(r"[^\W\d_]+")
 FEATURES = 5
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Starts and ends of the quotations of a text, of any length within a paragraph, and of quoted lines."""
+    out = [m.span() for m in QUOTED_LINE.finditer(text)]
+    opened: list[tuple[int, str]] = []
+    waiting: Counter[str] = Counter()
+
+    for m in MARK.finditer(text):
+        mark = m.group()
+        if mark[0] == "\n":
+            opened.clear()
+            waiting.clear()
+            continue
+        closes = CLOSES.get(mark, "")
+        if mark == '"' and not waiting['"'] and m.start() and not text[m.start() - 1].isspace():
+            closes += "“"  # a plain mark behind a letter ends what a curly one began
+        if not any(waiting[kind] for kind in closes):
+            opened.append((m.start(), mark))
+            waiting[mark] += 1
+            continue
+        while True:
+            start, kind = opened.pop()
+            waiting[kind] -= 1
+            if kind in closes:
+                break
+        out.append((start, m.end()))
+    return out
+
+
 class Automaton:
     """The trie of a lexicon intersected with Levenshtein automata of one edit.
 
@@ -145,9 +178,11 @@ class Scorer:
             return np.array([0, 0, 0, 0, np.log1p(len(words))])
         quoted: set[int] = set()
         lowered = text.lower()
-        for m in QUOTES.finditer(lowered):
-            before = len(WORD.findall(lowered[: m.start()]))
-            quoted.update(range(before, before + len(WORD.findall(m.group()))))
+        spans = quotations(lowered)
+        if spans:
+            starts = [m.start() for m in WORD.finditer(lowered)]
+            for a, b in spans:
+                quoted.update(range(bisect_left(starts, a), bisect_left(starts, b)))
         full = told = fuzzy = 0.0
         for i, kind in hits:
             around = words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]

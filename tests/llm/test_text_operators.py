@@ -226,3 +226,18 @@ def test_licences(spark):
     )
     got = sorted(((r.doc_id or 0, r.license) for r in licenses.scan_licenses(docs).collect()))
     assert got == [(0, "MIT (with title)"), (1, "MIT"), (2, "MIT"), (3, None), (4, None), (5, None), (6, "ISC")]
+
+
+@pytest.mark.parametrize("marks", ['""', "“”", "„“", "«»", "»«", '„"', '“"', "””"])
+def test_long_quotations(marks):
+    scorer = toxicity.Scorer(toxicity.Model(["idiot"], [], [1, 0, 0, 0, 0], 0))
+    filler = ("plain words without end " * 11).strip()
+    quotation = f"{marks[0]}{filler}\nidiot {filler}{marks[1]}"
+    assert len(quotation) > 500 and "\n" in quotation
+    assert scorer.features(f"they put it so {quotation} and left")[1] > 0
+    # The author's own words between two long quotations are nobody else's.
+    clean = quotation.replace("idiot", "")
+    assert scorer.features(f"{clean} you are an idiot {clean}")[1] == 0
+    # A mark that nothing closes ends with its paragraph.
+    assert scorer.features(f"a 5{marks[0]} pipe\n\nyou are an idiot {filler}")[1] == 0
+    assert scorer.features("> " + filler + " idiot\nand so on")[1] > 0
