@@ -4,11 +4,13 @@ Each distinct word of a batch is first cut greedily into longest vocabulary entr
 sequence of tokens is what BPE would make if, and only if, every two neighbours are what
 BPE would make of their joined bytes; that is tested for all distinct neighbours of the
 batch at once in numpy, by undoing merges from the border outwards. Words with a failing
-pair, and only those, are merged exactly, all of them together, lowest rank first.
+pair, and only those, are merged exactly, all of them together, lowest rank first; very
+long ones one by one, with a heap.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import unicodedata
@@ -23,14 +25,24 @@ from pyspark.sql import functions as F
 
 from lamina.llm.common import slices, texts
 
+#: White space as the vocabularies have it. Python's own class has U+001C to U+001F too.
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SEPARATORS = re.compile("[\x1c-\x1f]")
 #: The split that byte-level vocabularies of this kind were made with.
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: The same for a lower-case vocabulary that drops white space.
-LOWER_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+LOWER_WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 #: A border between a non-space and a space is always one between words.
-RUNS = re.compile(r"\s*\S+|\s+")
-#: Spans kept per worker before the older half of them is dropped.
-CACHE = 100_000
+RUNS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+SOLID = re.compile(f"[^{SPACE}]+")
+#: Runs whose ids a worker keeps before it drops those that it has not met again since it last dropped some.
+CACHE = 300_000
+#: What often stands behind a word; a border between letters and such a mark is always one between words.
+MARKS = frozenset(".,;:!?")
+#: Bytes of text that are encoded together.
+SLICE = 2 << 20
+#: Longer words are cut and merged one by one: side by side costs a pass over all words for each byte of the longest.
+LONG = 256
 NONE = -1
 FAR = np.int64(1) << 40
 #: Not a byte of UTF-8.
@@ -51,6 +63,38 @@ def _cut(tokens: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
+class Index:
+    """Distinct integers by hash bucket; several are found at once with few reads each."""
+
+    BITS = 20
+
+    def __init__(self, keys: np.ndarray):
+        bucket = self._bucket(keys)
+        self.order = np.argsort(bucket, kind="stable")
+        self.keys = keys[self.order]
+        self.starts = np.searchsorted(bucket[self.order], np.arange((1 << self.BITS) + 1)).astype(np.int32)
+        self.deepest = int(np.diff(self.starts).max())
+
+    def _bucket(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each among ``keys``, and whether it is there."""
+        bucket = self._bucket(wanted)
+        at = self.starts[bucket].astype(np.int64)
+        there = self.keys[np.minimum(at, len(self.keys) - 1)] == wanted
+        size = self.starts[bucket + 1] - at
+        for depth in range(1, self.deepest):
+            rest = np.flatnonzero(~there & (size > depth))
+            if not len(rest):
+                break
+            hit = rest[self.keys[at[rest] + depth] == wanted[rest]]
+            at[hit] += depth
+            there[hit] = True
+        return np.minimum(at, len(self.keys) - 1), there
+
+
 class Bpe:
     """A vocabulary file, ready to encode and decode."""
 
@@ -80,9 +124,8 @@ class Bpe:
         left = np.array([self.ids[as_bytes(a)] for a, _ in pairs], np.int64)
         right = np.array([self.ids[as_bytes(b)] for _, b in pairs], np.int64)
         made = np.array([self.ids[as_bytes(a) + as_bytes(b)] for a, b in pairs], np.int64)
-        keys = left * self.size + right
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.rank_at, self.made_at = keys[order], order.astype(np.int64), made[order]
+        self.pairs = Index(left * self.size + right)
+        self.rank_at, self.made_at = self.pairs.order, made[self.pairs.order]
         # The merge that makes each token, and its rank; bytes have neither.
         self.rank = np.full(self.size, NONE, np.int64)
         self.left = np.full(self.size, NONE, np.int64)
@@ -94,23 +137,19 @@ class Bpe:
             if self.special
             else None
         )
-        self._prepare()
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.proposed = self.failed = 0
-
-    def _prepare(self) -> None:
         # A token that its own merges don't lead to can't be proposed.
         tokens = list(self.ids)
         alone = (len(got) == 4 for got in self.merge(tokens))
         self.usable = {t: self.ids[t] for t, a in zip(tokens, alone, strict=True) if a}
         self._plant()
+        self.content, self.letters = content, letters
+        self.new: dict[str | bytes, bytes] = {}
+        self.old: dict[str | bytes, bytes] = {}
+        self.proposed = self.failed = 0
 
     def _find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the merge of each pair, and whether there is one."""
-        wanted = a * self.size + b
-        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        return at, self.keys[at] == wanted
+        return self.pairs.find(a * self.size + b)
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether BPE leaves each pair of tokens as it is when their bytes stand together.
@@ -138,43 +177,61 @@ class Bpe:
             live = live[~over]
         return good
 
+    def _letters(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of single bytes, the last one of a word with ``END`` another, and whose they are."""
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        word = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
+        plain = raw != END[0]
+        letter, own = raw[plain], word[plain]
+        tokens = self.byte_id[letter]
+        ended = np.unique(word[~plain])
+        last = np.searchsorted(own, ended, side="right") - 1
+        tokens[last] = self.last_id[letter[last]]
+        return tokens, own
+
     def merge(self, words: list[bytes]) -> list[bytes]:
         """Exact merging: in every word, the leftmost of its lowest-ranked pairs, again and again."""
         if not words:
             return []
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        text = np.frombuffer(b"".join(words), np.uint8)
-        tokens = self.byte_id[text]
-        last = np.cumsum(sizes)[sizes > 0] - 1
-        tokens[last] = self.last_id[text[last]]
-        word = np.repeat(np.arange(len(words)), sizes)
+        tokens, word = self._letters(words)
         done_tokens, done_words = [], []
+        at, rank = self._ranks(tokens[:-1], tokens[1:], word[:-1] == word[1:])
         while len(tokens):
-            at, there = self._find(tokens[:-1], tokens[1:])
-            there &= word[:-1] == word[1:]
-            rank = np.where(there, self.rank_at[at], FAR)
-            lowest = np.full(len(words), FAR)
-            np.minimum.at(lowest, word[:-1], rank)
-            idle = lowest[word] == FAR
-            hit = there & (rank == lowest[word[:-1]])
+            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            sizes = np.diff(np.r_[first, len(tokens)])
+            # The place of a word's last token has a rank of none.
+            rank = np.r_[rank, FAR][: len(tokens)]
+            lowest = np.repeat(np.minimum.reduceat(rank, first), sizes)
+            idle = lowest == FAR
+            done_tokens.append(tokens[idle])
+            done_words.append(word[idle])
+            spots = np.flatnonzero(~idle & (rank == lowest))
             # Pairs of one rank can overlap only as in "aaa": then every second one, from the left, merges.
-            spots = np.flatnonzero(hit)
             if len(spots):
                 begins = np.r_[True, np.diff(spots) > 1]
-                first = np.maximum.accumulate(np.where(begins, np.arange(len(spots)), 0))
-                spots = spots[(np.arange(len(spots)) - first) % 2 == 0]
+                run = np.maximum.accumulate(np.where(begins, np.arange(len(spots)), 0))
+                spots = spots[(np.arange(len(spots)) - run) % 2 == 0]
             tokens = tokens.copy()
             tokens[spots] = self.made_at[at[spots]]
-            keep = np.ones(len(tokens), bool)
+            keep = ~idle
             keep[spots + 1] = False
-            done_tokens.append(tokens[idle & keep])
-            done_words.append(word[idle & keep])
-            keep &= ~idle
-            tokens, word = tokens[keep], word[keep]
-        tokens, word = np.concatenate(done_tokens), np.concatenate(done_words)
+            merged = np.zeros(len(tokens), bool)
+            merged[spots] = True
+            tokens, word, at, rank, merged = tokens[keep], word[keep], np.r_[at, 0][: len(keep)][keep], rank[keep], merged[keep]
+            # Only pairs next to a merge are new.
+            new = np.flatnonzero(merged | np.r_[merged[1:], False])
+            new = new[new < len(tokens) - 1]
+            at[new], rank[new] = self._ranks(tokens[new], tokens[new + 1], word[new] == word[new + 1])
+            if len(rank):
+                rank[-1] = FAR
+        tokens, word = np.concatenate(done_tokens or [tokens]), np.concatenate(done_words or [word])
         order = np.argsort(word, kind="stable")
         return _cut(tokens[order], np.bincount(word, minlength=len(words)))
 
+    def _ranks(self, a: np.ndarray, b: np.ndarray, together: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, there = self._find(a, b)
+        return at, np.where(there & together, self.rank_at[at], FAR)
+
     def _plant(self) -> None:
         """A trie of the usable tokens: sorted (node, byte) keys, the node each leads to, its token."""
         nodes: dict[bytes, int] = {b"": 0}
@@ -182,90 +239,178 @@ class Bpe:
             for stop in range(1, len(token) + 1):
                 nodes.setdefault(token[:stop], len(nodes))
         node_of = np.fromiter((nodes[n[:-1]] * 256 + n[-1] for n in nodes if n), np.int64, len(nodes) - 1)
-        order = np.argsort(node_of)
-        self.steps, self.step_to = node_of[order], order + 1
+        self.steps = Index(node_of)
+        self.step_to = self.steps.order + 1
         self.token_at = np.array([self.usable.get(n, NONE) for n in nodes], np.int64)
 
-    def propose(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Greedy longest match of all words side by side: tokens, and how many each word has."""
+    def propose(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Greedy longest match of all words side by side: tokens, how many each word has, and words that no tokens cover."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         text = np.frombuffer(b"".join(words) + b"\0", np.uint8).astype(np.int64)
         end = np.cumsum(lengths)
         word = np.flatnonzero(lengths)
         at, end = (end - lengths)[word], end[word]
         node, best, best_end = np.zeros_like(at), np.full_like(at, NONE), at.copy()
-        tokens, owners = [], []
+        tokens, owners, stray = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         while len(word):
-            key = node * 256 + text[at]
-            spot = np.minimum(np.searchsorted(self.steps, key), len(self.steps) - 1)
-            went = (at < end) & (self.steps[spot] == key)
+            spot, there = self.steps.find(node * 256 + text[at])
+            went = (at < end) & there
             node = np.where(went, self.step_to[spot], 0)
             at = at + went
             token = np.where(went, self.token_at[node], NONE)
             best, best_end = np.where(token >= 0, token, best), np.where(token >= 0, at, best_end)
             stuck = ~went
-            tokens.append(best[stuck])
-            owners.append(word[stuck])
+            lost = stuck & (best == NONE)
+            stray.append(word[lost])
+            tokens.append(best[stuck & ~lost])
+            owners.append(word[stuck & ~lost])
             at, best = np.where(stuck, best_end, at), np.where(stuck, NONE, best)
-            live = went | (at < end)
+            live = (went | (at < end)) & ~lost
             word, at, end, node, best, best_end = (x[live] for x in (word, at, end, node, best, best_end))
-        if not tokens:
-            return np.zeros(0, np.int64), lengths
         owner = np.concatenate(owners)
-        return np.concatenate(tokens)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
+        order = np.argsort(owner, kind="stable")
+        return np.concatenate(tokens)[order], np.bincount(owner, minlength=len(words)), np.concatenate(stray)
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word as little-endian unsigned 32-bit integers."""
-        flat, sizes = self.propose(words)
-        owner = np.repeat(np.arange(len(words)), sizes)
-        inside = np.flatnonzero(owner[:-1] == owner[1:])
-        keys, back = np.unique(flat[inside] * self.size + flat[inside + 1], return_inverse=True)
-        good = self.compatible(keys // self.size, keys % self.size)[back]
-        bad = np.unique(owner[inside[~good]])
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        short = words if not long else [w if len(w) <= LONG else b"" for w in words]
+        flat, sizes, stray = self.propose(short)
+        bad = np.union1d(self._doubtful(flat, np.repeat(np.arange(len(words)), sizes)), stray).astype(np.int64)
         out = _cut(flat, sizes)
         self.proposed += len(words)
         self.failed += len(bad)
-        for i, tokens in zip(bad, self.merge([words[i] for i in bad]), strict=True):
+        for i, tokens in zip(bad.tolist(), self.merge([words[i] for i in bad.tolist()]), strict=True):
             out[i] = tokens
+        for i in long:
+            out[i] = self._encode_long(words[i])
         return out
 
-    def words(self, run: str) -> list[str]:
-        return [run] if run.isalpha() or (run[0] == " " and run[1:].isalpha()) else WORDS.findall(run)
-
-    def _learn(self, runs: list[str]) -> None:
+    def _doubtful(self, flat: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Words with two neighbours that BPE would not leave as they are."""
+        inside = np.flatnonzero(owner[:-1] == owner[1:])
+        keys, back = np.unique(flat[inside] * self.size + flat[inside + 1], return_inverse=True)
+        good = self.compatible(keys // self.size, keys % self.size)[back]
+        return np.unique(owner[inside[~good]])
+
+    def _encode_long(self, word: bytes) -> bytes:
+        """The same for one word: propose, verify, and else merge with a heap of pairs, lowest rank and place first."""
+        if not self.walk:
+            self.walk = dict(zip(self.steps.keys.tolist(), self.step_to.tolist(), strict=True))
+            self.merges = dict(zip(self.pairs.keys.tolist(), zip(self.rank_at.tolist(), self.made_at.tolist(), strict=True), strict=True))
+        token_at, at, proposed = self.token_at, 0, []
+        while at < len(word):
+            node, end, best, stop = 0, at, NONE, at
+            while end < len(word) and (node := self.walk.get(node * 256 + word[end], 0)):
+                end += 1
+                if (token := token_at[node]) >= 0:
+                    best, stop = token, end
+            if best == NONE:
+                break
+            proposed.append(best)
+            at = stop
+        flat = np.array(proposed, np.int64)
+        if at == len(word) and not len(self._doubtful(flat, np.zeros(len(flat), np.int64))):
+            return flat.astype("<u4").tobytes()
+        tokens = self._letters([word])[0].tolist()
+        before, after = list(range(-1, len(tokens) - 1)), list(range(1, len(tokens) + 1))
+        size, merges = self.size, self.merges
+        heap = [(m[0], i, a, b, m[1]) for i, (a, b) in enumerate(zip(tokens, tokens[1:], strict=False)) if (m := merges.get(a * size + b))]
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b, made = heapq.heappop(heap)
+            j = after[i]
+            if tokens[i] != a or j >= len(tokens) or tokens[j] != b:
+                continue
+            tokens[i], tokens[j], after[i] = made, NONE, after[j]
+            if after[j] < len(tokens):
+                before[after[j]] = i
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y < len(tokens) and (m := merges.get(tokens[x] * size + tokens[y])):
+                    heapq.heappush(heap, (m[0], x, tokens[x], tokens[y], m[1]))
+        return np.array([t for t in tokens if t != NONE], "<u4").tobytes()
+
+    end = b""
+
+    def is_word(self, run: str) -> bool:
+        return run.isalpha() or (run[0] == " " and run[1:].isalpha())
+
+    def words(self, run: str) -> list[bytes]:
+        return [w.encode() for w in WORDS.findall(run)]
+
+    def runs(self, text: str) -> list[str | bytes]:
+        """Parts of a text that are encoded by themselves; bytes are words already."""
+        return self._by_library(text) if _has_unassigned(text) else RUNS.findall(text)
+
+    def _by_library(self, text: str) -> list[bytes]:
+        """Words of a text with characters that Python's tables don't know, by the tables of the tokenizers library."""
+        from tokenizers import Tokenizer
+
+        if self.splits is None:
+            self.splits = Tokenizer.from_str(self.content)
+        if self.splits.normalizer is not None:
+            text = self.splits.normalizer.normalize_str(text)
+        return [bytes(map(self.letters.__getitem__, w)) for w, _ in self.splits.pre_tokenizer.pre_tokenize_str(text)]
+
+    splits = None
+    walk: dict[int, int] = {}
+
+    def _learn(self, runs: set[str | bytes]) -> None:
         """Puts the ids of runs that are not known yet into the cache."""
-        parts = [[w.encode() for w in self.words(r)] for r in runs]
-        distinct = list(dict.fromkeys(w for p in parts for w in p))
-        ids = dict(zip(distinct, self.encode_words(distinct), strict=True))
-        for run, words in zip(runs, parts, strict=True):
-            self.new[run] = b"".join([ids[w] for w in words])
+        is_word, new, old = self.is_word, self.new, self.old
+        alone, marked, rest = {}, [], []
+        for r in runs:
+            if isinstance(r, bytes):
+                rest.append((r, [r]))
+            elif is_word(r):
+                alone[r] = None
+            elif r[-1] in MARKS and is_word(r[:-1]):
+                marked.append(r)
+            else:
+                rest.append((r, self.words(r)))
+        for r in marked:
+            word = r[:-1]
+            if word not in new:
+                if (known := old.get(word)) is None:
+                    alone[word] = None
+                else:
+                    new[word] = known
+        alone.update(dict.fromkeys({r[-1] for r in marked}.difference(new)))
+        # The bytes of all runs that are one word, without a step for each.
+        distinct = "\n".join(alone).encode().replace(b"\n", self.end + b"\n").split(b"\n") if alone else []
+        if alone:
+            distinct[-1] += self.end
+        named = len(distinct)
+        distinct += dict.fromkeys([w for _, words in rest for w in words])
+        ids = self.encode_words(distinct)
+        new.update(zip(alone, ids, strict=False))
+        of = dict(zip(distinct[named:], ids[named:], strict=True))
+        for run, words in rest:
+            new[run] = of[words[0]] if len(words) == 1 else b"".join([of[w] for w in words])
+        for r in marked:
+            new[r] = new[r[:-1]] + new[r[-1]]
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [RUNS.findall(t) if not self.special else self._pieces(t) for t in batch]
-        missing = {}
-        for runs in split:
-            for run in runs:
-                if run not in self.new:
-                    if (known := self.old.get(run)) is not None:
-                        self.new[run] = known
-                    else:
-                        missing[run] = None
-        self._learn([r for r in missing if r not in self.special])
-        for token, i in self.special.items():
-            self.new[token] = np.array([i], "<u4").tobytes()
-        out = [b"".join(map(self.new.__getitem__, runs)) for runs in split]
+        split = [self._pieces(t) for t in batch]
         if len(self.new) > CACHE:
             self.old, self.new = self.new, {}
-        return out
-
-    def _pieces(self, text: str) -> list[str]:
+        new, old = self.new, self.old
+        for token, i in self.special.items():
+            new[token] = np.array([i], "<u4").tobytes()
+        unmet = set().union(*split).difference(new)
+        again = unmet.intersection(old)
+        new.update(zip(again, map(old.__getitem__, again), strict=True))
+        self._learn(unmet.difference(again))
+        return [b"".join(map(new.__getitem__, runs)) for runs in split]
+
+    def _pieces(self, text: str) -> list[str | bytes]:
         """Runs, with each special token apart."""
         if not any(token in text for token in self.special):
-            return RUNS.findall(text)
-        out: list[str] = []
+            return self.runs(text)
+        out: list[str | bytes] = []
         for part in self.splitter.split(text):
-            out += [part] if part in self.special else RUNS.findall(part)
+            out += [part] if part in self.special else self.runs(part)
         return out
 
     def decode(self, ids: bytes) -> str:
@@ -274,17 +419,28 @@ class Bpe:
 
 
 class WordBpe(Bpe):
-    """BPE with ends of words, lower case and without white space; every word is merged exactly."""
+    """BPE with ends of words, lower case and without white space."""
 
-    def _prepare(self) -> None:
-        pass
+    end = END
 
-    def words(self, run: str) -> list[str]:
-        run = unicodedata.normalize("NFC", run).replace("\u03a3", "\u03c3").lower()
-        return [run] if run.isalpha() else LOWER_WORDS.findall(run)
+    def is_word(self, run: str) -> bool:
+        return run.isalpha()
 
-    def encode_words(self, words: list[bytes]) -> list[bytes]:
-        return self.merge(words)
+    def words(self, run: str) -> list[bytes]:
+        return [w.encode() + END for w in LOWER_WORDS.findall(run)]
+
+    def runs(self, text: str) -> list[str | bytes]:
+        if text.isascii():
+            text = text.lower()
+        elif _has_unassigned(text):
+            return [w + END for w in self._by_library(text)]
+        else:
+            text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+        return SOLID.findall(text) if SEPARATORS.search(text) else text.split()
+
+
+def _has_unassigned(text: str) -> bool:
+    return not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(text))
 
 
 @lru_cache(maxsize=2)
@@ -309,7 +465,7 @@ def encode_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             ids = bpe.encode(texts(part, "text"))
             columns = [part.column("id"), pa.array(ids, pa.binary())]
             names = [id_col, "ids"]

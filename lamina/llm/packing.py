@@ -8,6 +8,12 @@ places whole batches of alike pieces, longest first, into the class of sequences
 fits best under every constraint. Pieces then find their place by their rank among
 those of the same length: the ranks come from counts per task and a running sum, so
 nothing is sorted or gathered.
+
+The plan that the driver broadcasts has a bound of its own. A length splits at most one
+stretch of alike sequences and opens two, so with T tokens there are at most 3 T
+stretches; by ``norm`` each gets a length at most once, and at most sqrt(2 T) different
+lengths fit into a sequence. That makes 3 T sqrt(2 T) rows of 48 bytes, 19 MB for 2048
+tokens; by ``dot`` at most 3 T min(T, documents).
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.bpe import load
+from lamina.llm.bpe import SLICE, load
 from lamina.llm.common import cut, slices, texts
 
 
@@ -32,7 +38,8 @@ class Capacity:
     tokens: int = 2048
     documents: int = 2048
     attention: int = 2048 * 2048
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    #: Tokens first: of sequences with about as many tokens left, the one with least room for documents and attention.
+    weights: tuple[float, float, float] = (1.0, 0.01, 0.01)
     #: ``norm``: the least weighted residual norm; ``dot``: the largest weighted dot product.
     choose_by: str = "norm"
 
@@ -57,7 +64,7 @@ def tokenise(
         task = TaskContext.get().partitionId()
         end = np.array([separator], "<u4").tobytes()
         made = np.zeros(tokens + 1, np.int64)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             owner, piece, ids = [], [], []
             for row, whole in enumerate(bpe.encode(texts(part, "text"))):
                 whole += end
@@ -88,15 +95,19 @@ def tokenise(
 
 
 def best_fit(counts: dict[int, int], capacity: Capacity) -> np.ndarray:
-    """Rows (length, first rank, pieces, first sequence, offset): vector best-fit decreasing.
+    """Rows (length, first rank, pieces, first sequence, offset, pieces in each): vector best-fit decreasing.
 
-    Sequences with the same residuals form a class. Of the classes that can take a piece
-    under every capacity, the one with the best score takes as many as it has sequences.
+    Sequences with the same residuals form a class, kept as stretches of numbers. Of the
+    classes that can take a piece under every capacity, the one with the best score does,
+    of equals that with the least residuals. By ``norm`` a sequence that was best is
+    better still after it took a piece, so it takes as many as fit; by ``dot`` it is
+    worse then, so each sequence of the class takes one.
     """
     limits = np.array([capacity.tokens, capacity.documents, capacity.attention], np.float64)
     weights = np.array(capacity.weights)
+    fill = capacity.choose_by == "norm"
+    stretches: dict[tuple, list[tuple[int, int]]] = {}
     room = np.empty((0, 3))
-    bins: list[list[tuple[int, int]]] = []
     plan, opened = [], 0
     for length in sorted(counts, reverse=True):
         need = np.array([length, 1, length * length], np.float64)
@@ -104,48 +115,51 @@ def best_fit(counts: dict[int, int], capacity: Capacity) -> np.ndarray:
             raise ValueError(f"a piece of {length} tokens exceeds the capacity of a sequence")
         left, rank = counts[length], 0
         while left:
-            fits = np.flatnonzero((room >= need).all(axis=1)) if len(room) else np.empty(0, int)
+            fits = room[(room >= need).all(axis=1)]
             if len(fits):
-                share = room[fits] / limits
-                if capacity.choose_by == "dot":
-                    best = fits[np.argmax(share @ (weights * need / limits))]
-                else:
-                    best = fits[np.argmin((((room[fits] - need) / limits) ** 2) @ weights)]
-                after, source = room[best] - need, bins[best]
+                goodness = -(fits / limits @ (weights * need / limits)) if not fill else ((fits - need) / limits) ** 2 @ weights
+                spot = fits[np.lexsort((fits[:, 2], fits[:, 1], fits[:, 0], goodness))[0]]
+                source = stretches[tuple(spot)]
             else:
-                best, after = None, limits - need
-                # As many pieces as fit into one sequence may follow; sequences open one for each that can't.
-                each = int((limits // need).min())
-                source = [(opened, -(-left // each))]
+                spot, source = limits, [(opened, 1 if not fill else max(1, left // int((limits // need).min())))]
                 opened += source[0][1]
-            taken: list[tuple[int, int]] = []
-            offset = int(capacity.tokens - after[0] - length)
-            while left and source:
-                first, n = source.pop()
-                use = min(n, left)
-                plan.append((length, rank, use, first, offset))
-                taken.append((first, use))
-                if use < n:
-                    source.append((first + use, n - use))
-                rank, left = rank + use, left - use
-            if best is not None and not source:
-                room = np.delete(room, best, axis=0)
-                bins.pop(best)
-            elif best is None and source:
-                room, bins = np.vstack([room, limits]), [*bins, source]
-            same = np.flatnonzero((room == after).all(axis=1)) if len(room) else []
-            if len(same):
-                bins[same[0]] += taken
-            elif after[0] > 0 and after[1] > 0:
-                room, bins = np.vstack([room, after]), [*bins, taken]
-    return np.array(sorted(plan), np.int64).reshape(-1, 5)
+            most = int((spot // need).min()) if fill else 1
+            offset = int(capacity.tokens - spot[0])
+            first, n = source.pop()
+            each = min(most, left)
+            use = min(n, left // each)
+            if use < n:
+                source.append((first + use, n - use))
+            plan.append((length, rank, use * each, first, offset, each))
+            rank, left = rank + use * each, left - use * each
+            if not source and len(fits):
+                del stretches[tuple(spot)]
+                room = room[(room != spot).any(axis=1)]
+            elif source and not len(fits):
+                stretches[tuple(limits)] = source
+                room = np.vstack([room, limits])
+            after = tuple(spot - each * need)
+            if after[0] > 0 and after[1] > 0:
+                if after not in stretches:
+                    stretches[after] = []
+                    room = np.vstack([room, after])
+                stretches[after].append((first, use))
+    return np.array(sorted(plan), np.int64).reshape(-1, 6)
+
+
+def plan_bound(capacity: Capacity) -> int:
+    """The most rows that the plan of :func:`best_fit` has, whatever the corpus."""
+    t = capacity.tokens
+    each = int((2 * t) ** 0.5) + 1 if capacity.choose_by == "norm" else min(t, capacity.documents)
+    return 3 * t * each
 
 
 def pack(pieces: DataFrame, capacity: Capacity | None = None) -> DataFrame:
     """``pieces`` of :func:`tokenise`, or their columns but ``ids``, with ``sequence_id`` and ``offset``.
 
     ``pieces`` must give the same rows each time it is read, so cut its lineage first.
-    Sequences are gapless from offset 0. An empty table gives an empty result.
+    Sequences are gapless from offset 0. Ties of pieces of one length go by the task that
+    made them and their order in it. An empty table gives an empty result.
     """
     capacity = capacity or Capacity()
     per_task = pieces.groupBy("task", "length").agg(F.count("*").alias("__n"))
@@ -164,7 +178,8 @@ def pack(pieces: DataFrame, capacity: Capacity | None = None) -> DataFrame:
         # (length, first rank) ascends, so one search over both finds the step.
         scale = int(rows[:, 1].max()) + 1 if len(rows) else 1
         at = np.searchsorted(rows[:, 0] * scale + rows[:, 1], length.to_numpy() * scale + rank.to_numpy().clip(max=scale - 1), side="right") - 1
-        return pd.DataFrame({"sequence_id": rows[at, 3] + rank.to_numpy() - rows[at, 1], "offset": rows[at, 4]})
+        row, nth = rows[at], rank.to_numpy() - rows[at, 1]
+        return pd.DataFrame({"sequence_id": row[:, 3] + nth // row[:, 5], "offset": row[:, 4] + nth % row[:, 5] * row[:, 0]})
 
     keep = [c for c in pieces.columns if c not in ("task", "nth")]
     return ranked.withColumn("__place", place("length", "rank")).select(*keep, "__place.sequence_id", "__place.offset")

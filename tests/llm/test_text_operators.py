@@ -1,7 +1,9 @@
 """BPE, packing, toxicity, quality, chunking and licences against brute force."""
 
 import random
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -10,7 +12,8 @@ from tokenizers import Tokenizer
 
 from lamina.llm import bpe, licenses, packing, quality_cnn, queries, substring_dedup, toxicity
 
-ALPHABET = "ab cER\n\t'srテ😀éß<|endoftext|>0_."
+#: White space, controls that Python alone takes for white space, letters of late versions of Unicode and others.
+ALPHABET = "ab cER\n\t'srテ😀éß<|endoftext|>0_.\x1c\x1d\x1e\x1f\x0b\x0c\x85\xa0\u1680\u2003\u2028\u202f\u3000\u200b\x7fΣς\u1c89\ua7cb\u0558½²\u0301"
 
 
 def odd_texts(n=400, seed=3):
@@ -29,6 +32,28 @@ def test_ids_are_those_of_the_library(name):
             assert mine.decode(ids) == library.decode(want.ids, skip_special_tokens=False) == text
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_every_character_is_split_as_the_library_splits_it(name):
+    mine, library = bpe.load(queries.vocabulary(name)), Tokenizer.from_file(public_tokenizers.path(name))
+    points = [p for p in range(0x110000) if not 0xD800 <= p < 0xE000 and (p < 0x3100 or p % 41 == 0)]
+    texts = [f"a{chr(p)}b 1{chr(p)}2 .{chr(p)}. {chr(p)}{chr(p)} {chr(p)}A" for p in points]
+    for text, ids, want in zip(texts, mine.encode(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == want.ids, repr(text)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_without_end(name):
+    rng = random.Random(7)
+    mine, library = bpe.load(queries.vocabulary(name)), Tokenizer.from_file(public_tokenizers.path(name))
+    letters = ["abcdefghijklmnopqrstuvwxyz", "ab", "".join(map(chr, range(0x4E00, 0x9FFF))), ".-"]
+    texts = ["".join(rng.choice(x) for _ in range(n)) for x in letters for n in (255, 256, 257, 3000)] + ["a" * 5000, "information" * 400]
+    for text, ids, want in zip(texts, mine.encode(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == want.ids
+    began = time.process_time()
+    mine.encode(["".join(rng.choice(letters[0]) for _ in range(1_000_000)), "".join(rng.choice(letters[2]) for _ in range(300_000))])
+    assert time.process_time() - began < 60
+
+
 def test_compatible_pairs_are_those_that_merging_keeps():
     mine = bpe.load(queries.vocabulary("byte_bpe_50k.json"))
     rng = np.random.default_rng(2)
@@ -50,29 +75,67 @@ def test_encoding_of_odd_rows(spark):
     assert bpe.encode_documents(docs.limit(0), queries.vocabulary("byte_bpe_50k.json")).count() == 0
 
 
-@pytest.mark.parametrize(
-    "capacity",
-    [packing.Capacity(), packing.Capacity(documents=6), packing.Capacity(attention=2048 * 1024, documents=9, weights=(1, 1, 1), choose_by="dot")],
-)
-def test_packing_respects_every_capacity(capacity):
+CAPACITIES = [
+    packing.Capacity(), packing.Capacity(documents=6), packing.Capacity(tokens=100, documents=100, attention=100 * 100),
+    packing.Capacity(tokens=100, documents=5, attention=6000, weights=(1, 1, 1)),
+    packing.Capacity(tokens=100, documents=7, attention=7000, weights=(1, 1, 1), choose_by="dot"),
+]
+
+
+def one_by_one(lengths, capacity):
+    """Residuals of the sequences that vector best-fit makes, a piece at a time."""
+    limits, weights = np.array([capacity.tokens, capacity.documents, capacity.attention], float), np.array(capacity.weights)
+    room = []
+    for n in sorted(lengths, reverse=True):
+        need, best = np.array([n, 1, n * n], float), None
+        for i, r in enumerate(room):
+            if (r >= need).all():
+                score = ((r - need) / limits) ** 2 @ weights if capacity.choose_by == "norm" else -(r / limits @ (weights * need / limits))
+                best = min(best or (((np.inf,),)), ((score, *r), i))
+        if best is None:
+            room.append(limits - need)
+        else:
+            room[best[1]] = room[best[1]] - need
+    return Counter(tuple(map(int, r)) for r in room)
+
+
+@pytest.mark.parametrize("capacity", CAPACITIES)
+def test_packing_is_vector_best_fit(capacity):
     rng = random.Random(1)
-    most = 2048 if capacity.attention > 2048 * 2047 else 1400
-    lengths = [min(most, int(rng.lognormvariate(6, 1.2)) + 1) for _ in range(5000)]
-    plan = packing.best_fit({n: lengths.count(n) for n in set(lengths)}, capacity)
-    bins = {}
-    for length, _, n, first, offset in plan.tolist():
-        for k in range(first, first + n):
-            bins.setdefault(k, []).append((offset, length))
-    for held in bins.values():
-        end = 0
-        for offset, length in sorted(held):
-            assert offset == end
-            end += length
-        assert end <= capacity.tokens and len(held) <= capacity.documents
-        assert sum(n * n for _, n in held) <= capacity.attention
-    assert sorted(n for held in bins.values() for _, n in held) == sorted(lengths)
-    if capacity == packing.Capacity():
-        assert len(bins) <= -(-sum(lengths) // 2048) + 1
+    most = min(capacity.tokens, int(capacity.attention**0.5))
+    for n in (0, 1, 40, 900):
+        lengths = [min(most, int(rng.lognormvariate(3 if capacity.tokens == 100 else 6, 1.2)) + 1) for _ in range(n)]
+        plan = packing.best_fit(Counter(lengths), capacity)
+        assert len(plan) <= packing.plan_bound(capacity)
+        bins = {}
+        for length, _, pieces, first, offset, each in plan.tolist():
+            for k in range(pieces):
+                bins.setdefault(first + k // each, []).append((offset + k % each * length, length))
+        for held in bins.values():
+            end = 0
+            for offset, length in sorted(held):
+                assert offset == end
+                end += length
+        assert sorted(n for held in bins.values() for _, n in held) == sorted(lengths)
+        room = lambda held: (capacity.tokens - sum(n for _, n in held), capacity.documents - len(held), capacity.attention - sum(n * n for _, n in held))
+        got = Counter(map(room, bins.values()))
+        assert got == one_by_one(lengths, capacity) and all(min(r) >= 0 for r in got)
+        if capacity == packing.Capacity() and n:
+            assert len(bins) <= -(-sum(lengths) // 2048) + 1
+
+
+def test_the_plan_of_any_corpus_is_bounded():
+    rng = np.random.default_rng(3)
+    for _ in range(3):
+        counts = {int(n): int(c) for n, c in zip(rng.permutation(2048)[:1500] + 1, rng.integers(1, 10**9, 1500), strict=True)}
+        assert len(packing.best_fit(counts, packing.Capacity())) <= packing.plan_bound(packing.Capacity()) < 400_000
+
+
+def test_all_residuals_take_part():
+    # Both sequences have ten tokens left; that with two pieces has less room for documents, that with one for attention.
+    place = lambda weights: {row[0]: row[3] for row in packing.best_fit({90: 1, 45: 2, 10: 1}, packing.Capacity(100, 100, 10000, weights)).tolist()}
+    by_documents, by_attention = place((1, 0.01, 0)), place((1, 0, 0.01))
+    assert by_documents[10] == by_documents[45] and by_attention[10] == by_attention[90]
 
 
 def test_packed_documents(spark):
