@@ -26,25 +26,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the session's checkpoint folder and reads it from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for files that other executors must see, named by ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` names a folder that all executors share. Only where it
-    is unset, as in tests, a temporary folder is used. The files go when the result
-    is no longer referenced and ``spark.cleaner.referenceTracking.cleanCheckpoints``
-    is on.
+    Where it is unset, a session of one machine (a local master, as in tests) gets a
+    temporary folder; on a cluster that would lose files, so there it is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", "") and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    named = spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
+        context.setCheckpointDir(named)
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the folder of :func:`shared_folder` and reads it from there.
+
+    The files go when the result is no longer referenced and
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for files that other executors must see."""
-    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    return named or "file://" + tempfile.mkdtemp(prefix="shared-")
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder, in whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(text):

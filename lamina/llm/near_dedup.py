@@ -10,7 +10,11 @@ same set are one node from the start.
 In a bucket no list of all pairs is made. Every member is compared with a leader, the
 smallest, and groups of copies are mostly connected by that. In the buckets that are
 not, the members outside the largest component are compared with all others, in blocks
-of bounded size that give nothing but links. So no link between candidates is lost.
+of bounded size that give nothing but links. So no link between candidates is lost. A
+bucket of n sets that are all unlike, which takes texts that agree on a band by chance or
+by design, ships each set once for every block of others, n * n / BLOCK in all.
+
+Buckets, leaders and labels that many rows share are dealt over many tasks.
 """
 
 from __future__ import annotations
@@ -138,15 +142,32 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame) -> Data
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets meet the threshold."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    """Those of the pairs (a, b) whose full sets meet the threshold; a set of ``a`` goes to one task for every ``BLOCK`` pairs."""
+    fans = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / BLOCK))
+    fans = cut(fans)
+    total = fans.agg(F.sum("n")).first()[0] or 1
+    part = F.pmod(F.xxhash64("b"), F.col("parts"))
+    dealt = join_groups(pairs, fans, ["a"], "n", total).select("a", "b", part.alias("part"))
+    left = sets.withColumnRenamed("node", "a").join(fans, "a").select(
+        "a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.col("shingles").alias("sa")
+    )
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
+    both = dealt.join(left, ["a", "part"]).join(right, "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     met = both.select("a", "b", shared.alias("i"), (F.size("sa") + F.size("sb") - shared).alias("u"))
     return met.where(F.col("i") * 100 >= F.col("u") * PERCENT).select("a", "b")
 
 
+def _relabel(labels: DataFrame, moved: DataFrame) -> DataFrame:
+    """(node, label) with the labels that ``moved`` (label, to) names replaced; labels that many nodes have are dealt out."""
+    sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
+    groups = cut(moved.join(sizes, "label"))
+    total = groups.agg(F.sum("n")).first()[0]
+    if total is None:
+        return labels
+    return cut(join_groups(labels, groups, ["label"], "n", total).select("node", F.coalesce("to", "label").alias("label")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of the edges (a, b): the smallest node connected to it.
 
@@ -165,29 +186,30 @@ def components(edges: DataFrame) -> DataFrame:
         edges = cut(
             drawn.where("ra <> rb").select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct()
         )
-        labels = cut(labels.join(hook.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+        labels = _relabel(labels, hook.toDF("label", "to"))
     while True:
-        onward = labels.where("node <> label").toDF("label", "next")
+        onward = labels.where("node <> label").toDF("label", "to")
         if onward.join(labels.select("label").distinct(), "label", "left_semi").isEmpty():
             return labels
-        labels = cut(labels.join(onward, "label", "left").select("node", F.coalesce("next", "label").alias("label")))
+        labels = _relabel(labels, onward)
 
 
-def _buckets(members: DataFrame) -> DataFrame:
-    """(bucket, node, first) of buckets with two nodes or more, each set of nodes once."""
+def _buckets(members: DataFrame, total: int) -> DataFrame:
+    """(bucket, node, first) of buckets with two nodes or more, each set of nodes once; ``total`` members in all."""
     summary = members.groupBy("bucket").agg(
         F.count("*").alias("n"), F.min("node").alias("first"), F.sum(F.xxhash64("node") % (1 << 40)).alias("s1"),
         F.sum(F.xxhash64("node", F.lit(1)) % (1 << 40)).alias("s2"),
     )
-    alike = summary.where("n > 1").groupBy("n", "first", "s1", "s2").agg(F.min("bucket").alias("bucket"))
-    return members.join(alike.select("bucket", "first"), "bucket").select("bucket", "node", "first")
+    alike = cut(summary.where("n > 1").groupBy("n", "first", "s1", "s2").agg(F.min("bucket").alias("bucket")).select("bucket", "first", "n"))
+    return join_groups(members, alike, ["bucket"], "n", total).where("first is not null").select("bucket", "node", "first")
 
 
 def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of the buckets that hold several components, with their labels."""
     known = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    mixed = known.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    return known.join(mixed.select("bucket"), "bucket", "left_semi")
+    mixed = known.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    mixed = cut(mixed.select("bucket", "n"))
+    return join_groups(known, mixed, ["bucket"], "n", members.count()).where("n is not null").drop("n")
 
 
 def _blockwise_links(left: DataFrame, sets: DataFrame) -> DataFrame:
@@ -201,7 +223,8 @@ def _blockwise_links(left: DataFrame, sets: DataFrame) -> DataFrame:
     main = size.groupBy("bucket").agg(
         F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("outside")
     )
-    placed = left.join(main, "bucket").select(
+    main = cut(main)
+    placed = join_groups(left, main, ["bucket"], "n", main.agg(F.sum("n")).first()[0] or 1).select(
         "bucket", "node", "label", (F.col("label") != F.col("main")).alias("asks"),
         F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil(F.col("outside") / BLOCK).alias("query_blocks"),
     )
@@ -271,7 +294,7 @@ def _settled(docs: DataFrame) -> DataFrame:
     leading = groups.select("node", F.col("own.id").alias("own_id"), F.col("own.at").alias("own_at"))
     of_own = (F.col("high") == F.col("node")) & F.col("id").eqNullSafe(F.col("own_id")) & (F.col("at") == F.col("own_at"))
     first = filled.join(leading, of_own).select("node", "keys").dropDuplicates(["node"])
-    members = cut(_buckets(_exploded(first)))
+    members = cut(_buckets(_exploded(first), BANDS * groups.count()))
     star = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     wanted = members.select("node").distinct()
     sets = cut(_sets(docs, "id", "text", leading.toDF("node", "id", "at").join(wanted, "node")))
@@ -284,12 +307,8 @@ def _settled(docs: DataFrame) -> DataFrame:
         # Labels of labels: only components that a new link joins change.
         ends = new.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")
         joined = components(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
-        moved = joined.toDF("label", "to")
         fresh = joined.join(labels, "node", "left_anti")
-        labels = cut(
-            labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-            .unionByName(fresh.select("node", "label"))
-        )
+        labels = cut(_relabel(labels, joined.toDF("label", "to")).unionByName(fresh.select("node", "label")))
     labelled = cut(groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     leads = labelled.groupBy("label").agg(F.min("own").alias("lead"), F.count("*").alias("sets"))
     named = join_groups(labelled.select("high", "low", "copies", "label"), leads.where("sets > 1"), ["label"], "sets", total)
@@ -322,7 +341,13 @@ def mark_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: one with the smallest id, whatever ids repeat or are null."""
+    """``docs`` with one row of each component: one with the smallest id, whatever ids repeat or are null.
+
+    A null id is larger than all others. Of rows alike in id and text one stays. Texts
+    that are null, empty or without words are linked with nothing, and all such rows
+    stay. Ids may have any type; the columns keep theirs, whatever their names. An empty
+    table gives an empty result.
+    """
     rows = cut(_settled(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))))
     leads = F.col("id").eqNullSafe(F.col("lead.id")) & (F.col("at") == F.col("lead.at"))
     lost = rows.where((F.col("n") > 0) & ~leads).select(F.col("id").alias("__lost"), F.col("at").alias("__at")).distinct()
