@@ -1,11 +1,18 @@
 """Removal of repeated passages by content-defined chunking.
 
 A gear rolling hash runs over the bytes of each text; a chunk ends behind a white space
-where the hash of the bytes before it has its low bits zero. Ends depend on the last
-``REACH`` bytes alone, so an insertion moves only the ends near it. Chunks are
-deduplicated by digest: the first occurrence in the order of (id, place) stays. Runs of
-neighbouring chunks that occur earlier are repeated passages if they are long enough;
-the parts of a passage before its first and behind its last whole chunk stay.
+where the hash of the bytes before it has its low bits zero. Where the last ``BARE`` bytes
+have no white space, as in scripts that use none, a chunk may end at any letter, one in
+sixteen. Ends depend on the last ``BARE`` bytes alone, so an insertion moves only the ends
+near it. Chunks are deduplicated by digest: the first occurrence in the order of (id,
+place) stays. Runs of neighbouring chunks that occur earlier are repeated passages if they
+are long enough; the parts of a passage before its first and behind its last whole chunk
+stay.
+
+Digests have 128 bits. Chunks that no other has a slot with in a bit map of all digests
+are left out before anything is shuffled; the slots of a task go to the map as packed
+pages, two bytes each. The map has at most ``MOST_BITS`` bits, so that it can be broadcast;
+beyond 2**27 chunks more of them pass it, which costs traffic and changes no result.
 """
 
 from __future__ import annotations
@@ -19,15 +26,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.llm.common import cut, join_groups, raw_texts, slices
-from lamina.llm.exact_dedup import filter_bits, repeat_filter, tested
 
 #: Bytes that the hash looks back on.
 REACH = 32
 #: One white space in four ends a chunk, so chunks have about four words.
 MASK = np.uint32(0x3 << 29)
-LONGEST = 256
+#: Without white space in so many bytes, one letter in sixteen ends a chunk.
+BARE = 64
+BARE_MASK = np.uint32(0xF << 27)
+#: A chunk without an end of its own ends here; such text repeats itself, since the hash of others meets the mask sooner.
+LONGEST = 1024
 #: Words a run of repeated chunks must have. Passages of 50 words lose about four on either side.
 LEAST_WORDS = 25
+#: A run of more bytes without white space counts as a word for every six, which are two letters of such scripts.
+LONG_WORD = 48
+#: Slots of one page of the bit map, and bits of the whole at most: 32 MB.
+PAGE_SLOTS, MOST_BITS = 1 << 16, 1 << 28
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -57,23 +71,33 @@ def rolling(data: np.ndarray) -> np.ndarray:
 
 def cut_points(texts: list[bytes]) -> list[list[int]]:
     """Ends of the chunks of each text."""
-    gap = bytes(REACH)
+    gap = bytes(BARE)
     data = np.frombuffer(gap.join(texts) + gap, np.uint8)
-    ends = np.flatnonzero(((rolling(data) & MASK) == 0) & _SPACE[data]) + 1
+    hashed = rolling(data)
+    space = _SPACE[data]
+    ends = np.flatnonzero(((hashed & MASK) == 0) & space) + 1
+    # The bytes since the last white space, or since the padding before the text.
+    at = np.arange(len(data))
+    last = np.maximum.accumulate(np.where(space | (data == 0), at, -1))
+    bare = np.flatnonzero(((hashed & BARE_MASK) == 0) & (at - last >= BARE)) + 1
+    bare = bare[bare < len(data)]
+    bare = bare[(data[bare] & 0xC0) != 0x80]
+    if len(bare):
+        ends = np.union1d(ends, bare)
     out, start = [], 0
     for text in texts:
         stop = start + len(text)
         a, b = np.searchsorted(ends, [start, stop], side="right")
-        own, last = [], 0
+        own, last_end = [], 0
         for end in [*(ends[a:b] - start).tolist(), len(text)]:
-            while end - last > LONGEST:
-                last = _letter(text, last + LONGEST)
-                own.append(last)
-            if end > last:
+            while end - last_end > LONGEST:
+                last_end = _letter(text, last_end + LONGEST)
+                own.append(last_end)
+            if end > last_end:
                 own.append(end)
-                last = end
+                last_end = end
         out.append(own)
-        start = stop + REACH
+        start = stop + BARE
     return out
 
 
@@ -85,38 +109,117 @@ def _letter(text: bytes, at: int) -> int:
     return at
 
 
-def chunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, key, nth, start, size, words, digest) of every chunk; starts and sizes in bytes of UTF-8.
+def count_words(piece: bytes) -> int:
+    """Words of a chunk; long runs without white space count as several."""
+    words = piece.split()
+    if len(piece) <= LONG_WORD:
+        return len(words)
+    return sum(1 if len(w) <= LONG_WORD else len(w) // 6 for w in words)
+
+
+def digests(pieces: list[bytes]) -> np.ndarray:
+    """The 128-bit digest of each chunk, as two integers."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, pieces)), ">i8").astype(np.int64).reshape(-1, 2)
+
+
+def _pieces(text: bytes, ends: list[int]) -> list[bytes]:
+    return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def _slot_bits(docs: DataFrame) -> int:
+    """Bits of the map: eight for a chunk of thirty bytes, within the bound."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = PAGE_SLOTS
+    while bits < 8 * size / 30 and bits < MOST_BITS:
+        bits *= 2
+    return bits
+
+
+def repeated_slots(docs: DataFrame, bits: int) -> np.ndarray:
+    """A bit map of the slots that two chunks or more of ``docs`` (text) have."""
+    pages = bits // PAGE_SLOTS
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", 4 << 20):
+            found = [digests(_pieces(t, e)) for texts in [raw_texts(part, "text")] for t, e in zip(texts, cut_points(texts), strict=True) if t]
+            if not found:
+                continue
+            slots, n = np.unique(np.concatenate(found)[:, 0] & (bits - 1), return_counts=True)
+            slots = np.repeat(slots, np.minimum(n, 2))
+            page = slots // PAGE_SLOTS
+            first = np.flatnonzero(np.r_[True, page[1:] != page[:-1]])
+            raw = (slots % PAGE_SLOTS).astype("<u2").tobytes()
+            ends = [*(2 * first[1:]).tolist(), len(raw)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(page[first]), pa.array([raw[a:b] for a, b in zip((2 * first).tolist(), ends, strict=True)], pa.binary())],
+                names=["page", "slots"],
+            )
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pages of this partition; a count for each slot of those, one byte, up to two."""
+        counts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for page, raw in zip(batch.column("page").to_pylist(), batch.column("slots").to_pylist(), strict=True):
+                slots = np.frombuffer(raw, "<u2").astype(np.int64)
+                own = counts.setdefault(page, np.zeros(PAGE_SLOTS // 4, np.uint8))
+                # Two bits a slot: met once, met again.
+                twice = np.flatnonzero(slots[1:] == slots[:-1])
+                byte, shift = slots >> 2, ((slots & 3) * 2).astype(np.uint8)
+                again = (own[byte] >> shift) & 1
+                again[twice] = 1
+                np.bitwise_or.at(own, byte, (1 << shift) | (again << (shift + 1)))
+        for page, own in counts.items():
+            bits_ = np.stack([(own >> (2 * k + 1)) & 1 for k in range(4)], axis=1).ravel()
+            if bits_.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([page]), pa.array([np.packbits(bits_, bitorder="little").tobytes()], pa.binary())], names=["page", "map"]
+                )
+
+    # A partition merges its pages in 16 KB each.
+    made = docs.mapInArrow(packed, "page long, slots binary").repartition("page").mapInArrow(merged, "page long, map binary")
+    out = np.zeros((pages, PAGE_SLOTS // 8), np.uint8)
+    for r in made.toLocalIterator():  # at most MOST_BITS bits in all
+        out[r["page"]] = np.frombuffer(r["map"], np.uint8)
+    return out.ravel()
+
+
+def chunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots=None) -> DataFrame:
+    """(id, key, nth, start, size, words, d1, d2) of every chunk; starts and sizes in bytes of UTF-8.
 
     ``key`` is the column ``__key`` of ``docs``, which tells rows with one id apart, or 0.
+    With ``slots``, a broadcast bit map, only of chunks whose slot is set.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1 << 19):
             texts = raw_texts(part, "text")
-            owner, nth, starts, sizes, words, digests = [], [], [], [], [], []
-            for row, (text, ends) in enumerate(zip(texts, cut_points(texts), strict=True)):
-                last = 0
-                for n, end in enumerate(ends):
-                    piece = text[last:end]
-                    owner.append(row)
-                    nth.append(n)
-                    starts.append(last)
-                    sizes.append(end - last)
-                    words.append(len(piece.split()))
-                    digests.append(xxhash.xxh3_64_intdigest(piece) - (1 << 63))
-                    last = end
+            ends = cut_points(texts)
+            pieces = [p for t, e in zip(texts, ends, strict=True) for p in _pieces(t, e)]
+            if not pieces:
+                continue
+            each = np.fromiter(map(len, ends), np.int64, len(ends))
+            owner = np.repeat(np.arange(len(ends)), each)
+            digest = digests(pieces)
+            stop = np.concatenate([np.array(e, np.int64) for e in ends])
+            size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+            nth = np.arange(len(pieces)) - np.repeat(np.cumsum(each) - each, each)
+            keep = np.arange(len(pieces))
+            if slots is not None:
+                bitmap = slots.value
+                slot = digest[:, 0] & (8 * len(bitmap) - 1)
+                keep = np.flatnonzero((bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+            words = np.fromiter((count_words(pieces[i]) for i in keep.tolist()), np.int64, len(keep))
             yield pa.RecordBatch.from_arrays(
-                [part.column(c).take(pa.array(owner, pa.int64())) for c in ("id", "key")]
-                + [pa.array(c, pa.int32()) for c in (nth, starts, sizes, words)]
-                + [pa.array(digests, pa.int64())],
-                names=["id", "key", "nth", "start", "size", "words", "digest"],
+                [part.column(c).take(pa.array(owner[keep])) for c in ("id", "key")]
+                + [pa.array(c.astype(np.int32)) for c in (nth[keep], (stop - size)[keep], size[keep], words)]
+                + [pa.array(np.ascontiguousarray(digest[keep, k])) for k in (0, 1)],
+                names=["id", "key", "nth", "start", "size", "words", "d1", "d2"],
             )
 
     key = F.col("__key") if "__key" in docs.columns else F.lit(0).cast("long")
     rows = docs.select(F.col(id_col).alias("id"), key.alias("key"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, key long, nth int, start int, size int, words int, digest long")
+    return rows.mapInArrow(run, f"id {kind}, key long, nth int, start int, size int, words int, d1 long, d2 long")
 
 
 def repeated_passages(
@@ -124,37 +227,36 @@ def repeated_passages(
 ) -> DataFrame:
     """(id, start, size, words, first_ids) of every passage that occurred before.
 
-    ``start`` and ``size`` count bytes of UTF-8; ``first_ids`` has the ids that hold the
-    first occurrences of its chunks. Null and empty texts have no passages. Rows without
-    an id are left alone, and their chunks don't count as occurrences. Rows that repeat an
-    id are told apart by their texts; two rows with one id and one text count as one. An
-    empty table gives an empty result.
+    ``start`` and ``size`` count bytes of UTF-8; ``first_ids`` has the ids, but null ones,
+    that hold the first occurrences of its chunks. Null and empty texts have no passages.
+    Rows without an id come last in the order of occurrence. Rows that repeat an id, or
+    have none, are told apart by their texts; two rows with one id and one text count as
+    one. An empty table gives an empty result; other columns are ignored.
     """
     return _passages(docs, id_col, text_col, least_words).drop("__key")
 
 
 def _passages(docs: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
-    """The passages, and in ``__key`` the hash of their text, or 0 where no id repeats."""
-    docs = docs.where(F.col(id_col).isNotNull())
+    """The passages, and in ``__key`` the hash of their text, or 0 where every row has an id of its own."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # The hash goes with every chunk, so only where it is needed.
-    unique = docs.groupBy(id_col).count().where("count > 1").isEmpty()
-    docs = docs.select(id_col, text_col, (F.lit(0).cast("long") if unique else F.xxhash64(text_col)).alias("__key"))
-    chunks = chunk(docs, id_col, text_col)
-    counts = cut(chunks.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1"))
-    sums = counts.agg(F.count("*").alias("digests"), F.sum("n").alias("rows")).first()
-    # Only chunks that the filter of repeated digests lets through are shuffled.
-    bits = filter_bits(sums["digests"])
-    seen = cut(repeat_filter(counts, "digest", bits, least=1))
-    maybe = cut(tested(chunks, seen, bits, "digest").where("__maybe").drop("__maybe"))
+    unique = docs.groupBy("id").count().where("count > 1 or id is null").isEmpty()
+    docs = docs.withColumn("__key", F.lit(0).cast("long") if unique else F.xxhash64("text"))
+    slots = spark.sparkContext.broadcast(repeated_slots(docs.select("text"), _slot_bits(docs)))
+    maybe = cut(chunk(docs, "id", "text", slots))
     groups = cut(
-        maybe.groupBy("digest").agg(F.min(F.struct("id", "key", "nth")).alias("first"), F.count("*").alias("n"))
-        .where("n > 1").select("digest", F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key"), F.col("first.nth").alias("first_nth"), "n")
+        maybe.groupBy("d1", "d2").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key", "nth")).alias("first"), F.count("*").alias("n"))
+        .where("n > 1").select("d1", "d2", F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key"), F.col("first.nth").alias("first_nth"), "n")
     )
-    copies = join_groups(maybe, groups, ["digest"], "n", max(sums["rows"] or 0, 1)).where(
-        "first_id is not null and not (id = first_id and key = first_key and nth = first_nth)"
+    total = groups.agg(F.sum("n")).first()[0] or 1
+    copies = join_groups(maybe, groups, ["d1", "d2"], "n", total).where(
+        "first_nth is not null and not (id <=> first_id and key = first_key and nth = first_nth)"
     )
+    # Dealt out by row once, for what follows: repeated rows, runs and passages.
+    dealt = copies.select("id", "key", "nth", "start", "size", "words", "first_id").repartition("id", "key")
     order = Window.partitionBy("id", "key").orderBy("nth")
-    runs = copies.dropDuplicates(["id", "key", "nth"]).withColumn("run", F.col("nth") - F.row_number().over(order))
+    runs = dealt.dropDuplicates(["id", "key", "nth"]).withColumn("run", F.col("nth") - F.row_number().over(order))
     found = runs.groupBy("id", "key", "run").agg(
         F.min("start").alias("start"), F.sum("size").cast("int").alias("size"), F.sum("words").cast("int").alias("words"),
         F.array_sort(F.collect_set("first_id")).alias("first_ids"),
@@ -163,16 +265,19 @@ def _passages(docs: DataFrame, id_col: str, text_col: str, least_words: int) ->
 
 
 def remove_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the passages cut out of their texts; other columns stay as they are.
+    """``docs`` with the passages cut out of their texts; other columns stay as they are, whatever their names.
 
-    ``__key`` of the passages, if it is there and not 0, is the hash of the text that they belong to.
+    ``__key`` of the passages, if it is there and not 0, is the hash of the text that they
+    belong to. Rows without passages, with null texts among them, pass through unchanged,
+    and so do repeated rows; a text that is a passage as a whole becomes empty. An empty
+    table gives an empty result.
     """
     key = F.col("__key") if "__key" in passages.columns else F.lit(0).cast("long")
     spans = passages.groupBy(F.col(id_col).alias("__id"), key.alias("__of")).agg(
         F.array_sort(F.collect_list(F.struct("start", "size"))).alias("__spans")
     )
     own = (F.col("__of") == 0) | (F.col("__of") == F.xxhash64(docs[text_col]))
-    joined = docs.join(spans, (docs[id_col] == F.col("__id")) & own, "left")
+    joined = docs.join(spans, docs[id_col].eqNullSafe(F.col("__id")) & own, "left")
 
     @F.pandas_udf("string")
     def without(text, starts, sizes):
@@ -196,4 +301,5 @@ def remove_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id"
 
 
 def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the passages of :func:`repeated_passages`; what that says of odd rows holds here."""
     return remove_passages(docs, cut(_passages(docs, id_col, text_col, LEAST_WORDS)), id_col, text_col)

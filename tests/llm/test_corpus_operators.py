@@ -347,3 +347,79 @@ def test_passages_of_repeated_ids(spark):
     assert {rows[0][1], own, None, "é"} <= texts
     (rest,) = texts - {rows[0][1], own, None, "é"}
     assert rest.split()[:18] == rows[2][1].split()[:18] and len(rest.split()) < 75
+
+
+def passages_truth(rows):
+    """Chunks by their ends, first occurrences and runs, all in memory."""
+    least = substring_dedup.LEAST_WORDS
+    order = lambda r: (r[0] is None, r[0] or 0, r[1])
+    chunks = {}
+    for i, t in set(rows):
+        if t:
+            raw = t.encode()
+            (ends,) = substring_dedup.cut_points([raw])
+            chunks[i, t] = [(a, raw[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+    first = {}
+    for key in sorted(chunks, key=lambda k: order((k[0], hash_of[k[1]]))):
+        for n, (_, piece) in enumerate(chunks[key]):
+            first.setdefault(piece, (key, n))
+    out = Counter()
+    for key, own in chunks.items():
+        run = []
+        for n, (a, piece) in enumerate([*own, (None, None)]):
+            if piece is not None and first[piece] != (key, n):
+                run.append((a, piece))
+            elif run:
+                words = sum(substring_dedup.count_words(p) for _, p in run)
+                if words >= least:
+                    ids = tuple(sorted({first[p][0][0] for _, p in run if first[p][0][0] is not None}))
+                    out[key[0], run[0][0], sum(len(p) for _, p in run), words, ids] += 1
+                run = []
+    return out
+
+
+hash_of = {}
+
+
+@pytest.mark.parametrize("joined", [" ", ""])
+def test_passages_are_those_of_brute_force(spark, joined):
+    rng = random.Random(31)
+    letters = "abcdefghij" if joined else "".join(map(chr, range(0x4E00, 0x5200)))
+    words = lambda n: joined.join("".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(n))
+    passages = [words(rng.randint(30, 90)) for _ in range(6)]
+    rows = []
+    for i in range(60):
+        parts = [words(rng.randint(0, 40))]
+        for _ in range(rng.randint(0, 3)):
+            parts += [rng.choice(passages), words(rng.randint(1, 30))]
+        rows.append((rng.choice([i, i, i, 3, None]), joined.join(parts)))
+    rows += [rows[0], rows[5], (70, None), (71, ""), (3, None), (72, words(20_000) + joined + passages[0]), (73, "a" * 5000), (74, "a" * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hash_of.update({r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()})
+    got = Counter((r.doc_id, r.start, r.size, r.words, tuple(r.first_ids)) for r in substring_dedup.repeated_passages(docs.repartition(4)).collect())
+    assert got == passages_truth(rows) and len(got) > 20
+    cleaned = substring_dedup.drop_repeated_passages(docs).collect()
+    assert len(cleaned) == len(rows) and sum(len(r.text or "") for r in cleaned) < sum(len(t or "") for _, t in rows)
+    texts = {(i, t) for i, t in rows}
+    assert {(r.doc_id, r.text) for r in cleaned} >= {(70, None), (71, ""), (3, None)} & texts
+
+
+def test_a_passage_without_white_space_is_found(spark):
+    rng = random.Random(32)
+    text = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(n))
+    passage = text(4000)
+    docs = spark.createDataFrame([(1, text(500) + passage + text(300)), (2, text(7) + passage), (3, text(3000))], "doc_id long, text string")
+    cleaned = {r.doc_id: r.text for r in substring_dedup.drop_repeated_passages(docs).collect()}
+    assert len(cleaned[1]) == 4800 and len(cleaned[3]) == 3000 and len(cleaned[2]) < 200
+
+
+def test_slots_that_two_chunks_have(spark):
+    docs = spark.createDataFrame([("one two three four five " * 9,), ("own words of this text only",), (None,), ("",)], "text string").repartition(3)
+    bits = substring_dedup.repeated_slots(docs, substring_dedup.PAGE_SLOTS)
+    slots = Counter()
+    for r in docs.collect():
+        raw = (r.text or "").encode()
+        (ends,) = substring_dedup.cut_points([raw])
+        if ends:
+            slots.update((substring_dedup.digests(substring_dedup._pieces(raw, ends))[:, 0] & (substring_dedup.PAGE_SLOTS - 1)).tolist())
+    assert set(np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist()) == {k for k, n in slots.items() if n > 1}
