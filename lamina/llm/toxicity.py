@@ -1,17 +1,18 @@
 """Toxicity by a lexicon that tolerates misspellings, with regard to quotation.
 
-The lexicon is a trie of terms and of stems (beginnings of words). Terms of at least
-``FUZZY_FROM`` letters also match words at one edit. Trie and Levenshtein automata are
-intersected into one automaton whose states are built as words reach them, so a word is
-read once, and left as soon as no term can match it. Each match is weighed by the words
-around it: between quotation marks, or near words of reporting, it counts for less. A
-logistic model makes one probability of the weighed matches of a document.
+The lexicon is a trie of terms and of stems (beginnings of words). Terms and stems of at
+least ``FUZZY_FROM`` letters also match at one edit: a letter more, less or changed, or two
+neighbours swapped. Shorter ones of at least ``SHORT_FROM`` letters match at a swap, or
+where a sign or digit stands for a letter, which other words hardly do. Trie and
+Levenshtein automata are intersected into one automaton whose states are built as words
+reach them, so a word is read once, and left as soon as no term can match it. Each match
+is weighed by the words around it: between quotation marks, or near words of reporting, it
+counts for less. A logistic model makes one probability of the weighed matches.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 
 from lamina.llm.common import slices, texts
 
-FUZZY_FROM = 5
+FUZZY_FROM, SHORT_FROM = 5, 4
 WINDOW = 8
+#: Letters of the beginnings that may be stems. A longer beginning starts with one of these; words are terms at any length.
+STEM_LETTERS = (3, 9)
 #: Words that tell of speech rather than speak, in en, es, fr and de.
 REPORTING = frozenset(
     "said says say quote quoted quotes wrote writes called term word dijo dice cita palabra llamado"
@@ -34,7 +37,8 @@ REPORTING = frozenset(
 MARK = re.compile(r"[\"“”«»„]|\n[^\S\n]*\n")
 CLOSES = {'"': '"„', "“": "„", "”": "“„”", "«": "»", "»": "«»"}
 QUOTED_LINE = re.compile(r"^>[^\n]*", re.MULTILINE)
-WORD = re.compile(r"[^\W\d_]+")
+#: Letters and digits, and signs within a word that may stand for letters.
+WORD = re.compile(r"[^\W_](?:[*@$!]?[^\W_])*")
 FEATURES = 5
 
 
@@ -69,54 +73,70 @@ def quotations(text: str) -> list[tuple[int, int]]:
 class Automaton:
     """The trie of a lexicon intersected with Levenshtein automata of one edit.
 
-    A state is a set of positions (trie node, edits so far). ``EXACT`` and ``FUZZY`` say
-    how a word matches; a word that runs into a stem matches whatever follows.
+    A state is a set of positions (trie node, edits so far, letter that a swap still
+    wants). ``EXACT`` and ``FUZZY`` say how a word matches; a word that runs into a stem
+    matches whatever follows.
     """
 
     EXACT, FUZZY = 1, 2
+    #: The node of words that have run into a stem with an edit.
+    WITHIN = -1
 
     def __init__(self, terms: list[str], stems: list[str]):
         self.children: list[dict[str, int]] = [{}]
-        self.ends = [False]
-        self.stems = [False]
-        self.rest = [0]  # length of the longest term below that may be misspelled
+        self.ends, self.stems = [False], [False]
+        # What edits may still lead to below a node: terms at any edit, terms at a swap or sign, stems likewise.
+        self.any_edit, self.some_edit = [False], [False]
         for word, marks in [(t, self.ends) for t in terms] + [(s, self.stems) for s in stems]:
             node, path = 0, [0]
             for letter in word:
                 if letter not in self.children[node]:
                     self.children[node][letter] = len(self.children)
                     self.children.append({})
-                    for table in (self.ends, self.stems):
+                    for table in (self.ends, self.stems, self.any_edit, self.some_edit):
                         table.append(False)
-                    self.rest.append(0)
                 node = self.children[node][letter]
                 path.append(node)
             marks[node] = True
-            if marks is self.ends and len(word) >= FUZZY_FROM:
-                for n in path:
-                    self.rest[n] = max(self.rest[n], len(word))
-        self.depth_ok = {n for n, r in enumerate(self.rest) if r}
+            for n in path:
+                self.any_edit[n] |= len(word) >= FUZZY_FROM
+                self.some_edit[n] |= len(word) >= SHORT_FROM
+        self.length = [0] * len(self.children)
+        for node, after in enumerate(self.children):
+            for n in after.values():
+                self.length[n] = self.length[node] + 1
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.accepts: list[int] = []
         self.moves: list[dict[str, int]] = []
-        self.start = self._state({(0, 0)})
+        self.start = self._state({(0, 0, "")})
+
+    # Edits of a position: 0 none, 1 a swap or a sign for a letter, 2 any other.
+    def _open(self, node: int, edits: int) -> bool:
+        return edits == 0 or (self.some_edit[node] if edits == 1 else self.any_edit[node])
+
+    def _done(self, node: int, edits: int, table: list[bool]) -> bool:
+        return table[node] and (edits == 0 or self.length[node] >= (SHORT_FROM if edits == 1 else FUZZY_FROM))
 
     def _closure(self, positions: set) -> frozenset:
         """With a letter of the term left out, at the price of an edit."""
         out = set(positions)
-        for node, edits in positions:
-            if edits == 0:
-                out.update((n, 1) for n in self.children[node].values() if n in self.depth_ok)
-        return frozenset(p for p in out if p[1] == 0 or (p[0], 0) not in out)
+        for node, edits, want in positions:
+            if edits == 0 and node != self.WITHIN:
+                out.update((n, 2, "") for n in self.children[node].values() if self.any_edit[n])
+        # Running into a stem with an edit settles all but an exact match.
+        if any(node != self.WITHIN and not want and edits and self._done(node, edits, self.stems) for node, edits, want in out):
+            out.add((self.WITHIN, 1, ""))
+        return frozenset(p for p in out if p[1] == 0 or p[2] or (p[0], 0, "") not in out)
 
     def _state(self, positions: set) -> int:
         key = self._closure(positions)
         if key not in self.states:
             self.states[key] = len(self.sets)
             self.sets.append(key)
-            exact = any(e == 0 and self.ends[n] for n, e in key)
-            fuzzy = any(self.ends[n] and n in self.depth_ok for n, _ in key)
+            exact = any(e == 0 and n != self.WITHIN and self.ends[n] for n, e, _ in key)
+            fuzzy = any(n == self.WITHIN or (not want and self._done(n, e, self.ends)) for n, e, want in key)
+            # A term or stem whose last letter the word lacks.
             self.accepts.append(self.EXACT if exact else self.FUZZY if fuzzy else 0)
             self.moves.append({})
         return self.states[key]
@@ -124,15 +144,28 @@ class Automaton:
     def _move(self, state: int, letter: str) -> int:
         """The next state; -1 if there is none, -2 if a stem is complete."""
         reached = set()
-        for node, edits in self.sets[state]:
-            if (n := self.children[node].get(letter)) is not None:
+        for node, edits, want in self.sets[state]:
+            if node == self.WITHIN:
+                reached.add((node, 1, ""))
+                continue
+            after = self.children[node]
+            if want:
+                if letter == want:
+                    reached.add((node, edits, ""))
+                continue
+            if (n := after.get(letter)) is not None:
                 if edits == 0 and self.stems[n]:
                     return -2
-                if edits == 0 or n in self.depth_ok:
-                    reached.add((n, edits))
-            if edits == 0 and node in self.depth_ok:
-                reached.add((node, 1))  # a letter too many
-                reached.update((n, 1) for n in self.children[node].values() if n in self.depth_ok)  # another letter
+                if self._open(n, edits):
+                    reached.add((n, edits, ""))
+            if edits == 0:
+                if self.any_edit[node]:
+                    reached.add((node, 2, ""))  # a letter too many
+                kind = 2 if letter.isalpha() else 1
+                reached.update((n, kind, "") for n in after.values() if self._open(n, kind))  # another letter
+                for first, n in after.items():  # two letters the other way round
+                    if first != letter and (m := self.children[n].get(letter)) is not None and self.some_edit[m]:
+                        reached.add((m, 1, first))
         return self._state(reached) if reached else -1
 
     def match(self, word: str) -> int:
@@ -176,17 +209,19 @@ class Scorer:
             known.clear()
         if not hits:
             return np.array([0, 0, 0, 0, np.log1p(len(words))])
-        quoted: set[int] = set()
         lowered = text.lower()
-        spans = quotations(lowered)
-        if spans:
-            starts = [m.start() for m in WORD.finditer(lowered)]
-            for a, b in spans:
-                quoted.update(range(bisect_left(starts, a), bisect_left(starts, b)))
+        # How many quotations more, or fewer, each word is in than the one before.
+        turns = np.zeros(len(words) + 1, np.int64)
+        if spans := quotations(lowered):
+            starts = np.array([m.start() for m in WORD.finditer(lowered)])
+            at = np.searchsorted(starts, np.array(spans))
+            np.add.at(turns, at[:, 0], 1)
+            np.add.at(turns, at[:, 1], -1)
+        quoted = np.cumsum(turns) > 0
         full = told = fuzzy = 0.0
         for i, kind in hits:
             around = words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]
-            reported = i in quoted or any(w in REPORTING for w in around)
+            reported = bool(quoted[i]) or any(w in REPORTING for w in around)
             weight = (0.25 if reported else 1.0) * (0.7 if kind == Automaton.FUZZY else 1.0)
             full += weight
             told += reported
@@ -219,14 +254,15 @@ def _features_of(docs: DataFrame, model: Model, id_col: str, text_col: str, carr
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          most_rows: int = 20_000) -> Model:
+          most_rows: int = 20_000, most_entries: int = 100_000) -> Model:
     """A model from labelled documents.
 
     ``labels`` has ids and 0/1 labels; rows with a null or without a document are left
     out. At most ``most_rows`` labelled rows, those whose hashed ids are smallest, are
-    used; that bounds what is broadcast and what the driver receives. Words, or
-    beginnings of words, that at least four toxic documents have and hardly any other
-    are the lexicon. Without two classes the model has no lexicon and scores 0 and up.
+    used. Words, or beginnings of ``STEM_LETTERS`` letters, that at least four toxic
+    documents have and hardly any other are the lexicon: at most ``most_entries``, those
+    that most toxic documents have. Both bound what is broadcast and what the driver
+    receives. Without two classes the model has no lexicon and scores 0 and up.
     """
     used = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
@@ -237,13 +273,15 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     )
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(used), "__id")
 
+    least, most = STEM_LETTERS
+
     def beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1 << 20):
             seen: dict[tuple[str, int], int] = {}
             for text, label in zip(texts(part, "text"), part.column("label").to_pylist(), strict=True):
                 words = set(WORD.findall(text.lower()))
-                found = {w + "$" for w in words if len(w) <= 24}
-                found.update(w[:n] for w in words for n in range(3, min(len(w), 10)))
+                found = {w + "$" for w in words}
+                found.update(w[:n] for w in words for n in range(least, min(len(w), most + 1)))
                 for x in found:
                     seen[x, label] = seen.get((x, label), 0) + 1
             yield pa.RecordBatch.from_arrays(
@@ -260,12 +298,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"),
         F.sum(F.when(F.col("label") == 1, 0).otherwise(F.col("n"))).alias("clean"),
     )
-    # A true term is hardly ever in a clean document; each found entry needs four documents
-    # of its own among at most ``most_rows``, which bounds how many can be found.
-    found = {
-        r["entry"]: (r["toxic"], r["clean"])
-        for r in sides.where("toxic >= 4 and clean * 8 <= toxic").collect()
-    }
+    # A true term is hardly ever in a clean document.
+    telling = sides.where("toxic >= 4 and clean * 8 <= toxic").orderBy(F.desc("toxic"), "entry").limit(most_entries)
+    found = {r["entry"]: (r["toxic"], r["clean"]) for r in telling.collect()}
     terms, stems = choose_entries(found)
     model = Model(terms, stems)
     got = _features_of(rows, model, "__id", "text", ["label"]).select("label", "features").collect()
@@ -278,18 +313,24 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def choose_entries(found: dict[str, tuple[int, int]]) -> tuple[list[str], list[str]]:
     """Terms and stems: a beginning stands for its longer forms if no one word makes up most of it."""
-    terms, stems = [], []
+    least, most = STEM_LETTERS
+    #: Documents of the commonest whole word with each beginning.
+    whole: dict[str, int] = {}
+    for entry in found:
+        if entry.endswith("$"):
+            for n in range(least, min(len(entry) - 1, most) + 1):
+                whole[entry[:n]] = max(whole.get(entry[:n], 0), found[entry][0])
+    terms, stems = [], set()
+    begins = lambda word: any(word[:n] in stems for n in range(least, min(len(word), most) + 1))
     for entry in sorted(found, key=lambda e: (len(e.rstrip("$")), e)):
-        word = entry.rstrip("$")
-        if any(word.startswith(s) for s in stems):
+        word = entry.removesuffix("$")
+        if begins(word):
             continue
         if entry.endswith("$"):
             terms.append(word)
-        else:
-            whole = max((found[e][0] for e in found if e.endswith("$") and e.startswith(word)), default=0)
-            if whole < 0.7 * found[entry][0]:
-                stems.append(word)
-    return [t for t in terms if not any(t.startswith(s) for s in stems)], stems
+        elif whole.get(word, 0) < 0.7 * found[entry][0]:
+            stems.add(word)
+    return [t for t in terms if not begins(t)], sorted(stems)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> tuple[np.ndarray, float]:
@@ -318,7 +359,12 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """``docs`` without those that score ``threshold`` or more."""
+    """``docs`` without those that score ``threshold`` or more.
+
+    Null and empty texts have no matches and stay, unless the model finds even those
+    toxic. Null and repeated ids are judged row by row; other columns stay as they are,
+    whatever their names. An empty table gives an empty result.
+    """
     named = {c: f"__d{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(*[F.col(c).alias(n) for c, n in named.items()])
     scored = _features_of(rows, model, "__d0", named[text_col], list(named.values())[1:])

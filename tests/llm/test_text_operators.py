@@ -162,33 +162,99 @@ def test_packed_documents(spark):
     assert queries.pack_documents(docs.limit(0)).count() == 0
 
 
-def edits(a, b):
-    row = list(range(len(b) + 1))
-    for i, c in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, d in enumerate(b, 1):
-            last, row[j] = row[j], min(last + (c != d), row[j] + 1, row[j - 1] + 1)
-    return row[-1]
+def one_edit(a, b):
+    """0 for equal words, 1 for a swap or a sign for a letter of ``b``, 2 for another edit, 3 for more."""
+    if a == b:
+        return 0
+    if len(a) == len(b):
+        off = [i for i in range(len(a)) if a[i] != b[i]]
+        if len(off) == 2 and off[1] == off[0] + 1 and a[off[0]] == b[off[1]] and a[off[1]] == b[off[0]]:
+            return 1
+        return (2 if a[off[0]].isalpha() else 1) if len(off) == 1 else 3
+    long, short = (a, b) if len(a) > len(b) else (b, a)
+    return 2 if len(long) == len(short) + 1 and any(long[:i] + long[i + 1 :] == short for i in range(len(long))) else 3
 
 
 def test_automaton_matches_what_edit_distance_matches():
-    terms, stems = ["idiot", "scum", "clown", "clowns", "moron", "abcabc"], ["réeux", "ab"]
+    terms, stems = ["idiot", "scum", "clown", "clowns", "moron", "abcabc", "xy"], ["réeux", "ab", "qrst"]
     automaton = toxicity.Automaton(terms, stems)
     rng = random.Random(4)
     words = set(terms)
-    for _ in range(6000):
-        w = list(rng.choice(terms + ["réeuxe", "zzz"]))
+    for _ in range(12000):
+        w = list(rng.choice(terms + ["réeuxe", "zzz", "qrstuv", "qrst"]))
         for _ in range(rng.randint(0, 3)):
             at = rng.randrange(len(w) + 1)
-            w[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "o", "c", "s", "é"])
+            if rng.random() < 0.3 and at + 1 < len(w):
+                w[at], w[at + 1] = w[at + 1], w[at]
+            else:
+                w[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "o", "c", "s", "é", "1", "*"])
         words.add("".join(w))
+    long_enough = lambda kind, t: kind == 0 or (kind == 1 and len(t) >= toxicity.SHORT_FROM) or (kind == 2 and len(t) >= toxicity.FUZZY_FROM)
     for w in words:
         stem = any(w.startswith(s) for s in stems)
-        fuzzy = any(edits(w, t) <= 1 for t in terms if len(t) >= toxicity.FUZZY_FROM)
+        fuzzy = any(long_enough(one_edit(w, t), t) for t in terms)
+        fuzzy |= any(long_enough(one_edit(w[:n], s), s) for s in stems for n in range(len(s) - 1, len(s) + 2) if n <= len(w))
         want = automaton.EXACT if stem or w in terms else automaton.FUZZY if fuzzy else 0
         assert automaton.match(w) == want, w
 
 
+@pytest.mark.parametrize("word", ["idoit", "id1ot", "idi*t", "idi0t", "idiott", "idot", "iidiot", "scmu", "sc*m", "5cum", "mor0nic", "mornoic"])
+def test_misspelled_terms_count(word):
+    scorer = toxicity.Scorer(toxicity.Model(["idiot", "scum"], ["moron"], [1, 0, 0, 0, 0], 0))
+    assert scorer.features(f"such a {word} as that")[3] > 0
+    assert scorer.features("scam, sum, drum, patriot, memory, a 1st, e-mail a@b.org")[3] == 0
+
+
+def test_long_texts_take_linear_time():
+    scorer = toxicity.Scorer(toxicity.Model(["idiot"], [], [1, 0, 0, 0, 0], 0))
+    began = time.process_time()
+    scorer.features('he "idiot" wrote and so on for ever ' * 30_000)
+    scorer.features('"' + "idiot words " * 80_000)
+    scorer.features("x" * 1_000_000 + " idiot")
+    assert time.process_time() - began < 30
+
+
+def test_lexicon_of_long_words(spark):
+    toxic, clean = "unbelievablyridiculousfellowhood" * 2, "quite a decent paragraph number"
+    docs = spark.createDataFrame([(i, f"{toxic} {i}" if i % 2 else f"{clean} {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels)
+    scores = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()}
+    assert all((s > 0.7) == bool(i % 2) for i, s in scores.items())
+
+
+def brute_features(model, text):
+    """Features word by word, with quotations from their ends and matches from edit distances."""
+    import re
+
+    lowered = text.lower()
+    words = [(m.start(), m.group()) for m in re.finditer(r"[^\W_](?:[*@$!]?[^\W_])*", lowered)]
+    full = told = fuzzy = 0.0
+    for i, (at, w) in enumerate(words):
+        exact = w in model.terms or any(w.startswith(s) for s in model.stems)
+        kinds = [one_edit(w, t) for t in model.terms if len(t) >= 5]
+        if not exact and min(kinds, default=3) > 2:
+            continue
+        near = [x for _, x in words[max(0, i - 8) : i] + words[i + 1 : i + 9]]
+        reported = any(a <= at < b for a, b in toxicity.quotations(lowered)) or any(x in toxicity.REPORTING for x in near)
+        full += (0.25 if reported else 1.0) * (1.0 if exact else 0.7)
+        told += reported
+        fuzzy += not exact
+    return [np.log1p(full), np.log1p(told), 100 * full / (len(words) + 20), np.log1p(fuzzy), np.log1p(len(words))]
+
+
+def test_features_are_those_of_brute_force():
+    rng = random.Random(12)
+    model = toxicity.Model(["idiot", "clown"], ["dumbo"], [0.5, -0.2, 0.1, 0.3, 0.01], -1.0)
+    scorer = toxicity.Scorer(model)
+    pool = ["idiot", "idoit", "clwn", "dumbos", "said", '"', "“", "”", "\n\n", "\n> ", "plain", "words", "and", "more", "1", "«", "»"]
+    for _ in range(300):
+        text = " ".join(rng.choice(pool) for _ in range(rng.randint(0, 60)))
+        got = scorer.features(text)
+        assert np.allclose(got, brute_features(model, text)), text
+        assert np.isclose(scorer.score(got), 1 / (1 + np.exp(-(np.dot(model.weights, got) + model.bias))))
+
+
 def test_quotation_counts_for_less():
     scorer = toxicity.Scorer(toxicity.Model(["idiot"], [], [1, 0, 0, 0, 0], 0))
     plain = scorer.features("you are an idiot and that is all there is to it")
