@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import cut, join_groups, raw_texts, slices
+from lamina.llm.common import cut, join_groups, meet_groups, raw_texts, slices
 
 T, ROWS = 128, 4
 BANDS = T // ROWS
@@ -147,7 +147,7 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     fans = cut(fans)
     total = fans.agg(F.sum("n")).first()[0] or 1
     part = F.pmod(F.xxhash64("b"), F.col("parts"))
-    dealt = join_groups(pairs, fans, ["a"], "n", total).select("a", "b", part.alias("part"))
+    dealt = meet_groups(pairs, fans, ["a"], "n", total).select("a", "b", part.alias("part"))
     left = sets.withColumnRenamed("node", "a").join(fans, "a").select(
         "a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.col("shingles").alias("sa")
     )
@@ -201,15 +201,15 @@ def _buckets(members: DataFrame, total: int) -> DataFrame:
         F.sum(F.xxhash64("node", F.lit(1)) % (1 << 40)).alias("s2"),
     )
     alike = cut(summary.where("n > 1").groupBy("n", "first", "s1", "s2").agg(F.min("bucket").alias("bucket")).select("bucket", "first", "n"))
-    return join_groups(members, alike, ["bucket"], "n", total).where("first is not null").select("bucket", "node", "first")
+    return meet_groups(members, alike, ["bucket"], "n", total).select("bucket", "node", "first")
 
 
 def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of the buckets that hold several components, with their labels."""
-    known = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    known = cut(members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")))
     mixed = known.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
     mixed = cut(mixed.select("bucket", "n"))
-    return join_groups(known, mixed, ["bucket"], "n", members.count()).where("n is not null").drop("n")
+    return meet_groups(known, mixed, ["bucket"], "n", known.count()).drop("n")
 
 
 def _blockwise_links(left: DataFrame, sets: DataFrame) -> DataFrame:
@@ -224,7 +224,7 @@ def _blockwise_links(left: DataFrame, sets: DataFrame) -> DataFrame:
         F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("outside")
     )
     main = cut(main)
-    placed = join_groups(left, main, ["bucket"], "n", main.agg(F.sum("n")).first()[0] or 1).select(
+    placed = meet_groups(left, main, ["bucket"], "n", main.agg(F.sum("n")).first()[0] or 1).select(
         "bucket", "node", "label", (F.col("label") != F.col("main")).alias("asks"),
         F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil(F.col("outside") / BLOCK).alias("query_blocks"),
     )
@@ -293,9 +293,9 @@ def _settled(docs: DataFrame) -> DataFrame:
     )
     leading = groups.select("node", F.col("own.id").alias("own_id"), F.col("own.at").alias("own_at"))
     of_own = (F.col("high") == F.col("node")) & F.col("id").eqNullSafe(F.col("own_id")) & (F.col("at") == F.col("own_at"))
-    first = filled.join(leading, of_own).select("node", "keys").dropDuplicates(["node"])
+    first = cut(filled.join(leading, of_own).select("node", "keys").dropDuplicates(["node"]))
     members = cut(_buckets(_exploded(first), BANDS * groups.count()))
-    star = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    star = cut(members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
     wanted = members.select("node").distinct()
     sets = cut(_sets(docs, "id", "text", leading.toDF("node", "id", "at").join(wanted, "node")))
     links = _linked(star, sets)
