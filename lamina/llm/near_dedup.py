@@ -14,7 +14,7 @@ of bounded size that give nothing but links. So no link between candidates is lo
 bucket of n sets that are all unlike, which takes texts that agree on a band by chance or
 by design, ships each set once for every block of others, n * n / BLOCK in all.
 
-Buckets, leaders and labels that many rows share are dealt over many tasks.
+Buckets and leaders that many rows share are dealt over many tasks.
 """
 
 from __future__ import annotations
@@ -159,13 +159,11 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _relabel(labels: DataFrame, moved: DataFrame) -> DataFrame:
-    """(node, label) with the labels that ``moved`` (label, to) names replaced; labels that many nodes have are dealt out."""
-    sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
-    groups = cut(moved.join(sizes, "label"))
-    total = groups.agg(F.sum("n")).first()[0]
-    if total is None:
-        return labels
-    return cut(join_groups(labels, groups, ["label"], "n", total).select("node", F.coalesce("to", "label").alias("label")))
+    """(node, label) with the labels that ``moved`` (label, to) names replaced.
+
+    The join is the last thing of its stage, so Spark itself deals out a label that many nodes have.
+    """
+    return cut(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
 
 
 def components(edges: DataFrame) -> DataFrame:
