@@ -3,8 +3,9 @@
 A bundle is a run of frames, each holding a few whole WARC records, and then a seek
 table: a skippable frame that lists the compressed and uncompressed size of every
 frame, as the seekable format of Zstandard has it. Any Zstandard reader can decompress
-a bundle; one that knows the table can decompress a single frame. An index maps each
-record identifier to its bundle, its frame and its offset in that frame.
+a bundle; one that knows the table can decompress a single frame. An index, stored as a
+table beside the bundles, maps each record identifier to its bundle, its frame and its
+offset in that frame, and records are read by it.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 import pyarrow as pa
 import zstandard
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm.common import cut, join_groups, slices
+from lamina.llm.exact_dedup import filter_bits, repeat_filter, tested
 
 #: Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -48,10 +51,10 @@ class Store:
         return fs.FileSystem.from_uri(where)
 
 
-def record(identifier: str, kind: str, url: str | None, digest: str, refers_to: str | None, length: int, payload: bytes) -> bytes:
+def record(identifier: str, kind: str, url: str | None, digest: str, refers_to: str | None, length: int, payload: bytes, date: str) -> bytes:
     """One WARC record; a revisit has no block, but says how long the payload was."""
     block = payload if kind == "response" else b""
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{identifier}>"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{identifier}>", f"WARC-Date: {date}", "Content-Type: text/html; charset=utf-8"]
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", " ").replace("\n", " "))
     head.append(f"WARC-Payload-Digest: sha1:{digest}")
@@ -139,42 +142,51 @@ class _Writer:
         self._reset()
 
 
-def plan_records(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", revisit_bytes: int = 1000) -> DataFrame:
-    """``pages`` with payload_bytes, payload_digest, record_type and refers_to.
+def plan_records(
+    pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", revisit_bytes: int = 1000
+) -> DataFrame:
+    """The three columns named, and payload_bytes, payload_digest, record_type and refers_to.
 
     The payload is the text in UTF-8; null is empty. Of equal payloads of at least
     ``revisit_bytes`` bytes the largest id is the response, and the others revisit it.
     Rows that repeat the id of a response are responses too; a null id never wins over
-    another, and rows whose group has null ids only are responses.
+    another, and rows whose group has null ids only are responses. Other columns of
+    ``pages`` are ignored, whatever their names; an empty table gives an empty result.
+
+    Only pages whose digest may occur twice are shuffled; the others pass straight through.
     """
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
-    marked = pages.withColumns({"payload_bytes": F.octet_length(payload).cast("long"), "payload_digest": F.sha1(payload)})
-    groups = cut(
-        marked.where(F.col("payload_bytes") >= revisit_bytes)
-        .groupBy("payload_digest")
-        .agg(F.max(id_col).alias("__first"), F.count("*").alias("__n"))
-        .where("__n > 1")
-    )
-    joined = join_groups(marked, groups, ["payload_digest"], "__n", pages.count())
-    revisit = F.coalesce(~F.col(id_col).eqNullSafe(F.col("__first")) & F.col("__n").isNotNull(), F.lit(False))
-    return joined.select(
-        *marked.columns,
-        F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, F.col("__first")).alias("refers_to"),
-    )
+    marked = pages.select(
+        F.col(id_col).alias("__id"), F.col(url_col).alias("__url"), F.col(payload_col).alias("__payload"),
+        F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("payload_digest"),
+    )
+    long = cut(marked.where(F.col("payload_bytes") >= revisit_bytes).select("__id", "payload_digest"))
+    total = long.count()
+    bits = filter_bits(total)
+    seen = cut(repeat_filter(long, "payload_digest", bits))
+    groups = cut(long.groupBy("payload_digest").agg(F.max("__id").alias("__first"), F.count("*").alias("__n")).where("__n > 1"))
+    found = tested(marked, seen, bits, "payload_digest").withColumn("__maybe", F.col("__maybe") & (F.col("payload_bytes") >= revisit_bytes))
+    joined = join_groups(found.where("__maybe").drop("__maybe"), groups, ["payload_digest"], "__n", max(total, 1))
+    alone = found.where("not __maybe").drop("__maybe")
+    both = joined.unionByName(alone, allowMissingColumns=True)
+    revisit = F.coalesce(~F.col("__id").eqNullSafe(F.col("__first")) & F.col("__n").isNotNull(), F.lit(False))
+    return both.select(
+        F.col("__id").alias(id_col), F.col("__url").alias(url_col), F.col("__payload").alias(payload_col), "payload_bytes", "payload_digest",
+        F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("__first")).alias("refers_to"),
+    )
 
 
 def write_bundles(
     records: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html"
 ) -> DataFrame:
-    """Writes the rows of :func:`plan_records`; gives the index, with one row per record.
+    """Writes the rows of :func:`plan_records`; gives the index, with one row per record, as it stands in ``folder``/index.
 
     Only bundles that the index names belong to the archive: a task that was lost may
-    have left others. The index is cut from its lineage, so reading it twice never
-    writes twice.
+    have left others. All records have the time of this call as their date.
     """
     kind = records.schema[id_col].dataType.simpleString()
     store = Store(folder)
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, ids = _Writer(store), []
@@ -197,7 +209,7 @@ def write_bundles(
                 ids.append(row["id"])
                 data = record(
                     "" if row["id"] is None else str(row["id"]), row["kind"], row["url"], row["digest"],
-                    None if row["refers_to"] is None else str(row["refers_to"]), row["length"], row["payload"] or b"",
+                    None if row["refers_to"] is None else str(row["refers_to"]), row["length"], row["payload"] or b"", date,
                 )
                 placed += writer.add(len(ids) - 1, data)
             if placed and not writer.waiting:
@@ -213,39 +225,61 @@ def write_bundles(
         F.col("payload_digest").alias("digest"), "refers_to", F.col("payload_bytes").alias("length"),
         F.when(F.col("record_type") == "response", F.col(payload_col).cast("binary")).alias("payload"),
     )
-    return cut(rows.mapInArrow(run, f"`{id_col}` {kind}, {INDEX}"))
+    rows.mapInArrow(run, f"`{id_col}` {kind}, {INDEX}").write.parquet(posixpath.join(folder, "index"))
+    return read_index(records.sparkSession, folder)
+
+
+def read_index(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(posixpath.join(folder, "index"))
+
+
+#: Columns of a record that was read.
+RECORD = "record_id string, record_type string, url string, payload_digest string, payload_bytes long, refers_to string, payload binary"
 
 
-def read_bundles(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
-    """Every record of the bundles that ``index`` names: record_id, record_type, url, digest, length, refers_to, payload."""
-    named = index.select("bundle").distinct()
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
-    files = files.withColumn("bundle", F.substring_index("path", "/", -1)).join(named, "bundle", "left_semi")
-    schema = "record_id string, record_type string, url string, payload_digest string, payload_bytes long, refers_to string, payload binary"
+def read_bundles(folder: str, index: DataFrame) -> DataFrame:
+    """The records that ``index`` names: record_id, record_type, url, payload_digest, payload_bytes, refers_to, payload.
+
+    Each is read at its offset; rows of the index that follow each other in a frame share
+    one read of it. The id of a null id is null; the block of a revisit is empty. An index
+    without rows gives no records.
+    """
+    store = Store(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, where = store.open()
         plain = zstandard.ZstdDecompressor()
         out_type = {"payload_bytes": pa.int64(), "payload": pa.binary()}
-        names = [x.split()[0] for x in schema.split(", ")]
+        names = [x.split()[0] for x in RECORD.split(", ")]
+        bare = lambda x: x[len("<urn:page:") : -1] if x else None
+        at, file, data = None, None, b""
+        rows, held = [], 0
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, out_type.get(n, pa.string())) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names
+            )
+
         for batch in batches:
-            for k in range(batch.num_rows):
-                bundle = batch.column("content")[k].as_py()
-                for start, packed, _ in frames_of(bundle):
-                    data, at, rows = plain.decompressobj().decompress(bundle[start : start + packed]), 0, []
-                    while at < len(data):
-                        headers, block, at = parse(data, at)
-                        bare = lambda x: x[len("<urn:page:") : -1] if x else None
-                        rows.append((
-                            bare(headers["WARC-Record-ID"]) or None, headers["WARC-Type"], headers.get("WARC-Target-URI"),
-                            headers["WARC-Payload-Digest"].removeprefix("sha1:"), int(headers["X-Payload-Length"]),
-                            bare(headers.get("WARC-Refers-To")), block,
-                        ))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, out_type.get(n, pa.string())) for n, c in zip(names, zip(*rows, strict=True), strict=True)],
-                        names=names,
-                    )
-
-    return files.select("content").mapInArrow(run, schema)
+            for bundle, start, size, offset in zip(*[batch.column(c).to_pylist() for c in ("bundle", "frame_start", "frame_size", "offset")], strict=True):
+                if (bundle, start) != at:
+                    if at is None or bundle != at[0]:
+                        file = fs.open_input_file(posixpath.join(where, bundle))
+                    file.seek(start)
+                    data, at = plain.decompressobj().decompress(file.read(size)), (bundle, start)
+                headers, block, _ = parse(data, offset)
+                rows.append((
+                    bare(headers["WARC-Record-ID"]) or None, headers["WARC-Type"], headers.get("WARC-Target-URI"),
+                    headers["WARC-Payload-Digest"].removeprefix("sha1:"), int(headers["X-Payload-Length"]), bare(headers.get("WARC-Refers-To")), block,
+                ))
+                held += len(block) + 200
+                if held > 1 << 20:
+                    yield batch_of(rows)
+                    rows, held = [], 0
+        if rows:
+            yield batch_of(rows)
+
+    return index.select("bundle", "frame_start", "frame_size", "offset").mapInArrow(run, RECORD)
 
 
 def read_record(store: Store, entry: dict) -> tuple[dict[str, str], bytes]:

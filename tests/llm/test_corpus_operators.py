@@ -141,10 +141,10 @@ def test_components_of_paths(spark, n):
 def test_archives(spark, tmp_path):
     big, other = "x" * 1500, "é" * 600
     rows = [(1, "http://a", big), (2, "http://b", big), (3, None, "small"), (4, "u\nv", "small"), (5, "c", None), (6, "d", other), (None, "e", other), (7, "f", "")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload_digest2", F.lit(1)).repartition(2)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("payload_digest", "payload_bytes", "record_type", "refers_to", "__id", "id")}).repartition(2)
     plan = warc.plan_records(pages)
     index = warc.write_bundles(plan, f"file://{tmp_path}/w")
-    got = warc.read_bundles(spark, f"file://{tmp_path}/w", index).collect()
+    got = warc.read_bundles(f"file://{tmp_path}/w", warc.read_index(spark, f"file://{tmp_path}/w")).collect()
     kinds = {r.record_id: (r.record_type, r.refers_to) for r in got}
     assert len(got) == len(rows)
     assert kinds == {"1": ("revisit", "2"), "2": ("response", None), "3": ("response", None), "4": ("response", None), "5": ("response", None),
@@ -156,11 +156,12 @@ def test_archives(spark, tmp_path):
     for entry in index.collect():  # one frame is enough for one record
         headers, block = warc.read_record(warc.Store(f"{tmp_path}/w"), entry.asDict())
         assert headers["WARC-Record-ID"] == f"<urn:page:{'' if entry.page_id is None else entry.page_id}>"
-        assert int(headers["Content-Length"]) == len(block)
+        assert int(headers["Content-Length"]) == len(block) and headers["WARC-Date"].endswith("Z") and headers["Content-Type"]
     for file in (tmp_path / "w").glob("*.zst"):  # a plain reader skips the table
         data = zstandard.ZstdDecompressor().stream_reader(file.open("rb"), read_across_frames=True).read()
         assert data.startswith(b"WARC/1.1") and len(data) == sum(n for _, _, n in warc.frames_of(file.read_bytes()))
-    assert warc.read_bundles(spark, f"file://{tmp_path}/w", index.limit(0)).count() == 0
+    assert warc.read_bundles(f"file://{tmp_path}/w", index.limit(0)).count() == 0
+    assert warc.plan_records(pages.limit(0)).count() == 0
 
 
 def base_truth(text):
