@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.llm.common import raw_texts, slices
@@ -67,6 +67,38 @@ def scores(net: Network, batch: list[bytes]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(described @ net.out + net.bias, -40, 40)))
 
 
+def gradients(net: Network, part: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean logistic loss of texts with ``sizes`` chunks each of ``part``."""
+    starts = np.cumsum(sizes) - sizes
+    view = np.ascontiguousarray(windows(net, part))
+    response = (view.reshape(-1, WIDTH * DEPTH) @ net.filters).reshape(len(part), SPOTS, FILTERS)
+    spot = response.argmax(1)
+    raw = np.take_along_axis(response, spot[:, None], 1)[:, 0] + net.shift
+    top = np.maximum(raw, 0)
+    mean, most = np.add.reduceat(top, starts) / sizes[:, None], np.maximum.reduceat(top, starts)
+    described = np.c_[mean, most]
+    p = 1 / (1 + np.exp(-np.clip(described @ net.out + net.bias, -40, 40)))
+    error = ((p - labels) / len(labels)).astype(net.out.dtype)
+    grads = {"out": described.T @ error, "bias": np.array([error.sum()])}
+    back = error[:, None] * net.out
+    text_of = np.repeat(np.arange(len(sizes)), sizes)
+    to_top = back[text_of, :FILTERS] / sizes[text_of, None]
+    leads = top == most[text_of]
+    ties = np.add.reduceat(leads.astype(np.float32), starts)
+    to_top = to_top + leads * (back[:, FILTERS:] / ties)[text_of]
+    to_raw = to_top * (raw > 0)
+    seen = view[np.arange(len(part))[:, None], spot]  # (chunk, filter, WIDTH * DEPTH)
+    grads["filters"] = np.einsum("cfw,cf->wf", seen, to_raw)
+    grads["shift"] = to_raw.sum(0)
+    to_seen = to_raw[:, :, None] * net.filters.T[None]
+    where = (spot * STRIDE)[:, :, None] + np.arange(WIDTH)
+    bytes_seen = part[np.arange(len(part))[:, None, None], where]
+    to_embed = np.zeros_like(net.embed)
+    np.add.at(to_embed, bytes_seen.reshape(-1), to_seen.reshape(-1, DEPTH))
+    to_embed[PAD] = 0
+    return grads | {"embed": to_embed}
+
+
 def fit(chunks: np.ndarray, owner: np.ndarray, labels: np.ndarray, epochs: int = 6, batch: int = 64, seed: int = 7) -> Network:
     """Adam on the logistic loss. ``owner`` ascends and says to which label each chunk belongs."""
     rng = np.random.default_rng(seed)
@@ -85,38 +117,10 @@ def fit(chunks: np.ndarray, owner: np.ndarray, labels: np.ndarray, epochs: int =
         rate = 0.01 * (1 - epoch / epochs) + 0.001
         order = rng.permutation(len(labels))
         for a in range(0, len(order), batch):
-            docs = order[a : a + batch]
-            rows = np.concatenate([np.arange(first[d], first[d + 1]) for d in docs])
-            sizes = first[docs + 1] - first[docs]
-            starts = np.cumsum(sizes) - sizes
-            part = chunks[rows]
-            view = np.ascontiguousarray(windows(net, part))
-            response = (view.reshape(-1, WIDTH * DEPTH) @ net.filters).reshape(len(part), SPOTS, FILTERS)
-            spot = response.argmax(1)
-            raw = np.take_along_axis(response, spot[:, None], 1)[:, 0] + net.shift
-            top = np.maximum(raw, 0)
-            mean, most = np.add.reduceat(top, starts) / sizes[:, None], np.maximum.reduceat(top, starts)
-            described = np.c_[mean, most]
-            p = 1 / (1 + np.exp(-np.clip(described @ net.out + net.bias, -40, 40)))
-            error = ((p - labels[docs]) / len(docs)).astype(np.float32)
-            grads = {"out": described.T @ error + 1e-4 * net.out, "bias": np.array([error.sum()])}
-            back = error[:, None] * net.out
-            doc_of = np.repeat(np.arange(len(docs)), sizes)
-            to_top = back[doc_of, :FILTERS] / sizes[doc_of, None]
-            leads = top == most[doc_of]
-            ties = np.add.reduceat(leads.astype(np.float32), starts)
-            to_top = to_top + leads * (back[:, FILTERS:] / ties)[doc_of]
-            to_raw = to_top * (raw > 0)
-            seen = view[np.arange(len(part))[:, None], spot]  # (chunk, filter, WIDTH * DEPTH)
-            grads["filters"] = np.einsum("cfw,cf->wf", seen, to_raw)
-            grads["shift"] = to_raw.sum(0)
-            to_seen = to_raw[:, :, None] * net.filters.T[None]
-            where = (spot * STRIDE)[:, :, None] + np.arange(WIDTH)
-            bytes_seen = part[np.arange(len(part))[:, None, None], where]
-            to_embed = np.zeros_like(net.embed)
-            np.add.at(to_embed, bytes_seen.reshape(-1), to_seen.reshape(-1, DEPTH))
-            to_embed[PAD] = 0
-            grads["embed"] = to_embed
+            texts = order[a : a + batch]
+            rows = np.concatenate([np.arange(first[d], first[d + 1]) for d in texts])
+            grads = gradients(net, chunks[rows], first[texts + 1] - first[texts], labels[texts])
+            grads["out"] = grads["out"] + 1e-4 * net.out
             step += 1
             for name, g in grads.items():
                 m, v = moments.get(name, (np.zeros_like(g), np.zeros_like(g)))
@@ -131,13 +135,14 @@ def fit(chunks: np.ndarray, owner: np.ndarray, labels: np.ndarray, epochs: int =
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-          most_rows: int = 4000, most_chunks: int = 8) -> Network | None:
+          most_rows: int = 4000, most_bytes: int = 8 << 20) -> Network | None:
     """A network from labelled documents.
 
-    At most ``most_rows`` labelled rows are used, those whose hashed ids are smallest,
-    and of each at most ``most_chunks`` chunks, spread evenly over the whole text; this
-    bounds what reaches the driver to 16 MB. Labels that are null or without a document
-    are left out. Without any, there is no network and every score is 0.5.
+    At most ``most_rows`` labelled rows are used, in the order of their hashed ids, as
+    long as their texts have at most ``most_bytes`` bytes in all; a text of more than a
+    sixteenth of that does not teach. All chunks of a text that does are used. Labels that
+    are null or without a document are left out. Without any, there is no network and
+    every score is 0.5.
     """
     used = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
@@ -146,15 +151,17 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .orderBy(F.xxhash64("__id"), "__id")
         .limit(most_rows)
     )
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(used), "__id")
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
+    # A row for each label, ``most_rows`` at most, in one window.
+    sizes = texts.select("__id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).join(F.broadcast(used), "__id")
+    sizes = sizes.groupBy("__id", "label").agg(F.sum("size").alias("size")).where(F.col("size") * 16 <= most_bytes)
+    so_far = F.sum("size").over(Window.orderBy(F.xxhash64("__id"), "__id"))
+    chosen = sizes.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes).select("__id", "label")
+    rows = texts.join(F.broadcast(chosen), "__id")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            out = []
-            for text in raw_texts(part, "text"):
-                all_chunks = chunks_of(text)
-                some = np.unique(np.linspace(0, len(all_chunks) - 1, most_chunks).round().astype(int))
-                out.append(all_chunks[some].astype("<i2").tobytes())
+            out = [chunks_of(text).astype("<i2").tobytes() for text in raw_texts(part, "text")]
             yield pa.RecordBatch.from_arrays(
                 [part.column("__id"), part.column("label"), pa.array(out, pa.binary())], names=["__id", "label", "chunks"]
             )
