@@ -26,7 +26,7 @@ def _fold(of: int):
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = posixpath.join(shared_folder(spark), f"warc-{uuid.uuid4().hex}")
     index = warc.write_bundles(warc.plan_records(table(spark, sf_dir, "pages")), folder)
-    return warc.read_bundles(spark, folder, index).select(
+    return warc.read_bundles(folder, index).select(
         F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.col("refers_to").cast("long").alias("refers_to"),
     )
@@ -110,15 +110,27 @@ def _quote(text: str) -> str:
 
 
 def _canonical(text: str) -> str:
+    """The canonical form of a licence text, written out for DuckDB."""
     form = f"lower({text})"
-    for one, other in licenses.SPELLINGS.items():
+    for one, other in (
+        ("licence", "license"), ("organisation", "organization"), ("authorise", "authorize"), ("merchantibility", "merchantability"),
+        ("non-infringement", "noninfringement"), ("noncommercial", "non-commercial"), ("per cent", "percent"), ("https://", "http://"), ("©", "(c)"),
+    ):
         form = f"replace({form}, {_quote(one)}, {_quote(other)})"
-    form = f"regexp_replace({form}, {_quote(licenses.COPYRIGHT_LINE)}, ' ', 'g')"
+    lines = f"list_filter(string_split({form}, chr(10)), lambda x: NOT ("
+    lines += " OR ".join(
+        f"regexp_full_match(x, {_quote(p)})"
+        for p in (
+            r"[ \t#*/;%-]*copyright\b.*([12]\d{3}|\(c\)).*", r"[ \t#*/;%-]*\(c\) ?[12]\d{3}.*", r"[ \t#*/;%-]*all rights reserved[. ]*",
+        )
+    )
+    form = f"array_to_string({lines})), chr(10))"
     return f"trim(regexp_replace({form}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
 
 def oracle_sql() -> dict[str, str]:
     known = ", ".join(f"({_quote(k)}, {_quote(t)})" for k, t in sorted(licenses.KNOWN.items()))
+    digests = ", ".join(f"({_quote(k)}, {_quote(d)})" for k, d in sorted(licenses.DIGESTS.items()))
     return {
         "op1_warc": """
             WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
@@ -130,7 +142,9 @@ def oracle_sql() -> dict[str, str]:
             FROM m""",
         "op2_license_scan": f"""
             WITH known(license, text) AS (VALUES {known}),
-            k AS (SELECT sha256({_canonical("text")}) AS digest, min(license) AS license FROM known GROUP BY 1),
+            whole(license, digest) AS (VALUES {digests}),
+            k AS (SELECT digest, min(license) AS license
+                  FROM (SELECT license, sha256({_canonical("text")}) AS digest FROM known UNION ALL SELECT license, digest FROM whole) GROUP BY 1),
             d AS (SELECT doc_id, sha256({_canonical("coalesce(text, '')")}) AS digest FROM documents)
             SELECT doc_id, d.digest AS canonical_sha256, license FROM d LEFT JOIN k ON d.digest = k.digest""",
         "op9_exact_dedup": f"""

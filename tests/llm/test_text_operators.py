@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lamina.llm import bpe, licenses, packing, quality_cnn, queries, substring_dedup, toxicity
@@ -370,3 +371,115 @@ def test_long_quotations(marks):
     # A mark that nothing closes ends with its paragraph.
     assert scorer.features(f"a 5{marks[0]} pipe\n\nyou are an idiot {filler}")[1] == 0
     assert scorer.features("> " + filler + " idiot\nand so on")[1] > 0
+
+
+def random_network(seed=5):
+    rng = np.random.default_rng(seed)
+    q = quality_cnn
+    net = q.Network(rng.normal(0, 0.5, (257, q.DEPTH)), rng.normal(0, 0.2, (q.WIDTH * q.DEPTH, q.FILTERS)), rng.normal(0, 0.1, q.FILTERS),
+                    rng.normal(0, 0.3, 2 * q.FILTERS), 0.1)
+    net.embed[q.PAD] = 0
+    return net
+
+
+def plain_score(net, text):
+    """The network by loops over chunks, spots and filters."""
+    q = quality_cnn
+    step, best = q.CHUNK - q.OVERLAP, []
+    n = max(1, -(-(len(text) - q.OVERLAP) // step))
+    for k in range(n):
+        data = list(text[k * step : k * step + q.CHUNK])
+        data += [q.PAD] * (q.CHUNK - len(data))
+        most = np.full(q.FILTERS, -np.inf)
+        for at in range(0, q.CHUNK - q.WIDTH + 1, q.STRIDE):
+            seen = np.concatenate([net.embed[b] for b in data[at : at + q.WIDTH]])
+            most = np.maximum(most, seen @ net.filters)
+        best.append(np.maximum(most + net.shift, 0))
+    described = np.concatenate([np.mean(best, 0), np.max(best, 0)])
+    return 1 / (1 + np.exp(-(described @ net.out + net.bias)))
+
+
+def test_scores_are_those_of_plain_loops():
+    net, rng = random_network(), random.Random(3)
+    batch = [b"", b"a", b"short text", bytes(rng.randrange(256) for _ in range(512)), bytes(rng.randrange(97, 110) for _ in range(3000)), b"same", b"same"]
+    assert np.allclose(quality_cnn.scores(net, batch), [plain_score(net, t) for t in batch], atol=1e-5)
+
+
+def test_gradients_are_finite_differences():
+    net, rng = random_network(), np.random.default_rng(8)
+    parts = [quality_cnn.chunks_of(bytes(rng.integers(97, 123, n).astype(np.uint8))) for n in (30, 700, 1400)]
+    sizes, labels = np.array([len(p) for p in parts]), np.array([1.0, 0.0, 1.0])
+    part = np.concatenate(parts)
+
+    def loss():
+        starts = np.cumsum(sizes) - sizes
+        flat = np.ascontiguousarray(quality_cnn.windows(net, part)).reshape(len(part), quality_cnn.SPOTS, -1)
+        top = np.maximum((flat @ net.filters).max(1) + net.shift, 0)
+        z = np.c_[np.add.reduceat(top, starts) / sizes[:, None], np.maximum.reduceat(top, starts)] @ net.out + net.bias
+        return float(np.mean(np.log1p(np.exp(-z)) * labels + np.log1p(np.exp(z)) * (1 - labels)))
+
+    grads = quality_cnn.gradients(net, part, sizes, labels)
+    for name in ("out", "filters", "shift", "embed"):
+        weights = getattr(net, name)
+        spots = np.argsort(-np.abs(grads[name]).ravel())[:5]
+        for spot in spots:
+            at = np.unravel_index(spot, weights.shape)
+            kept, step = weights[at], 1e-5
+            weights[at] = kept + step
+            up = loss()
+            weights[at] = kept - step
+            down = loss()
+            weights[at] = kept
+            assert np.isclose((up - down) / (2 * step), grads[name][at], rtol=2e-2, atol=1e-6), name
+
+
+def test_quality_of_odd_rows(spark):
+    docs = spark.createDataFrame([*CASES, (6, "word " * 400_000, "q", 6)], SCHEMA).withColumns({"score": F.lit(1), "size": F.lit(2)})
+    labels = spark.createDataFrame([(1, 0), (3, 1), (3, 1), (5, 0), (6, 1), (None, 1), (99, 1), (2, None)], "doc_id long, quality int")
+    net = quality_cnn.learn(docs, labels)
+    got = quality_cnn.score_quality(docs, net).collect()
+    assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
+    assert quality_cnn.score_quality(docs.limit(0), net).count() == 0
+
+
+def test_planted_licences_are_found_however_wrapped(spark):
+    import textwrap
+
+    import duckdb
+
+    rows, want = [], {}
+    head = {"// ": "// Copyright (c) 2019-2021 Some Body <a@b.org>. All rights reserved.\n", "": "Copyright 2001 X\nAll rights reserved.\n\n", "# ": "# © 2020 Y\n", " * ": ""}
+    names = {r.digest: r.license for r in licenses.known_digests(spark).collect()}
+    for name, text in licenses.KNOWN.items():
+        for width in (60, 66, 72, 76, 78, 80, 100):
+            for sign, line in head.items():
+                wrapped = "\n".join(sign + x for p in text.split("\n") for x in (textwrap.wrap(p, width, break_on_hyphens=False) or [""]))
+                want[len(rows)] = name
+                rows.append((len(rows), line + wrapped))
+    rows += [(len(rows), None), (len(rows) + 1, ""), (len(rows) + 2, licenses.KNOWN["MIT"] + " and so on"), (len(rows) + 3, "copyright notice")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"digest": F.lit("x"), "license": F.lit("x")})
+    got = licenses.scan_licenses(docs).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: r.license for r in got if r.license} == {i: n for i, n in want.items()}
+    assert set(names.values()) >= set(licenses.DIGESTS)
+    # The SQL, whose forms are written by hand, finds the same.
+    import pyarrow as pa
+
+    documents = pa.table({"doc_id": pa.array([i for i, _ in rows]), "text": pa.array([t for _, t in rows], pa.string())})
+    db = duckdb.connect()
+    db.register("documents", documents)
+    assert {(i, d, n) for i, d, n in db.execute("SELECT doc_id, canonical_sha256, license FROM (" + queries.oracle_sql()["op2_license_scan"] + ")").fetchall()} == {
+        (r.doc_id, r.canonical_sha256, r.license) for r in got
+    }
+
+
+def test_long_licences_of_the_system(spark):
+    from pathlib import Path
+
+    folder = Path("/usr/share/common-licenses")
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows = [(k, (folder / f).read_text(encoding="utf-8", errors="replace")) for k, f in files.items() if (folder / f).exists()]
+    if not rows:
+        pytest.skip("no licence texts on this machine")
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert {r.doc_id: r.license for r in licenses.scan_licenses(docs).collect()} == {k: k for k, _ in rows}
