@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed values, in natural order.
+#: Fixed values, in natural order; of documents, with the en dash and the section sign.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+DOCUMENT_PUNCTUATION = PUNCTUATION + "\u2013\u00a7"
 TOP_LEVEL_KEYWORDS = [
     "abstract", "introduction", "conclusions", "references", "acknowledgements",
     "methods", "discussion", "keywords", "appendix",
@@ -67,7 +68,7 @@ def match_numeric(source: Column, target: Column) -> Column:
 
 
 def has_text(source: Column) -> Column:
-    return F.when(F.trim(source) != "", 1).otherwise(0)
+    return F.when(source.rlike(r"(?U)[^\s\x1c-\x1f]"), 1).otherwise(0)
 
 
 def strip_and_tokenize(text: Column) -> Column:
@@ -106,12 +107,15 @@ def indel_ratio(a: Column, b: Column) -> Column:
                 return None
             if not s and not t:
                 return 100
-            row = [0] * (len(t) + 1)
+            # Longest common subsequence, a bit for each character of ``t``.
+            at: dict[str, int] = {}
+            for j, d in enumerate(t):
+                at[d] = at.get(d, 0) | 1 << j
+            free = full = (1 << len(t)) - 1
             for c in s:
-                last = 0
-                for j, d in enumerate(t, 1):
-                    last, row[j] = row[j], last + 1 if c == d else max(row[j], row[j - 1])
-            return round(200 * row[-1] / (len(s) + len(t)))
+                met = free & at.get(c, 0)
+                free = ((free + met) | (free - met)) & full
+            return round(200 * (len(t) - free.bit_count()) / (len(s) + len(t)))
 
         return pd.Series([one(s, t) for s, t in zip(x, y, strict=True)], dtype="Int32")
 
@@ -119,14 +123,13 @@ def indel_ratio(a: Column, b: Column) -> Column:
 
 
 def citation_features(source: Column, target: Column) -> dict[str, Column]:
-    """The twelve features of a mention and a bibliography entry, in the order of the model."""
-    return {
-        "ngram_jaccard_3": jaccard_ngrams(source, target, 3), "ngram_jaccard_2": jaccard_ngrams(source, target, 2),
-        "ngram_jaccard_1": jaccard_ngrams(source, target, 1), "fuzz_ratio": indel_ratio(source, target),
-        "has_text": has_text(source), "jaccard_numeric": jaccard_numeric(source, target),
-        "match_numeric": match_numeric(source, target), "jaccard_alpha": jaccard_alpha(source, target),
-        "match_first_token": match_first_token(source, target), "first_position": first_position(source, target),
-        "match_source_tokens": match_source_tokens(source, target), "source_length": F.length(source),
+    """The twelve features of a mention and a bibliography entry, named and in the order that a model of them takes."""
+    grams = {f"jaccard_{n}gram": jaccard_ngrams(source, target, n) for n in (1, 2, 3, 4)}
+    return {"fuzz_ratio": indel_ratio(source, target)} | grams | {
+        "heuristic": match_source_tokens(source, target), "has_source_text": has_text(source),
+        "jaccard_numeric": jaccard_numeric(source, target), "match_numeric": match_numeric(source, target),
+        "jaccard_alpha": jaccard_alpha(source, target), "match_first_token": match_first_token(source, target),
+        "first_position": first_position(source, target),
     }
 
 
@@ -135,7 +138,7 @@ def strip_punctuation(text: Column, punctuation: str = PUNCTUATION) -> Column:
     return F.btrim(F.lower(F.trim(text)), F.lit(punctuation))
 
 
-def is_punctuation(text: Column, punctuation: str = PUNCTUATION) -> Column:
+def is_punctuation(text: Column, punctuation: str = DOCUMENT_PUNCTUATION) -> Column:
     """Whether a token is a stretch of the punctuation string, as the empty string is too."""
     return F.contains(F.lit(punctuation), text)
 

@@ -100,6 +100,45 @@ def hyphen_words(words: DataFrame, score: Callable[[Column, Column], Column], th
     )
 
 
+def hyphen_features(words: DataFrame, shares: DataFrame, default: float) -> DataFrame:
+    """A row for each hyphen of each distinct word (word): hyphen, from 1, and the features that a classifier of it takes.
+
+    ``shares`` (word, prob) has how common words are; ``default`` is for those it lacks. A
+    word that starts or ends with a hyphen is an error; one without hyphens has no rows.
+    """
+    edge = F.when(F.col("word").startswith("-") | F.col("word").endswith("-"), F.raise_error(F.lit("words must not start or end with hyphens")))
+    parts = F.split("word", "-")
+    rows = words.select("word", F.posexplode(F.when(edge.isNull(), parts)).alias("hyphen", "__part")).where("hyphen > 0")
+    rows = rows.select("word", "hyphen", F.array_join(F.slice(parts, 1, F.col("hyphen")), "-").alias("pre"),
+                       F.array_join(F.slice(parts, F.col("hyphen") + 1, F.size(parts)), "-").alias("suf"))
+    share = lambda name, key: shares.select(F.col("word").alias(key), F.col("prob").alias(name))
+    rows = rows.join(share("__whole", "word"), "word", "left")
+    rows = rows.withColumn("__both", F.concat("pre", "suf")).join(share("__joined", "__both"), "__both", "left")
+    flag = lambda c, pattern: F.when(c.rlike(pattern), 1).otherwise(0)
+    pre, suf = F.col("pre"), F.col("suf")
+    behind = lambda c, n: F.when(F.length(c) > n, F.substring(c, n, 2)).otherwise("") if n > 1 else F.left(c, F.lit(2))
+    before = lambda n: F.when(F.length(pre) > n, F.reverse(F.left(F.right(pre, F.lit(n + 1)), F.lit(2)))).otherwise("")
+    dense = {}
+    for name, c in (("p", pre), ("s", suf)):
+        dense |= {
+            f"{name}_upper": flag(c, r"^\p{Lu}"), f"{name}_number": flag(c, r"^\p{N}+$"), f"{name}_isalpha": flag(c, r"^\p{L}+$"), f"{name}_len": F.length(c),
+        }
+    dense["uni_prob"] = F.coalesce("__whole", F.lit(default)) - F.coalesce("__joined", F.lit(default))
+    dense["multi_hyphen"] = F.when(F.size(parts) > 2, 1).otherwise(0)
+    sparse = {"shape": F.regexp_replace("word", r"(?U)\w", "x"), "s_lower": F.lower(suf)} | {f"s_bg{n}": behind(suf, n) for n in (1, 2, 3)}
+    sparse |= {"p_lower": F.lower(pre)} | {f"p_bg{n}": before(n) for n in (1, 2, 3)}
+    return rows.select("word", F.col("hyphen").cast("bigint").alias("hyphen"), *[v.alias(k) for k, v in (sparse | dense).items()])
+
+
+def hyphen_edits(scored: DataFrame, threshold: float = -1.5) -> DataFrame:
+    """Words (word, hyphen, score) with the hyphens that score above the threshold: original, new, is_edit."""
+    kept = F.map_from_entries(F.collect_list(F.struct("hyphen", (F.col("score") > threshold).alias("kept"))))
+    made = scored.groupBy("word").agg(kept.alias("kept"))
+    piece = lambda part, i: F.concat(F.when(F.col("kept")[i.cast("bigint")], "-").otherwise(""), part)
+    new = F.array_join(F.transform(F.split("word", "-"), piece), "")
+    return made.select(F.col("word").alias("original"), new.alias("new")).withColumn("is_edit", F.col("original") != F.col("new"))
+
+
 def stringify(queries: DataFrame, words: DataFrame, joiner: str = " ", allow_partial: bool = True, normalize: bool = True) -> DataFrame:
     """Text of each query span (doc_id, pos, start, end) through the words it overlaps.
 

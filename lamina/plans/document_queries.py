@@ -63,9 +63,8 @@ def page_row_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_layers("""
-    , w AS (SELECT doc_id, pos, "start", "end" + (pos % 7 = 0)::INT * 3 AS "end" FROM tokens)
-    SELECT a.doc_id, a.pos, b.pos AS other_pos FROM w a JOIN w b
-    ON a.doc_id = b.doc_id AND a.pos < b.pos AND a."start" < b."end" AND a."end" > b."start" """))
+    , w AS (SELECT doc_id, pos, "end" + (pos % 7 = 0)::INT * 3 AS e, lead("start") OVER (PARTITION BY doc_id ORDER BY pos) AS following FROM tokens)
+    SELECT doc_id, pos, pos + 1 AS other_pos FROM w WHERE following < e"""))  # tokens are three characters apart at least from the next but one
 def layer_disjointness_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every seventh token is made three characters too long, so that it meets the next."""
     long = F.col("end") + F.when(F.col("pos") % 7 == 0, 3).otherwise(0)
@@ -188,7 +187,10 @@ def row_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "page", "row_pos", *[F.round(c, 9).alias(c) for c in "ltwh"], F.round("mean_w", 6).alias("mean_w"), "n")
 
 
-@query()
+@query(with_layers("""
+    , g AS (SELECT doc_id, page, pos, coalesce(row_pos <> lag(row_pos) OVER d OR l - (lag(l) OVER d + lag(w) OVER d) > 0.5, true)::INT AS b
+            FROM boxed WINDOW d AS (PARTITION BY doc_id, page ORDER BY pos))
+    SELECT doc_id, page, pos, (sum(b) OVER (PARTITION BY doc_id, page ORDER BY pos) - 1)::BIGINT AS line FROM g"""))
 def line_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     return grouped.lines_of(layers.token_boxes(layers.tokens(docs), layers.rows(docs)), 0.01, 0.5)

@@ -62,8 +62,8 @@ def citation_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = text.citation_features(F.col("text"), F.col("entry"))
     place = F.nanvl(f["first_position"], F.lit(-1.0))
     return m.join(e, "doc_id").select(
-        "doc_id", "pos", "entry_pos", f["has_text"].alias("has_text"), f["match_numeric"].alias("match_numeric"),
-        F.round(f["jaccard_numeric"], 9).alias("jaccard_numeric"), f["match_source_tokens"].alias("match_source_tokens"),
+        "doc_id", "pos", "entry_pos", f["has_source_text"].alias("has_text"), f["match_numeric"].alias("match_numeric"),
+        F.round(f["jaccard_numeric"], 9).alias("jaccard_numeric"), f["heuristic"].alias("match_source_tokens"),
         f["match_first_token"].alias("match_first_token"), place.alias("first_position"),
     )
 

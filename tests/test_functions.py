@@ -88,3 +88,44 @@ def test_json_round_trip(spark):
     again = documents.annotations(back)
     assert again.select("field", "pos", "id", "text", "spans").exceptAll(layer.select("field", "pos", "id", "text", "spans")).count() == 0
     assert back.first().symbols == "ab cd"
+
+
+def test_indel_ratio_of_brute_force(spark):
+    import random
+    from functools import lru_cache
+
+    rng = random.Random(2)
+    pairs = [("".join(rng.choice("abcé") for _ in range(rng.randint(0, 12))), "".join(rng.choice("abcé") for _ in range(rng.randint(0, 12)))) for _ in range(200)]
+
+    def want(a, b):
+        @lru_cache(None)
+        def common(i, j):
+            if i == len(a) or j == len(b):
+                return 0
+            return max(common(i + 1, j), common(i, j + 1), 1 + common(i + 1, j + 1) if a[i] == b[j] else 0)
+
+        return round(200 * common(0, 0) / (len(a) + len(b))) if a or b else 100
+
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", text.indel_ratio(F.col("a"), F.col("b")).alias("r")).collect()
+    assert all(r.r == want(r.a, r.b) for r in got)
+
+
+def test_citation_features_are_in_order(spark):
+    made = text.citation_features(F.lit("\t\n"), F.lit("x"))
+    assert list(made) == (
+        "fuzz_ratio jaccard_1gram jaccard_2gram jaccard_3gram jaccard_4gram heuristic has_source_text jaccard_numeric match_numeric jaccard_alpha"
+        " match_first_token first_position"
+    ).split()
+    assert value(spark, made["has_source_text"]) == 0 and value(spark, text.has_text(F.lit("\u00a0x"))) == 1
+
+
+def test_hyphens_at_the_edge_are_errors(spark):
+    import pytest
+
+    from lamina.operators import words
+
+    shares = spark.createDataFrame([("a-b", 0.5)], "word string, prob double")
+    row = words.hyphen_features(spark.createDataFrame([("a-b",)], "word string"), shares, 0.1).first()
+    assert len(row) == 21 and abs(row.uni_prob - 0.4) < 1e-12 and row.p_bg1 == "" and row.s_bg1 == "b"
+    with pytest.raises(Exception, match="hyphens"):
+        words.hyphen_features(spark.createDataFrame([("-b",)], "word string"), shares, 0.1).collect()
