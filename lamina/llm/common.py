@@ -108,15 +108,15 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return joined.select(*rows.columns, *[F.coalesce(f"__hot_{c}", c).alias(c) for c in extra])
 
 
-def meet_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+def meet_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with one row per key of ``groups``, hot keys apart as in :func:`join_groups`.
 
-    Rows without a group leave at the join. ``rows`` are read twice if there are hot keys,
-    so their lineage should be cut.
+    Hot keys, ``HOT_GROUPS`` at most, go to the driver. ``rows`` are read twice if there
+    are any, so their lineage should be cut.
     """
     hot = groups.where(F.col(size) * HOT_GROUPS > F.lit(total))
-    rest = groups.where(F.col(size) * HOT_GROUPS <= F.lit(total))
-    if hot.isEmpty():
-        return rows.join(rest, keys)
-    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return rows.join(F.broadcast(hot), keys).unionByName(cold.join(rest, keys))
+    keys = [r[0] for r in hot.select(key).collect()]
+    if not keys:
+        return rows.join(groups, key)
+    inside = F.col(key).isin(keys)
+    return rows.where(inside).join(F.broadcast(hot), key).unionByName(rows.where(~inside).join(groups.where(~inside), key))

@@ -147,7 +147,7 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     fans = cut(fans)
     total = fans.agg(F.sum("n")).first()[0] or 1
     part = F.pmod(F.xxhash64("b"), F.col("parts"))
-    dealt = meet_groups(pairs, fans, ["a"], "n", total).select("a", "b", part.alias("part"))
+    dealt = meet_groups(pairs, fans, "a", "n", total).select("a", "b", part.alias("part"))
     left = sets.withColumnRenamed("node", "a").join(fans, "a").select(
         "a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.col("shingles").alias("sa")
     )
@@ -199,7 +199,7 @@ def _buckets(members: DataFrame, total: int) -> DataFrame:
         F.sum(F.xxhash64("node", F.lit(1)) % (1 << 40)).alias("s2"),
     )
     alike = cut(summary.where("n > 1").groupBy("n", "first", "s1", "s2").agg(F.min("bucket").alias("bucket")).select("bucket", "first", "n"))
-    return meet_groups(members, alike, ["bucket"], "n", total).select("bucket", "node", "first")
+    return meet_groups(members, alike, "bucket", "n", total).select("bucket", "node", "first")
 
 
 def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -207,7 +207,7 @@ def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
     known = cut(members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")))
     mixed = known.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
     mixed = cut(mixed.select("bucket", "n"))
-    return meet_groups(known, mixed, ["bucket"], "n", known.count()).drop("n")
+    return meet_groups(known, mixed, "bucket", "n", known.count()).drop("n")
 
 
 def _blockwise_links(left: DataFrame, sets: DataFrame) -> DataFrame:
@@ -222,7 +222,7 @@ def _blockwise_links(left: DataFrame, sets: DataFrame) -> DataFrame:
         F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("outside")
     )
     main = cut(main)
-    placed = meet_groups(left, main, ["bucket"], "n", main.agg(F.sum("n")).first()[0] or 1).select(
+    placed = meet_groups(left, main, "bucket", "n", main.agg(F.sum("n")).first()[0] or 1).select(
         "bucket", "node", "label", (F.col("label") != F.col("main")).alias("asks"),
         F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil(F.col("outside") / BLOCK).alias("query_blocks"),
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lamina.llm import exact_dedup, near_dedup, perplexity, queries, substring_dedup, warc
-from lamina.llm.common import join_groups
+from lamina.llm.common import join_groups, meet_groups
 
 SCHEMA = "doc_id long, text string, keep_id long, n long, id string"
 
@@ -424,3 +424,11 @@ def test_slots_that_two_chunks_have(spark):
         if ends:
             slots.update((substring_dedup.digests(substring_dedup._pieces(raw, ends))[:, 0] & (substring_dedup.PAGE_SLOTS - 1)).tolist())
     assert set(np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist()) == {k for k, n in slots.items() if n > 1}
+
+
+def test_hot_groups_meet_once(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") < 1500, 0).otherwise(F.col("id")).alias("k"), "id")
+    groups = rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1 or k % 3 = 0")
+    for total in (3000, 10**9):
+        joined = meet_groups(rows, groups, "k", "n", total)
+        assert joined.count() == 2000 and joined.where("n = 1500").count() == 1500 and joined.select("id").distinct().count() == 2000
