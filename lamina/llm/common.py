@@ -99,7 +99,10 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     hot = groups.where(F.col(size) * HOT_GROUPS > F.lit(total)).select(
         *keys, *[F.col(c).alias(f"__hot_{c}") for c in extra], F.lit(True).alias("__hot")
     )
-    rest = groups.where(F.col(size) * HOT_GROUPS <= F.lit(total)).withColumn("__apart", F.lit(0).cast("long"))
+    # Zero, as no size is less, but no constant: Catalyst would fold a constant into a
+    # condition on ``rows`` alone and leave it out of the keys of the shuffle.
+    none = F.least(F.col(size), F.lit(0)).cast("long")
+    rest = groups.where(F.col(size) * HOT_GROUPS <= F.lit(total)).withColumn("__apart", none)
     # Rows of hot keys are settled by the broadcast. They meet nothing in the shuffle, and
     # a part of the key of their own spreads them over it.
     own = F.when(F.col("__hot"), F.xxhash64(*rows.columns).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("long"))

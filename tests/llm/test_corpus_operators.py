@@ -66,6 +66,20 @@ def test_hot_groups_join_once(spark):
     assert joined.count() == 3000 and joined.where("n = 1500").count() == 1500 and joined.where("n is null").count() == 1500
 
 
+def test_rows_of_a_hot_group_are_spread(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") < 1500, 0).otherwise(F.col("id")).alias("k"), "id")
+    groups = rows.groupBy("k").agg(F.count("*").alias("n"))
+    set_before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        joined = join_groups(rows, groups, ["k"], "n", 3000).select("*", F.spark_partition_id().alias("part"))
+        assert joined.count() == 3000 and max(r["count"] for r in joined.groupBy("part").count().collect()) < 1200
+    finally:
+        for k, v in set_before.items():
+            spark.conf.set(k, v)
+
+
 def near_rows():
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
