@@ -228,3 +228,10 @@ def softmax(logits: Column) -> Column:
     raised = F.transform(logits, lambda x: F.exp(x - top))
     total = F.aggregate(raised, F.lit(0.0), lambda a, x: a + x)
     return F.transform(raised, lambda x: x / total)
+
+
+def random_letters(length: Column, *keys: Column, seed: int = 0) -> Column:
+    """As many of a-z as ``length`` says, by the hash of the keys, so a task that runs again gives the same ones."""
+    letter = lambda i: F.chr(F.pmod(F.xxhash64(F.lit(seed), *keys, i), F.lit(26)) + 97)
+    made = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(length, F.lit(1))), letter), "")
+    return F.substring(made, F.lit(1), length)

@@ -163,3 +163,20 @@ def heading_pairs(sections: DataFrame, n_pages: Column) -> DataFrame:
         sign("p_l", "l").alias("relative_x"), sign("p_t", "t").alias("relative_y"), F.abs(F.col("p_l") - F.col("l")).alias("x_distance"),
         F.abs(F.col("p_t") - F.col("t")).alias("y_distance"), *[v.alias(k) for k, v in features.items()],
     ).withColumn("prefix_names_parent", F.col("parent_prefix").eqNullSafe(F.col("child_implied_parent")) & F.col("parent_prefix").isNotNull())
+
+
+# The names of types in order, as models number them from 0.
+DOCBANK = ("paragraph", "title", "equation", "reference", "section", "list", "table", "caption", "author", "abstract", "footer", "date", "figure")
+GROTOAP2 = (
+    "BIB_INFO", "REFERENCES", "UNKNOWN", "BODY_CONTENT", "PAGE_NUMBER", "TABLE", "ACKNOWLEDGMENT", "FIGURE", "CONFLICT_STATEMENT", "AFFILIATION",
+    "DATES", "TYPE", "title", "AUTHOR", "abstract", "CORRESPONDENCE", "EDITOR", "COPYRIGHT", "AUTHOR_TITLE", "KEYWORDS", "GLOSSARY", "EQUATION",
+)
+
+
+def entities(groups: DataFrame, names: tuple[str, ...], wanted: list[str]) -> DataFrame:
+    """The groups whose ``type``, a place in ``names``, is one of those wanted, with its ``name``."""
+    unknown = [x for x in wanted if x not in names]
+    if unknown:
+        raise KeyError(f"no such types: {unknown}")
+    name = F.element_at(F.array(*map(F.lit, names)), (F.col("type") + 1).cast("int"))
+    return groups.where(F.col("type").isin([names.index(x) for x in wanted])).withColumn("name", name)

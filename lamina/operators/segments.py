@@ -104,6 +104,23 @@ def bilou_spans(labels: DataFrame, by: str, order: str, keep_first: bool = False
     return found.groupBy(by, (F.col("span") - 1).alias("span")).agg(F.min(order).alias("first"), F.max(order).alias("last"))
 
 
+def word_label(labels: Column) -> Column:
+    """The label of a word from those of its parts, an array of B, I, L, U and O in order.
+
+    If two or more of B, L and U are among them, the first of these counts; otherwise I, if
+    it is there, and else that of the first part. Null for no parts.
+    """
+    kinds = sum((F.array_contains(labels, x).cast("int") for x in "BLU"), F.lit(0))
+    edge = F.try_element_at(F.filter(labels, lambda x: ~x.isin("I", "O")), F.lit(1))
+    return F.when(kinds > 1, edge).when(F.array_contains(labels, "I"), "I").otherwise(F.try_element_at(labels, F.lit(1)))
+
+
+def labels_of_words(parts: DataFrame, by: str, word: str, order: str) -> DataFrame:
+    """(by, word, label) of the labelled parts of words; no more than the parts of one word are gathered."""
+    listed = F.array_sort(F.collect_list(F.struct(order, "label")))
+    return parts.groupBy(by, word).agg(word_label(F.transform(listed, lambda x: x["label"])).alias("label"))
+
+
 def author_spans(labels: DataFrame, by: str, order: str, keep_open: bool = False) -> DataFrame:
     """Runs that START or MIDDLE labels form; one that is open at the end is dropped unless ``keep_open``."""
     w = Window.partitionBy(by).orderBy(order)

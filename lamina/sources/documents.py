@@ -108,6 +108,34 @@ def outline_target(kind: Column, page_height: Column, values: Column) -> Column:
     return (page_height - top) / page_height
 
 
+def resolve_outline(items: DataFrame, pages: DataFrame, raise_errors: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Places of outline items, and (doc_id, error) of documents whose outline can't be used.
+
+    ``items`` has doc_id, pos, title, level, page_id, kind, left, top; ``pages`` doc_id,
+    page_id, page, width, height. Items without a page_id lead nowhere and are left out. The
+    first item of a document that can't be resolved voids its outline, and so does having none
+    that leads anywhere. ``raise_errors`` makes reading either result fail at such a document.
+    """
+    joined = items.join(pages, ["doc_id", "page_id"], "left")
+    problem = (
+        F.when(F.col("page_id").isNull(), None).when(F.col("page").isNull(), "page missing")
+        .when((F.col("kind") == "XYZ") & (F.col("left").isNull() | F.col("top").isNull()), "destination location missing")
+        .when(~F.coalesce(F.col("kind").isin("XYZ", "FitR"), F.lit(False)), "unsupported destination")
+    )
+    first = F.min(F.when(problem.isNotNull(), F.struct("pos", problem.alias("problem"))))["problem"]
+    none = F.when(F.count("page_id") == 0, "no usable destinations")
+    state = joined.groupBy("doc_id").agg(F.coalesce(first, none).alias("error"))
+    if raise_errors:
+        told = F.raise_error(F.concat(F.lit("outline of document "), F.col("doc_id"), F.lit(": "), F.col("error")))
+        state = state.withColumn("error", F.when(F.col("error").isNotNull(), told.cast("string")))
+    usable = joined.where("page_id is not null").join(state.where("error is null").select("doc_id"), "doc_id")
+    placed = usable.select(
+        "doc_id", "pos", "title", "level", "page", (F.col("left") / F.col("width")).alias("l"),
+        ((F.col("height") - F.col("top")) / F.col("height")).alias("t"),
+    )
+    return placed, state.where("error is not null")
+
+
 def ocr_blocks(ocr: DataFrame) -> DataFrame:
     """Blocks of OCR rows (doc_id, page, block_num, left, top, width, height, text, page_width, page_height).
 
