@@ -8,8 +8,10 @@ text and none of its copies teaches the model that judges it.
 
 Tasks look grams up in arrays sorted by hash. Models stand in shards of at most
 ``MOST_ENTRIES`` grams, and a text is scored by the shard that holds its model. A model
-larger than a shard is split by the last symbol of the context, and its texts are scored
-shard by shard: all that one symbol needs stands in one shard, so the sums are the same.
+larger than a shard is split by the last symbol of the context, a symbol whose grams are
+still more by the last two, and so on; a shard also has the entries of the shorter ends
+of its contexts. Texts are scored shard by shard: all that one context needs stands in one
+shard, so the sums are the same. One shard is in memory at a time.
 
 A document is rejected if its mean log-perplexity lies outside the band of its language;
 the bands come from the median and the quartiles of the distinct texts that pass the
@@ -20,10 +22,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.llm.common import cut, join_groups, slices, texts
@@ -254,43 +257,102 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return len(words), points, len(SYMBOLS.findall(text)), len(lines) - len(set(lines)), repeated_words(words)
 
 
-def _shards(model: DataFrame) -> list[tuple[list[str], list[int] | None]]:
-    """Languages of each shard; one that is too large stands in several, each with some last symbols of contexts."""
+@dataclass
+class Shard:
+    """Languages whose models stand in it; of a language that is split, the contexts that it settles.
+
+    These end in the ``depth`` - 1 symbols of ``parent``, and with one symbol more they are
+    one of ``routes``, or, where ``seen`` is given, none of ``seen``.
+    """
+
+    languages: list[str]
+    depth: int = 0
+    parent: int = 0
+    routes: list[int] = field(default_factory=list)
+    seen: list[int] | None = None
+
+    def owns(self, context: np.ndarray) -> np.ndarray:
+        if not self.depth:
+            return np.ones(len(context), bool)
+        end = context & _ones(self.depth)
+        mine = np.isin(end, np.array(self.routes, np.int64))
+        if self.seen is not None:
+            mine |= ~np.isin(end, np.array(self.seen, np.int64))
+        return mine & (context & _ones(self.depth - 1) == self.parent)
+
+    def entries(self, model: DataFrame) -> DataFrame:
+        """What its contexts need, those of their shorter ends among it: at most 4097 for each of these."""
+        chosen = model.where(F.col("lang").isin(self.languages))
+        if not self.depth:
+            return chosen
+        wanted = (F.col("symbols") >= self.depth) & _end(self.depth).isin(self.routes)
+        for n in range(self.depth):
+            wanted = wanted | ((F.col("symbols") == n) & (F.col("context") == self.parent & _ones(n)))
+        # An entry that stands here both as a gram and as a context is one.
+        both = _by_context(chosen).where(wanted).groupBy("lang", "level", "gram")
+        return both.agg(F.max("logp").alias("logp"), F.max("logb").alias("logb"))
+
+
+def _ones(symbols: int) -> int:
+    return (1 << (BITS * symbols)) - 1
+
+
+def _end(symbols: int) -> Column:
+    return F.col("context").bitwiseAND(F.lit(_ones(symbols)))
+
+
+def _by_context(model: DataFrame) -> DataFrame:
+    """Each entry as a gram under its context and as a context under itself, with the ``symbols`` of that."""
+    none = F.lit(None).cast("double")
+    as_gram = model.where("logp is not null").select(
+        "lang", "level", "gram", "logp", none.alias("logb"), F.shiftright("gram", BITS).alias("context"), (F.col("level") - 1).alias("symbols")
+    )
+    as_context = model.where("logb is not null").select(
+        "lang", "level", "gram", none.alias("logp"), "logb", F.col("gram").alias("context"), F.col("level").alias("symbols")
+    )
+    return as_gram.unionByName(as_context)
+
+
+def _split(entries: DataFrame, language: str, depth: int = 1, parent: int = 0) -> list[Shard]:
+    """Shards of the contexts that end in the symbols of ``parent``, by the symbol before these."""
+    inside = entries.where((F.col("symbols") >= depth) & (_end(depth - 1) == parent))
+    routes = inside.groupBy(_end(depth).alias("route")).count().collect()  # at most 4096 rows
+    shards, heavy, room = [Shard([language], depth, parent)], [], MOST_ENTRIES
+    for r in sorted(routes, key=lambda r: (-r["count"], r["route"])):
+        if r["count"] > MOST_ENTRIES and depth < ORDER - 1:
+            heavy.append(r["route"])
+            continue
+        if r["count"] > room:
+            shards.append(Shard([language], depth, parent))
+            room = MOST_ENTRIES
+        shards[-1].routes.append(r["route"])
+        room -= r["count"]
+    # Contexts that the model doesn't have are settled by their shorter ends, in the first shard.
+    shards[0].seen = [r["route"] for r in routes]
+    for route in heavy:
+        shards += _split(entries, language, depth + 1, route)
+    return shards
+
+
+def _shards(model: DataFrame) -> list[Shard]:
+    """Shards of all languages; one that is too large stands in several."""
     sizes = {r["lang"]: r["count"] for r in model.groupBy("lang").count().collect()}
-    out: list[tuple[list[str], list[int] | None]] = []
+    out: list[Shard] = []
     room = 0
     for lang in sorted((x for x in sizes if sizes[x] <= MOST_ENTRIES), key=lambda x: (-sizes[x], x)):
         if sizes[lang] > room:
-            out.append(([], None))
+            out.append(Shard([]))
             room = MOST_ENTRIES
-        out[-1][0].append(lang)
+        out[-1].languages.append(lang)
         room -= sizes[lang]
     for lang in sorted(x for x in sizes if sizes[x] > MOST_ENTRIES):
-        routes = _routed(model.where(F.col("lang") == lang)).groupBy("route").count().collect()  # at most 4096 rows
-        room = 0
-        for r in sorted(routes, key=lambda r: (-r["count"], r["route"])):
-            if r["count"] > room:
-                out.append(([lang], []))
-                room = MOST_ENTRIES
-            out[-1][1].append(r["route"])
-            room -= r["count"]
+        out += _split(_by_context(model.where(F.col("lang") == lang)), lang)
     return out
 
 
-def _routed(model: DataFrame) -> DataFrame:
-    """Each entry under the last character of its context, and as a context under its own last one."""
-    last = F.col("gram").bitwiseAND(F.lit(CLASSES - 1))
-    before = F.shiftright("gram", BITS).bitwiseAND(F.lit(CLASSES - 1))
-    as_gram = model.where("logp is not null and level > 1").select("*", before.alias("route")).withColumn("logb", F.lit(None).cast("double"))
-    as_context = model.where("logb is not null and level > 0").select("*", last.alias("route")).withColumn("logp", F.lit(None).cast("double"))
-    return as_gram.unionByName(as_context)
-
-
 def score(docs: DataFrame, model: DataFrame, carry: list[str], lang: str, text: str) -> DataFrame:
     """``carry``, the base counts, and the sum of log-probabilities and characters of each text."""
     spark = docs.sparkSession
-    # Grams of one symbol and the empty context: at most 4097 for a language.
-    roots = model.where("level = 0 or (level = 1 and logp is not null)").withColumn("logb", F.when(F.col("level") == 0, F.col("logb")))
     kinds = [docs.schema[c].dataType.simpleString() for c in carry]
     head = ", ".join(f"__k{i} {k}" for i, k in enumerate(kinds))
     base = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -298,7 +360,7 @@ def score(docs: DataFrame, model: DataFrame, carry: list[str], lang: str, text:
     rows = docs.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(carry)], F.col(lang).alias("lang"), F.col(text).alias("text"))
     rows = rows.withColumn("__row", F.xxhash64(*[f"__k{i}" for i in range(len(carry))], "lang", "text"))
 
-    def scored(rows: DataFrame, arrays, owned: np.ndarray, with_base: bool) -> DataFrame:
+    def scored(rows: DataFrame, arrays, shard: Shard, with_base: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in slices(batches, "text"):
                 batch = texts(part, "text")
@@ -309,7 +371,7 @@ def score(docs: DataFrame, model: DataFrame, carry: list[str], lang: str, text:
                     keys, sizes = grams([batch[i] for i in rows_])
                     found, back = np.unique(keys, return_inverse=True)
                     logp = arrays.value.log_probability(language, found)
-                    logp[~owned[(found >> BITS) & (CLASSES - 1)]] = 0
+                    logp[~shard.owns(found >> BITS)] = 0
                     sums = np.r_[0, np.cumsum(logp[back])]
                     # The first symbols of wide characters are none of their own.
                     points = np.r_[0, np.cumsum((keys & (CLASSES - 1)) < WIDE)]
@@ -322,33 +384,29 @@ def score(docs: DataFrame, model: DataFrame, carry: list[str], lang: str, text:
 
         return rows.mapInArrow(run, f"{head}, __row long, {base}, total double, chars long")
 
-    every = np.ones(CLASSES, bool)
+    def settled(rows: DataFrame, shard: Shard, entries: list[bytes], with_base: bool = True) -> DataFrame:
+        """The scores by one shard, written, so that its arrays can go before those of the next come."""
+        arrays = spark.sparkContext.broadcast(Arrays(shard.languages, entries))
+        got = cut(scored(rows, arrays, shard, with_base))
+        arrays.destroy()
+        return got
+
     whole, split, met = [], {}, []
-    for languages, routes in _shards(model):
-        chosen = model.where(F.col("lang").isin(languages))
-        if routes is not None:
-            chosen = _routed(chosen).where(F.col("route").isin(routes)).drop("route").unionByName(roots.where(F.col("lang").isin(languages)))
-            # A gram that stands here both as a gram and as a context is one entry.
-            chosen = chosen.groupBy("lang", "level", "gram").agg(F.max("logp").alias("logp"), F.max("logb").alias("logb"))
-        arrays = spark.sparkContext.broadcast(Arrays(languages, packed(chosen, languages)))
-        own = rows.where(F.col("lang").isin(languages))
-        met += languages
-        if routes is None:
-            whole.append(scored(own, arrays, every, True))
-            continue
-        owned = np.zeros(CLASSES, bool)
-        owned[routes] = True
-        split.setdefault(languages[0], []).append((own, arrays, owned))
+    for shard in _shards(model):
+        own = rows.where(F.col("lang").isin(shard.languages))
+        first = not shard.depth or shard.languages[0] not in split
+        got = settled(own, shard, packed(shard.entries(model), shard.languages), first)
+        met += shard.languages
+        if shard.depth:
+            split.setdefault(shard.languages[0], []).append(got)
+        else:
+            whole.append(got)
     # Texts whose language has no model get the same probability for each symbol.
-    none = spark.sparkContext.broadcast(Arrays([], []))
-    whole.append(scored(rows.where(~F.col("lang").isin(met)) if met else rows, none, every, True))
+    whole.append(settled(rows.where(~F.col("lang").isin(met)) if met else rows, Shard([]), []))
     for shards in split.values():
-        # Contexts that the model doesn't have are settled by the roots, in the first shard.
-        shards[0][2][~np.any([owned for _, _, owned in shards], axis=0)] = True
-        parts = None
-        for k, (own, arrays, owned) in enumerate(shards):
-            got = scored(own, arrays, owned, k == 0)
-            parts = got if parts is None else parts.unionByName(got)
+        parts = shards[0]
+        for got in shards[1:]:
+            parts = parts.unionByName(got)
         # Rows that are alike in everything have alike sums, so each counts the copies once for all shards.
         keys = [*names[: len(carry) + 1], "chars"]
         parts = parts.groupBy(*keys).agg(

@@ -255,6 +255,30 @@ def test_kneser_ney_is_the_textbook_s(spark):
         assert math.isclose(x, math.log(truth(split(k))), abs_tol=1e-4)
 
 
+def test_contexts_of_a_frequent_symbol_are_split(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("aaab c") for _ in range(120)) for _ in range(6)] + ["Xyz q"]
+    docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
+    model = perplexity.kneser_ney(perplexity.count_grams(docs, "lang", "text"))
+    model = perplexity.cut(model)
+    keys = np.unique(perplexity.grams([*texts, "abz qq", "new stuff", "caaaaa"])[0])
+    whole = perplexity.Arrays(["en"], perplexity.packed(model, ["en"])).log_probability("en", keys)
+    monkeypatch.setattr(perplexity, "MOST_ENTRIES", 250)
+    shards = perplexity._shards(model)
+    # The symbols before the letter a are too many for one shard.
+    assert max(s.depth for s in shards) >= 2
+    owners, parts = np.zeros(len(keys), int), np.zeros(len(keys))
+    for shard in shards:
+        entries = shard.entries(model)
+        # What every shard has of the shorter ends comes on top; here at most 7 grams and a context each.
+        assert entries.count() <= 250 + 8 * shard.depth
+        mine = shard.owns(keys >> perplexity.BITS)
+        owners += mine
+        parts += np.where(mine, perplexity.Arrays(["en"], perplexity.packed(entries, ["en"])).log_probability("en", keys), 0)
+    assert (owners == 1).all()
+    assert np.allclose(parts, whole, atol=1e-6)
+
+
 def test_shards_change_nothing(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").unionByName(spark.createDataFrame([(900, None, None, "s", 0), (901, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long"))
     whole = perplexity.judge_quality(docs).orderBy("doc_id").collect()
