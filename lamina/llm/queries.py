@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import bpe, exact_dedup, licenses, near_dedup, packing, perplexity, quality_cnn, substring_dedup, toxicity, warc
+from lamina.llm import bpe, exact_dedup, licenses, near_dedup, packing, perplexity, prefix_trie, quality_cnn, substring_dedup, toxicity, warc
 from lamina.llm.common import cut, shared_folder, table
 
 
@@ -92,12 +92,18 @@ def op10_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.judge_quality(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per node of the trie of all ``conversations``, rebuilt as their contract says; rows without a conv_id are in none."""
+    turns = prefix_trie.conversations_of(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.share_first_turns(cut(turns))).drop("digest")
+
+
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
             op1_warc, op2_license_scan, op3_packing, op4_quality_cnn, op5_toxicity, op6_near_dedup,
-            op7_substring_dedup, op8_bpe, op9_exact_dedup, op10_perplexity,
+            op7_substring_dedup, op8_bpe, op9_exact_dedup, op10_perplexity, op13_prefix_trie,
         )
     }
 
@@ -168,4 +174,18 @@ def oracle_sql() -> dict[str, str]:
             r AS (SELECT doc_id AS v, doc_id AS c FROM n UNION SELECT u.b, r.c FROM r JOIN u ON r.v = u.a),
             c AS (SELECT v, min(c) AS component_id FROM r GROUP BY 1)
             SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c ON doc_id = v""",
+        "op13_prefix_trie": """
+            WITH o AS (SELECT conv_id AS c, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+            t AS (SELECT c, list({'r': r, 'x': x} ORDER BY turn NULLS FIRST, sha256(strlen(r) || ':' || r || x)) AS w FROM o GROUP BY c),
+            h AS (SELECT c, w, xor(list_reduce(flatten(list_transform(string_split(c::VARCHAR, ''), lambda s: list_concat([ascii(s)::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1]))),
+                      lambda k, e: CASE WHEN e >= 0 THEN xor(k, e) ELSE xor(k >> 1, (k & 1) * 3988292384) END, 4294967295), 4294967295) % 9 AS h FROM t),
+            b AS (SELECT h.c, list_concat(coalesce(g.w[1:h.h], []), h.w[h.h + 1:]) AS w FROM h LEFT JOIN t g ON g.c = h.c - h.c % 5),
+            p AS (SELECT c, len(w) AS n, d, w[1:d] AS k, w[d].x AS last, w[1:d - 1] AS up FROM b, unnest(range(0, len(w) + 1)) AS u(d)),
+            n AS (SELECT d, k, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, any_value(coalesce(strlen(last), 0)) AS bytes,
+                         max(n) = d AS leaf, sha256(coalesce(string_agg(CASE WHEN n = d THEN c::VARCHAR END, ',' ORDER BY c), '')) AS ends_sha256
+                  FROM p GROUP BY d, k),
+            s AS (SELECT a.d, a.k, sum(b.leaf::BIGINT)::BIGINT AS n_leaves, sum((b.n_convs - 1) * b.bytes)::BIGINT AS saved_tokens,
+                         count(*) FILTER (b.d = a.d + 1) AS n_children FROM n a JOIN n b ON b.d >= a.d AND b.k[1:a.d] = a.k GROUP BY 1, 2)
+            SELECT n.conv_id, n.d AS depth, q.conv_id AS parent_conv_id, n.n_convs, s.n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+            FROM n JOIN s ON n.d = s.d AND n.k = s.k LEFT JOIN n q ON q.d = n.d - 1 AND q.k = n.up AND n.d > 0""",
     }
