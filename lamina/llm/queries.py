@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import bpe, exact_dedup, licenses, near_dedup, packing, perplexity, prefix_trie, quality_cnn, substring_dedup, toxicity, warc
+from lamina.llm import bpe, exact_dedup, licenses, near_dedup, packing, perplexity, prefix_trie, quality_cnn, simhash, substring_dedup, toxicity, warc
 from lamina.llm.common import cut, shared_folder, table
 
 
@@ -92,6 +92,11 @@ def op10_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.judge_quality(table(spark, sf_dir, "documents"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its fingerprint and the smallest doc_id that links of at most three bits reach."""
+    return simhash.mark_similar(table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per node of the trie of all ``conversations``, rebuilt as their contract says; rows without a conv_id are in none."""
     turns = prefix_trie.conversations_of(table(spark, sf_dir, "conversations"))
@@ -103,7 +108,7 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             op1_warc, op2_license_scan, op3_packing, op4_quality_cnn, op5_toxicity, op6_near_dedup,
-            op7_substring_dedup, op8_bpe, op9_exact_dedup, op10_perplexity, op13_prefix_trie,
+            op7_substring_dedup, op8_bpe, op9_exact_dedup, op10_perplexity, op12_simhash, op13_prefix_trie,
         )
     }
 
