@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import posixpath
 import uuid
+import zlib
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import bpe, exact_dedup, licenses, near_dedup, packing, perplexity, prefix_trie, quality_cnn, simhash, substring_dedup, toxicity, warc
+from lamina.llm import bpe, exact_dedup, licenses, near_dedup, packing, perplexity, prefix_trie, quality_cnn, simhash, substring_dedup, tandem_runs, toxicity, warc
 from lamina.llm.common import cut, shared_folder, table
 
 
@@ -92,6 +93,31 @@ def op10_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.judge_quality(table(spark, sf_dir, "documents"))
 
 
+def repeat_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of a document of which every tenth, by crc32 of its id, ends in a repetition; rows without an id don't."""
+    g, kind = divmod(zlib.crc32(str(doc_id).encode()), 10)
+    n = len(words)
+    if doc_id is None or kind or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    tail = words[a : a + p]
+    return words[:a] + (tail * ((n - a) // p + 1))[: n - a]
+
+
+def op11_tandem_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its runs, and what is left of it without their repeats, as digests; the strongest run in full."""
+    marked = tandem_runs.mark_runs(table(spark, sf_dir, "documents"), rewrite=repeat_tail)
+    line = lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))
+    best = F.col("strongest")
+    return marked.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best.start.alias("start"), best.length.alias("length"), best.period.alias("period"),
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its fingerprint and the smallest doc_id that links of at most three bits reach."""
     return simhash.mark_similar(table(spark, sf_dir, "documents"))
@@ -108,7 +134,7 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             op1_warc, op2_license_scan, op3_packing, op4_quality_cnn, op5_toxicity, op6_near_dedup,
-            op7_substring_dedup, op8_bpe, op9_exact_dedup, op10_perplexity, op12_simhash, op13_prefix_trie,
+            op7_substring_dedup, op8_bpe, op9_exact_dedup, op10_perplexity, op11_tandem_runs, op12_simhash, op13_prefix_trie,
         )
     }
 
