@@ -364,7 +364,7 @@ class Bpe:
                 rest.append((r, [r]))
             elif is_word(r):
                 alone[r] = None
-            elif r[-1] in MARKS and is_word(r[:-1]):
+            elif len(r) > 1 and r[-1] in MARKS and is_word(r[:-1]):
                 marked.append(r)
             else:
                 rest.append((r, self.words(r)))

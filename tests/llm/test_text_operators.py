@@ -33,6 +33,17 @@ def test_ids_are_those_of_the_library(name):
             assert mine.decode(ids) == library.decode(want.ids, skip_special_tokens=False) == text
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_lone_marks_in_a_fresh_worker(name):
+    content, library = queries.vocabulary(name), Tokenizer.from_file(public_tokenizers.path(name))
+    fresh = type(bpe.load(content))(content)
+    special = next(iter(fresh.special), "")
+    for mark in sorted(bpe.MARKS):
+        for text in (mark, f"{mark} x", f"x {mark}", f" {mark}", f"{mark}{mark}", f"a{mark} b {mark}\n{mark}", f"{special}{mark} a", f"a{special}{mark}"):
+            fresh.old, fresh.new = {}, {}
+            assert np.frombuffer(fresh.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_every_character_is_split_as_the_library_splits_it(name):
     mine, library = bpe.load(queries.vocabulary(name)), Tokenizer.from_file(public_tokenizers.path(name))
