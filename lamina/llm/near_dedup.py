@@ -348,11 +348,15 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     rows = cut(_settled(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))))
     leads = F.col("id").eqNullSafe(F.col("lead.id")) & (F.col("at") == F.col("lead.at"))
-    lost = rows.where((F.col("n") > 0) & ~leads).select(F.col("id").alias("__lost"), F.col("at").alias("__at")).distinct()
-    same = docs[id_col].eqNullSafe(F.col("__lost")) & (F.xxhash64(docs[text_col]) == F.col("__at"))
-    kept = docs.join(lost, same, "left_anti")
+    lost = rows.where((F.col("n") > 0) & ~leads).select("id", "at").distinct()
+    # Names of their own, as those of ``docs`` may be any.
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    own_id, own_text = (f"c{names.index(c)}" for c in (id_col, text_col))
+    same = F.col(own_id).eqNullSafe(F.col("id")) & (F.xxhash64(own_text) == F.col("at"))
+    kept = plain.join(lost, same, "left_anti")
     # Rows alike in id and text, of which the join above keeps all or none.
-    alike = cut(rows.where((F.col("n") > 0) & leads).groupBy("id", "at").count().where("count > 1").select(F.col("id").alias("__lost"), F.col("at").alias("__at")))
-    if alike.isEmpty():
-        return kept
-    return kept.join(alike, same, "left_anti").unionByName(kept.join(alike, same, "left_semi").dropDuplicates([id_col, text_col]))
+    alike = cut(rows.where((F.col("n") > 0) & leads).groupBy("id", "at").count().where("count > 1").select("id", "at"))
+    if not alike.isEmpty():
+        kept = kept.join(alike, same, "left_anti").unionByName(kept.join(alike, same, "left_semi").dropDuplicates([own_id, own_text]))
+    return kept.toDF(*names)
