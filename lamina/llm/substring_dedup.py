@@ -5,19 +5,22 @@ where the hash of the bytes before it has its low bits zero. Where the last ``BA
 have no white space, as in scripts that use none, a chunk may end at any letter, one in
 sixteen. Ends depend on the last ``BARE`` bytes alone, so an insertion moves only the ends
 near it. Chunks are deduplicated by digest: the first occurrence in the order of (id,
-place) stays. Runs of neighbouring chunks that occur earlier are repeated passages if they
-are long enough; the parts of a passage before its first and behind its last whole chunk
-stay.
+place) stays. What is deduplicated is a window: the least run of neighbouring chunks, from
+each chunk on, that has enough words to be a passage. So whatever is cut has occurred
+before as a whole, and no text goes because its phrases occur here and there, however many
+texts there are. Windows that overlap or touch make one passage; the parts of a passage
+before its first and behind its last whole chunk stay.
 
-Digests have 128 bits. Chunks that no other has a slot with in a bit map of all digests
+Digests have 128 bits. Windows that no other has a slot with in a bit map of all digests
 are left out before anything is shuffled; the slots of a task go to the map as packed
 pages, two bytes each. The map has at most ``MOST_BITS`` bits, so that it can be broadcast;
-beyond 2**27 chunks more of them pass it, which costs traffic and changes no result.
+beyond 2**27 windows more of them pass it, which costs traffic and changes no result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,7 @@ BARE = 64
 BARE_MASK = np.uint32(0xF << 27)
 #: A chunk without an end of its own ends here; such text repeats itself, since the hash of others meets the mask sooner.
 LONGEST = 1024
-#: Words a run of repeated chunks must have. Passages of 50 words lose about four on either side.
+#: Words a window must have. Passages of 50 words lose about four on either side.
 LEAST_WORDS = 25
 #: A run of more bytes without white space counts as a word for every six, which are two letters of such scripts.
 LONG_WORD = 48
@@ -117,15 +120,41 @@ def count_words(piece: bytes) -> int:
     return sum(1 if len(w) <= LONG_WORD else len(w) // 6 for w in words)
 
 
-def digests(pieces: list[bytes]) -> np.ndarray:
-    """The 128-bit digest of each chunk, as two integers."""
-    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, pieces)), ">i8").astype(np.int64).reshape(-1, 2)
-
-
 def _pieces(text: bytes, ends: list[int]) -> list[bytes]:
     return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
+class Windows(NamedTuple):
+    """Windows of several texts: the text of each, its bytes from start to stop, the words before it and up to its end, and its digest as two integers."""
+
+    owner: np.ndarray
+    start: np.ndarray
+    stop: np.ndarray
+    before: np.ndarray
+    upto: np.ndarray
+    digest: np.ndarray
+
+
+def windows(texts: list[bytes], least_words: int) -> Windows:
+    """From each chunk on the fewest chunks that have ``least_words`` together, as far as the text has them."""
+    ends = cut_points(texts)
+    each = np.fromiter(map(len, ends), np.int64, len(ends))
+    words = np.array([count_words(p) for t, e in zip(texts, ends, strict=True) for p in _pieces(t, e)], np.int64)
+    owner = np.repeat(np.arange(len(ends)), each)
+    stop = np.array([x for e in ends for x in e], np.int64)
+    last = np.cumsum(each)
+    first = (last - each)[owner]
+    upto = np.cumsum(words)
+    before = upto - words
+    end = np.searchsorted(upto, before + least_words)
+    start = np.r_[0, stop[:-1]] * (np.arange(len(stop)) > first) if len(stop) else stop
+    own = np.flatnonzero(end < last[owner])
+    base = before[first[own]]
+    found = Windows(owner[own], start[own], stop[end[own]], before[own] - base, upto[end[own]] - base, np.zeros((0, 2), np.int64))
+    raw = b"".join(xxhash.xxh3_128_digest(texts[k][a:b]) for k, a, b in zip(found.owner.tolist(), found.start.tolist(), found.stop.tolist(), strict=True))
+    return found._replace(digest=np.frombuffer(raw, ">i8").astype(np.int64).reshape(-1, 2))
+
+
 def _slot_bits(docs: DataFrame) -> int:
     """Bits of the map: eight for a chunk of thirty bytes, within the bound."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -135,16 +164,16 @@ def _slot_bits(docs: DataFrame) -> int:
     return bits
 
 
-def repeated_slots(docs: DataFrame, bits: int) -> np.ndarray:
-    """A bit map of the slots that two chunks or more of ``docs`` (text) have."""
+def repeated_slots(docs: DataFrame, bits: int, least_words: int = LEAST_WORDS) -> np.ndarray:
+    """A bit map of the slots that two windows or more of ``docs`` (text) have."""
     pages = bits // PAGE_SLOTS
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 4 << 20):
-            found = [digests(_pieces(t, e)) for texts in [raw_texts(part, "text")] for t, e in zip(texts, cut_points(texts), strict=True) if t]
-            if not found:
+            found = windows(raw_texts(part, "text"), least_words).digest
+            if not len(found):
                 continue
-            slots, n = np.unique(np.concatenate(found)[:, 0] & (bits - 1), return_counts=True)
+            slots, n = np.unique(found[:, 0] & (bits - 1), return_counts=True)
             slots = np.repeat(slots, np.minimum(n, 2))
             page = slots // PAGE_SLOTS
             first = np.flatnonzero(np.r_[True, page[1:] != page[:-1]])
@@ -183,43 +212,23 @@ def repeated_slots(docs: DataFrame, bits: int) -> np.ndarray:
     return out.ravel()
 
 
-def chunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots=None) -> DataFrame:
-    """(id, key, nth, start, size, words, d1, d2) of every chunk; starts and sizes in bytes of UTF-8.
-
-    ``key`` is the column ``__key`` of ``docs``, which tells rows with one id apart, or 0.
-    With ``slots``, a broadcast bit map, only of chunks whose slot is set.
-    """
-    kind = docs.schema[id_col].dataType.simpleString()
+def _maybe_repeated(docs: DataFrame, slots, least_words: int) -> DataFrame:
+    """(id, key, start, stop, before, upto, d1, d2) of the windows of ``docs`` (id, key, text) whose slot is set in a broadcast bit map; bytes of UTF-8."""
+    kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = slots.value
         for part in slices(batches, "text", 1 << 19):
-            texts = raw_texts(part, "text")
-            ends = cut_points(texts)
-            pieces = [p for t, e in zip(texts, ends, strict=True) for p in _pieces(t, e)]
-            if not pieces:
-                continue
-            each = np.fromiter(map(len, ends), np.int64, len(ends))
-            owner = np.repeat(np.arange(len(ends)), each)
-            digest = digests(pieces)
-            stop = np.concatenate([np.array(e, np.int64) for e in ends])
-            size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-            nth = np.arange(len(pieces)) - np.repeat(np.cumsum(each) - each, each)
-            keep = np.arange(len(pieces))
-            if slots is not None:
-                bitmap = slots.value
-                slot = digest[:, 0] & (8 * len(bitmap) - 1)
-                keep = np.flatnonzero((bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
-            words = np.fromiter((count_words(pieces[i]) for i in keep.tolist()), np.int64, len(keep))
+            w = windows(raw_texts(part, "text"), least_words)
+            slot = w.digest[:, 0] & (8 * len(bitmap) - 1)
+            keep = np.flatnonzero((bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
             yield pa.RecordBatch.from_arrays(
-                [part.column(c).take(pa.array(owner[keep])) for c in ("id", "key")]
-                + [pa.array(c.astype(np.int32)) for c in (nth[keep], (stop - size)[keep], size[keep], words)]
-                + [pa.array(np.ascontiguousarray(digest[keep, k])) for k in (0, 1)],
-                names=["id", "key", "nth", "start", "size", "words", "d1", "d2"],
-            )
+                [part.column(c).take(pa.array(w.owner[keep])) for c in ("id", "key")]
+                + [pa.array(c[keep].astype(np.int32)) for c in w[1:5]] + [pa.array(np.ascontiguousarray(w.digest[keep, k])) for k in (0, 1)],
+                names=["id", "key", "start", "stop", "before", "upto", "d1", "d2"],
+            )
 
-    key = F.col("__key") if "__key" in docs.columns else F.lit(0).cast("long")
-    rows = docs.select(F.col(id_col).alias("id"), key.alias("key"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, key long, nth int, start int, size int, words int, d1 long, d2 long")
+    return docs.select("id", "key", "text").mapInArrow(run, f"id {kind}, key long, start int, stop int, before int, upto int, d1 long, d2 long")
 
 
 def repeated_passages(
@@ -228,7 +237,7 @@ def repeated_passages(
     """(id, start, size, words, first_ids) of every passage that occurred before.
 
     ``start`` and ``size`` count bytes of UTF-8; ``first_ids`` has the ids, but null ones,
-    that hold the first occurrences of its chunks. Null and empty texts have no passages.
+    that hold the first occurrences of its windows. Null and empty texts have no passages.
     Rows without an id come last in the order of occurrence. Rows that repeat an id, or
     have none, are told apart by their texts; two rows with one id and one text count as
     one. An empty table gives an empty result; other columns are ignored.
@@ -242,26 +251,29 @@ def _passages(docs: DataFrame, id_col: str, text_col: str, least_words: int) ->
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # The hash goes with every chunk, so only where it is needed.
     unique = docs.groupBy("id").count().where("count > 1 or id is null").isEmpty()
-    docs = docs.withColumn("__key", F.lit(0).cast("long") if unique else F.xxhash64("text"))
-    slots = spark.sparkContext.broadcast(repeated_slots(docs.select("text"), _slot_bits(docs)))
-    maybe = cut(chunk(docs, "id", "text", slots))
+    docs = docs.withColumn("key", F.lit(0).cast("long") if unique else F.xxhash64("text"))
+    slots = spark.sparkContext.broadcast(repeated_slots(docs.select("text"), _slot_bits(docs), least_words))
+    maybe = cut(_maybe_repeated(docs, slots, least_words))
     groups = cut(
-        maybe.groupBy("d1", "d2").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key", "nth")).alias("first"), F.count("*").alias("n"))
-        .where("n > 1").select("d1", "d2", F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key"), F.col("first.nth").alias("first_nth"), "n")
+        maybe.groupBy("d1", "d2").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key", "start")).alias("first"), F.count("*").alias("n"))
+        .where("n > 1").select("d1", "d2", F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key"), F.col("first.start").alias("first_start"), "n")
     )
     total = groups.agg(F.sum("n")).first()[0] or 1
     copies = join_groups(maybe, groups, ["d1", "d2"], "n", total).where(
-        "first_nth is not null and not (id <=> first_id and key = first_key and nth = first_nth)"
+        "first_start is not null and not (id <=> first_id and key = first_key and start = first_start)"
     )
     # Dealt out by row once, for what follows: repeated rows, runs and passages.
-    dealt = copies.select("id", "key", "nth", "start", "size", "words", "first_id").repartition("id", "key")
-    order = Window.partitionBy("id", "key").orderBy("nth")
-    runs = dealt.dropDuplicates(["id", "key", "nth"]).withColumn("run", F.col("nth") - F.row_number().over(order))
+    dealt = copies.select("id", "key", "start", "stop", "before", "upto", "first_id").repartition("id", "key")
+    order = Window.partitionBy("id", "key").orderBy("start")
+    # A later window never ends before an earlier one.
+    apart = F.coalesce(F.col("start") > F.lag("stop").over(order), F.lit(True)).cast("int")
+    runs = dealt.dropDuplicates(["id", "key", "start"]).withColumn("apart", apart)
+    runs = runs.withColumn("run", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     found = runs.groupBy("id", "key", "run").agg(
-        F.min("start").alias("start"), F.sum("size").cast("int").alias("size"), F.sum("words").cast("int").alias("words"),
+        F.min("start").alias("start"), (F.max("stop") - F.min("start")).alias("size"), (F.max("upto") - F.min("before")).alias("words"),
         F.array_sort(F.collect_set("first_id")).alias("first_ids"),
     )
-    return found.where(F.col("words") >= least_words).select(F.col("id").alias(id_col), "start", "size", "words", "first_ids", F.col("key").alias("__key"))
+    return found.select(F.col("id").alias(id_col), "start", "size", "words", "first_ids", F.col("key").alias("__key"))
 
 
 def remove_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -272,12 +284,13 @@ def remove_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id"
     and so do repeated rows; a text that is a passage as a whole becomes empty. An empty
     table gives an empty result.
     """
+    names = docs.columns
+    # Names of their own, as those of ``docs`` may be any.
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    own_id, own_text = (F.col(f"c{names.index(c)}") for c in (id_col, text_col))
     key = F.col("__key") if "__key" in passages.columns else F.lit(0).cast("long")
-    spans = passages.groupBy(F.col(id_col).alias("__id"), key.alias("__of")).agg(
-        F.array_sort(F.collect_list(F.struct("start", "size"))).alias("__spans")
-    )
-    own = (F.col("__of") == 0) | (F.col("__of") == F.xxhash64(docs[text_col]))
-    joined = docs.join(spans, docs[id_col].eqNullSafe(F.col("__id")) & own, "left")
+    spans = passages.groupBy(F.col(id_col).alias("id"), key.alias("of")).agg(F.array_sort(F.collect_list(F.struct("start", "size"))).alias("spans"))
+    joined = rows.join(spans, own_id.eqNullSafe(F.col("id")) & ((F.col("of") == 0) | (F.col("of") == F.xxhash64(own_text))), "left")
 
     @F.pandas_udf("string")
     def without(text, starts, sizes):
@@ -296,8 +309,8 @@ def remove_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id"
         return pd.Series(out, dtype=object)
 
     # One pass over the join: its two sides apart would shuffle the texts twice.
-    cleaned = without(F.col(text_col), F.col("__spans.start"), F.col("__spans.size"))
-    return joined.select(*[cleaned.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    cleaned = without(own_text, F.col("spans.start"), F.col("spans.size"))
+    return joined.select(*[(cleaned if c == text_col else F.col(f"c{i}")).alias(c) for i, c in enumerate(names)])
 
 
 def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

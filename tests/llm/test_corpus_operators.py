@@ -391,31 +391,36 @@ def test_passages_of_repeated_ids(spark):
 
 
 def passages_truth(rows):
-    """Chunks by their ends, first occurrences and runs, all in memory."""
+    """Windows by the ends of chunks, first occurrences of their bytes and what the others cover, all in memory."""
     least = substring_dedup.LEAST_WORDS
     order = lambda r: (r[0] is None, r[0] or 0, r[1])
-    chunks = {}
+    windows = {}
     for i, t in set(rows):
         if t:
             raw = t.encode()
             (ends,) = substring_dedup.cut_points([raw])
-            chunks[i, t] = [(a, raw[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+            bounds = [0, *ends]
+            words = [substring_dedup.count_words(raw[a:b]) for a, b in zip(bounds, ends, strict=False)]
+            windows[i, t] = own = []
+            for k in range(len(ends)):
+                upto = next((e for e in range(k + 1, len(ends) + 1) if sum(words[k:e]) >= least), None)
+                if upto:
+                    own.append((bounds[k], bounds[upto], sum(words[:k]), sum(words[:upto]), raw[bounds[k] : bounds[upto]]))
     first = {}
-    for key in sorted(chunks, key=lambda k: order((k[0], hash_of[k[1]]))):
-        for n, (_, piece) in enumerate(chunks[key]):
-            first.setdefault(piece, (key, n))
+    for key in sorted(windows, key=lambda k: order((k[0], hash_of[k[1]]))):
+        for w in windows[key]:
+            first.setdefault(w[4], (key, w[0]))
     out = Counter()
-    for key, own in chunks.items():
+    for key, own in windows.items():
         run = []
-        for n, (a, piece) in enumerate([*own, (None, None)]):
-            if piece is not None and first[piece] != (key, n):
-                run.append((a, piece))
-            elif run:
-                words = sum(substring_dedup.count_words(p) for _, p in run)
-                if words >= least:
-                    ids = tuple(sorted({first[p][0][0] for _, p in run if first[p][0][0] is not None}))
-                    out[key[0], run[0][0], sum(len(p) for _, p in run), words, ids] += 1
+        for w in [*own, None]:
+            if w is not None and first[w[4]] == (key, w[0]):
+                continue
+            if run and (w is None or w[0] > run[-1][1]):
+                ids = tuple(sorted({first[x[4]][0][0] for x in run if first[x[4]][0][0] is not None}))
+                out[key[0], run[0][0], run[-1][1] - run[0][0], run[-1][3] - run[0][2], ids] += 1
                 run = []
+            run.append(w)
     return out
 
 
@@ -454,15 +459,42 @@ def test_a_passage_without_white_space_is_found(spark):
     assert len(cleaned[1]) == 4800 and len(cleaned[3]) == 3000 and len(cleaned[2]) < 200
 
 
-def test_slots_that_two_chunks_have(spark):
+@pytest.mark.parametrize("n", [300, 3000])
+def test_common_words_alone_make_no_passage(spark, n):
+    rng = random.Random(33)
+    common = [f"c{k}" for k in range(21)]
+    passage = " ".join(rng.choice(common) for _ in range(50))
+    rows = [(i, " ".join(rng.choice(common) for _ in range(200))) for i in range(n)]
+    rows += [(n + k, f"{rows[k][1][:300]} {passage} {rows[k + 9][1][:300]}") for k in range(2)]
+    cleaned = {r.doc_id: r.text for r in substring_dedup.drop_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    changed = {i for i, t in rows if cleaned[i] != t}
+    # The texts planted last share the passage and begin as earlier ones do.
+    assert changed == {n, n + 1}
+    assert len(rows[-1][1].split()) - len(cleaned[n + 1].split()) >= 35
+
+
+ODD_NAMES = "`a.b` long, doc_id long, text string, __lost long, __at long, __id long, __of long, __spans long, __key long, id string, at long, c0 long, spans long, start long"
+
+
+def test_any_names_of_columns(spark):
+    rng = random.Random(34)
+    words = lambda n: " ".join(f"w{rng.randrange(9000)}" for _ in range(n))
+    long = words(80)
+    rows = [(1, long), (2, long + " end"), (3, f"{words(30)} {long} {words(30)}"), (4, None), (None, words(9))]
+    docs = spark.createDataFrame([(7, i, t, 1, 2, 3, 4, 5, 6, "x", 8, 9, 10, 11) for i, t in rows], ODD_NAMES)
+    kept = near_dedup.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0, r["__at"]) for r in kept.collect()) == [(0, 2), (1, 2), (3, 2), (4, 2)]
+    cleaned = substring_dedup.drop_repeated_passages(docs)
+    assert cleaned.columns == docs.columns and {r.doc_id: len((r.text or "").split()) < 70 for r in cleaned.collect()} == {1: False, 2: True, 3: True, 4: True, None: True}
+
+
+def test_slots_that_two_windows_have(spark):
     docs = spark.createDataFrame([("one two three four five " * 9,), ("own words of this text only",), (None,), ("",)], "text string").repartition(3)
     bits = substring_dedup.repeated_slots(docs, substring_dedup.PAGE_SLOTS)
     slots = Counter()
     for r in docs.collect():
-        raw = (r.text or "").encode()
-        (ends,) = substring_dedup.cut_points([raw])
-        if ends:
-            slots.update((substring_dedup.digests(substring_dedup._pieces(raw, ends))[:, 0] & (substring_dedup.PAGE_SLOTS - 1)).tolist())
+        found = substring_dedup.windows([(r.text or "").encode()], substring_dedup.LEAST_WORDS).digest
+        slots.update((found[:, 0] & (substring_dedup.PAGE_SLOTS - 1)).tolist())
     assert set(np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist()) == {k for k, n in slots.items() if n > 1}
 
 

@@ -350,7 +350,7 @@ def test_repeated_passage_is_found_and_cut(spark):
     texts = [(i, f"{words(50)} {passage} {words(50)}") for i in range(4)] + [(9, words(200)), (10, None), (None, passage), (11, "")]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     found = substring_dedup.repeated_passages(docs).collect()
-    assert {r.doc_id for r in found} == {1, 2, 3, None} and {tuple(r.first_ids) for r in found} == {(0,)}
+    assert {r.doc_id for r in found} == {1, 2, 3, None} and all(0 in r.first_ids for r in found)
     cleaned = {r.doc_id: r.text for r in substring_dedup.drop_repeated_passages(docs).collect()}
     assert cleaned[0] == texts[0][1] and cleaned[9] == texts[4][1] and cleaned[10] is None
     for i in (1, 2, 3):
