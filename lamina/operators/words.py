@@ -13,7 +13,7 @@ from lamina.operators import segments
 
 def clusters_of(tokens: DataFrame) -> DataFrame:
     """One row per white-space cluster of tokens (doc_id, pos, start, end, text, cluster, row)."""
-    listed = F.array_sort(F.collect_list(F.struct("pos", "text")))
+    listed = F.array_sort(F.collect_list(F.struct("pos", "text", "start", "end")))
     out = tokens.groupBy("doc_id", "cluster").agg(
         F.min("pos").alias("first"), F.max("pos").alias("last"), F.min("row").alias("first_row"),
         F.max("row").alias("last_row"), listed.alias("tokens"), F.min("start").alias("start"), F.max("end").alias("end"),
@@ -74,15 +74,13 @@ def dictionary_words(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     n = F.size("all")
     lead = F.array_join(F.transform(F.slice("all", 1, F.col("a")), lambda t: t["text"]), "")
     body_word = F.substring(F.col("word"), F.length(lead) + 1, F.length("word"))
-    left = F.transform(F.slice("all", 1, F.col("a")), lambda t: F.struct(t["pos"].alias("pos"), t["pos"].alias("last"), t["text"].alias("text")))
-    right = F.transform(F.slice("all", n - F.col("b") + 1, F.col("b")), lambda t: F.struct(t["pos"].alias("pos"), t["pos"].alias("last"), t["text"].alias("text")))
+    alone = lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["text"].alias("text"))
+    left = F.transform(F.slice("all", 1, F.col("a")), alone)
+    right = F.transform(F.slice("all", n - F.col("b") + 1, F.col("b")), alone)
     inner = F.slice("all", F.col("a") + 1, F.greatest(n - F.col("a") - F.col("b"), F.lit(0)))
-    body = F.when(F.size(inner) > 0, F.array(F.struct(F.try_element_at(inner, F.lit(1))["pos"].alias("pos"), F.try_element_at(inner, F.lit(-1))["pos"].alias("last"), body_word.alias("text"))))
-    words = core.select("doc_id", F.explode(F.concat(left, F.coalesce(body, F.array().cast("array<struct<pos:bigint,last:bigint,text:string>>")), right)).alias("w"))
-    words = words.select("doc_id", F.col("w.pos").alias("first"), F.col("w.last").alias("last"), F.col("w.text").alias("text"))
-    at = tokens.select("doc_id", F.col("pos").alias("first"), "start")
-    to = tokens.select("doc_id", F.col("pos").alias("last"), "end")
-    placed = words.join(at, ["doc_id", "first"]).join(to, ["doc_id", "last"])
+    whole_word = F.struct(F.try_element_at(inner, F.lit(1))["start"].alias("start"), F.try_element_at(inner, F.lit(-1))["end"].alias("end"), body_word.alias("text"))
+    body = F.when(F.size(inner) > 0, F.array(whole_word))
+    placed = core.select("doc_id", F.inline(F.concat(left, F.coalesce(body, F.array().cast("array<struct<start:bigint,end:bigint,text:string>>")), right)))
     return segments.renumber(placed, ["doc_id"], ["start"]).select("doc_id", "pos", "start", "end", "text")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions import boxes
-from lamina.operators import grouped, intervals, layers, predictors, segments, words
+from lamina.operators import grouped, inrow, intervals, layers, predictors, segments, words
 from lamina.plans.registry import query, table, with_layers
 from lamina.sources import documents as store
 
@@ -30,36 +30,21 @@ def rows_with_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
            arg_min(t.text, t.pos) AS first_text, arg_max(t.text, t.pos) AS last_text
     FROM rows_ r JOIN tokens t ON t.doc_id = r.doc_id AND t."start" < r."end" AND t."end" > r."start" GROUP BY 1, 2"""))
 def token_row_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    met = intervals.interval_join(layers.tokens(docs), layers.rows(docs).drop("text"), ["doc_id"], "row_")
-    return met.groupBy("doc_id", "row_pos").agg(
-        F.count("*").alias("n_tokens"), F.min("start").alias("first_start"), F.max("end").alias("last_end"),
-        F.min_by("text", "pos").alias("first_text"), F.max_by("text", "pos").alias("last_text"),
-    )
+    return inrow.rows_of_tokens(table(spark, sf_dir, "documents"))
 
 
 @query(with_layers("""
     SELECT s.doc_id, s.pos, count(*) AS n_rows, min(r.pos) AS first_row, max(r.pos) AS last_row
     FROM sentences s JOIN rows_ r ON s.doc_id = r.doc_id AND s."start" < r."end" AND s."end" > r."start" GROUP BY 1, 2"""))
 def sentence_row_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    met = intervals.interval_join(layers.sentences(docs), layers.rows(docs).drop("text"), ["doc_id"], "row_")
-    return met.groupBy("doc_id", "pos").agg(
-        F.count("*").alias("n_rows"), F.min("row_pos").alias("first_row"), F.max("row_pos").alias("last_row")
-    )
+    return inrow.rows_of_sentences(table(spark, sf_dir, "documents"))
 
 
 @query(with_layers("""
     SELECT p.doc_id, p.pos AS page, p.n_rows, count(t.pos) AS n_tokens, p."start", p."end"
     FROM pages_ p LEFT JOIN tokens t ON t.doc_id = p.doc_id AND t."start" < p."end" AND t."end" > p."start" GROUP BY 1, 2, 3, 5, 6"""))
 def page_row_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    pages = layers.pages(layers.rows(docs))
-    met = intervals.interval_join(layers.tokens(docs).drop("text"), pages, ["doc_id"], "page_", bucket=4096)
-    counts = met.groupBy("doc_id", F.col("page_pos").alias("pos")).agg(F.count("*").alias("n_tokens"))
-    return pages.join(counts, ["doc_id", "pos"], "left").select(
-        "doc_id", F.col("pos").alias("page"), "n_rows", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), "start", "end"
-    )
+    return inrow.pages_of_tokens(table(spark, sf_dir, "documents"))
 
 
 @query(with_layers("""
@@ -111,19 +96,19 @@ def label_runs_to_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, pos, "start", "end", text, len(regexp_extract_all(text, '[0-9A-Za-z_]+|[^0-9A-Za-z_]'))::BIGINT AS n_tokens FROM tokens"""))
 def word_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens split at punctuation, put together again at white space."""
-    return segments.assemble_words(layers.split_tokens(_docs(spark, sf_dir)))
+    return inrow.assembled_words(table(spark, sf_dir, "documents"))
 
 
 @query(with_layers("""
     SELECT doc_id, pos, page, round(l, 9) AS l, round(t, 9) AS t, round(w, 9) AS w, round(h, 9) AS h, round(l + w / 2, 9) AS x, round(t + h / 2, 9) AS y,
            round(l * 612, 6) AS abs_l, round(1 - t - h, 9) AS from_bottom FROM boxed"""))
 def token_box_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents")
     b = boxes.Box.of()
     x, y = boxes.center(b)
     absolute = boxes.absolute(b, F.lit(612.0), F.lit(792.0))
     r = lambda c, n=9: F.round(c, n)
-    return layers.token_boxes(layers.tokens(docs), layers.rows(docs)).select(
+    return inrow.boxed_tokens(docs).select(
         "doc_id", "pos", "page", r("l").alias("l"), r("t").alias("t"), r("w").alias("w"), r("h").alias("h"), r(x).alias("x"), r(y).alias("y"),
         r(absolute.l, 6).alias("abs_l"), r(1 - b.t - b.h).alias("from_bottom"),
     )
@@ -135,10 +120,10 @@ _HALF = ", half AS (SELECT doc_id, pos, page, l, t, w / 2 AS w, h FROM blocks WH
 
 
 def _boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = _docs(spark, sf_dir)
-    lines = layers.rows(docs)
-    half = layers.blocks(lines).where("pos % 2 = 0").withColumn("w", F.col("w") / 2)
-    return layers.token_boxes(layers.tokens(docs), lines), half
+    """Boxes of tokens, and of the left half of every second group of rows, so that some tokens meet no box."""
+    docs = table(spark, sf_dir, "documents")
+    half = inrow.row_blocks(docs).where("pos % 2 = 0").withColumn("w", F.col("w") / 2)
+    return inrow.boxed_tokens(docs), half
 
 
 @query(with_layers(_HALF + f"""
@@ -169,22 +154,20 @@ def exclusive_block_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, pos, round(max(share), 6) AS share FROM m WHERE share > 0 GROUP BY 1, 2"""))
 def best_overlap_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks are moved down by a third of their height and are two thirds as wide."""
-    docs = _docs(spark, sf_dir)
-    lines = layers.rows(docs)
-    moved = layers.blocks(lines).withColumns({"t": F.col("t") + F.col("h") / 3, "w": F.col("w") * 2 / 3})
-    best = intervals.best_box(layers.token_boxes(layers.tokens(docs), lines), moved)
+    docs = table(spark, sf_dir, "documents")
+    moved = inrow.row_blocks(docs).withColumns({"t": F.col("t") + F.col("h") / 3, "w": F.col("w") * 2 / 3})
+    best = intervals.best_box(inrow.boxed_tokens(docs), moved)
     return best.select("doc_id", "pos", F.round("share", 6).alias("share")).where("share > 0")
 
 
 @query(with_layers("""
     SELECT doc_id, page, row_pos, round(min(l), 9) AS l, round(min(t), 9) AS t, round(max(l + w) - min(l), 9) AS w, round(max(t + h) - min(t), 9) AS h,
-           round(avg(w), 6) AS mean_w, count(*) AS n FROM boxed GROUP BY 1, 2, 3"""))
+           round(sum("end" - "start") / 100 / count(*), 9) AS mean_w, count(*) AS n FROM boxed GROUP BY 1, 2, 3"""))
 def row_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    made = layers.token_boxes(layers.tokens(docs), layers.rows(docs)).groupBy("doc_id", "page", "row_pos").agg(
-        *boxes.envelope_aggs(), F.avg("w").alias("mean_w"), F.count("*").alias("n")
+    made = inrow.boxed_tokens(table(spark, sf_dir, "documents")).groupBy("doc_id", "page", "row_pos").agg(
+        *boxes.envelope_aggs(), (F.sum(F.col("end") - F.col("start")) / 100 / F.count("*")).alias("mean_w"), F.count("*").alias("n")
     )
-    return made.select("doc_id", "page", "row_pos", *[F.round(c, 9).alias(c) for c in "ltwh"], F.round("mean_w", 6).alias("mean_w"), "n")
+    return made.select("doc_id", "page", "row_pos", *[F.round(c, 9).alias(c) for c in "ltwh"], F.round("mean_w", 9).alias("mean_w"), "n")
 
 
 @query(with_layers("""
@@ -192,14 +175,12 @@ def row_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
             FROM boxed WINDOW d AS (PARTITION BY doc_id, page ORDER BY pos))
     SELECT doc_id, page, pos, (sum(b) OVER (PARTITION BY doc_id, page ORDER BY pos) - 1)::BIGINT AS line FROM g"""))
 def line_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    return grouped.lines_of(layers.token_boxes(layers.tokens(docs), layers.rows(docs)), 0.01, 0.5)
+    return grouped.lines_of(inrow.boxed_tokens(table(spark, sf_dir, "documents")), 0.01, 0.5)
 
 
 @query()
 def box_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    tokens = layers.token_boxes(layers.tokens(docs), layers.rows(docs)).where("pos % 3 <> 0")
+    tokens = inrow.boxed_tokens(table(spark, sf_dir, "documents")).where("pos % 3 <> 0")
     return grouped.box_components(tokens.select("doc_id", "page", "start", "end", "l", "t", "w", "h"), 0.02, 0.0)
 
 
@@ -224,9 +205,7 @@ def caption_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT s.doc_id, s.pos, string_agg(t.text, ' ' ORDER BY t.pos) AS text, count(*) AS n_words FROM sentences s JOIN tokens t
     ON s.doc_id = t.doc_id AND t."start" < s."end" AND t."end" > s."start" GROUP BY 1, 2"""))
 def stringify_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    made = words.stringify(layers.sentences(docs).select("doc_id", "pos", "start", "end"), layers.tokens(docs))
-    return made.select("doc_id", "pos", "text", "n_words")
+    return inrow.sentence_texts(table(spark, sf_dir, "documents"))
 
 
 @query(with_layers("""
@@ -326,8 +305,6 @@ def outline_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def dictionary_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    tokens, rows = layers.split_tokens(docs), layers.rows(docs).drop("text")
-    placed = intervals.interval_join(tokens, rows, ["doc_id"], "row_").withColumnRenamed("row_pos", "row")
+    placed = inrow.placed_split_tokens(table(spark, sf_dir, "documents"))
     dictionary = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("word")).distinct()
-    return words.dictionary_words(placed.select("doc_id", "pos", "start", "end", "text", "cluster", "row"), dictionary)
+    return words.dictionary_words(placed, dictionary)
