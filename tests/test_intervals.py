@@ -1,8 +1,10 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from lamina.functions import boxes
 from lamina.operators import intervals, layers, segments
 
 
@@ -86,3 +88,45 @@ def test_boxes_that_touch_overlap(spark):
     assert intervals.box_join(a, b).count() == 1
     assert intervals.box_join(a, b, by_center=True).count() == 0
     assert intervals.unmatched(a, b, by_center=True).count() == 1
+
+
+def grid_boxes(spark, n, seed, side):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        l, t = rng.choice([rng.random(), rng.randrange(17) / 16]), rng.choice([rng.random(), rng.randrange(17) / 16])  # noqa: E741
+        rows.append((rng.choice([1, 1, 2]), i, rng.randrange(2), l, t, rng.choice([0.0, 1 / 16, rng.random() * side]), rng.random() * side))
+    return rows
+
+
+BOXES = "doc_id long, pos long, page long, l double, t double, w double, h double"
+
+
+@pytest.mark.parametrize(("by_center", "pad"), [(False, 0.0), (False, 0.05), (True, 0.0), (True, 0.05)])
+def test_boxes_of_a_grid_meet_as_all_pairs_do(spark, by_center, pad):
+    a, b = grid_boxes(spark, 300, 1, 0.2), grid_boxes(spark, 80, 2, 0.7)
+    left, right = (spark.createDataFrame([*x, (1, 900 + k, 0, None, 0.1, 0.1, 0.1), (1, 910 + k, None, 0.1, 0.1, 0.1, 0.1)], BOXES) for k, x in enumerate((a, b)))
+    named = right.select(*[F.col(c).alias(f"box_{c}") for c in right.columns])
+    meets = boxes.overlaps(boxes.Box.of(), boxes.Box.of("box_"), pad, by_center=by_center)
+    pairs = left.crossJoin(named).where("doc_id = box_doc_id and page = box_page").where(meets).select("doc_id", "pos", "box_pos")
+    want = Counter(map(tuple, pairs.collect()))
+    got = intervals.box_join(left, right, by_center=by_center, pad_x=pad).select("doc_id", "pos", "box_pos")
+    assert Counter(map(tuple, got.collect())) == want and len(want) > 50
+    per = Counter((d, p) for d, p, _ in want.elements())
+    rows = intervals.allocate(left, right, by_center=by_center, pad_x=pad).collect()
+    assert {(r.doc_id, r.pos): r.n_boxes for r in rows} == {(r[0], r[1]): per[r[0], r[1]] for r in left.collect()}
+
+
+def test_a_page_of_many_boxes(spark):
+    ids = spark.range(100_000).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").alias("pos"), F.lit(0).cast("long").alias("page"),
+        (F.col("id") % 400 / 400).alias("l"), (F.floor(F.col("id") / 400) / 250).alias("t"), F.lit(0.002).alias("w"), F.lit(0.003).alias("h"))
+    met = intervals.box_join(ids.repartition(4), ids, cell=1 / 64)
+    assert met.count() == 100_000
+
+
+def test_boxes_in_points_and_beyond_the_page(spark):
+    rng = random.Random(5)
+    rows = [(1, i, 0, rng.random() * 900 - 100, rng.random() * 900 - 100, rng.random() * 100, rng.random() * 100) for i in range(150)]
+    box = spark.createDataFrame(rows, BOXES)
+    want = sum(abs((a[3] + a[5] / 2) - (b[3] + b[5] / 2)) <= (a[5] + b[5]) / 2 and abs((a[4] + a[6] / 2) - (b[4] + b[6] / 2)) <= (a[6] + b[6]) / 2 for a in rows for b in rows)
+    assert intervals.box_join(box, box).count() == intervals.box_join(box, box, cell=intervals.mean_cell(box)).count() == want
