@@ -14,27 +14,30 @@ def _find(parent: list[int], x: int) -> int:
     return x
 
 
+def components_of(left: np.ndarray, top: np.ndarray, right: np.ndarray, bottom: np.ndarray, pad_x: float, pad_y: float) -> np.ndarray:
+    """For each box the place of the first one that it is connected with; padded boxes that meet are, along a sweep by left edge."""
+    order = np.argsort(left, kind="stable")
+    ordered = left[order]
+    parent = list(range(len(order)))
+    for k, i in enumerate(order.tolist()):
+        near = order[k + 1 : np.searchsorted(ordered, right[i] + pad_x, side="right")]
+        for j in near[(top[near] - pad_y <= bottom[i]) & (top[i] <= bottom[near] + pad_y)].tolist():
+            a, b = _find(parent, i), _find(parent, j)
+            parent[max(a, b)] = min(a, b)
+    return np.array([_find(parent, i) for i in range(len(parent))], np.int64)
+
+
 def box_components(spans: DataFrame, pad_x: float, pad_y: float) -> DataFrame:
     """Hulls of spans whose padded boxes meet, directly or through others, on each page.
 
     ``spans``: doc_id, page, start, end, l, t, w, h. Spans with the same start and end are
-    one node, with the box of the first. Boxes are compared along a sweep by left edge.
+    one node, with the box of the first.
     """
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         p = pdf.drop_duplicates(["start", "end"]).sort_values(["l", "start"], kind="stable").reset_index(drop=True)
-        parent = list(range(len(p)))
-        left, right = p.l.to_numpy(), (p.l + p.w).to_numpy()
-        top, bottom = p.t.to_numpy(), (p.t + p.h).to_numpy()
-        for i in range(len(p)):
-            last = np.searchsorted(left, right[i] + pad_x, side="right")
-            near = np.arange(i + 1, last)
-            met = near[(top[near] - pad_y <= bottom[i]) & (top[i] <= bottom[near] + pad_y)]
-            for j in met:
-                a, b = _find(parent, i), _find(parent, int(j))
-                parent[max(a, b)] = min(a, b)
-        p["c"] = [_find(parent, i) for i in range(len(p))]
-        p["r"], p["b"] = right, bottom
+        p["r"], p["b"] = p.l + p.w, p.t + p.h
+        p["c"] = components_of(*(p[c].to_numpy() for c in "ltrb"), pad_x, pad_y)
         g = p.groupby("c").agg(start=("start", "min"), end=("end", "max"), l=("l", "min"), t=("t", "min"), r=("r", "max"), b=("b", "max"), n=("c", "size"))
         g["w"], g["h"] = g.r - g.l, g.b - g.t
         g["doc_id"], g["page"] = pdf.doc_id.iloc[0], pdf.page.iloc[0]

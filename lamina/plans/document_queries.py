@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions import boxes
-from lamina.operators import grouped, inrow, intervals, layers, predictors, segments, words
+from lamina.operators import figures, grouped, inrow, intervals, layers, predictors, segments, words
 from lamina.plans.registry import query, table, with_layers
 from lamina.sources import documents as store
 
@@ -308,3 +308,40 @@ def dictionary_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = inrow.placed_split_tokens(table(spark, sf_dir, "documents"))
     dictionary = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("word")).distinct()
     return words.dictionary_words(placed, dictionary)
+
+
+#: Rows of a page whose place, of every ten, makes them a caption or part of a figure or table.
+_ROLES = {0: "Figure", 1: "Figure", 2: "Caption", 5: "Table", 6: "Caption"}
+
+
+def _figure_layers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tokens, groups and blocks of documents: rows stand for both, typed by their place, and captions begin with Fig or Tab."""
+    tokens = inrow.boxed_tokens(table(spark, sf_dir, "documents"))
+    place = F.col("row_pos") % 10
+    kind = F.coalesce(*[F.when(place == k, v) for k, v in _ROLES.items()], F.lit("Paragraph"))
+    heads = F.when((place == 2) & (F.col("l") == 0), F.lit("Fig.")).when((place == 6) & (F.col("l") == 0), F.lit("Tab.")).otherwise(F.col("text"))
+    tokens = tokens.withColumns({"text": heads, "type": kind}).withColumn("group_pos", F.col("row_pos"))
+    rows = tokens.groupBy("doc_id", F.col("row_pos").alias("pos"), "type", "page").agg(
+        F.min_by("text", "pos").alias("text"), F.min("start").alias("start"), F.max("end").alias("end"), *boxes.envelope_aggs()
+    )
+    return tokens.drop("type"), rows.select("doc_id", "pos", "type", "text"), rows.select("doc_id", "pos", "type", "page", "start", "end", *"ltwh")
+
+
+@query()
+def figures_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six layers in one table; the tests compare them with a plain walk over pages."""
+    found = figures.figures_and_tables(*_figure_layers(spark, sf_dir))
+    return found.select("doc_id", "kind", "id", "page", *[F.round(c, 6).alias(c) for c in (*"ltwh", "cost")], "caption_start", "caption_end")
+
+
+@query(with_layers("""
+    , k AS (SELECT *, row_pos % 10 = 2 AS is_caption FROM boxed),
+    m AS (SELECT k.doc_id, k.pos, k.is_caption, b.pos AS box_pos FROM k JOIN blocks b ON k.doc_id = b.doc_id AND k.page = b.page
+          AND k.l <= b.l + b.w AND b.l <= k.l + k.w AND k.t <= b.t + b.h AND b.t <= k.t + k.h),
+    s AS (SELECT doc_id, box_pos FROM m GROUP BY 1, 2 HAVING avg(is_caption::INT) > 0.3 AND avg(is_caption::INT) < 1)
+    SELECT k.doc_id, k.pos, k.is_caption, NOT k.is_caption AND (k.doc_id, k.pos) IN (SELECT (m.doc_id, m.pos) FROM m JOIN s USING (doc_id, box_pos)) AS "cast" FROM k"""))
+def cast_captions_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth row is a caption; blocks of five rows that are captions by three tenths and more cast the rest."""
+    docs = table(spark, sf_dir, "documents")
+    tokens = inrow.boxed_tokens(docs).withColumn("is_caption", F.col("row_pos") % 10 == 2)
+    return figures.cast_captions(tokens, inrow.row_blocks(docs)).select("doc_id", "pos", "is_caption", "cast")
