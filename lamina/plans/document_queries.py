@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions import boxes
-from lamina.operators import figures, grouped, inrow, intervals, layers, predictors, segments, words
+from lamina.operators import figures, grouped, inrow, intervals, layers, nesting, predictors, segments, words
 from lamina.plans.registry import query, table, with_layers
 from lamina.sources import documents as store
 
@@ -345,3 +346,39 @@ def cast_captions_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     tokens = inrow.boxed_tokens(docs).withColumn("is_caption", F.col("row_pos") % 10 == 2)
     return figures.cast_captions(tokens, inrow.row_blocks(docs)).select("doc_id", "pos", "is_caption", "cast")
+
+
+#: Levels of rows that stand for sections, again and again.
+_LEVELS = (0, 1, 2, 1, 2, 2)
+
+
+def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of documents as sections: sizes and fonts go by their place, every fourth has a number before its text."""
+    docs = table(spark, sf_dir, "documents")
+    rows = inrow.over_texts(docs, "pos bigint, text string, n bigint", _rows_of)
+    level = F.element_at(F.array(*map(F.lit, _LEVELS)), (F.col("pos") % len(_LEVELS) + 1).cast("int"))
+    number = F.concat((F.floor(F.col("pos") / 8) + 1).cast("string"), F.when(F.col("pos") % 8 == 4, ".1").otherwise(""), F.lit(" "))
+    return rows.select(
+        "doc_id", "pos", F.when(F.col("pos") % 4 == 0, F.concat(number, "text")).otherwise(F.col("text")).alias("text"),
+        F.when(level == 0, "Times-Bold").when(level == 1, "Times").alias("font"), (14 - 2 * level).cast("double").alias("size"),
+        F.floor(F.col("pos") / layers.ROWS_PER_PAGE).alias("page"), (level / 20).alias("l"), (F.col("pos") % layers.ROWS_PER_PAGE / layers.ROWS_PER_PAGE).alias("t"),
+        F.ceil(F.col("n") / layers.ROWS_PER_PAGE).alias("n_pages"),
+    )
+
+
+def _rows_of(t: inrow.Texts):
+    rows = t.rows()
+    size = np.bincount(rows.owner)
+    return rows.owner, [rows.pos, t.texts(rows), size[rows.owner]]
+
+
+@query(with_layers("""
+    SELECT doc_id, pos, CASE WHEN pos % 6 = 0 THEN -1 ELSE pos - [0, 1, 1, 3, 1, 2][pos % 6 + 1] END AS parent FROM rows_"""))
+def sections_by_size_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nesting.nest_by_score(_sections(spark, sf_dir), nesting.size_score).select("doc_id", "pos", "parent")
+
+
+@query()
+def sections_by_rule_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features take part, so SQL would have to fold over the open sections; the tests compare with a walk over one at a time."""
+    return nesting.nest_by_score(_sections(spark, sf_dir)).select("doc_id", "pos", "parent", F.round("share", 6).alias("share"), "n_open")
