@@ -80,8 +80,8 @@ def cut_points(texts: list[bytes]) -> list[list[int]]:
     space = _SPACE[data]
     ends = np.flatnonzero(((hashed & MASK) == 0) & space) + 1
     # The bytes since the last white space, or since the padding before the text.
-    at = np.arange(len(data))
-    last = np.maximum.accumulate(np.where(space | (data == 0), at, -1))
+    at = np.arange(len(data), dtype=np.int32)
+    last = np.maximum.accumulate(np.where(space | (data == 0), at, np.int32(-1)))
     bare = np.flatnonzero(((hashed & BARE_MASK) == 0) & (at - last >= BARE)) + 1
     bare = bare[bare < len(data)]
     bare = bare[(data[bare] & 0xC0) != 0x80]
@@ -169,7 +169,7 @@ def repeated_slots(docs: DataFrame, bits: int, least_words: int = LEAST_WORDS) -
     pages = bits // PAGE_SLOTS
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 4 << 20):
+        for part in slices(batches, "text", 2 << 20):
             found = windows(raw_texts(part, "text"), least_words).digest
             if not len(found):
                 continue
