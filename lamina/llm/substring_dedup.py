@@ -13,7 +13,7 @@ before its first and behind its last whole chunk stay.
 
 Digests have 128 bits. Windows that no other has a slot with in a bit map of all digests
 are left out before anything is shuffled; the slots of a task go to the map as packed
-pages, two bytes each. The map has at most ``MOST_BITS`` bits, so that it can be broadcast;
+pages, four bytes each. The map has at most ``MOST_BITS`` bits, so that it can be broadcast;
 beyond 2**27 windows more of them pass it, which costs traffic and changes no result.
 """
 
@@ -43,8 +43,8 @@ LONGEST = 1024
 LEAST_WORDS = 25
 #: A run of more bytes without white space counts as a word for every six, which are two letters of such scripts.
 LONG_WORD = 48
-#: Slots of one page of the bit map, and bits of the whole at most: 32 MB.
-PAGE_SLOTS, MOST_BITS = 1 << 16, 1 << 28
+#: Least slots of a page of the bit map, its pages at most, and bits of the whole at most: 32 MB.
+PAGE_SLOTS, PAGES, MOST_BITS = 1 << 16, 256, 1 << 28
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -165,8 +165,12 @@ def _slot_bits(docs: DataFrame) -> int:
 
 
 def repeated_slots(docs: DataFrame, bits: int, least_words: int = LEAST_WORDS) -> np.ndarray:
-    """A bit map of the slots that two windows or more of ``docs`` (text) have."""
-    pages = bits // PAGE_SLOTS
+    """A bit map of the slots that two windows or more of ``docs`` (text) have.
+
+    The number of pages is bounded, so a slice of text gives as many rows at every size.
+    """
+    pages = min(bits // PAGE_SLOTS, PAGES)
+    width = bits // pages
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 2 << 20):
@@ -175,12 +179,12 @@ def repeated_slots(docs: DataFrame, bits: int, least_words: int = LEAST_WORDS) -
                 continue
             slots, n = np.unique(found[:, 0] & (bits - 1), return_counts=True)
             slots = np.repeat(slots, np.minimum(n, 2))
-            page = slots // PAGE_SLOTS
+            page = slots // width
             first = np.flatnonzero(np.r_[True, page[1:] != page[:-1]])
-            raw = (slots % PAGE_SLOTS).astype("<u2").tobytes()
-            ends = [*(2 * first[1:]).tolist(), len(raw)]
+            raw = (slots % width).astype("<u4").tobytes()
+            ends = [*(4 * first[1:]).tolist(), len(raw)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(page[first]), pa.array([raw[a:b] for a, b in zip((2 * first).tolist(), ends, strict=True)], pa.binary())],
+                [pa.array(page[first]), pa.array([raw[a:b] for a, b in zip((4 * first).tolist(), ends, strict=True)], pa.binary())],
                 names=["page", "slots"],
             )
 
@@ -189,8 +193,10 @@ def repeated_slots(docs: DataFrame, bits: int, least_words: int = LEAST_WORDS) -
         counts: dict[int, np.ndarray] = {}
         for batch in batches:
             for page, raw in zip(batch.column("page").to_pylist(), batch.column("slots").to_pylist(), strict=True):
-                slots = np.frombuffer(raw, "<u2").astype(np.int64)
-                own = counts.setdefault(page, np.zeros(PAGE_SLOTS // 4, np.uint8))
+                slots = np.frombuffer(raw, "<u4").astype(np.int64)
+                own = counts.get(page)
+                if own is None:
+                    own = counts[page] = np.zeros(width // 4, np.uint8)
                 # Two bits a slot: met once, met again.
                 twice = np.flatnonzero(slots[1:] == slots[:-1])
                 byte, shift = slots >> 2, ((slots & 3) * 2).astype(np.uint8)
@@ -204,9 +210,9 @@ def repeated_slots(docs: DataFrame, bits: int, least_words: int = LEAST_WORDS) -
                     [pa.array([page]), pa.array([np.packbits(bits_, bitorder="little").tobytes()], pa.binary())], names=["page", "map"]
                 )
 
-    # A partition merges its pages in 16 KB each.
+    # A partition merges its pages in 256 KB each at most.
     made = docs.mapInArrow(packed, "page long, slots binary").repartition("page").mapInArrow(merged, "page long, map binary")
-    out = np.zeros((pages, PAGE_SLOTS // 8), np.uint8)
+    out = np.zeros((pages, width // 8), np.uint8)
     for r in made.toLocalIterator():  # at most MOST_BITS bits in all
         out[r["page"]] = np.frombuffer(r["map"], np.uint8)
     return out.ravel()
