@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lamina.operators import alignment, layers, predictors
 from lamina.plans.document_queries import _docs
 from lamina.plans.feature_queries import _rows
-from lamina.plans.registry import query, table, with_layers
+from lamina.plans.registry import fixture, query, table, with_layers
 from lamina.sources import documents, services
 
 
@@ -28,13 +28,13 @@ def align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.groupBy("doc_id", "coarse_pos").agg(F.count("*").alias("n_fine"))
 
 
-@query("SELECT * FROM (VALUES (1, 0, 9), (1, 1, 0), (1, 2, 0), (1, 3, 8), (1, 4, 0), (1, 5, 9)) v(entry, word_id, label)")
+@fixture("SELECT * FROM (VALUES (1, 0, 9), (1, 1, 0), (1, 2, 0), (1, 3, 8), (1, 4, 0), (1, 5, 9)) v(entry, word_id, label)")
 def subword_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = "(1, 0, NULL, 0), (1, 1, 0, 9), (1, 2, 0, 9), (1, 3, 1, 0), (1, 4, 3, 8), (1, 5, 3, 9), (1, 6, 5, 9), (1, 7, NULL, 4)"
     return alignment.word_labels(_rows(spark, rows, "entry, pos, word_id, label")).where("word_id is not null")
 
 
-@query("""SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT, 0, 2::BIGINT, 9::BIGINT, 0.1::DOUBLE, 0.1::DOUBLE, 0.5::DOUBLE, 0.1::DOUBLE),
+@fixture("""SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT, 0, 2::BIGINT, 9::BIGINT, 0.1::DOUBLE, 0.1::DOUBLE, 0.5::DOUBLE, 0.1::DOUBLE),
     (1, 0, 0, 21, 24, 0.1, 0.3, 0.2, 0.1)) v(doc_id, mention, page, "start", "end", l, t, w, h)""")
 def mention_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = "(1L, 0L, 2L, 5L, 0, 0.1D, 0.1D, 0.2D, 0.1D), (1L, 0L, 6L, 9L, 0, 0.4D, 0.1D, 0.2D, 0.1D), (1L, 0L, 21L, 24L, 0, 0.1D, 0.3D, 0.2D, 0.1D)"
@@ -43,7 +43,7 @@ def mention_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "mention", "page", "start", "end", *[F.round(c, 9).alias(c) for c in "ltwh"])
 
 
-@query("SELECT 1::BIGINT AS doc_id, 0::BIGINT AS pos, 1::BIGINT AS level, 'Deep Nets' AS title, 'Deep Nets' AS text, 10::BIGINT AS \"start\", 19::BIGINT AS \"end\", 0.0::DOUBLE AS distance")
+@fixture("SELECT 1::BIGINT AS doc_id, 0::BIGINT AS pos, 1::BIGINT AS level, 'Deep Nets' AS title, 'Deep Nets' AS text, 10::BIGINT AS \"start\", 19::BIGINT AS \"end\", 0.0::DOUBLE AS distance")
 def section_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = "(1L, 0L, 10L, 14L, 'Deep', 0.1D, 0.2D, 0.05D, 0.01D), (1L, 0L, 15L, 19L, 'Nets', 0.16D, 0.2D, 0.05D, 0.01D), (1L, 0L, 20L, 24L, 'body', 0.1D, 0.3D, 0.05D, 0.01D)"
     items = "(1L, 0L, 0L, 'Deep Nets', 1L, 0.1D, 0.19D)"
@@ -52,7 +52,7 @@ def section_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT 1::BIGINT AS doc_id, '{"links":[{"pos":0,"entry_pos":0,"score":1.0}]}' AS json""")
+@fixture("""SELECT 1::BIGINT AS doc_id, '{"links":[{"pos":0,"entry_pos":0,"score":1.0}]}' AS json""")
 def citation_link_service(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = spark.createDataFrame(
         [(1, '{"symbols":"x","mentions":[{"start":0,"end":4,"text":"Wu, 2018"}],"bibs":[{"start":5,"end":9,"text":"H. Wu. A paper. 2018"}]}')],
@@ -61,7 +61,7 @@ def citation_link_service(spark: SparkSession, sf_dir: str) -> DataFrame:
     return services.serve(raw, "citation_links", lambda x: predictors.citation_links(x["mentions"], x["bibs"]))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT, 'a'), (1, 1, 'a'), (1, 2, 'b')) v(doc_id, word_pos, label)")
+@fixture("SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT, 'a'), (1, 1, 'a'), (1, 2, 'b')) v(doc_id, word_pos, label)")
 def repeated_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.repeat_labels(_rows(spark, "(1L, 0L, 'a', 2), (1L, 1L, 'c', 0), (1L, 2L, 'b', 1)", "doc_id, pos, label, n_words"))
 

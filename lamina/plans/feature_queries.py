@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions import spans, text
-from lamina.operators import grouped, predictors, segments, words
-from lamina.plans.registry import ORACLES, query, table
+from lamina.operators import grouped, inrow, layers, predictors, segments, words
+from lamina.plans.registry import FIXTURES, fixture, query, table, with_layers
 from lamina.sources import documents, scraper, tei
 from lamina.streaming.ingest import event_windows
 
@@ -46,7 +46,7 @@ _FLAT = "list_filter(string_split_regex(lower(regexp_replace({0}, '[()\\[\\],.&;
 _SQL_ROWS = lambda v: v.replace("L,", ",")
 
 
-@query(f"""
+@fixture(f"""
     WITH m(doc_id, pos, text) AS (VALUES {_SQL_ROWS(MENTIONS)}), e(doc_id, entry_pos, entry) AS (VALUES {_SQL_ROWS(ENTRIES)}),
     p AS (SELECT m.doc_id, pos, entry_pos, text, entry, {_FLAT.format("text")} AS w, {_FLAT.format("entry")} AS ew, {_FLAT.format("entry[1:50]")} AS e50,
           regexp_extract_all(text, '[0-9]+') AS nums, regexp_extract_all(entry[1:100], '[0-9]+') AS enums FROM m JOIN e ON m.doc_id = e.doc_id)
@@ -68,15 +68,15 @@ def citation_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""
-    WITH f AS ({ORACLES["citation_features"]}),
+@fixture(f"""
+    WITH f AS ({FIXTURES["citation_features"][1]}),
     s AS (SELECT doc_id, pos, entry_pos, round(0.5 * match_source_tokens + 0.3 * match_first_token + 0.2 * match_numeric, 9)::DOUBLE AS score FROM f)
     SELECT doc_id, pos, arg_max(entry_pos, (score, -entry_pos)) AS entry_pos, max(score) AS score FROM s WHERE score >= 0.8 GROUP BY 1, 2""")
 def citation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictors.citation_links(_rows(spark, MENTIONS, "doc_id, pos, text"), _rows(spark, ENTRIES, "doc_id, pos, text"))
 
 
-@query("SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word, NULL::VARCHAR AS joined FROM part WHERE false UNION ALL SELECT 'well', 'well-known' UNION ALL SELECT 'cus', 'custom'")
+@fixture("SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word, NULL::VARCHAR AS joined FROM part WHERE false UNION ALL SELECT 'well', 'well-known' UNION ALL SELECT 'cus', 'custom'")
 def hyphen_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, "(1L, 0L, 0L, 5L, 'well-'), (1L, 1L, 6L, 11L, 'known'), (2L, 0L, 0L, 4L, 'cus-'), (2L, 1L, 5L, 8L, 'tom')", "doc_id, pos, start, end, text")
     joined = words.hyphen_words(rows, lambda a, b: F.when(F.length(a) >= 4, 1.0).otherwise(-9.0))
@@ -94,7 +94,7 @@ def hyphen_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT, 'title', 0::BIGINT, 103::BIGINT, 110::BIGINT), (1, 0, 'title', 1, 200, 204), (1, 0, 'year', 1, 206, 210))
+@fixture("""SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT, 'title', 0::BIGINT, 103::BIGINT, 110::BIGINT), (1, 0, 'title', 1, 200, 204), (1, 0, 'year', 1, 206, 210))
     v(doc_id, entry, field, span_pos, "start", "end")""")
 def bib_range_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = _rows(spark, "(1L, 0L, 0L, 100L, 110L), (1L, 0L, 1L, 200L, 220L)", "doc_id, entry, span_pos, start, end")
@@ -102,25 +102,25 @@ def bib_range_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictors.map_ranges(entries, ranges)
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT, 1::BIGINT, 3::BIGINT), (1, 1, 5, 5), (1, 2, 6, 7)) v(doc_id, span, first, last)")
+@fixture("SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT, 1::BIGINT, 3::BIGINT), (1, 1, 5, 5), (1, 2, 6, 7)) v(doc_id, span, first, last)")
 def bilou_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = "(1L, 0L, 'B'), (1L, 1L, 'B'), (1L, 2L, 'I'), (1L, 3L, 'L'), (1L, 4L, 'O'), (1L, 5L, 'U'), (1L, 6L, 'I'), (1L, 7L, 'L'), (1L, 8L, 'O')"
     return segments.bilou_spans(_rows(spark, labels, "doc_id, pos, label"), "doc_id", "pos")
 
 
-@query("SELECT 1::BIGINT AS doc_id, 1::BIGINT AS first, 2::BIGINT AS last")
+@fixture("SELECT 1::BIGINT AS doc_id, 1::BIGINT AS first, 2::BIGINT AS last")
 def author_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = "(1L, 0L, 'MISC'), (1L, 1L, 'START'), (1L, 2L, 'MIDDLE'), (1L, 3L, 'MISC'), (1L, 4L, 'START')"
     return segments.author_spans(_rows(spark, labels, "doc_id, pos, label"), "doc_id", "pos")
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 1::BIGINT, 'Intro', 0), (1, 2, 'Part', 1), (2, 0, 'A', 0), (2, 1, 'B', 0)) v(doc_id, pos, title, level)")
+@fixture("SELECT * FROM (VALUES (1::BIGINT, 1::BIGINT, 'Intro', 0), (1, 2, 'Part', 1), (2, 0, 'A', 0), (2, 1, 'B', 0)) v(doc_id, pos, title, level)")
 def outline_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = "(1L, 0L, 'Paper', 0), (1L, 1L, 'Intro', 1), (1L, 2L, 'Part', 2), (2L, 0L, 'A', 0), (2L, 1L, 'B', 0)"
     return documents.normalise_outline(_rows(spark, items, "doc_id, pos, title, level"))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT, '1', -1::BIGINT), (1, 1, '1.1', 0), (1, 2, '1.1.1', 1), (1, 3, '2', -1), (1, 4, '2.1', 3)) v(doc_id, pos, number, parent)")
+@fixture("SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT, '1', -1::BIGINT), (1, 1, '1.1', 0), (1, 2, '1.1.1', 1), (1, 3, '2', -1), (1, 4, '2.1', 3)) v(doc_id, pos, number, parent)")
 def section_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.nest_sections(_rows(spark, "(1L, 0L, '1'), (1L, 1L, '1.1'), (1L, 2L, '1.1.1'), (1L, 3L, '2'), (1L, 4L, '2.1')", "doc_id, pos, number"))
 
@@ -145,19 +145,57 @@ def _tei(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(1, TEI)], "doc_id long, tei string")
 
 
-@query("SELECT 1::BIGINT AS doc_id, 'A Title' AS title, 'One.' || chr(10) || 'Two.' AS abstract, 'A Title' || chr(10) || 'One.' || chr(10) || 'Two.' AS symbols")
+@fixture("SELECT 1::BIGINT AS doc_id, 'A Title' AS title, 'One.' || chr(10) || 'Two.' AS abstract, 'A Title' || chr(10) || 'One.' || chr(10) || 'Two.' AS symbols")
 def tei_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tei.header(_tei(spark))
 
 
-@query("""SELECT * FROM (VALUES (1::BIGINT, 'authors', 0, 0, 0, 0.1::DOUBLE, 0.1::DOUBLE, 0.3::DOUBLE, 0.025::DOUBLE), (1, 'bibs', 0, 0, 1, 0.1, 0.5, 0.5, 0.1),
+@fixture("""SELECT * FROM (VALUES (1::BIGINT, 'authors', 0, 0, 0, 0.1::DOUBLE, 0.1::DOUBLE, 0.3::DOUBLE, 0.025::DOUBLE), (1, 'bibs', 0, 0, 1, 0.1, 0.5, 0.5, 0.1),
     (1, 'mentions', 0, 0, 1, 0.01, 0.01, 0.03, 0.02), (1, 'headings', 0, 0, 0, 0.05, 0.025, 0.1, 0.05), (1, 'sentences', 0, 0, 0, 0.0, 0.25, 0.5, 0.05),
     (1, 'sentences', 0, 1, 1, 0.0, 0.05, 0.5, 0.05)) v(doc_id, layer, pos, box_pos, page, l, t, w, h)""")
 def tei_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tei.full_text(_tei(spark))
 
 
-@query("""SELECT * FROM (VALUES (1::BIGINT, 1, 1, 1, 'Hi', 0.1::DOUBLE, 0.7::DOUBLE, 0.2::DOUBLE, 0.1::DOUBLE)) v(doc_id, page, row_id, word_id, text, l, t, w, h)""")
+_LETTERS = "trim(regexp_replace(substr(coalesce(text, ''), {}, 60), '[^A-Za-z ]+', '', 'g'))"
+
+
+@query(f"""WITH p AS (SELECT doc_id, {_LETTERS.format(1)} AS t, {_LETTERS.format(61)} AS a, {_LETTERS.format(121)} AS b FROM documents),
+    h AS (SELECT doc_id, nullif(t, '') AS title, nullif(concat_ws(chr(10), nullif(a, ''), nullif(b, '')), '') AS abstract FROM p)
+    SELECT doc_id, title, abstract, concat_ws(chr(10), title, abstract) AS symbols FROM h""")
+def tei_header_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as TEI: the letters of the first sixty characters are a title, those of the next two sixties paragraphs of an abstract."""
+    part = lambda n: F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), n, 60), "[^A-Za-z ]+", "")
+    xml = F.format_string(
+        "<TEI><teiHeader><fileDesc><titleStmt><title>%s</title></titleStmt></fileDesc><profileDesc><abstract><p>%s</p><p>%s</p></abstract></profileDesc></teiHeader></TEI>",
+        part(1), part(61), part(121),
+    )
+    return tei.header(table(spark, sf_dir, "documents").select("doc_id", xml.alias("tei")))
+
+
+@query(with_layers("""
+    SELECT doc_id, 'sentences' AS layer, pos::INT AS pos, 0 AS box_pos, page::INT AS page, 0.0::DOUBLE AS l, (pos % 40)::DOUBLE / 40 AS t,
+           length(text)::DOUBLE / 100 AS w, 1.0::DOUBLE / 40 AS h FROM rows_"""))
+def tei_boxes_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as TEI with the box of every row: pages of a hundred characters by forty rows."""
+
+    def make(t: inrow.Texts):
+        rows = t.rows()
+        return rows.owner, [rows.pos, rows.end - rows.start]
+
+    rows = inrow.over_texts(table(spark, sf_dir, "documents"), "pos bigint, n bigint", make)
+    height = layers.ROWS_PER_PAGE
+    boxes_ = F.transform(
+        F.array_sort(F.collect_list(F.struct("pos", "n"))),
+        lambda r: F.format_string('<s coords="%d,0,%d,%d,1"/>', F.floor(r["pos"] / height) + 1, r["pos"] % height, r["n"]),
+    )
+    pages = F.transform(F.sequence(F.lit(1), F.floor(F.max("pos") / height) + 1), lambda n: F.format_string(f'<surface n="%d" lrx="100" lry="{height}"/>', n))
+    xml = F.concat(F.lit("<TEI><facsimile>"), F.array_join(pages, ""), F.lit("</facsimile><text><body><div><p>"), F.array_join(boxes_, ""), F.lit("</p></div></body></text></TEI>"))
+    made = rows.groupBy("doc_id").agg(xml.alias("tei"))
+    return tei.box_groups(made, tei.LAYERS["sentences"], "sentences")
+
+
+@fixture("""SELECT * FROM (VALUES (1::BIGINT, 1, 1, 1, 'Hi', 0.1::DOUBLE, 0.7::DOUBLE, 0.2::DOUBLE, 0.1::DOUBLE)) v(doc_id, page, row_id, word_id, text, l, t, w, h)""")
 def scraper_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     metrics = ["<pagemetrics>", "<page>", "<no>1</no>", "<pagewidth>100</pagewidth>", "<pageheight>100</pageheight>", "<lines>1</lines>", "<words>1</words>", "</page>"]
     body = ['<Page id="1">', '<Line id="1">', '<Word id="1">', '<Char id="1" BBOX="(10, 20, 10, 10)">H</Char>', '<Char id="2" BBOX="(20, 20, 10, 10)">i</Char>',
@@ -167,14 +205,14 @@ def scraper_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "page", "row_id", "word_id", "text", *[F.round(c, 9).alias(c) for c in "ltwh"])
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 0, 1, 0.1::DOUBLE, 0.1::DOUBLE, 0.3::DOUBLE, 0.1::DOUBLE)) v(doc_id, page, id, l, t, w, h)")
+@fixture("SELECT * FROM (VALUES (1::BIGINT, 0, 1, 0.1::DOUBLE, 0.1::DOUBLE, 0.3::DOUBLE, 0.1::DOUBLE)) v(doc_id, page, id, l, t, w, h)")
 def ocr_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ocr = "(1L, 0, 1, 10.0D, 20.0D, 10.0D, 20.0D, 'a', 100.0D, 200.0D), (1L, 0, 1, 20.0D, 20.0D, 20.0D, 10.0D, 'b', 100.0D, 200.0D), (1L, 0, 2, 0.0D, 0.0D, 100.0D, 200.0D, 'c', 100.0D, 200.0D), (1L, 0, 3, 0.0D, 0.0D, 1.0D, 2.0D, ' ', 100.0D, 200.0D)"
     made = documents.ocr_blocks(_rows(spark, ocr, "doc_id, page, block_num, left, top, width, height, text, page_width, page_height"))
     return made.select("doc_id", "page", "id", *[F.round(c, 9).alias(c) for c in "ltwh"])
 
 
-@query("""SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT, 'foo', 0::BIGINT, 3::BIGINT), (1, 1, 'bar', 3, 6), (1, 2, 'baz', 7, 10), (1, 3, 'qux', 11, 14)) v(doc_id, pos, text, "start", "end")""")
+@fixture("""SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT, 'foo', 0::BIGINT, 3::BIGINT), (1, 1, 'bar', 3, 6), (1, 2, 'baz', 7, 10), (1, 3, 'qux', 11, 14)) v(doc_id, pos, text, "start", "end")""")
 def nested_to_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = "(1L, 0L, 'foo', 0, 0, 0), (1L, 1L, 'bar', 0, 0, 0), (1L, 2L, 'baz', 1, 0, 0), (1L, 3L, 'qux', 2, 1, 0)"
     return documents.nested_to_layers(_rows(spark, tokens, "doc_id, pos, text, word_id, row_id, page_id")).select("doc_id", "pos", "text", "start", "end")
@@ -231,7 +269,7 @@ def distinct_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT, 9::BIGINT, true, 'ab cd'), (2, 1, 4, false, 'bcd bc')) v(doc_id, "start", "end", disjoint, text)""")
+@fixture("""SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT, 9::BIGINT, true, 'ab cd'), (2, 1, 4, false, 'bcd bc')) v(doc_id, "start", "end", disjoint, text)""")
 def span_group_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame(
         [(1, "ab.....cd", [(0, 2), (7, 9)]), (2, "abcd", [(1, 4), (1, 3)])], "doc_id long, symbols string, spans array<struct<start:long,end:long>>"

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Cases of a few given rows and what they give: checked by the tests, but no queries, since they read no table.
+FIXTURES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
 
 
 def query(sql: str | None = None):
@@ -22,6 +24,16 @@ def query(sql: str | None = None):
     return add
 
 
+def fixture(sql: str):
+    """Keeps a function of (spark, sf_dir) whose rows are given in it, with SQL for what they give."""
+
+    def add(f):
+        FIXTURES[f.__name__] = f, sql
+        return f
+
+    return add
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def header(tei: DataFrame, column: str = "tei") -> DataFrame:
     """doc_id, title, abstract, symbols: the first title of the header, and the paragraphs of the abstract by line."""
     title = F.nullif(F.trim(F.try_element_at(F.xpath(F.col(column), F.lit("//titleStmt/title/text()")), F.lit(1))), F.lit(""))
-    paragraphs = F.filter(F.transform(F.xpath(F.col(column), F.lit("//profileDesc/abstract//text()")), F.trim), lambda p: p != "")
+    paragraphs = F.filter(F.transform(F.xpath(F.col(column), F.lit("//profileDesc/abstract//text()")), lambda p: F.trim(p)), lambda p: p != "")
     abstract = F.nullif(F.array_join(paragraphs, "\n"), F.lit(""))
     return tei.select("doc_id", title.alias("title"), abstract.alias("abstract")).withColumn(
         "symbols", F.concat_ws("\n", "title", "abstract")

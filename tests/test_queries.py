@@ -30,21 +30,28 @@ def duck():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted({*registry.QUERIES, *registry.FIXTURES}))
 def test_query(spark, duck, name):
-    df = registry.QUERIES[name](spark, DATA)
+    made, sql = registry.FIXTURES.get(name) or (registry.QUERIES[name], registry.ORACLES.get(name))
+    df = made(spark, DATA)
     columns = sorted(df.columns)
     rows = sorted(str([same(v) for v in r]) for r in df.select(*[f"`{c}`" for c in columns]).collect())
-    if name not in registry.ORACLES:
+    if sql is None:
         assert rows
         return
-    cursor = duck.execute(registry.ORACLES[name])
+    cursor = duck.execute(sql)
     names = [d[0] for d in cursor.description]
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
     assert rows == sorted(str([same(r[i]) for i in at]) for r in cursor.fetchall())
 
 
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+def test_queries_read_tables(spark, name):
+    with pytest.raises(Exception, match="(?i)path.*not.*exist|no such file"):
+        registry.QUERIES[name](spark, "/nowhere").collect()
+
+
 def test_stream_of_documents(spark, tmp_path):
     from lamina.operators import layers
     from lamina.streaming.ingest import stream_layer
