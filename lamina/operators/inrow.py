@@ -7,7 +7,7 @@ and disjoint in itself, meet by two searches in sorted places. What is handed on
 rows of results, not layers.
 
 Expressions over arrays could say the same, but they can't append in place, so the
-offsets of parts of a text cost them ten times as much. :mod:`intervals` joins layers that are rows
+offsets of parts of a text cost them thirty times as much. :mod:`intervals` joins layers that are rows
 already, of any number, which may overlap in themselves.
 """
 
