@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lamina.functions.ascii import to_ascii
+
 #: Fixed values, in natural order; of documents, with the en dash and the section sign.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 DOCUMENT_PUNCTUATION = PUNCTUATION + "\u2013\u00a7"
@@ -151,14 +153,24 @@ def without_nul(text: Column) -> Column:
     return F.replace(text, F.char(F.lit(0)), F.lit(""))
 
 
+#: White space, that of Unicode too, as a class of Java's patterns.
+_SPACE = r"(?U)[\s\x1c-\x1f]"
+
+
+def strip(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(F.regexp_replace(text, _SPACE + r"+\z", ""), r"\A" + _SPACE + "+", "")
+
+
 def clean_doi(text: Column) -> Column:
-    bare = F.regexp_replace(text, r"\s+", "")
-    return F.when(bare.startswith("10."), bare)
+    """In lower case and without white space; null unless it begins with ``10.``, white space in front aside."""
+    bare = F.lower(strip(text))
+    return F.when(bare.startswith("10."), F.regexp_replace(bare, _SPACE, ""))
 
 
 def clean_field(text: Column) -> Column:
-    """Words joined again at hyphens before white space; null if nothing is left."""
-    return F.nullif(F.trim(F.regexp_replace(text, r"-\s+", "")), F.lit(""))
+    """In ASCII as far as :mod:`ascii` goes, with words joined again at hyphens before white space; null if nothing is left."""
+    return F.nullif(F.regexp_replace(to_ascii(strip(text)), "-" + _SPACE + "+", ""), F.lit(""))
 
 
 def number_prefix(text: Column) -> Column:

@@ -90,18 +90,21 @@ def first_run(df: DataFrame, label: str, wanted: str, by: str, order: str) -> Da
     return runs.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy("run"))).where("__r = 1").drop("__r")
 
 
-def bilou_spans(labels: DataFrame, by: str, order: str, keep_first: bool = False) -> DataFrame:
-    """Spans of words labelled B, I, L, U or O: a span opens at B or U, or at I or L behind none.
+def bilou_spans(labels: DataFrame, by: str | list[str], order: str, keep_first: bool = False, aggs: tuple[Column, ...] = ()) -> DataFrame:
+    """Spans of words labelled B, I, L, U or O: ``by``, span, first, last, n of its words, ``aggs`` over them.
 
-    ``keep_first`` says whether the first word of a group counts; without it that word is outside.
+    A span opens at B or U, and at I or L behind the end of one or where there was none; it ends at L or U.
+    Words labelled O neither belong to a span nor end it. ``keep_first`` says whether the first word of a
+    group counts; without it that word is outside.
     """
-    w = Window.partitionBy(by).orderBy(order)
-    first = F.row_number().over(w) == 1
-    label = F.col("label") if keep_first else F.when(first, "O").otherwise(F.col("label"))
-    seen = labels.withColumn("__l", label).withColumn("__before", F.lag("__l").over(w))
-    opens = F.col("__l").isin("B", "U") | F.coalesce(F.col("__before").isin("O", "L", "U"), F.lit(True))
-    found = islands(seen.where("__l <> 'O'").withColumn("__o", opens), F.col("__o"), [by], [order], "span")
-    return found.groupBy(by, (F.col("span") - 1).alias("span")).agg(F.min(order).alias("first"), F.max(order).alias("last"))
+    by = [by] if isinstance(by, str) else by
+    w = Window.partitionBy(*by).orderBy(order)
+    if not keep_first:
+        labels = labels.withColumn("label", F.when(F.row_number().over(w) == 1, "O").otherwise(F.col("label")))
+    opens = F.col("label").isin("B", "U") | F.coalesce(F.col("__before").isin("L", "U"), F.lit(True))
+    seen = labels.where("label <> 'O'").withColumn("__before", F.lag("label").over(w))
+    found = islands(seen.withColumn("__o", opens), F.col("__o"), by, [order], "span")
+    return found.groupBy(*by, (F.col("span") - 1).alias("span")).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"), *aggs)
 
 
 def word_label(labels: Column) -> Column:
@@ -122,13 +125,12 @@ def labels_of_words(parts: DataFrame, by: str, word: str, order: str) -> DataFra
 
 
 def author_spans(labels: DataFrame, by: str, order: str, keep_open: bool = False) -> DataFrame:
-    """Runs that START or MIDDLE labels form; one that is open at the end is dropped unless ``keep_open``."""
+    """Runs of START, MIDDLE and END labels from their first START on; one that is open at the end is dropped unless ``keep_open``."""
     w = Window.partitionBy(by).orderBy(order)
-    inside = F.col("label").isin("START", "MIDDLE")
+    inside = F.col("label").isin("START", "MIDDLE", "END")
     marked = labels.withColumns({"__in": inside, "__was": F.lag(inside).over(w), "__last": F.max(order).over(Window.partitionBy(by))})
     runs = islands(marked, ~F.col("__in").eqNullSafe(F.col("__was")), [by], [order], "span").where("__in")
     found = runs.groupBy(by, "span").agg(
-        F.min(order).alias("first"), F.max(order).alias("last"), F.max("__last").alias("__end"),
-        F.min_by("label", order).alias("__opened"),
-    ).where("__opened = 'START'")
+        F.min(F.when(F.col("label") == "START", F.col(order))).alias("first"), F.max(order).alias("last"), F.max("__last").alias("__end")
+    ).where("first is not null")
     return (found if keep_open else found.where(F.col("last") < F.col("__end"))).select(by, "first", "last")

@@ -102,7 +102,7 @@ def bib_range_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictors.map_ranges(entries, ranges)
 
 
-@fixture("SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT, 1::BIGINT, 3::BIGINT), (1, 1, 5, 5), (1, 2, 6, 7)) v(doc_id, span, first, last)")
+@fixture("SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT, 1::BIGINT, 3::BIGINT, 3::BIGINT), (1, 1, 5, 5, 1), (1, 2, 6, 7, 2)) v(doc_id, span, first, last, n)")
 def bilou_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = "(1L, 0L, 'B'), (1L, 1L, 'B'), (1L, 2L, 'I'), (1L, 3L, 'L'), (1L, 4L, 'O'), (1L, 5L, 'U'), (1L, 6L, 'I'), (1L, 7L, 'L'), (1L, 8L, 'O')"
     return segments.bilou_spans(_rows(spark, labels, "doc_id, pos, label"), "doc_id", "pos")

@@ -32,10 +32,10 @@ def _pick(values: list[str], number: str):
 @query(f"""{_TURNS},
     l AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY doc_id ORDER BY pos) = 1 THEN 'O'
                          ELSE {_BILOU}[(doc_id * 3 + pos * 5) % 8 + 1] END AS label FROM t),
-    b AS (SELECT *, lag(label) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM l),
-    o AS (SELECT *, (label IN ('B', 'U') OR coalesce(before IN ('O', 'L', 'U'), true))::INT AS opens FROM b WHERE label <> 'O'),
+    b AS (SELECT *, lag(label) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM l WHERE label <> 'O'),
+    o AS (SELECT *, (label IN ('B', 'U') OR coalesce(before IN ('L', 'U'), true))::INT AS opens FROM b),
     s AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS span FROM o)
-    SELECT doc_id, span::BIGINT AS span, min(pos) AS first, max(pos) AS last FROM s GROUP BY 1, 2""")
+    SELECT doc_id, span::BIGINT AS span, min(pos) AS first, max(pos) AS last, count(*) AS n FROM s GROUP BY 1, 2""")
 def bilou_spans_of_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _turns(spark, sf_dir).withColumn("label", _pick(_BILOU, "doc_id * 3 + pos * 5"))
     return segments.bilou_spans(labels, "doc_id", "pos")
@@ -47,8 +47,8 @@ _AUTHORS = ["MISC", "START", "MIDDLE", "MISC", "MIDDLE", "START", "MISC"]
 @query(f"""{_TURNS},
     l AS (SELECT *, {_AUTHORS}[(doc_id + pos * 3) % 7 + 1] AS label, max(pos) OVER (PARTITION BY doc_id) AS final FROM t),
     g AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM l WHERE label <> 'MISC'),
-    r AS (SELECT doc_id, island, min(pos) AS first, max(pos) AS last, arg_min(label, pos) AS opened, max(final) AS final FROM g GROUP BY 1, 2)
-    SELECT doc_id, first, last FROM r WHERE opened = 'START' AND last < final""")
+    r AS (SELECT doc_id, island, min(pos) FILTER (label = 'START') AS first, max(pos) AS last, max(final) AS final FROM g GROUP BY 1, 2)
+    SELECT doc_id, first, last FROM r WHERE first IS NOT NULL AND last < final""")
 def author_spans_of_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.author_spans(_turns(spark, sf_dir).withColumn("label", _pick(_AUTHORS, "doc_id + pos * 3")), "doc_id", "pos")
 

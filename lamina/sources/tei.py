@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.operators import grouped
+
 
 def header(tei: DataFrame, column: str = "tei") -> DataFrame:
     """doc_id, title, abstract, symbols: the first title of the header, and the paragraphs of the abstract by line."""
@@ -74,6 +76,91 @@ def mention_targets(tei: DataFrame, column: str = "tei") -> DataFrame:
     return rows.withColumn("target", F.substring("target", 2, 1 << 20))
 
 
+#: The parts of a full text that its tree is made of.
+FULL_TEXT = (
+    "facsimile struct<surface:array<struct<_n:string,_lrx:string,_lry:string>>>, text struct<body:struct<div:array<struct<"
+    "head:array<struct<_n:string,_coords:string,_VALUE:string>>, p:array<struct<s:array<struct<_coords:string>>>>>>>>"
+)
+_NODE = "array<struct<level:string,section:int,paragraph:int,sentence:int,n_below:int,number:string,title:string,coords:string>>"
+
+
+def tree(tei: DataFrame, column: str = "tei") -> DataFrame:
+    """Sections with their heading, paragraphs and sentences as nested intervals, from one pass over the XML.
+
+    doc_id, pos, last, level (section, heading, paragraph or sentence), section, paragraph, sentence, number, title, coords
+    and ``sizes``, the size of each page. Nodes are numbered in the order of the document, and ``last`` is the
+    last node below one, so that what is below is between ``pos`` and ``last``. Sentences without coordinates are
+    left out, and so are headings without; the title is the last text of the heading that is in no element of it. Documents
+    without a body, and what is no XML, have no nodes.
+    """
+    none = F.array().cast(_NODE)
+    or_none = lambda c: F.coalesce(c, none)
+    text = lambda c: c.cast("string")
+
+    def node(level, section, paragraph, sentence, below, number, title, coords):
+        place = [F.coalesce(x, F.lit(None)).cast("int").alias(n) for x, n in ((section, "section"), (paragraph, "paragraph"), (sentence, "sentence"), (below, "n_below"))]
+        return F.struct(F.lit(level).alias("level"), *place, text(number).alias("number"), text(title).alias("title"), text(coords).alias("coords"))
+
+    nil = F.lit(None)
+
+    def section_nodes(div: Column, i: Column) -> Column:
+        def paragraph_nodes(p: Column, j: Column) -> Column:
+            placed = F.coalesce(F.filter(p["s"], lambda s: s["_coords"].isNotNull()), F.array().cast("array<struct<_coords:string>>"))
+            return F.concat(
+                F.array(node("paragraph", i, j, nil, F.size(placed), nil, nil, nil)),
+                F.transform(placed, lambda s, k: node("sentence", i, j, k, F.lit(0), nil, nil, s["_coords"])),
+            )
+
+        below = or_none(F.flatten(F.transform(div["p"], paragraph_nodes)))
+        head = F.try_element_at(div["head"], F.lit(1))
+        heading = F.when(head["_coords"].isNotNull(), F.array(node("heading", i, nil, nil, F.lit(0), head["_n"], head["_VALUE"], head["_coords"])))
+        inner = F.concat(or_none(heading), below)
+        return F.concat(F.array(node("section", i, nil, nil, F.size(inner), head["_n"], head["_VALUE"], nil)), inner)
+
+    parsed = tei.select("doc_id", F.from_xml(F.col(column), F.lit(FULL_TEXT), {"ignoreNamespace": "true"}).alias("x"))
+    nodes = parsed.select("doc_id", F.col("x.facsimile.surface").alias("sizes"), F.posexplode(F.flatten(F.transform("x.text.body.div", section_nodes))).alias("pos", "n"))
+    return nodes.select(
+        "doc_id", "pos", (F.col("pos") + F.col("n.n_below")).alias("last"), *[F.col(f"n.{c}") for c in ("level", "section", "paragraph", "sentence", "number", "title", "coords")],
+        "sizes",
+    )
+
+
+def tree_layers(nodes: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Headings, sentences, paragraphs and sections as layers over tokens: doc_id, level, id, pos, last, number, title, n_spans, start, end.
+
+    ``tokens`` has doc_id, pos, start, end, page and a box. Each token is given out once over all
+    levels, in the order of the document, to the heading or sentence whose box holds its centre; boxes of sentences are
+    wider by half a mean token of their page on either side. A paragraph that has a sentence without
+    tokens is dropped with all its sentences; sections and headings stay, if need be without spans. Ids count each level from 0.
+    """
+    spans = grouped.allocate_exclusively(tokens.select("doc_id", "pos", "start", "end", "page", *"ltwh"), _node_boxes(nodes, tokens), by_center=True)
+    held = spans.groupBy("doc_id", F.col("group_pos").cast("int").alias("pos")).agg(F.count("*").alias("n"), F.min("start").alias("a"), F.max("end").alias("b"))
+    placed = nodes.drop("sizes", "coords").join(held, ["doc_id", "pos"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    paragraph, section = Window.partitionBy("doc_id", "section", "paragraph"), Window.partitionBy("doc_id", "section")
+    whole = F.coalesce(F.bool_and(F.when(F.col("level") == "sentence", F.col("n") > 0)).over(paragraph), F.lit(True))
+    kept = placed.withColumn("__k", whole | F.col("paragraph").isNull()).where("__k").drop("__k")
+    up = lambda f, c: F.when(F.col("level") == "section", f(c).over(section)).when(F.col("level") == "paragraph", f(c).over(paragraph)).otherwise(F.col(c))
+    rank = F.row_number().over(Window.partitionBy("doc_id", "level").orderBy("pos")) - 1
+    return kept.select(
+        "doc_id", "level", "pos", "last", "number", "title", up(F.sum, "n").alias("n_spans"), up(F.min, "a").alias("start"), up(F.max, "b").alias("end")
+    ).withColumn("id", rank)
+
+
+def _node_boxes(nodes: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Boxes of headings and sentences in parts of their page; those on pages of no known size are left out."""
+    placed = nodes.where("coords is not null").select("doc_id", "pos", "level", "sizes", F.posexplode(coordinates(F.col("coords"))).alias("box_pos", "b"))
+    size = F.try_element_at(F.filter("sizes", lambda s: s["_n"].try_cast("int") - 1 == F.col("b.page")), F.lit(1))
+    known = placed.select("doc_id", F.col("pos").alias("group_pos"), "box_pos", "level", "b.*", size["_lrx"].try_cast("double").alias("x"), size["_lry"].try_cast("double").alias("y"))
+    boxes = known.where("x > 0 and y > 0").select(
+        "doc_id", F.col("group_pos").cast("long").alias("group_pos"), "box_pos", "level", F.col("page").cast("long").alias("page"), (F.col("l") / F.col("x")).alias("l"),
+        (F.col("t") / F.col("y")).alias("t"), (F.col("w") / F.col("x")).alias("w"), (F.col("h") / F.col("y")).alias("h"),
+    )
+    mean = tokens.groupBy("doc_id", "page").agg((F.avg("w") / 2).alias("__pad"))
+    pad = F.when(F.col("level") == "sentence", F.coalesce("__pad", F.lit(0.0))).otherwise(0.0)
+    padded = boxes.join(mean, ["doc_id", "page"], "left").withColumn("__p", pad)
+    return padded.select("doc_id", "group_pos", "box_pos", "page", (F.col("l") - F.col("__p")).alias("l"), "t", (F.col("w") + 2 * F.col("__p")).alias("w"), "h")
+
+
 def html_header(pages: DataFrame) -> DataFrame:
     """page_id, title, n_paragraphs, first_paragraph of web pages, by pattern."""
     paragraph = F.regexp_extract_all("html", F.lit(r"(?s)<p>(.*?)</p>"), F.lit(1))

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from lamina.plans import alignment_queries, document_queries, feature_queries, recipe_queries, registry, table_queries  # noqa: F401
+from lamina.plans import alignment_queries, document_queries, feature_queries, recipe_queries, registry, table_queries, window_queries  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
