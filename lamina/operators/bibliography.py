@@ -18,41 +18,40 @@ LABELS = (
     "MISC", "CITATION_NUMBER", "AUTHOR_START", "AUTHOR_MIDDLE", "AUTHOR_END", "ISSUED_DAY", "ISSUED_MONTH", "ISSUED_YEAR", "TITLE",
     "JOURNAL", "PUBLISHER", "VOLUME", "ISSUE", "PAGE", "URL", "DOI", "EVENT", "ISBN",
 )
-AUTHOR = [LABELS.index(x) for x in ("AUTHOR_START", "AUTHOR_MIDDLE", "AUTHOR_END")]
+_LETTERS = [chr(ord("A") + i) for i in range(len(LABELS))]
+AUTHOR = [_LETTERS[LABELS.index(x)] for x in ("AUTHOR_START", "AUTHOR_MIDDLE", "AUTHOR_END")]
 SPAN = "struct<start:int,end:int>"
 FIELDS = ("number", "title", "venue", "year", "doi", "url")
 
 
 def first_parts(labels: Column) -> Column:
-    """Of the labels of each word's sub-words, the first; MISC for a word without any."""
-    return F.transform(labels, lambda x: F.coalesce(F.try_element_at(x, F.lit(1)).cast("int"), F.lit(0)))
+    """A letter for each word, A for label 0 and on, by the first of its sub-words; A for a word without any."""
+    return F.array_join(F.transform(labels, lambda x: F.element_at(F.array(*map(F.lit, _LETTERS)), F.coalesce(F.try_element_at(x, F.lit(1)).cast("int"), F.lit(0)) + 1)), "")
 
 
 def first_field(labels: Column, starts: Column, ends: Column, wanted: str) -> Column:
-    """The span of the first run of one label; null if there is none."""
-    kind = LABELS.index(wanted)
-    at = F.array_position(labels, F.lit(kind)).cast("int")
-    rest = F.slice(labels, F.greatest(at, F.lit(1)), F.size(labels))
-    stop = F.array_position(F.transform(rest, lambda x: x != kind), F.lit(True)).cast("int")
-    last = F.when(stop == 0, F.size(labels)).otherwise(at + stop - 2)
-    return F.when(at > 0, F.struct(F.try_element_at(starts, at).alias("start"), F.try_element_at(ends, last).alias("end")))
+    """The span of the first run of one label, in ``labels`` as :func:`first_parts` has them; null if there is none."""
+    run = F.regexp_extract(labels, _LETTERS[LABELS.index(wanted)] + "+", 0)
+    at = F.locate(_LETTERS[LABELS.index(wanted)], labels)
+    last = F.try_element_at(ends, F.greatest(at, F.lit(1)) + F.length(run) - 1)
+    return F.when(at > 0, F.struct(F.try_element_at(starts, at).alias("start"), last.alias("end")))
 
 
 def author_fields(labels: Column, starts: Column, ends: Column) -> Column:
     """Spans of authors: one opens at a start, goes on over all labels of authors, and counts once another label closes it."""
-    words = F.arrays_zip(labels.alias("label"), starts.alias("start"), ends.alias("end"))
-    none = F.lit(None).cast(SPAN)
-
-    def step(acc: Column, w: Column) -> Column:
-        opened, author = acc["open"], w["label"].isin(AUTHOR)
-        going = F.when(author & opened.isNotNull(), F.struct(opened["start"].alias("start"), w["end"].alias("end"))).when(
-            w["label"] == AUTHOR[0], F.struct(w["start"].alias("start"), w["end"].alias("end"))
-        )
-        closed = ~author & opened.isNotNull()
-        return F.struct(going.cast(SPAN).alias("open"), F.when(closed, F.array_append(acc["done"], opened)).otherwise(acc["done"]).alias("done"))
-
-    begin = F.struct(none.alias("open"), F.array().cast(f"array<{SPAN}>").alias("done"))
-    return F.aggregate(words, begin, step, lambda acc: acc["done"])
+    none = F.array().cast(f"array<{SPAN}>")
+    opens, author = AUTHOR[0], "".join(AUTHOR)
+    # What stands before an author, and the author, in turn, in linear time; one that is open at the end is cut off first.
+    closed, pattern = F.rtrim(labels, F.lit(author)), F.lit(rf"\G([^{opens}]*+)({opens}[{author}]*+)")
+    before, found = (F.regexp_extract_all(closed, pattern, F.lit(i)) for i in (1, 2))
+    step = lambda acc, x: F.struct(
+        (acc["at"] + F.length(x["b"]) + F.length(x["f"])).alias("at"),
+        F.array_append(acc["done"], F.struct(
+            F.element_at(starts, acc["at"] + F.length(x["b"]) + 1).alias("start"), F.element_at(ends, acc["at"] + F.length(x["b"]) + F.length(x["f"])).alias("end"),
+        )).alias("done"),
+    )
+    walked = F.aggregate(F.arrays_zip(before.alias("b"), found.alias("f")), F.struct(F.lit(0).alias("at"), none.alias("done")), step, lambda acc: acc["done"])
+    return F.when(F.contains(labels, F.lit(opens)), walked).otherwise(none)
 
 
 def with_text(span: Column, text: Column) -> Column:

@@ -136,13 +136,14 @@ def allocate_exclusively(tokens: DataFrame, boxes: DataFrame, by_center: bool =
             x1 = x2 = (x1 + x2) / 2
             y1 = y2 = (y1 + y2) / 2
         free = np.ones(len(t), bool)
+        on_page = {p: np.flatnonzero(page == p) for p in np.unique(b.page)}
         found = []
         for group, rows in b.sort_values(["group_pos", "box_pos"]).groupby("group_pos", sort=True):
             taken = np.zeros(len(t), bool)
             for r in rows.itertuples():
-                inside = (page == r.page) & (x1 - pad_x <= r.l + r.w) & (r.l <= x2 + pad_x) & (y1 <= r.t + r.h) & (r.t <= y2)
-                taken |= inside & free
-                free &= ~inside
+                k = on_page[r.page]
+                k = k[free[k] & (x1[k] - pad_x <= r.l + r.w) & (r.l <= x2[k] + pad_x) & (y1[k] <= r.t + r.h) & (r.t <= y2[k])]
+                taken[k], free[k] = True, False
             own = np.flatnonzero(taken)
             if not len(own):
                 continue

@@ -66,9 +66,12 @@ def hashed_pieces(t: Texts, words: Layer) -> Pieces:
     begin = t.chars[words.a[word]] + PIECE * k
     a, b = at[begin], at[begin + length]
     ids = np.zeros(len(word), np.int64)
-    for j in range(4 * PIECE):
-        more = a + j < b
-        ids[more] = (ids[more] * 257 + t.data[(a + j)[more]] + 1) % ((1 << 31) - 3)
+    going, place = np.arange(len(word)), a.copy()
+    while len(going):
+        ids[going] = (ids[going] * 257 + t.data[place] + 1) % ((1 << 31) - 3)
+        place += 1
+        more = place < b[going]
+        going, place = going[more], place[more]
     return Pieces(count, np.where(unknown[word], UNKNOWN, ids + 2), length, _KIND[t.data[a]])
 
 
