@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions import text
-from lamina.operators import bibliography, inrow, windows
+from lamina.operators import bibliography, inrow, table_functions, windows
 from lamina.operators.layers import ROWS_PER_PAGE
 from lamina.plans.registry import query, table, with_layers
 from lamina.plans.table_queries import _pairs
@@ -62,6 +62,13 @@ def bibliography_layers_of_documents(spark: SparkSession, sf_dir: str) -> DataFr
     return bibliography.layers(bibliography.fields(labelled)).withColumn("pos", F.col("pos").cast("long"))
 
 
+@query(with_layers('SELECT doc_id, pos, "start", "end", text FROM sentences'))
+def layer_function_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function ``layer_of``, its texts dealt out by doc_id."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return F.udtf(table_functions.LayerOf)(docs.asTable().partitionBy("doc_id"), F.lit("sentences"))
+
+
 @query()
 def fuzz_ratio_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature of mentions and entries that DuckDB has no function for; the tests compare it with a plain table."""
