@@ -10,8 +10,10 @@ Tasks look grams up in arrays sorted by hash. Models stand in shards of at most
 ``MOST_ENTRIES`` grams, and a text is scored by the shard that holds its model. A model
 larger than a shard is split by the last symbol of the context, a symbol whose grams are
 still more by the last two, and so on; a shard also has the entries of the shorter ends
-of its contexts. Texts are scored shard by shard: all that one context needs stands in one
-shard, so the sums are the same. One shard is in memory at a time.
+of its contexts. All that one context needs stands in one shard, so the sums are the same.
+Spark deals the entries out to their shards, sorts them and writes a file for each to the
+shared folder; tasks read the file of the shard that they score by, one at a time, and no
+entry goes through the driver.
 
 A document is rejected if its mean log-perplexity lies outside the band of its language;
 the bands come from the median and the quartiles of the distinct texts that pass the
@@ -20,25 +22,33 @@ rules, which junk that makes up a tenth of a language hardly moves.
 
 from __future__ import annotations
 
+import posixpath
 import re
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.common import cut, join_groups, slices, texts
+from lamina.llm.common import cut, join_groups, remove_folder, shared_folder, slices, texts
+from lamina.llm.exact_dedup import filter_bits, repeat_filter, tested
+from lamina.llm.warc import Store
 
 ORDER, BITS = 5, 12
 CLASSES = 1 << BITS
-#: Bound of one broadcast: 16 bytes a gram, so 40 MB.
+#: Bound of a shard, of which a task holds one: 16 bytes a gram, so 40 MB.
 MOST_ENTRIES = 2_500_000
 #: Grams of the highest level in a partition; the tables of the model are dealt by it, not by the partitions of the texts.
 PART_GRAMS = 100_000
-#: Discounts, a row a language, are broadcast up to here and shuffled beyond.
+#: Discounts and places, a row a language, are broadcast up to here and shuffled beyond.
 MOST_LANGUAGES = 4096
+#: The like for the ends of contexts by which split models are dealt out, some 40 bytes each.
+MOST_ROUTES = 250_000
 #: How far a band reaches from the median, in distances of the quartiles from it; 2.7 sigma for normal values.
 REACH = 4.0
 #: Distinct texts that pass the rules, from which a language has a band.
@@ -167,40 +177,16 @@ def hashed(language: int, level: int, gram: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-ENTRY = np.dtype([("key", "<u8"), ("logp", "<f4"), ("logb", "<f4")])
-
-
-def packed(model: DataFrame, languages: list[str]) -> list[bytes]:
-    """The entries of a shard, hashed and packed in the tasks: 16 bytes each."""
-    number = {x: i for i, x in enumerate(languages)}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lang = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)
-            level, gram = batch.column("level").to_numpy(), batch.column("gram").to_numpy()
-            out = np.empty(len(gram), ENTRY)
-            for i, n in set(zip(lang.tolist(), level.tolist(), strict=True)):
-                rows = (lang == i) & (level == n)
-                out["key"][rows] = hashed(i, n, gram[rows])
-            for name in ("logp", "logb"):
-                out[name] = batch.column(name).to_numpy(zero_copy_only=False).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["entries"])
-
-    rows = model.select("lang", "level", "gram", "logp", "logb").mapInArrow(run, "entries binary")
-    return [bytes(r[0]) for r in rows.collect()]
-
-
 class Arrays:
     """A shard of the model: hashes in order, and what belongs to each."""
 
-    def __init__(self, languages: list[str], entries: list[bytes]):
+    def __init__(self, languages: list[str], entries: pa.Table):
         self.number = {x: i for i, x in enumerate(languages)}
-        table = np.concatenate([np.frombuffer(x, ENTRY) for x in entries] or [np.empty(0, ENTRY)])
-        order = np.argsort(table["key"])
-        self.key, self.logp, self.logb = (np.ascontiguousarray(table[name][order]) for name in ("key", "logp", "logb"))
+        self.key = entries.column("key").to_numpy()
+        self.logp, self.logb = (entries.column(name).to_numpy() for name in ("logp", "logb"))
 
     def _at(self, language: int, level: int, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        wanted = hashed(language, level, gram)
+        wanted = hashed(language, level, gram).view(np.int64)
         at = np.minimum(np.searchsorted(self.key, wanted), len(self.key) - 1)
         return at, self.key[at] == wanted
 
@@ -280,18 +266,6 @@ class Shard:
             mine |= ~np.isin(end, np.array(self.seen, np.int64))
         return mine & (context & _ones(self.depth - 1) == self.parent)
 
-    def entries(self, model: DataFrame) -> DataFrame:
-        """What its contexts need, those of their shorter ends among it: at most 4097 for each of these."""
-        chosen = model.where(F.col("lang").isin(self.languages))
-        if not self.depth:
-            return chosen
-        wanted = (F.col("symbols") >= self.depth) & _end(self.depth).isin(self.routes)
-        for n in range(self.depth):
-            wanted = wanted | ((F.col("symbols") == n) & (F.col("context") == self.parent & _ones(n)))
-        # An entry that stands here both as a gram and as a context is one.
-        both = _by_context(chosen).where(wanted).groupBy("lang", "level", "gram")
-        return both.agg(F.max("logp").alias("logp"), F.max("logb").alias("logb"))
-
 
 def _ones(symbols: int) -> int:
     return (1 << (BITS * symbols)) - 1
@@ -350,9 +324,68 @@ def _shards(model: DataFrame) -> list[Shard]:
     return out
 
 
-def score(docs: DataFrame, model: DataFrame, carry: list[str], lang: str, text: str) -> DataFrame:
-    """``carry``, the base counts, and the sum of log-probabilities and characters of each text."""
-    spark = docs.sparkSession
+def _dealt(model: DataFrame, shards: list[Shard]) -> DataFrame:
+    """(shard, number, level, gram, logp, logb): the entries of each shard; ``number`` is the place of the language in it."""
+    spark = model.sparkSession
+    whole = [(x, i, n) for i, s in enumerate(shards) if not s.depth for n, x in enumerate(s.languages)]
+    places = spark.createDataFrame(whole, "lang string, shard int, number int")
+    out = model.join(F.broadcast(places) if len(whole) <= MOST_LANGUAGES else places, "lang").select("shard", "number", "level", "gram", "logp", "logb")
+    # A shard of a split language wants what its routes end in, and the shorter ends of its contexts: at most 4097 for each of these.
+    wants = [
+        (s.languages[0], i, *w)
+        for i, s in enumerate(shards)
+        if s.depth
+        for w in [*[(True, s.depth, r) for r in s.routes], *[(False, n, s.parent & _ones(n)) for n in range(s.depth)]]
+    ]
+    if not wants:
+        return out
+    wanted = spark.createDataFrame(wants, "lang string, shard int, at_end boolean, symbols int, context long")
+    as_end = [
+        F.when(F.col("symbols") >= d, F.struct(F.lit(True).alias("at_end"), F.lit(d).alias("symbols"), _end(d).alias("context")))
+        for d in range(1, ORDER)
+    ]
+    as_whole = F.struct(F.lit(False).alias("at_end"), F.col("symbols").alias("symbols"), F.col("context").alias("context"))
+    entries = _by_context(model.where(F.col("lang").isin(sorted({w[0] for w in wants}))))
+    met = entries.select("lang", "level", "gram", "logp", "logb", F.explode(F.array_compact(F.array(*as_end, as_whole))).alias("w"))
+    met = met.select("lang", "level", "gram", "logp", "logb", "w.*").join(
+        F.broadcast(wanted) if len(wants) <= MOST_ROUTES else wanted, ["lang", "at_end", "symbols", "context"]
+    )
+    # An entry that stands in a shard both as a gram and as a context is one.
+    both = met.groupBy("shard", "level", "gram").agg(F.max("logp").alias("logp"), F.max("logb").alias("logb"))
+    return out.unionByName(both.withColumn("number", F.lit(0)))
+
+
+def write_shards(model: DataFrame, shards: list[Shard], folder: str) -> None:
+    """A file for each shard, ``shard=i`` under ``folder``, with its entries hashed and in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number, level, gram = (batch.column(c).to_numpy() for c in ("number", "level", "gram"))
+            key = np.empty(len(gram), np.uint64)
+            for i, n in set(zip(number.tolist(), level.tolist(), strict=True)):
+                rows = (number == i) & (level == n)
+                key[rows] = hashed(i, n, gram[rows])
+            # A task reads missing values as NaN, so they are written as such.
+            logs = [pa.array(batch.column(c).to_numpy(zero_copy_only=False).astype(np.float32)) for c in ("logp", "logb")]
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), pa.array(key.view(np.int64)), *logs], names=["shard", "key", "logp", "logb"])
+
+    rows = _dealt(model, shards).mapInArrow(run, "shard int, key long, logp float, logb float")
+    rows.repartition("shard").sortWithinPartitions("shard", "key").write.partitionBy("shard").parquet(folder)
+
+
+@lru_cache(maxsize=1)
+def _held(folder: str, shard: int, languages: tuple[str, ...]) -> Arrays:
+    """The arrays of a shard; a worker holds those it read last."""
+    fs, where = Store(folder).open()
+    return Arrays(list(languages), pq.read_table(posixpath.join(where, f"shard={shard}"), columns=["key", "logp", "logb"], filesystem=fs, partitioning=None))
+
+
+def score(docs: DataFrame, shards: list[Shard], folder: str, carry: list[str], lang: str, text: str) -> DataFrame:
+    """``carry``, the base counts, and the sum of log-probabilities and characters of each text.
+
+    ``folder`` has the shards as :func:`write_shards` writes them, and is read whenever the result is.
+    Texts whose language has no model get the same probability for each symbol.
+    """
     kinds = [docs.schema[c].dataType.simpleString() for c in carry]
     head = ", ".join(f"__k{i} {k}" for i, k in enumerate(kinds))
     base = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -360,19 +393,24 @@ def score(docs: DataFrame, model: DataFrame, carry: list[str], lang: str, text:
     rows = docs.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(carry)], F.col(lang).alias("lang"), F.col(text).alias("text"))
     rows = rows.withColumn("__row", F.xxhash64(*[f"__k{i}" for i in range(len(carry))], "lang", "text"))
 
-    def scored(rows: DataFrame, arrays, shard: Shard, with_base: bool) -> DataFrame:
+    def scored(rows: DataFrame, number: int | None, shard: Shard, with_base: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in slices(batches, "text"):
+                arrays = None if number is None else _held(folder, number, tuple(shard.languages))
                 batch = texts(part, "text")
                 languages_ = np.array(part.column("lang").to_pylist(), object)
                 total, n = np.zeros(len(batch)), np.zeros(len(batch), np.int64)
                 for language in dict.fromkeys(languages_):
                     rows_ = np.flatnonzero(languages_ == language)
                     keys, sizes = grams([batch[i] for i in rows_])
-                    found, back = np.unique(keys, return_inverse=True)
-                    logp = arrays.value.log_probability(language, found)
-                    logp[~shard.owns(found >> BITS)] = 0
-                    sums = np.r_[0, np.cumsum(logp[back])]
+                    if arrays is None or language not in arrays.number:
+                        logp = np.full(len(keys), -np.log(CLASSES))
+                    else:
+                        found, back = np.unique(keys, return_inverse=True)
+                        of_found = arrays.log_probability(language, found)
+                        of_found[~shard.owns(found >> BITS)] = 0
+                        logp = of_found[back]
+                    sums = np.r_[0, np.cumsum(logp)]
                     # The first symbols of wide characters are none of their own.
                     points = np.r_[0, np.cumsum((keys & (CLASSES - 1)) < WIDE)]
                     ends = np.cumsum(sizes)
@@ -384,42 +422,45 @@ def score(docs: DataFrame, model: DataFrame, carry: list[str], lang: str, text:
 
         return rows.mapInArrow(run, f"{head}, __row long, {base}, total double, chars long")
 
-    def settled(rows: DataFrame, shard: Shard, entries: list[bytes], with_base: bool = True) -> DataFrame:
-        """The scores by one shard, written, so that its arrays can go before those of the next come."""
-        arrays = spark.sparkContext.broadcast(Arrays(shard.languages, entries))
-        got = cut(scored(rows, arrays, shard, with_base))
-        arrays.destroy()
-        return got
-
-    whole, split, met = [], {}, []
-    for shard in _shards(model):
-        own = rows.where(F.col("lang").isin(shard.languages))
-        first = not shard.depth or shard.languages[0] not in split
-        got = settled(own, shard, packed(shard.entries(model), shard.languages), first)
-        met += shard.languages
+    known = sorted({x for s in shards for x in s.languages})
+    unknown = ~F.col("lang").isin(known) if known else F.lit(True)
+    parts, split = [], {}
+    for i, shard in enumerate(shards):
+        mine = F.col("lang").isin(shard.languages)
         if shard.depth:
-            split.setdefault(shard.languages[0], []).append(got)
+            some = split.setdefault(shard.languages[0], [])
+            some.append(scored(rows.where(mine), i, shard, not some))
         else:
-            whole.append(got)
-    # Texts whose language has no model get the same probability for each symbol.
-    whole.append(settled(rows.where(~F.col("lang").isin(met)) if met else rows, Shard([]), []))
-    for shards in split.values():
-        parts = shards[0]
-        for got in shards[1:]:
-            parts = parts.unionByName(got)
+            # Texts without a model go with those of the first shard, which spares a scan.
+            parts.append(scored(rows.where(mine if parts else mine | unknown), i, shard, True))
+    if not parts:
+        parts.append(scored(rows.where(unknown), None, Shard([]), True))
+    for some in split.values():
+        met = some[0]
+        for got in some[1:]:
+            met = met.unionByName(got)
         # Rows that are alike in everything have alike sums, so each counts the copies once for all shards.
         keys = [*names[: len(carry) + 1], "chars"]
-        parts = parts.groupBy(*keys).agg(
+        met = met.groupBy(*keys).agg(
             F.sum("total").alias("total"), *[F.max(x).alias(x) for x in names[len(carry) + 1 : -2]], F.count("*").alias("__copies")
         )
-        parts = parts.withColumn("__copies", (F.col("__copies") / len(shards)).cast("int")).withColumn(
+        met = met.withColumn("__copies", (F.col("__copies") / len(some)).cast("int")).withColumn(
             "total", F.col("total") / F.col("__copies")
         ).withColumn("__each", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-        whole.append(parts.select(*names))
-    parts = whole[0]
-    for got in whole[1:]:
-        parts = parts.unionByName(got)
-    return parts.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(carry)], *names[len(carry) + 1 :])
+        parts.append(met.select(*names))
+    out = parts[0]
+    for got in parts[1:]:
+        out = out.unionByName(got)
+    return out.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(carry)], *names[len(carry) + 1 :])
+
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """(lang, text), each once. Only texts whose hash may occur twice are shuffled; the others pass straight through."""
+    rows = docs.select("lang", "text", F.xxhash64("lang", "text").alias("__of"))
+    hashes = cut(rows.select("__of"))
+    bits = filter_bits(hashes.count())
+    found = tested(rows, cut(repeat_filter(hashes, "__of", bits)), bits, "__of")
+    return found.where("not __maybe").select("lang", "text").unionByName(found.where("__maybe").select("lang", "text").distinct())
 
 
 def judge_quality(
@@ -441,14 +482,17 @@ def judge_quality(
         words = text.encode().split()
         return len(words) >= least_words and repeated_words(words) * 100 <= len(words) * most_repeated
 
-    taught = docs.select(F.concat(fold.cast("string"), "lang").alias("lang"), "text").distinct()
+    taught = distinct_texts(docs.select(F.concat(fold.cast("string"), "lang").alias("lang"), "text"))
     model = cut(kneser_ney(count_grams(taught, "lang", "text", counts)))
+    shards, folder = _shards(model), posixpath.join(shared_folder(docs.sparkSession), f"grams-{uuid.uuid4().hex}")
+    write_shards(model, shards, folder)
     judged_by = docs.withColumn("by", F.concat((1 - fold).cast("string"), "lang"))
-    scored = score(judged_by, model, ["id", "lang", "of"], "by", "text")
+    scored = score(judged_by, shards, folder, ["id", "lang", "of"], "by", "text")
     failed = (F.col("n_words") < least_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * most_repeated)
     rows = cut(
         scored.withColumn("base_failed", failed).withColumn("log_perplexity", F.when(F.col("chars") > 0, -F.col("total") / F.col("chars")))
     )
+    remove_folder(docs.sparkSession, folder)
     distinct = rows.where(~F.col("base_failed")).groupBy("lang", "of").agg(F.min("log_perplexity").alias("log_perplexity"))
     quartiles = distinct.groupBy("lang").agg(
         F.count("*").alias("texts"), F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000).alias("q")

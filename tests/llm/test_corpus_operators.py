@@ -241,12 +241,19 @@ def kneser_ney_truth(texts, order):
     return p
 
 
-def test_kneser_ney_is_the_textbook_s(spark):
+def arrays_of(model, folder):
+    """The shards of a model of one language, and the arrays that tasks read for each."""
+    shards = perplexity._shards(model)
+    perplexity.write_shards(model, shards, str(folder))
+    return shards, [perplexity._held(str(folder), i, tuple(s.languages)) for i, s in enumerate(shards)]
+
+
+def test_kneser_ney_is_the_textbook_s(spark, tmp_path):
     rng = random.Random(9)
     texts = ["".join(rng.choice("aab c") for _ in range(80)) for _ in range(6)] + ["Xyz q", ""]
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
     model = perplexity.kneser_ney(perplexity.count_grams(docs, "lang", "text"))
-    arrays = perplexity.Arrays(["en"], perplexity.packed(model, ["en"]))
+    _, [arrays] = arrays_of(model, tmp_path / "whole")
     truth = kneser_ney_truth(texts, perplexity.ORDER)
     keys, _ = perplexity.grams([*texts, "abz qq", "new stuff"])
     split = lambda k: tuple(int(k) >> (perplexity.BITS * b) & (perplexity.CLASSES - 1) for b in range(perplexity.ORDER - 1, -1, -1))
@@ -255,30 +262,36 @@ def test_kneser_ney_is_the_textbook_s(spark):
         assert math.isclose(x, math.log(truth(split(k))), abs_tol=1e-4)
 
 
-def test_contexts_of_a_frequent_symbol_are_split(spark, monkeypatch):
+def test_contexts_of_a_frequent_symbol_are_split(spark, monkeypatch, tmp_path):
     rng = random.Random(3)
     texts = ["".join(rng.choice("aaab c") for _ in range(120)) for _ in range(6)] + ["Xyz q"]
     docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
     model = perplexity.kneser_ney(perplexity.count_grams(docs, "lang", "text"))
     model = perplexity.cut(model)
     keys = np.unique(perplexity.grams([*texts, "abz qq", "new stuff", "caaaaa"])[0])
-    whole = perplexity.Arrays(["en"], perplexity.packed(model, ["en"])).log_probability("en", keys)
+    whole = arrays_of(model, tmp_path / "whole")[1][0].log_probability("en", keys)
     monkeypatch.setattr(perplexity, "MOST_ENTRIES", 250)
-    shards = perplexity._shards(model)
+    shards, read = arrays_of(model, tmp_path / "split")
     # The symbols before the letter a are too many for one shard.
     assert max(s.depth for s in shards) >= 2
     owners, parts = np.zeros(len(keys), int), np.zeros(len(keys))
-    for shard in shards:
-        entries = shard.entries(model)
+    for shard, arrays in zip(shards, read, strict=True):
         # What every shard has of the shorter ends comes on top; here at most 7 grams and a context each.
-        assert entries.count() <= 250 + 8 * shard.depth
+        assert len(arrays.key) <= 250 + 8 * shard.depth and (np.diff(arrays.key) > 0).all()
         mine = shard.owns(keys >> perplexity.BITS)
         owners += mine
-        parts += np.where(mine, perplexity.Arrays(["en"], perplexity.packed(entries, ["en"])).log_probability("en", keys), 0)
+        parts += np.where(mine, arrays.log_probability("en", keys), 0)
     assert (owners == 1).all()
     assert np.allclose(parts, whole, atol=1e-6)
 
 
+def test_texts_that_teach_are_distinct_without_a_shuffle_of_all(spark):
+    rows = [("en", f"text {i}") for i in range(300)] + [("en", "twice")] * 100 + [("de", "twice"), ("en", ""), ("en", ""), ("en", None), ("en", None)]
+    got = perplexity.distinct_texts(spark.createDataFrame(rows, "lang string, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(set(rows), key=str)
+    assert perplexity.distinct_texts(spark.createDataFrame(rows[:0], "lang string, text string")).count() == 0
+
+
 def test_shards_change_nothing(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").unionByName(spark.createDataFrame([(900, None, None, "s", 0), (901, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long"))
     whole = perplexity.judge_quality(docs).orderBy("doc_id").collect()
