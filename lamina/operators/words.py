@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from lamina.functions import text as tx
 from lamina.operators import segments
 
+#: Punctuation that is a word by itself; a hyphen belongs to the word that it stands in.
+PUNCTUATION_WORDS = tx.DOCUMENT_PUNCTUATION.replace("-", "")
+
 
 def clusters_of(tokens: DataFrame) -> DataFrame:
     """One row per white-space cluster of tokens (doc_id, pos, start, end, text, cluster, row)."""
@@ -137,6 +140,49 @@ def hyphen_edits(scored: DataFrame, threshold: float = -1.5) -> DataFrame:
     return made.select(F.col("word").alias("original"), new.alias("new")).withColumn("is_edit", F.col("original") != F.col("new"))
 
 
+def solid_words(tokens: DataFrame, punctuation: str = PUNCTUATION_WORDS) -> DataFrame:
+    """Neighbouring tokens of one cluster as a word, each punctuation token by itself: doc_id, pos, start, end, text.
+
+    Blank tokens are left out. A hyphen has to be a token by itself; one within a token is an error.
+    """
+    text = F.col("text")
+    within = F.contains(text, F.lit("-")) & (text != "-")
+    checked = F.when(within, F.raise_error(F.concat(F.lit("a hyphen is no token by itself: "), text))).otherwise(text)
+    solid = tokens.where(F.trim(F.regexp_replace("text", r"\s", " ")) != "").withColumn("text", checked)
+    grouped = segments.punctuation_groups(solid, tx.is_punctuation(text, punctuation))
+    made = grouped.groupBy("doc_id", "group").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda t: t["text"]), "").alias("text"),
+    )
+    return segments.renumber(made, ["doc_id"], ["group"]).select("doc_id", "pos", "start", "end", "text")
+
+
+def classified_words(
+    tokens: DataFrame, score: Callable[[DataFrame], DataFrame], shares: DataFrame, default: float, threshold: float = -1.5,
+    punctuation: str = PUNCTUATION_WORDS,
+) -> DataFrame:
+    """Words of documents from tokens (doc_id, pos, start, end, text, cluster) in one go: doc_id, pos, start, end, text.
+
+    Words are those of :func:`solid_words`. One that ends in a hyphen is joined with the next, unless it is or starts with a
+    hyphen, or the next ends in one; so no word is in two joins. Of the joined word each hyphen stays or goes: ``score``
+    adds a column ``score`` to the rows of :func:`hyphen_features`, of which there are some for each distinct joined word,
+    however often it occurs, and hyphens at or below the threshold go. The places are those of the text as it stands.
+    ``shares`` and ``default`` are those of :func:`hyphen_features`.
+    """
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    text, after = F.col("text"), F.col("next")
+    paired = solid_words(tokens, punctuation).withColumns({"next": F.lead("text").over(w), "next_end": F.lead("end").over(w)})
+    opens = text.endswith("-") & ~text.startswith("-") & ~after.endswith("-")
+    marked = paired.withColumn("opens", F.coalesce(opens, F.lit(False)))
+    marked = marked.withColumn("closed", F.coalesce(F.lag("opens").over(w), F.lit(False)))
+    heads = segments.renumber(marked.where("not closed"), ["doc_id"], ["pos"])
+    # Only joined words meet the scores; the others stay where their document is.
+    joined = heads.where("opens").select("doc_id", "pos", "start", F.col("next_end").alias("end"), F.concat("text", "next").alias("original"))
+    scored = score(hyphen_features(joined.select(F.col("original").alias("word")).distinct(), shares, default))
+    edited = joined.join(hyphen_edits(scored, threshold), "original").select("doc_id", "pos", "start", "end", F.col("new").alias("text"))
+    return heads.where("not opens").select("doc_id", "pos", "start", "end", "text").unionByName(edited)
+
+
 def stringify(queries: DataFrame, words: DataFrame, joiner: str = " ", allow_partial: bool = True, normalize: bool = True) -> DataFrame:
     """Text of each query span (doc_id, pos, start, end) through the words it overlaps.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions import spans, text
-from lamina.operators import alignment, grouped, layers, predictors, segments, words
+from lamina.operators import alignment, grouped, inrow, layers, predictors, segments, words
 from lamina.plans.document_queries import _docs
 from lamina.plans.registry import query, table, with_layers
 from lamina.sources import documents
@@ -143,6 +143,33 @@ def hyphen_words_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.hyphen_words(marked, lambda a, b: F.when(F.length(a) >= 4, 1.0).otherwise(-9.0))
 
 
+@query(r"""
+    WITH t AS (SELECT doc_id, replace(replace(coalesce(text, ''), 'n ', 'n- '), 'ea', 'e-a') AS text FROM documents),
+    parts AS (SELECT doc_id, unnest(p) AS text, generate_subscripts(p, 1) AS n FROM (
+              SELECT doc_id, regexp_extract_all(text, '[!"#$%&''()*+,./:;<=>?@\[\\\]^`{|}~–§]|[^\s!"#$%&''()*+,./:;<=>?@\[\\\]^`{|}~–§]+|\s+') AS p FROM t)),
+    placed AS (SELECT *, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY n) AS e FROM parts),
+    w AS (SELECT doc_id, n, (e - length(text))::BIGINT AS s, e::BIGINT AS e, text FROM placed WHERE NOT regexp_matches(text, '^\s')),
+    l AS (SELECT *, lead(text) OVER d AS nt, lead(e) OVER d AS ne FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY n)),
+    o AS (SELECT *, coalesce(text LIKE '%-' AND text NOT LIKE '-%' AND nt NOT LIKE '%-', false) AS opens FROM l),
+    c AS (SELECT *, coalesce(lag(opens) OVER (PARTITION BY doc_id ORDER BY n), false) AS closed FROM o),
+    h AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS pos, s AS "start", CASE WHEN opens THEN ne ELSE e END AS "end",
+                 opens, CASE WHEN opens THEN text || nt ELSE text END AS word, string_split(CASE WHEN opens THEN text || nt END, '-') AS p
+          FROM c WHERE NOT closed)
+    SELECT doc_id, pos, "start", "end", CASE WHEN opens THEN p[1] || array_to_string(list_transform(range(2, len(p) + 1),
+             lambda i: CASE WHEN length(array_to_string(p[1:i - 1], '-')) % 2 = 0 THEN '-' ELSE '' END || p[i]), '') ELSE word END AS text FROM h""")
+def classified_words_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens to words in one go, over texts with a hyphen behind each n before a blank and in each ``ea``.
+
+    A rule in place of a classifier keeps a hyphen behind an even number of characters. An underscore is a letter to the tokens here.
+    """
+    hyphened = F.replace(F.replace(F.col("text"), F.lit("n "), F.lit("n- ")), F.lit("ea"), F.lit("e-a"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", hyphened.alias("text"))
+    tokens = inrow.placed_split_tokens(docs).drop("row")
+    shares = spark.createDataFrame([], "word string, prob double")
+    rule = lambda features: features.withColumn("score", F.when(F.col("p_len") % 2 == 0, 0.0).otherwise(-9.0))
+    return words.classified_words(tokens, rule, shares, 0.0, punctuation=words.PUNCTUATION_WORDS.replace("_", ""))
+
+
 _GRAMS = "CASE WHEN length({0}) < {1} THEN []::VARCHAR[] ELSE list_distinct(list_transform(range(1, length({0}) - {1} + 2), lambda i: substring({0}, i, {1}))) END"
 _JACCARD = "round(coalesce(len(list_intersect({0}, {1})) / nullif(len(list_distinct(list_concat({0}, {1}))), 0), 0), 9)"
 _FLAT = "list_filter(string_split_regex(lower(regexp_replace({0}, '[()\\[\\],.&;]', '', 'g')), '\\s+'), lambda t: t <> '')"
