@@ -38,6 +38,7 @@ def _classes() -> tuple[np.ndarray, np.ndarray]:
 
 
 SPACE, WORD = _classes()
+HYPHEN = ord("-")
 
 
 class Layer(NamedTuple):
@@ -304,3 +305,32 @@ def assembled_words(docs: DataFrame) -> DataFrame:
         return words.owner, [words.pos, words.start, words.end, t.texts(words), last - new + 1]
 
     return over_texts(docs, "pos bigint, start bigint, end bigint, text string, n_tokens bigint", make)
+
+
+def hyphen_words(docs: DataFrame, punctuation: str) -> DataFrame:
+    """Words as :func:`words.joined_words` has them, of tokens split at punctuation: doc_id, pos, start, end, text, opens."""
+    marks = pa.array(list(punctuation), pa.string())
+
+    def make(t: Texts) -> tuple[np.ndarray, list]:
+        tokens, cluster = t.split_tokens()
+        n = len(cluster)
+        alone = np.zeros(n, bool)
+        short = np.flatnonzero(tokens.b - tokens.a <= 4)
+        alone[short] = pc.is_in(t.gathered(tokens.a[short], tokens.b[short]), marks).to_numpy(zero_copy_only=False)
+        new = alone | np.r_[True, (np.diff(tokens.owner) != 0) | (np.diff(cluster) != 0) | alone[:-1]][:n]
+        first = np.flatnonzero(new)
+        last = np.r_[first[1:], n][: len(first)] - 1
+        owner, a, b = tokens.owner[first], tokens.a[first], tokens.b[last]
+        ends = t.data[b - 1] == HYPHEN
+        opens = ends & (t.data[a] != HYPHEN)
+        opens &= np.r_[(np.diff(owner) == 0) & ~ends[1:], False][: len(first)]
+        heads = ~np.r_[False, opens][: len(first)]
+        # All words stand in a row, and what is joined is a range of two of them.
+        size = b - a
+        stop = np.cumsum(size)
+        place = np.arange(stop[-1] if len(stop) else 0) + np.repeat(b - stop, size)
+        text = _strings(t.data[place] if len(place) else t.data[:0], stop[~opens])
+        made = Layer(owner[heads], tokens.start[first][heads], tokens.end[last][~opens], a[heads], b[~opens])
+        return made.owner, [made.pos, made.start, made.end, text, opens[heads]]
+
+    return over_texts(docs, "pos bigint, start bigint, end bigint, text string, opens boolean", make)

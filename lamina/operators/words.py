@@ -157,17 +157,11 @@ def solid_words(tokens: DataFrame, punctuation: str = PUNCTUATION_WORDS) -> Data
     return segments.renumber(made, ["doc_id"], ["group"]).select("doc_id", "pos", "start", "end", "text")
 
 
-def classified_words(
-    tokens: DataFrame, score: Callable[[DataFrame], DataFrame], shares: DataFrame, default: float, threshold: float = -1.5,
-    punctuation: str = PUNCTUATION_WORDS,
-) -> DataFrame:
-    """Words of documents from tokens (doc_id, pos, start, end, text, cluster) in one go: doc_id, pos, start, end, text.
-
-    Words are those of :func:`solid_words`. One that ends in a hyphen is joined with the next, unless it is or starts with a
-    hyphen, or the next ends in one; so no word is in two joins. Of the joined word each hyphen stays or goes: ``score``
-    adds a column ``score`` to the rows of :func:`hyphen_features`, of which there are some for each distinct joined word,
-    however often it occurs, and hyphens at or below the threshold go. The places are those of the text as it stands.
-    ``shares`` and ``default`` are those of :func:`hyphen_features`.
+def joined_words(tokens: DataFrame, punctuation: str = PUNCTUATION_WORDS) -> DataFrame:
+    """Words of :func:`solid_words`, and those that end in a hyphen with the next: doc_id, pos, start, end, text, opens.
+
+    ``opens`` says which were joined: not a word that is or starts with a hyphen, and not with a word that ends in
+    one, so no word is in two joins. :func:`inrow.hyphen_words` gives the same of texts, without an exchange.
     """
     w = Window.partitionBy("doc_id").orderBy("pos")
     text, after = F.col("text"), F.col("next")
@@ -176,11 +170,24 @@ def classified_words(
     marked = paired.withColumn("opens", F.coalesce(opens, F.lit(False)))
     marked = marked.withColumn("closed", F.coalesce(F.lag("opens").over(w), F.lit(False)))
     heads = segments.renumber(marked.where("not closed"), ["doc_id"], ["pos"])
-    # Only joined words meet the scores; the others stay where their document is.
-    joined = heads.where("opens").select("doc_id", "pos", "start", F.col("next_end").alias("end"), F.concat("text", "next").alias("original"))
-    scored = score(hyphen_features(joined.select(F.col("original").alias("word")).distinct(), shares, default))
-    edited = joined.join(hyphen_edits(scored, threshold), "original").select("doc_id", "pos", "start", "end", F.col("new").alias("text"))
-    return heads.where("not opens").select("doc_id", "pos", "start", "end", "text").unionByName(edited)
+    both = lambda whole, part: F.when(F.col("opens"), whole).otherwise(F.col(part)).alias(part)
+    return heads.select("doc_id", "pos", "start", both(F.col("next_end"), "end"), both(F.concat("text", "next"), "text"), "opens")
+
+
+def classified_words(
+    joined: DataFrame, score: Callable[[DataFrame], DataFrame], shares: DataFrame, default: float, threshold: float = -1.5
+) -> DataFrame:
+    """Words of documents, of which a scorer says which hyphens stay: doc_id, pos, start, end, text.
+
+    ``joined`` is as :func:`joined_words` has it. ``score`` adds a column ``score`` to the rows of :func:`hyphen_features`,
+    of which there are some for each distinct joined word, however often it occurs, and hyphens at or below the
+    threshold go. ``shares`` and ``default`` are those of :func:`hyphen_features`. The places stay those of the text.
+    """
+    # Only what was joined meets the scores; all else passes straight through.
+    open_words = joined.where("opens").withColumnRenamed("text", "original")
+    scored = score(hyphen_features(open_words.select(F.col("original").alias("word")).distinct(), shares, default))
+    edited = open_words.join(hyphen_edits(scored, threshold), "original").select("doc_id", "pos", "start", "end", F.col("new").alias("text"))
+    return joined.where("not opens").drop("opens").unionByName(edited)
 
 
 def stringify(queries: DataFrame, words: DataFrame, joiner: str = " ", allow_partial: bool = True, normalize: bool = True) -> DataFrame:

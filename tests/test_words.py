@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lamina.operators import words
+from lamina.operators import inrow, words
 
 TOKENS = "doc_id long, pos long, start long, end long, text string, cluster long"
 
@@ -52,7 +52,7 @@ def truth(tokens):
 
 
 def classified(spark, rows):
-    made = words.classified_words(spark.createDataFrame(rows, TOKENS), rule, spark.createDataFrame([], "word string, prob double"), 0.0)
+    made = words.classified_words(words.joined_words(spark.createDataFrame(rows, TOKENS)), rule, spark.createDataFrame([], "word string, prob double"), 0.0)
     return sorted(map(tuple, made.select("doc_id", "pos", "start", "end", "text").collect()))
 
 
@@ -86,3 +86,16 @@ def test_words_of_given_tokens(spark):
 def test_a_hyphen_within_a_token_is_an_error(spark):
     with pytest.raises(Exception, match="a hyphen is no token by itself"):
         classified(spark, tokens_of(1, [["a-b"]]))
+
+
+def test_words_in_the_row_are_those_of_tokens(spark):
+    rng = random.Random(8)
+    pieces = ["-", "-", "a", "bc", "x_", "_", ",", "(", "\u00a7", "\u2013", "\u00e9", "\U0001f600", " ", " ", "\n"]
+    texts = [(i, "".join(rng.choice(pieces) for _ in range(rng.randint(0, 25)))) for i in range(300)]
+    docs = spark.createDataFrame([*texts, (None, "a- b"), (7, None), (8, "")], "doc_id long, text string").repartition(3)
+    by_tokens = words.joined_words(inrow.placed_split_tokens(docs.where("doc_id is not null and text is not null")))
+    in_row = inrow.hyphen_words(docs, words.PUNCTUATION_WORDS).where("doc_id is not null")
+    rows = lambda df: sorted(map(tuple, df.select("doc_id", "pos", "start", "end", "text", "opens").collect()))
+    assert rows(in_row) == rows(by_tokens)
+    assert inrow.hyphen_words(docs.where("doc_id is null"), words.PUNCTUATION_WORDS).first().text == "a-b"
+    assert inrow.hyphen_words(docs.limit(0), words.PUNCTUATION_WORDS).count() == 0
