@@ -42,6 +42,14 @@ def group_end(spans: Column) -> Column:
     return F.array_max(F.transform(spans, lambda s: s["end"]))
 
 
+def with_boxes(spans: Column, boxes: Column) -> Column:
+    """The spans of a group, each with the box in its place. An error if there are not as many boxes as spans; null if either is."""
+    count = F.concat(F.lit("spans and boxes of a group differ in number: "), F.size(spans).cast("string"), F.lit(", "), F.size(boxes).cast("string"))
+    even = F.when(F.size(spans) == F.size(boxes), spans).otherwise(F.raise_error(count))
+    zipped = F.zip_with(even, boxes, lambda s, b: F.struct(s["start"].alias("start"), s["end"].alias("end"), b.alias("box")))
+    return F.when(spans.isNotNull() & boxes.isNotNull(), zipped)
+
+
 def hull(spans: Column, merge_boxes: bool = True) -> Column:
     """One span over all; it has the envelope of their boxes if every span has a box."""
     from lamina.functions.boxes import envelope

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.functions import boxes
+from lamina.functions import boxes, spans
 from lamina.operators import figures, grouped, inrow, intervals, layers, nesting, predictors, segments, words
 from lamina.plans.registry import query, table, with_layers
 from lamina.sources import documents as store
@@ -85,6 +85,20 @@ def merge_spans_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.merge_by_distance(kept, 5)
 
 
+@query(with_layers("""
+    SELECT doc_id, page, min("start") AS "start", max("end") AS "end", 0.0::DOUBLE AS l, round(min(pos % 40)::DOUBLE / 40, 9) AS t,
+           round(max(length(text))::DOUBLE / 100, 9) AS w, round(count(*)::DOUBLE / 40, 9) AS h FROM rows_ GROUP BY doc_id, page"""))
+def boxed_pages_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans and boxes of the rows of a page, listed apart and put together by their places, and the hull of both."""
+    line = F.struct(F.lit(0.0).alias("l"), (F.col("pos") % 40 / 40).alias("t"), (F.length("text") / 100).alias("w"), F.lit(1 / 40).alias("h"), F.col("page"))
+    listed = F.array_sort(F.collect_list(F.struct("pos", "start", "end", line.alias("box"))))
+    groups = layers.rows(_docs(spark, sf_dir)).groupBy("doc_id", "page").agg(listed.alias("rows"))
+    groups = groups.select("doc_id", "page", F.transform("rows", lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"))).alias("spans"), F.col("rows.box").alias("boxes"))
+    both = groups.select("doc_id", "page", spans.hull(spans.with_boxes(F.col("spans"), F.col("boxes"))).alias("hull"))
+    size = lambda c: F.round(F.col(f"hull.box.{c}"), 9).alias(c)
+    return both.select("doc_id", "page", "hull.start", "hull.end", *map(size, "ltwh"))
+
+
 @query("""
     WITH c AS (SELECT *, (role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) OR row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1)::INT AS b FROM conversations),
     r AS (SELECT *, sum(b) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS run FROM c)

@@ -173,6 +173,17 @@ def tei_header_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tei.header(table(spark, sf_dir, "documents").select("doc_id", xml.alias("tei")))
 
 
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN trim(nullif(t, '')) END AS title
+    FROM (SELECT doc_id, regexp_replace(substr(coalesce(text, ''), 1, 60), '[^A-Za-z ]+', '', 'g') AS t FROM documents)""")
+def citation_titles_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as lists of citations: without a title, with two of which the first counts, and with an empty one first."""
+    letters = F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 60), "[^A-Za-z ]+", "")
+    titles = F.when(F.col("doc_id") % 3 == 1, F.format_string("<title level='a'>%s<hi>x</hi>y</title><title level='j'>Journal</title>", letters))
+    titles = titles.when(F.col("doc_id") % 3 == 2, F.format_string("<title/><title>%s</title>", letters)).otherwise("<note>none</note>")
+    xml = F.format_string("<TEI><listBibl><biblStruct><analytic>%s</analytic></biblStruct></listBibl></TEI>", titles)
+    return tei.citation_title(table(spark, sf_dir, "documents").select("doc_id", xml.alias("tei")))
+
+
 @query(with_layers("""
     SELECT doc_id, 'sentences' AS layer, pos::INT AS pos, 0 AS box_pos, page::INT AS page, 0.0::DOUBLE AS l, (pos % 40)::DOUBLE / 40 AS t,
            length(text)::DOUBLE / 100 AS w, 1.0::DOUBLE / 40 AS h FROM rows_"""))

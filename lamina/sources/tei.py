@@ -18,6 +18,12 @@ def header(tei: DataFrame, column: str = "tei") -> DataFrame:
     )
 
 
+def citation_title(tei: DataFrame, column: str = "tei") -> DataFrame:
+    """doc_id, title: of the first title anywhere, the text before its first element, trimmed; null if there is none."""
+    first = F.xpath_string(F.col(column), F.lit("(//title)[1]/node()[1][self::text()]"))
+    return tei.select("doc_id", F.btrim(F.nullif(first, F.lit("")), F.lit(" \t\n\r")).alias("title"))
+
+
 def page_sizes(tei: DataFrame, column: str = "tei") -> DataFrame:
     """doc_id, page (from 0), width, height."""
     number = F.xpath(F.col(column), F.lit("//facsimile/surface/@n"))

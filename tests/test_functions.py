@@ -129,3 +129,26 @@ def test_hyphens_at_the_edge_are_errors(spark):
     assert len(row) == 21 and abs(row.uni_prob - 0.4) < 1e-12 and row.p_bg1 == "" and row.s_bg1 == "b"
     with pytest.raises(Exception, match="hyphens"):
         words.hyphen_features(spark.createDataFrame([("-b",)], "word string"), shares, 0.1).collect()
+
+
+def test_spans_with_boxes_have_to_be_as_many(spark):
+    from lamina.functions import spans
+
+    kind = "spans array<struct<start:long,end:long>>, boxes array<struct<l:double,t:double,w:double,h:double,page:int>>"
+    box = (0.1, 0.2, 0.3, 0.4, 0)
+    zipped = lambda *rows: [r[0] for r in spark.createDataFrame(rows, kind).select(spans.with_boxes(F.col("spans"), F.col("boxes"))).collect()]
+    got = zipped(([(0, 2), (3, 5)], [box, box]), ([], []), (None, [box]), ([(0, 1)], None))
+    assert [None if g is None else [(s.start, s.end, tuple(s.box)) for s in g] for g in got] == [[(0, 2, box), (3, 5, box)], [], None, None]
+    with pytest.raises(Exception, match="differ in number: 2, 1"):
+        zipped(([(0, 2), (3, 5)], [box]))
+
+
+def test_first_title_of_citations(spark):
+    from lamina.sources import tei
+
+    cases = {
+        "<a><title> One </title><title>Two</title></a>": "One", "<a><b/></a>": None, "<a><title/><title>Two</title></a>": None,
+        "<a><title><i>x</i>y</title></a>": None, "<a><title>x<i>y</i></title></a>": "x", "<a><b><title>\n deep\t</title></b></a>": "deep", "<a><title> </title></a>": "",
+    }
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, tei string")
+    assert [r.title for r in tei.citation_title(docs).orderBy("doc_id").collect()] == list(cases.values())
