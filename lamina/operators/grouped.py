@@ -2,29 +2,82 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def _find(parent: list[int], x: int) -> int:
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
+#: Pairs of boxes that are compared at once.
+PAIRS = 1 << 20
+
+
+def _pairs(first: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each place with the ``n`` places from its ``first`` on, so many pairs at a time, one place more or less."""
+    upto = np.cumsum(n)
+    a = 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIRS, side="right")))
+        ends = np.cumsum(n[a:b])
+        yield np.repeat(np.arange(a, b), n[a:b]), np.arange(ends[-1]) + np.repeat(first[a:b] - (ends - n[a:b]), n[a:b])
+        a = b
+
+
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def met_boxes(key: np.ndarray, box: tuple, other_key: np.ndarray, other: tuple, by_center: bool = False, pad_x: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the boxes (l, t, w, h) of equal keys that meet, in order of both; ``by_center`` asks for the centre of the first."""
+    order = np.argsort(other_key, kind="stable")
+    ordered = other_key[order]
+    l, t, w, h = box  # noqa: E741
+    x1, x2, y1, y2 = (l + w / 2, l + w / 2, t + h / 2, t + h / 2) if by_center else (l, l + w, t, t + h)
+    ol, ot, right, bottom = other[0][order], other[1][order], (other[0] + other[2])[order], (other[1] + other[3])[order]
+    first = np.searchsorted(ordered, key, side="left")
+    found = []
+    for i, j in _pairs(first, np.searchsorted(ordered, key, side="right") - first):
+        hit = np.flatnonzero((x1[i] - pad_x <= right[j]) & (ol[j] <= x2[i] + pad_x) & (y1[i] <= bottom[j]) & (ot[j] <= y2[i]))
+        found.append((i[hit], order[j[hit]]))
+    return _joined(found)
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` places the first one that it is connected with by pairs."""
+    label = np.arange(n)
+    while len(a):
+        x, y = label[a], label[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label != (up := label[label])).any():
+            label = up
+    return label
+
+
+def components_on(key: np.ndarray, left: np.ndarray, top: np.ndarray, right: np.ndarray, bottom: np.ndarray, pad_x: float, pad_y: float) -> np.ndarray:
+    """:func:`components_of` for the boxes of many pages at once, which ``key`` tells apart."""
+    n = len(left)
+    # Sides as ranks, so that page and side are one number.
+    rank = np.unique(np.r_[left, right + pad_x], return_inverse=True)[1].reshape(-1)
+    key = key.astype(np.int64) * (2 * n + 1)
+    order = np.argsort(key + rank[:n], kind="stable")
+    upto = np.searchsorted((key + rank[:n])[order], (key + rank[n:])[order], side="right")
+    after = np.arange(n) + 1
+    t, b = top[order], bottom[order]
+    found = []
+    for i, j in _pairs(after, np.maximum(upto - after, 0)):
+        hit = np.flatnonzero((t[j] - pad_y <= b[i]) & (t[i] <= b[j] + pad_y))
+        found.append((order[i[hit]], order[j[hit]]))
+    return _roots(n, *_joined(found))
 
 
 def components_of(left: np.ndarray, top: np.ndarray, right: np.ndarray, bottom: np.ndarray, pad_x: float, pad_y: float) -> np.ndarray:
     """For each box the place of the first one that it is connected with; padded boxes that meet are, along a sweep by left edge."""
-    order = np.argsort(left, kind="stable")
-    ordered = left[order]
-    parent = list(range(len(order)))
-    for k, i in enumerate(order.tolist()):
-        near = order[k + 1 : np.searchsorted(ordered, right[i] + pad_x, side="right")]
-        for j in near[(top[near] - pad_y <= bottom[i]) & (top[i] <= bottom[near] + pad_y)].tolist():
-            a, b = _find(parent, i), _find(parent, j)
-            parent[max(a, b)] = min(a, b)
-    return np.array([_find(parent, i) for i in range(len(parent))], np.int64)
+    return components_on(np.zeros(len(left), np.int64), left, top, right, bottom, pad_x, pad_y)
 
 
 def box_components(spans: DataFrame, pad_x: float, pad_y: float) -> DataFrame:
@@ -47,6 +100,19 @@ def box_components(spans: DataFrame, pad_x: float, pad_y: float) -> DataFrame:
     return spans.groupBy("doc_id", "page").applyInPandas(merge, schema)
 
 
+def walk_lines(new: np.ndarray, left: np.ndarray, width: np.ndarray, middle: np.ndarray, y_tolerance: float, x_tolerance: float) -> list[int]:
+    """The line of each token in order, counted from 0 wherever ``new`` says that a page begins."""
+    line, lines, total, n, right = -1, [], 0.0, 0, 0.0
+    for opens, l, w, m in zip(new.tolist(), left.tolist(), width.tolist(), middle.tolist(), strict=True):  # noqa: E741
+        if opens:
+            line, n = -1, 0
+        if n == 0 or abs(m - total / n) > y_tolerance or l - right > x_tolerance:
+            line, total, n = line + 1, 0.0, 0
+        total, n, right = total + m, n + 1, l + w
+        lines.append(line)
+    return lines
+
+
 def lines_of(tokens: DataFrame, y_tolerance: float, x_tolerance: float) -> DataFrame:
     """Tokens (doc_id, page, pos, l, t, w, h) with the line they are on.
 
@@ -56,12 +122,8 @@ def lines_of(tokens: DataFrame, y_tolerance: float, x_tolerance: float) -> DataF
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         p = pdf.sort_values("pos")
-        line, lines, total, n, right = -1, [], 0.0, 0, 0.0
-        for left, width, middle in zip(p.l, p.w, p.t + p.h / 2, strict=True):
-            if n == 0 or abs(middle - total / n) > y_tolerance or left - right > x_tolerance:
-                line, total, n = line + 1, 0.0, 0
-            total, n, right = total + middle, n + 1, left + width
-            lines.append(line)
+        new = np.arange(len(p)) == 0
+        lines = walk_lines(new, p.l.to_numpy(), p.w.to_numpy(), (p.t + p.h / 2).to_numpy(), y_tolerance, x_tolerance)
         return p[["doc_id", "page", "pos"]].assign(line=lines)
 
     return tokens.groupBy("doc_id", "page").applyInPandas(walk, "doc_id long, page long, pos long, line long")
@@ -115,6 +177,22 @@ def match_captions(costs: DataFrame) -> DataFrame:
     return costs.groupBy("doc_id", "page").applyInPandas(match, "doc_id long, page long, object_pos long, caption_pos long, cost double")
 
 
+def taken_spans(owner: np.ndarray, group: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Owner, group, place, start and end of the spans of tokens that groups have taken, in order of both; places are counted by start for each owner."""
+    order = np.lexsort((start, group, owner))
+    owner, group, start, end = owner[order], group[order], start[order], end[order]
+    if not len(owner):
+        return owner, group, owner, start, end
+    new = np.r_[True, (np.diff(owner) != 0) | (np.diff(group) != 0)]
+    first = np.flatnonzero(new | np.r_[True, start[1:] - end[:-1] > 1])
+    last = np.r_[first[1:], len(owner)] - 1
+    heads = np.flatnonzero(new)
+    by_start = np.lexsort((start[heads], owner[heads]))
+    rank = np.empty(len(heads), np.int64)
+    rank[by_start] = np.arange(len(heads)) - np.searchsorted(owner[heads], owner[heads])
+    return owner[first], group[first], rank[np.cumsum(new) - 1][first], start[first], end[last]
+
+
 def allocate_exclusively(tokens: DataFrame, boxes: DataFrame, by_center: bool = False, pad_x: float = 0.0, cut_used: bool = True) -> DataFrame:
     """Groups of boxes take tokens in turn: doc_id, pos (by start), group_pos, start, end per derived span.
 

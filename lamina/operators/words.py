@@ -89,18 +89,28 @@ def dictionary_words(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 def hyphen_words(words: DataFrame, score: Callable[[Column, Column], Column], threshold: float = -1.5) -> DataFrame:
     """Joins a word that ends in a hyphen with the next: with the hyphen if ``score(prefix, suffix)`` exceeds the threshold."""
+    return scored_pairs(paired_words(words), score, threshold)
+
+
+def paired_words(words: DataFrame) -> DataFrame:
+    """Words (doc_id, pos, start, end, text), and in ``next`` the word behind one that ends in a hyphen; that one has no row, and its end is the pair's."""
     w = Window.partitionBy("doc_id").orderBy("pos")
     opens = F.col("text").endswith("-") & (F.col("text") != "-") & F.lead("text").over(w).isNotNull()
     marked = words.withColumns({"opens": opens, "next": F.lead("text").over(w), "next_end": F.lead("end").over(w)})
     marked = marked.withColumn("closed", F.coalesce(F.lag("opens").over(w), F.lit(False)))
-    stem = tx.without_trailing_hyphens(F.col("text"))
-    kept = F.when(score(stem, F.col("next")) > threshold, F.concat("text", "next")).otherwise(F.concat(stem, F.col("next")))
     return marked.where("not closed").select(
         "doc_id", "pos", "start", F.when(F.col("opens"), F.col("next_end")).otherwise(F.col("end")).alias("end"),
-        F.when(F.col("opens"), kept).otherwise(F.col("text")).alias("text"),
+        "text", F.when(F.col("opens"), F.col("next")).alias("next"),
     )
 
 
+def scored_pairs(paired: DataFrame, score: Callable[[Column, Column], Column], threshold: float = -1.5) -> DataFrame:
+    """doc_id, pos, start, end, text of what :func:`paired_words` gives; :func:`inrow.hyphened_tokens` gives the same of texts."""
+    stem = tx.without_trailing_hyphens(F.col("text"))
+    kept = F.when(score(stem, F.col("next")) > threshold, F.concat("text", "next")).otherwise(F.concat(stem, F.col("next")))
+    return paired.select("doc_id", "pos", "start", "end", F.when(F.col("next").isNotNull(), kept).otherwise(F.col("text")).alias("text"))
+
+
 def hyphen_features(words: DataFrame, shares: DataFrame, default: float) -> DataFrame:
     """A row for each hyphen of each distinct word (word): hyphen, from 1, and the features that a classifier of it takes.
 
