@@ -138,9 +138,8 @@ def span_groups_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
            CASE WHEN NOT opens THEN text WHEN length(stem) >= 4 THEN text || nxt ELSE stem || nxt END AS text FROM c WHERE NOT closed"""))
 def hyphen_words_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every ninth token ends in a hyphen; a rule in place of a classifier keeps it behind four letters or more."""
-    tokens = layers.tokens(_docs(spark, sf_dir))
-    marked = tokens.withColumn("text", F.when(F.col("pos") % 9 == 4, F.concat("text", F.lit("-"))).otherwise(F.col("text")))
-    return words.hyphen_words(marked, lambda a, b: F.when(F.length(a) >= 4, 1.0).otherwise(-9.0))
+    paired = inrow.hyphened_tokens(table(spark, sf_dir, "documents"), 9, 4)
+    return words.scored_pairs(paired, lambda a, b: F.when(F.length(a) >= 4, 1.0).otherwise(-9.0))
 
 
 @query(r"""
