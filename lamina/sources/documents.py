@@ -84,8 +84,8 @@ def write_page_lines(items: DataFrame, path: str) -> None:
 
 
 def images(files: DataFrame) -> DataFrame:
-    """Page images (doc_id, page, content) as base64."""
-    return files.select("doc_id", "page", F.base64("content").alias("content"))
+    """Page images (doc_id, page, content) as base64 in one line, where Spark breaks lines after 76 letters."""
+    return files.select("doc_id", "page", F.replace(F.base64("content"), F.lit("\r\n"), F.lit("")).alias("content"))
 
 
 def from_base64(images_: DataFrame) -> DataFrame:

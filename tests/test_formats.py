@@ -79,3 +79,14 @@ def test_stream_and_bad_rows(spark, tmp_path):
     bad = spark.createDataFrame([("../x.json", "{}")], "file string, json string")
     with pytest.raises(Exception, match="no name for a document"):
         bad.write.format("layered_documents").mode("append").save(str(folder))
+
+
+def test_images_are_one_line(spark):
+    import base64
+
+    from lamina.sources import documents
+
+    sizes = (0, 1, 57, 58, 300)
+    files = spark.createDataFrame([(n, 0, bytearray(range(n % 256)) * (1 + n // 256)) for n in sizes], "doc_id long, page int, content binary")
+    found = {r.doc_id: r.content for r in documents.images(files).collect()}
+    assert found == {r.doc_id: base64.b64encode(bytes(r.content)).decode() for r in files.collect()}
