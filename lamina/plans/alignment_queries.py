@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.operators import alignment, layers, predictors
+from lamina.operators import alignment, inrow, layers, predictors
 from lamina.plans.document_queries import _docs
 from lamina.plans.feature_queries import _rows
 from lamina.plans.registry import fixture, query, table, with_layers
@@ -23,9 +23,7 @@ def sentence_token_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_layers("""
     SELECT doc_id, pos AS coarse_pos, len(regexp_extract_all(text, '[0-9A-Za-z_]+|[^0-9A-Za-z_]'))::BIGINT AS n_fine FROM tokens"""))
 def align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    met = alignment.align(layers.split_tokens(docs).select("doc_id", "pos", "text"), layers.tokens(docs).select("doc_id", "pos", "text"))
-    return met.groupBy("doc_id", "coarse_pos").agg(F.count("*").alias("n_fine"))
+    return inrow.aligned_tokens(table(spark, sf_dir, "documents"))
 
 
 @fixture("SELECT * FROM (VALUES (1, 0, 9), (1, 1, 0), (1, 2, 0), (1, 3, 8), (1, 4, 0), (1, 5, 9)) v(entry, word_id, label)")
