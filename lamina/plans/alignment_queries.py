@@ -16,8 +16,7 @@ from lamina.sources import documents, services
     SELECT s.doc_id, s.pos, min(t.pos) AS first, max(t.pos) AS last, count(*) AS n_tokens, min(t."start") AS "start", max(t."end") AS "end"
     FROM sentences s JOIN tokens t ON s.doc_id = t.doc_id AND t."start" < s."end" AND t."end" > s."start" GROUP BY 1, 2"""))
 def sentence_token_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    return alignment.sentence_tokens(layers.sentences(docs), layers.tokens(docs))
+    return inrow.tokens_of_sentences(table(spark, sf_dir, "documents"))
 
 
 @query(with_layers("""
