@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.operators import alignment, inrow, layers, predictors
-from lamina.plans.document_queries import _docs
+from lamina.operators import alignment, inrow, predictors
 from lamina.plans.feature_queries import _rows
 from lamina.plans.registry import fixture, query, table, with_layers
 from lamina.sources import documents, services

@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions import spans, text
-from lamina.operators import alignment, grouped, inrow, layers, predictors, segments, words
-from lamina.plans.document_queries import _docs
+from lamina.operators import alignment, grouped, inrow, predictors, segments, words
 from lamina.plans.registry import query, table, with_layers
 from lamina.sources import documents
 
