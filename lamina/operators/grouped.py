@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
@@ -202,54 +203,72 @@ def allocate_exclusively(tokens: DataFrame, boxes: DataFrame, by_center: bool =
     Tokens that others hold are cut out of the spans if ``cut_used``.
     """
 
-    def walk(key, t: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        columns = ["doc_id", "pos", "group_pos", "start", "end"]
-        if t.empty or b.empty:
-            return pd.DataFrame({c: pd.Series(dtype="int64") for c in columns})
-        t = t.sort_values("start").reset_index(drop=True)
-        start, end, page = t.start.to_numpy(), t.end.to_numpy(), t.page.to_numpy()
-        x1, y1 = t.l.to_numpy(), t.t.to_numpy()
-        x2, y2 = x1 + t.w.to_numpy(), y1 + t.h.to_numpy()
-        if by_center:
-            x1 = x2 = (x1 + x2) / 2
-            y1 = y2 = (y1 + y2) / 2
-        free = np.ones(len(t), bool)
-        on_page = {p: np.flatnonzero(page == p) for p in np.unique(b.page)}
-        found = []
-        for group, rows in b.sort_values(["group_pos", "box_pos"]).groupby("group_pos", sort=True):
-            taken = np.zeros(len(t), bool)
-            for r in rows.itertuples():
-                k = on_page[r.page]
-                k = k[free[k] & (x1[k] - pad_x <= r.l + r.w) & (r.l <= x2[k] + pad_x) & (y1[k] <= r.t + r.h) & (r.t <= y2[k])]
-                taken[k], free[k] = True, False
-            own = np.flatnonzero(taken)
-            if not len(own):
-                continue
-            breaks = np.r_[True, start[own][1:] - end[own][:-1] > 1]
-            first, last = own[breaks], own[np.r_[np.flatnonzero(breaks)[1:] - 1, len(own) - 1]]
-            for i, j in zip(first, last, strict=True):
-                piece_start = None
-                for k in range(i, j + 1):
-                    usable = taken[k] or free[k] or not cut_used
-                    if usable and piece_start is None:
-                        piece_start = start[k]
-                    if usable:
-                        piece_end = end[k]
-                    elif piece_start is not None:
-                        found.append((group, piece_start, piece_end))
-                        piece_start = None
-                    free[k] = False
-                if piece_start is not None:
-                    found.append((group, piece_start, piece_end))
-        out = pd.DataFrame(found, columns=["group_pos", "start", "end"])
-        begins = out.groupby("group_pos").start.transform("min")
-        out["pos"] = begins.rank(method="dense").astype("int64") - 1
-        return out.assign(doc_id=key[0])[columns].sort_values(["pos", "start"])
-
     schema = "doc_id long, pos long, group_pos long, start long, end long"
+    kinds = pa.schema([(c.split()[0], pa.int64()) for c in schema.split(", ")])
+
+    def walk(key, t: pa.Table, b: pa.Table) -> pa.Table:
+        if not t.num_rows or not b.num_rows:
+            return kinds.empty_table()
+        t = {c: t[c].to_numpy() for c in ("start", "end", "page", *"ltwh")}
+        b = {c: b[c].to_numpy() for c in ("group_pos", "box_pos", "page", *"ltwh")}
+        by_start, turn = np.argsort(t["start"], kind="stable"), np.lexsort((b["box_pos"], b["group_pos"]))
+        turn = turn[b["page"][turn] == b["page"][turn]]
+        group, start, end = _taken({c: v[by_start] for c, v in t.items()}, {c: v[turn] for c, v in b.items()}, by_center, pad_x, cut_used)
+        begins = np.full(len(group), np.iinfo(np.int64).max)
+        of = np.unique(group, return_inverse=True)[1].reshape(-1)
+        np.minimum.at(begins, of, start)
+        pos = np.unique(begins[of], return_inverse=True)[1].reshape(-1)
+        order = np.lexsort((start, pos))
+        columns = [np.full(len(group), key[0].as_py()), pos[order], group[order], start[order], end[order]]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], schema=kinds)
+
     # Both may come from one table of documents; new names tell their columns apart.
+    tokens, boxes = tokens.select("doc_id", "start", "end", "page", *"ltwh"), boxes.select("doc_id", "group_pos", "box_pos", "page", *"ltwh")
     tokens, boxes = tokens.toDF(*tokens.columns), boxes.toDF(*boxes.columns)
-    return tokens.groupBy("doc_id").cogroup(boxes.groupBy("doc_id")).applyInPandas(walk, schema)
+    return tokens.groupBy("doc_id").cogroup(boxes.groupBy("doc_id")).applyInArrow(walk, schema)
+
+
+def _taken(t: dict, b: dict, by_center: bool, pad_x: float, cut_used: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Group, start and end of what groups of boxes take in turn of one document; tokens are in order of start, boxes in turn."""
+    start, end = t["start"], t["end"]
+    x1, y1, w, h = t["l"], t["t"], t["w"], t["h"]
+    if by_center:
+        x1, y1 = (x1 + (x1 + w)) / 2, (y1 + (y1 + h)) / 2
+        w, h = np.zeros(len(w)), np.zeros(len(h))
+    i, j = met_boxes(t["page"], (x1, y1, w, h), b["page"], tuple(b[c] for c in "ltwh"), pad_x=pad_x)
+    if (end >= start).all() and (start[1:] >= end[:-1]).all() and (start[2:] - end[:-2] > 1).all():
+        # No token stands between two that are at most a character apart, so the first box that meets a token takes it.
+        first = np.flatnonzero(np.r_[True, np.diff(i) > 0][: len(i)])
+        _, group, _, a, z = taken_spans(np.zeros(len(first), np.int64), b["group_pos"][j[first]], start[i[first]], end[i[first]])
+        return group, a, z
+    free, found = np.ones(len(start), bool), []
+    order = np.lexsort((i, j))
+    i, group = i[order], b["group_pos"][j[order]]
+    bounds = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True]) if len(group) else np.zeros(0, np.int64)
+    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+        own = np.unique(i[lo:hi])
+        own = own[free[own]]
+        if not len(own):
+            continue
+        taken = np.zeros(len(start), bool)
+        taken[own], free[own] = True, False
+        breaks = np.r_[True, start[own][1:] - end[own][:-1] > 1]
+        for k, z in zip(own[breaks], own[np.r_[np.flatnonzero(breaks)[1:] - 1, len(own) - 1]], strict=True):
+            piece_start = None
+            for at in range(k, z + 1):
+                usable = taken[at] or free[at] or not cut_used
+                if usable and piece_start is None:
+                    piece_start = start[at]
+                if usable:
+                    piece_end = end[at]
+                elif piece_start is not None:
+                    found.append((group[lo], piece_start, piece_end))
+                    piece_start = None
+                free[at] = False
+            if piece_start is not None:
+                found.append((group[lo], piece_start, piece_end))
+    out = np.array(found, np.int64).reshape(-1, 3)
+    return out[:, 0], out[:, 1], out[:, 2]
 
 
 def nest_sections(sections: DataFrame) -> DataFrame:

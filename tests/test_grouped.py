@@ -81,3 +81,27 @@ def test_dictionary_words(spark, text, known, want):
     if text.endswith("models."):
         want = ["custom", "models."]
     assert [r.text for r in got] == want
+
+
+def test_boxes_take_tokens_alike_on_both_ways():
+    """Where no token can stand between two, the first box takes a token; a pair of touching letters far off makes it the walk in turn."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for by_center in (True, False):
+        n, m = 60, 25
+        size = rng.integers(1, 4, n)
+        start = np.cumsum(size + rng.integers(1, 4, n)) - size
+        t = {"start": start, "end": start + size, "page": rng.integers(0, 2, n), "l": rng.random(n), "t": rng.random(n), "w": rng.random(n) / 9, "h": rng.random(n) / 9}
+        b = {"group_pos": np.sort(rng.integers(0, 9, m)), "page": rng.integers(0, 2, m)} | {c: rng.random(m) / (1 if c in "lt" else 2) for c in "ltwh"}
+        far = {c: np.r_[v, [v[-1] + 90, v[-1] + 91, v[-1] + 92]] if c in ("start", "end") else np.r_[v, [7, 7, 7]] for c, v in t.items()}
+        once, in_turn = (sorted(zip(*(c.tolist() for c in grouped._taken(x, b, by_center, 0.0, True)), strict=True)) for x in (t, far))
+        assert once == in_turn and once
+
+
+def test_trees_and_figures_work_on_arrays(spark):
+    """Groups of one document or page were pandas frames, which took most of the time."""
+    from lamina.plans import document_queries, window_queries
+
+    for query in (window_queries.tei_tree_of_documents, document_queries.figures_of_documents):
+        assert "InPandas" not in query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
