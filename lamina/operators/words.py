@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions import text as tx
-from lamina.operators import segments
+from lamina.operators import inrow, segments
 
 #: Punctuation that is a word by itself; a hyphen belongs to the word that it stands in.
 PUNCTUATION_WORDS = tx.DOCUMENT_PUNCTUATION.replace("-", "")
@@ -87,6 +87,21 @@ def dictionary_words(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     return segments.renumber(placed, ["doc_id"], ["start"]).select("doc_id", "pos", "start", "end", "text")
 
 
+def dictionary_words_of_texts(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """:func:`dictionary_words` of documents (doc_id, text), each id once, in the rows of the documents.
+
+    A cluster that is not joined is in the dictionary of its own document, so the shared one is asked only for those that a row break splits.
+    """
+    shared = dictionary.select(F.lower(F.trim("word")).alias("word"), F.lit(True).alias("shared")).distinct()
+    tried = inrow.open_clusters(docs, tx.DOCUMENT_PUNCTUATION).join(shared, "word", "left")
+    known = F.min(F.when(F.col("own") | F.col("shared"), F.col("way")))
+    picked = tried.groupBy("doc_id", "nth").agg(F.coalesce(known, F.lit(4)).alias("way"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("nth", "way"))), lambda x: x["way"])
+    ways = picked.groupBy(F.col("doc_id").alias("__id")).agg(listed.alias("ways"))
+    met = docs.join(ways, F.col("doc_id").eqNullSafe(F.col("__id")), "left").select("doc_id", "text", F.coalesce("ways", F.array().cast("array<int>")).alias("ways"))
+    return inrow.cluster_words(met, tx.DOCUMENT_PUNCTUATION)
+
+
 def hyphen_words(words: DataFrame, score: Callable[[Column, Column], Column], threshold: float = -1.5) -> DataFrame:
     """Joins a word that ends in a hyphen with the next: with the hyphen if ``score(prefix, suffix)`` exceeds the threshold."""
     return scored_pairs(paired_words(words), score, threshold)
