@@ -208,11 +208,18 @@ def classified_words(
     of which there are some for each distinct joined word, however often it occurs, and hyphens at or below the
     threshold go. ``shares`` and ``default`` are those of :func:`hyphen_features`. The places stay those of the text.
     """
+    return classified_parts(joined.where("opens"), joined.where("not opens"), score, shares, default, threshold)
+
+
+def classified_parts(
+    opened: DataFrame, rest: DataFrame, score: Callable[[DataFrame], DataFrame], shares: DataFrame, default: float, threshold: float = -1.5
+) -> DataFrame:
+    """:func:`classified_words` of what was joined and the rest, where these can be had apart."""
     # Only what was joined meets the scores; all else passes straight through.
-    open_words = joined.where("opens").withColumnRenamed("text", "original")
+    open_words = opened.withColumnRenamed("text", "original")
     scored = score(hyphen_features(open_words.select(F.col("original").alias("word")).distinct(), shares, default))
     edited = open_words.join(hyphen_edits(scored, threshold), "original").select("doc_id", "pos", "start", "end", F.col("new").alias("text"))
-    return joined.where("not opens").drop("opens").unionByName(edited)
+    return rest.drop("opens").unionByName(edited)
 
 
 def stringify(queries: DataFrame, words: DataFrame, joiner: str = " ", allow_partial: bool = True, normalize: bool = True) -> DataFrame:

@@ -162,10 +162,10 @@ def classified_words_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame
     """
     hyphened = F.replace(F.replace(F.col("text"), F.lit("n "), F.lit("n- ")), F.lit("ea"), F.lit("e-a"))
     docs = table(spark, sf_dir, "documents").select("doc_id", hyphened.alias("text"))
-    joined = inrow.hyphen_words(docs, words.PUNCTUATION_WORDS.replace("_", ""))
+    opened, rest = (inrow.hyphen_words(docs, words.PUNCTUATION_WORDS.replace("_", ""), joined) for joined in (True, False))
     shares = spark.createDataFrame([], "word string, prob double")
     rule = lambda features: features.withColumn("score", F.when(F.col("p_len") % 2 == 0, 0.0).otherwise(-9.0))
-    return words.classified_words(joined, rule, shares, 0.0)
+    return words.classified_parts(opened, rest, rule, shares, 0.0)
 
 
 _GRAMS = "CASE WHEN length({0}) < {1} THEN []::VARCHAR[] ELSE list_distinct(list_transform(range(1, length({0}) - {1} + 2), lambda i: substring({0}, i, {1}))) END"

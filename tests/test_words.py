@@ -99,3 +99,12 @@ def test_words_in_the_row_are_those_of_tokens(spark):
     assert rows(in_row) == rows(by_tokens)
     assert inrow.hyphen_words(docs.where("doc_id is null"), words.PUNCTUATION_WORDS).first().text == "a-b"
     assert inrow.hyphen_words(docs.limit(0), words.PUNCTUATION_WORDS).count() == 0
+
+
+def test_joined_words_and_others_apart(spark):
+    """No more leaves a task than is asked for."""
+    docs = spark.createDataFrame([(1, "a- b c-d- e, f- - g-"), (2, ""), (3, None), (4, "x- y- z")], "doc_id long, text string")
+    both = inrow.hyphen_words(docs, words.PUNCTUATION_WORDS)
+    for joined in (True, False):
+        part = inrow.hyphen_words(docs, words.PUNCTUATION_WORDS, joined)
+        assert sorted(part.collect()) == sorted(both.where("opens" if joined else "not opens").collect()) and part.count()
