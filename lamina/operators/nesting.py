@@ -27,7 +27,7 @@ FEATURES = (
 # What stands for sizes and fonts that are not known, and for the font of the root.
 NO_SIZE, NO_FONT, ROOT_FONT, ROOT = -1.0, "[NONE]", "[ROOT]", -1
 #: Sections that are nested together, a document more or less.
-SECTIONS = 20_000
+SECTIONS = 5_000
 
 Scorer = Callable[[np.ndarray], np.ndarray]
 

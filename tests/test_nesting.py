@@ -110,3 +110,10 @@ def test_without_rows_and_ids(spark):
     rows = [(None, k, "x", None, None, None, None, None, None, None) for k in range(3)]
     got = nesting.nest_by_score(spark.createDataFrame(rows, SCHEMA)).collect()
     assert [(r.doc_id, r.n_open > 0) for r in got] == [(None, True)] * 3
+
+
+def test_bounds_of_memory():
+    """An executor's Python came to 3.6 GB in larger runs with four times as much at once."""
+    from lamina.operators import inrow
+
+    assert inrow.SLICE <= 1 << 20 and nesting.SECTIONS <= 5_000
