@@ -135,6 +135,37 @@ def citation_features(source: Column, target: Column) -> dict[str, Column]:
     }
 
 
+def citation_source(source: Column) -> Column:
+    """What :func:`citation_features` takes from a mention, whatever the entry: to be made once for each."""
+    grams = [char_ngrams(source, n).alias(f"grams_{n}") for n in (1, 2, 3, 4)]
+    return F.struct(
+        *grams, strip_and_tokenize(source).alias("words"), has_text(source).alias("has_text"), runs(source, "[0-9]+").alias("numbers"), runs(source, "[A-Za-z]+").alias("letters")
+    )
+
+
+def citation_target(target: Column) -> Column:
+    """What :func:`citation_features` takes from an entry, whatever the mention."""
+    start = F.left(target, F.lit(50))
+    grams = [char_ngrams(start, n).alias(f"grams_{n}") for n in (1, 2, 3, 4)]
+    return F.struct(
+        *grams, strip_and_tokenize(target).alias("words"), strip_and_tokenize(start).alias("first_words"),
+        runs(F.left(target, F.lit(100)), "[0-9]+").alias("numbers"), runs(start, "[A-Za-z]+").alias("letters"),
+    )
+
+
+def citation_features_of(s: Column, t: Column) -> dict[str, Column]:
+    """:func:`citation_features` but the ratio, from :func:`citation_source` and :func:`citation_target`."""
+    one_if = lambda c: F.when(c, 1).otherwise(0)
+    wanted = F.filter(s["words"], lambda w: ~w.isin("et", "al", "and"))
+    place = F.array_position(t["first_words"], F.try_element_at(s["words"], F.lit(1)))
+    return {f"jaccard_{n}gram": jaccard(s[f"grams_{n}"], t[f"grams_{n}"]) for n in (1, 2, 3, 4)} | {
+        "heuristic": one_if((F.size(s["words"]) > 0) & (F.size(F.array_except(wanted, t["words"])) == 0)), "has_source_text": s["has_text"],
+        "jaccard_numeric": jaccard(s["numbers"], t["numbers"]), "match_numeric": one_if(F.size(F.array_except(s["numbers"], t["numbers"])) == 0),
+        "jaccard_alpha": jaccard(s["letters"], t["letters"]), "match_first_token": one_if(place > 0),
+        "first_position": F.when(place > 0, (place - 1).cast("double")).otherwise(F.lit(float("nan"))),
+    }
+
+
 def strip_punctuation(text: Column, punctuation: str = PUNCTUATION) -> Column:
     """A dictionary form: trimmed, lower case, without punctuation at its ends."""
     return F.btrim(F.lower(F.trim(text)), F.lit(punctuation))

@@ -58,6 +58,21 @@ def citation_links(mentions: DataFrame, entries: DataFrame, score: Callable[[Col
     return scored.groupBy("doc_id", "pos").agg(best.alias("b")).select("doc_id", "pos", "b.entry_pos", "b.score")
 
 
+def citation_pairs(mentions: DataFrame, entries: DataFrame) -> DataFrame:
+    """Mentions and entries (both: doc_id, pos, text) of a document in pairs: doc_id, pos, entry_pos, source, target, see :func:`text.citation_features_of`.
+
+    Sides are dealt out as texts, and what features take from a text is made once for each before the pairs are. Texts are small
+    beside the work on them, so the number of parts is given, for Spark would put them together by size.
+    """
+    parts = int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sides = lambda df: df.where("doc_id is not null").repartition(parts, "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "text")).alias("side"))
+    both = sides(mentions).withColumnRenamed("side", "m").join(sides(entries).withColumnRenamed("side", "e"), "doc_id")
+    made = lambda c, of: F.transform(c, lambda x: F.struct(x["pos"].alias("pos"), of(x["text"]).alias("of")))
+    ready = both.select("doc_id", made(F.col("m"), tx.citation_source).alias("m"), made(F.col("e"), tx.citation_target).alias("e"))
+    met = ready.select("doc_id", F.explode("m").alias("m"), "e").select("doc_id", "m", F.explode("e").alias("e"))
+    return met.select("doc_id", F.col("m.pos").alias("pos"), F.col("e.pos").alias("entry_pos"), F.col("m.of").alias("source"), F.col("e.of").alias("target"))
+
+
 def caption_costs(objects: DataFrame, captions: DataFrame, kind: str) -> DataFrame:
     """Costs of all captions of a page for its objects (both: doc_id, page, pos and a box)."""
     pairs = objects.select("doc_id", "page", F.col("pos").alias("object_pos"), *[F.col(c).alias(f"o_{c}") for c in "ltwh"]).join(

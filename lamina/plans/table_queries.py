@@ -201,9 +201,9 @@ def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def citation_features_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All features but the ratio of insertions and deletions, which DuckDB lacks; null for no first position."""
     mentions, entries = _pairs(spark, sf_dir)
-    f = text.citation_features(F.col("text"), F.col("entry"))
-    pairs = mentions.join(entries.select("doc_id", F.col("pos").alias("entry_pos"), F.col("text").alias("entry")), "doc_id")
-    shown = {k: F.nanvl(v, F.lit(None)) if k == "first_position" else F.round(v, 9) if k.startswith("jaccard") else v for k, v in f.items() if k != "fuzz_ratio"}
+    pairs = predictors.citation_pairs(mentions, entries)
+    f = text.citation_features_of(F.col("source"), F.col("target"))
+    shown = {k: F.nanvl(v, F.lit(None)) if k == "first_position" else F.round(v, 9) if k.startswith("jaccard") else v for k, v in f.items()}
     return pairs.select("pos", "entry_pos", *[v.alias(k) for k, v in shown.items()])
 
 

@@ -152,3 +152,20 @@ def test_first_title_of_citations(spark):
     }
     docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, tei string")
     assert [r.title for r in tei.citation_title(docs).orderBy("doc_id").collect()] == list(cases.values())
+
+
+def test_citation_features_of_sides(spark):
+    """What is made once for each side gives what is made for each pair."""
+    from pyspark.sql import functions as F
+
+    from lamina.functions import text
+    from lamina.operators import predictors
+
+    values = ["Smith et al., 2019", "[2]", "", " ", "Lee and Kim (2020) 11", "et al", "[1] J. Smith, A. Doe. Deep things. 2019.", "x" * 120 + " 7"]
+    both = spark.createDataFrame([(i % 2, i, v) for i, v in enumerate(values)], "doc_id long, pos long, text string")
+    pairs = predictors.citation_pairs(both, both)
+    got = pairs.select("pos", "entry_pos", *[v.alias(k) for k, v in text.citation_features_of(F.col("source"), F.col("target")).items()])
+    joined = both.join(both.select("doc_id", F.col("pos").alias("entry_pos"), F.col("text").alias("entry")), "doc_id")
+    plain = {k: v for k, v in text.citation_features(F.col("text"), F.col("entry")).items() if k != "fuzz_ratio"}
+    want = joined.select("pos", "entry_pos", *[v.alias(k) for k, v in plain.items()])
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 32
